@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .checkpoints import cut
 
+#: Rows that a stored partition of a shrinking graph holds at least, so that small rounds are few tasks.
+_ROWS = 20_000
+
 #: Salts that reorder the ids from round to round, so that long sorted chains shrink by a constant share.
 _SALTS = [0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51, 0x0F4A7C15F39CC060]
 
@@ -20,18 +23,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edge = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and a <> b").distinct()
     nodes = edge = cut(edge)
+    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pointers, round_no = [], 0
-    while not edge.isEmpty():
+    while n := edge.count():
+        parts = min(most, 8 + n // _ROWS)
         salt = F.lit(_SALTS[round_no % len(_SALTS)] ^ (round_no // len(_SALTS)))
         both = edge.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edge.select(F.col("b").alias("node"), F.col("a").alias("near")))
         near = F.min(F.col("near").bitwiseXOR(salt))
         to = both.groupBy("node").agg(F.least(near, F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("to")).where("to <> node")
-        to = cut(to)
+        to = cut(to.coalesce(parts))
         pointers.append(to)
         at_a = to.select(F.col("node").alias("a"), F.col("to").alias("a_to"))
         at_b = to.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = edge.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
-        edge = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edge = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(parts))
         round_no += 1
 
     if not pointers:

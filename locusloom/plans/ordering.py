@@ -7,7 +7,7 @@ partitions; totals of the earlier partitions are added to a window inside each p
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,24 +17,36 @@ from .checkpoints import cut
 ROWS = "_rows_before"
 
 
-def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str] | None = None, rows: str | None = ROWS) -> DataFrame:
-    """Add to each row what the rows before it in its key hold.
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], measures: Mapping[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """Add to each row an aggregate over the rows before it in its key; null for a key's first row.
 
     ``keys`` name columns without nulls (none: one global order), ``order`` columns or sort
-    expressions; ``sums`` maps new column names to the column to total; ``rows`` names the count of earlier rows.
-    Rows that tie in keys and order get consecutive places in some order.
+    expressions; ``measures`` maps a new column to a column and an aggregate that
+    can be taken again over its own results (sum, max, min).
     """
-    spark = df.sparkSession
     order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
-    measures = {name: F.col(c) for name, c in (sums or {}).items()} | ({rows: F.lit(1).cast("long")} if rows else {})
 
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumns({name: F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in measures.items()})
+    placed = dealt.withColumns({name: how(F.col(c)).over(inside) for name, (c, how) in measures.items()})
 
-    totals = dealt.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in measures.items()])
+    totals = dealt.groupBy(*keys, "_part").agg(*[how(F.col(c)).alias(f"_t_{name}") for name, (c, how) in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_b_{name}") for name in measures])
+    before = totals.select(*keys, "_part", *[how(F.col(f"_t_{name}")).over(earlier).alias(f"_b_{name}") for name, (_, how) in measures.items()])
     joined = placed.join(before, [*keys, "_part"])
-    return joined.withColumns({name: F.col(name) + F.col(f"_b_{name}") for name in measures}).drop("_part", *[f"_b_{name}" for name in measures])
+    for name, (_, how) in measures.items():
+        here, there = F.col(name), F.col(f"_b_{name}")
+        both = here + there if how is F.sum else F.greatest(here, there) if how is F.max else F.least(here, there)
+        joined = joined.withColumn(name, F.coalesce(both, here, there))
+    return joined.drop("_part", *[f"_b_{name}" for name in measures])
+
+
+def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str] | None = None, rows: str | None = ROWS) -> DataFrame:
+    """Add to each row totals of the rows before it in its key: ``sums`` maps new columns to columns, ``rows`` names the row count.
+
+    Rows that tie in keys and order get consecutive places in some order.
+    """
+    measures = {name: (c, F.sum) for name, c in (sums or {}).items()} | ({rows: ("_one", F.sum)} if rows else {})
+    found = running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, measures).drop("_one")
+    return found.withColumns({name: F.coalesce(name, F.lit(0)) for name in measures})
