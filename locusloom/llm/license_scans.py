@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import LOWER, slices
+from .words import LOWER, in_small_batches, slices
 
 #: The phrases of the base scan and their labels.
 PHRASES = (
@@ -243,5 +243,5 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
 
     kinds = {pa.int64(): T.LongType(), pa.string(): T.StringType()}
     find = F.arrow_udf(scanned, T.StructType([T.StructField(n, kinds[t]) for n, t in _FOUND.items()])).asNondeterministic()
-    rows = docs.select("doc_id", find(F.col("text")).alias("f")).select("doc_id", "f.*")
+    rows = in_small_batches(docs).select("doc_id", find(F.col("text")).alias("f")).select("doc_id", "f.*")
     return rows.withColumn("score", F.when(F.col("labels") == "", 0.0).when(F.col("labels") == F.col("base_labels"), 0.5).otherwise(1.0))

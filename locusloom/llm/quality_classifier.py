@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..plans.checkpoints import cut
 from .quality_rules import measured
-from .words import slices
+from .words import in_small_batches, slices
 
 FEATURES = 14
 #: Score from which a document counts as good.
@@ -200,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     The texts are read once: their statistics are stored, then used to fit and to score.
     """
-    stats = cut(docs.select("doc_id", _statistics(F.col("text")).alias("x")))
+    stats = cut(in_small_batches(docs).select("doc_id", _statistics(F.col("text")).alias("x")))
     scored = stats.select("doc_id", (fold() == 0).alias("held_out"), scorer(train(stats, labels, settings))(F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -211,6 +211,6 @@ def keep(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     The fit reads the labelled texts only; the texts are then scored where they are read, without a shuffle.
     """
     known = labels.where("quality in (0, 1)").select("doc_id").distinct()
-    stats = cut(docs.where(fold() != 0).select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", _statistics(F.col("text")).alias("x")))
+    stats = cut(in_small_batches(docs).where(fold() != 0).select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", _statistics(F.col("text")).alias("x")))
     good = scorer(train(stats, labels, settings))(_statistics(F.col("text"))) >= THRESHOLD
     return docs.withColumn("_good", good).where("_good").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import STARTS_CHAR, slices
+from .words import STARTS_CHAR, in_small_batches, slices
 
 #: Words that a repeated passage has at least.
 WINDOW = 8
@@ -148,7 +148,7 @@ def mask(names: Sequence[str], rules: Sequence[Rule] = RULES) -> int:
 
 def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``doc_id``, every measurement and ``fail_bits`` of each row of ``docs``."""
-    rows = docs.select("doc_id", _measure(F.col("text")).alias("m"))
+    rows = in_small_batches(docs).select("doc_id", _measure(F.col("text")).alias("m"))
     return rows.select("doc_id", "m.*", _bits(rules, "m").alias("fail_bits"))
 
 
@@ -184,5 +184,5 @@ def ablations(book: DataFrame, policy: Policy = CURRENT, rules: Sequence[Rule] =
 def keep(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs`` and no others."""
     rejects = mask([*policy.base, *policy.rejects])
-    marked = docs.withColumn("_measured", _measure(F.col("text")))
+    marked = in_small_batches(docs).withColumn("_measured", _measure(F.col("text")))
     return marked.where(_bits(RULES, "_measured").bitwiseAND(F.lit(rejects)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

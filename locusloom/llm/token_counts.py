@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokenizer_files import tokenizer_path
-from .words import slices
+from .words import in_small_batches, slices
 
 #: Unicode white space, and the pre-token pattern that the vocabulary was made with.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -177,5 +177,5 @@ def counting(path: str):
 def token_counts(docs: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of each row of ``docs``; no shuffle."""
     count = counting(path or tokenizer_path("byte_bpe_50k.json"))
-    rows = docs.select("doc_id", count(F.col("text")).alias("c"))
+    rows = in_small_batches(docs).select("doc_id", count(F.col("text")).alias("c"))
     return rows.select("doc_id", "c.n_bytes", "c.n_tokens", (F.col("c.n_tokens") > limit).alias("over_limit"))

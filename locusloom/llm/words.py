@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow string array.
 
-A batch is cut into slices of a few MB of whole texts, so that memory does not follow the batch;
+A batch is cut into slices of half a MB of whole texts, so that memory does not follow the batch;
 one text longer than that is a slice of its own.
 """
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Odd 64-bit multipliers for the polynomial word hash and its finaliser.
 BASE = 0x9E3779B97F4A7C15
@@ -28,6 +29,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends texts to Python in batches that stay small where texts are long."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that near inputs give unrelated values."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(MIX_1)
@@ -88,7 +99,7 @@ class Slice:
         return mixed(value[begin]), at
 
 
-def slices(texts: pa.Array, kept: np.ndarray = NOT_SPACE, lower: bool = False, limit: int = 1 << 21) -> Iterator[Slice]:
+def slices(texts: pa.Array, kept: np.ndarray = NOT_SPACE, lower: bool = False, limit: int = 1 << 19) -> Iterator[Slice]:
     """Slices of whole texts of about ``limit`` bytes; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
