@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,9 +27,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .token_counts import SPACE
+from .token_counts import MARKS, SPACE
 from .tokenizer_files import tokenizer_path
-from .words import slices
+from .words import in_small_batches, slices
 
 
 @dataclass(frozen=True)
@@ -93,26 +94,58 @@ class Bins:
 class Ids:
     """Token ids as little-endian 32-bit bytes; remembers at most ``limit`` chunks between white space."""
 
-    def __init__(self, path: str, limit: int = 1 << 19) -> None:
+    def __init__(self, path: str, limit: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool, self.limit = Tokenizer.from_file(path), limit
         self.chunk = re.compile(rf"[^{SPACE}]+")
         self.known: dict[str, bytes] = {}
+        vocab = self.tool.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for word, k in vocab.items() if word.endswith("</w>")]] = True
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. White space separates tokens and makes none, so chunks stand for themselves."""
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. White space separates tokens and makes none, so chunks stand for themselves.
+
+        The vocabulary lower-cases; doing so for A-Z first lets forms of a word share an entry. Texts that may hold special
+        tokens, which are matched before that, stay as they are.
+        """
         if len(self.known) > self.limit:
             self.known.clear()
-        split = [self.chunk.findall(t) for t in texts]
+        split = [self.chunk.findall((t if b"<|" in t else t.lower()).decode()) for t in texts]
         new = list(set().union(*split).difference(self.known))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for chunk, found in zip(some, self.tool.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        if new:
+            self.learn(new)
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
+    def learn(self, chunks: list[str]) -> None:
+        """Add chunks. A run of letters and the mark that follows it are tokenised apart, so the run is asked for once."""
+        known = self.known
+        marked = [(c, c[:-1], c[-1]) for c in chunks if c[-1] in MARKS and c[:-1].isalpha()]
+        ends = {c for c, _, _ in marked}
+        plain = {c for c in chunks if c not in ends}
+        asked = plain.union([w for _, w, _ in marked]).difference(known)
+        words = [w for w in asked if w.isalpha()]
+        others = [c for c in asked.union(MARKS).difference(known) if not c.isalpha()]
+        for k in range(0, len(words), 1024):
+            others += self.learn_words(words[k : k + 1024])
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            for chunk, found in zip(some, self.tool.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[chunk] = array("I", found.ids).tobytes()
+        known.update([(c, known[w] + known[m]) for c, w, m in marked])
+
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Add runs of letters by one call: each ends with the only id of it that ends a word. Returns them if that does not hold."""
+        found = np.array(self.tool.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends_word[found]) + 1
+        if len(last) != len(words):
+            return words
+        raw, at = found.tobytes(), [0, *(4 * last).tolist()]
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        return []
+
 
 @lru_cache(maxsize=2)
 def ids(path: str) -> Ids:
@@ -172,7 +205,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
             for s in slices(batch.column("text")):
                 raw, at = s.data.tobytes(), s.text_at
                 rests = []
-                for k, found in enumerate(tool.of([raw[at[k] : at[k + 1]].decode() for k in range(s.n)])):
+                for k, found in enumerate(tool.of([raw[at[k] : at[k + 1]] for k in range(s.n)])):
                     doc = _Document(doc_ids[s.first + k], found + END)
                     while doc.total - doc.start >= size:
                         piece(doc, size, 0, 1)
@@ -189,7 +222,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
         close(0)
         yield flushed()
 
-    return docs.select("doc_id", "text").mapInArrow(packed, PIECES)
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(packed, PIECES)
 
 
 EXAMPLES = "example_id bigint, n_tokens bigint, n_loss bigint, sequence_id bigint, offset bigint"
