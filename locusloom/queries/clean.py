@@ -16,7 +16,7 @@ def _sequences(spark: SparkSession, folder: str, name: str = "sequences") -> Dat
 
 
 @query("B1_sanitise", with_tables("""SELECT record_id, md5(s) AS digest, CASE WHEN NOT regexp_matches(s, '[ACGT]') THEN 'contains no sequence' END AS skip_reason
-    FROM (SELECT record_id, regexp_replace(replace(replace(upper(seq), 'ß', 'SS'), '-', ''), '[^ACGT]', 'N', 'g') AS s FROM sequences)""", "sequences"))
+    FROM (SELECT record_id, regexp_replace(replace(upper(replace(seq, 'ß', 'SS')), '-', ''), '[^ACGT]', 'N', 'g') AS s FROM sequences)""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.sanitise(_sequences(spark, folder)).select("record_id", F.md5("seq").alias("digest"), "skip_reason")
 
