@@ -3,12 +3,13 @@
 Each permutation of the shingle hashes gives both its minimum and its maximum, so ``permutations``
 evaluations make a signature of twice that length. Bands of it put documents into buckets.
 
-Exact copies (equal word sequences) are one node first. Then, in two confirmed steps:
-1. every node is paired with the least node of each of its buckets; confirmed pairs are united;
-2. buckets that still hold several components give their remaining pairs across components, dealt
-   in tiles of bounded size. Pairs inside one component need no check: they are in one class already.
-So every pair that shares a bucket is either in one class or was confirmed not to be a link, a group of
-thousands of near copies costs about one check per member, and no bucket is gathered in a task.
+Exact copies (equal word sequences) are one node first. Then, in confirmed steps:
+1. every node is paired with a pivot of each of its buckets (its least node in one of several orders);
+   confirmed pairs are united into classes; this may be repeated with other pivots;
+2. buckets that still hold several classes give all their pairs across classes, dealt in tiles of bounded
+   size. Pairs inside one class need no check.
+So every pair that shares a bucket is in one class or was confirmed not to be a link, a group of
+thousands of near copies costs a few checks per member, and no bucket is gathered in a task.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with nothing;
 with fewer than ``words`` words the whole sequence is the one shingle; rows with a null id link with nothing and
@@ -29,7 +30,11 @@ from pyspark.sql import types as T
 
 from ..plans.checkpoints import cut
 from ..plans.graph import components
-from .words import mixed, slices
+from .words import in_small_batches, mixed, slices
+
+
+#: Orders of ids, as values to combine with them bit by bit.
+_ORDERS = [0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51]
 
 
 @dataclass(frozen=True)
@@ -43,8 +48,11 @@ class Settings:
     seed: int = 3
     #: Candidate ids up to which their set is broadcast to prune the second read of the texts (8 MB).
     broadcast_ids: int = 1_000_000
-    #: Rows of a bucket that meet in one tile of step 2.
+    #: Rows of a bucket that meet in one tile of the last step.
     tile: int = 64
+    #: Pivots are taken while the pairs left in buckets of several classes are more than so many per bucket row, at most so often.
+    pairs_per_row: float = 0.25
+    turns: int = 1
 
     @property
     def permutations(self) -> int:
@@ -78,7 +86,7 @@ def _signer(c: Settings):
     def signed(texts: pa.Array) -> pa.Array:
         """Set size, a digest of the word sequence, and one bucket key per band."""
         counts, digests, keys, valid = [], [], [np.zeros((0, c.bands), np.uint64)], []
-        for s in slices(texts, lower=True, limit=1 << 20):
+        for s in slices(texts, lower=True):
             values, at = shingles(s, c.words)
             raw = s.data.tobytes()
             sizes = np.diff(at)
@@ -118,7 +126,7 @@ def _confirmer(c: Settings):
 
         def sets(texts: list[str]) -> list[np.ndarray]:
             new = [t for t in dict.fromkeys(texts) if t not in recent]
-            for s in slices(pa.array(new, pa.large_string()), lower=True, limit=1 << 20):
+            for s in slices(pa.array(new, pa.large_string()), lower=True):
                 values, at = shingles(s, c.words)
                 for k in range(s.n):
                     recent[new[s.first + k]] = values[at[k] : at[k + 1]]
@@ -144,53 +152,81 @@ def _confirmer(c: Settings):
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, c: Settings) -> DataFrame:
-    """The pairs whose texts are linked. Only the texts of candidates are shuffled."""
+    """The classes ``ca, cb`` of pairs whose texts are linked. Only the texts of candidates are shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     texts = texts.join(F.broadcast(ids) if ids.count() <= c.broadcast_ids else ids, "doc_id", "left_semi")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.withColumn("linked", _confirmer(c)("text_a", "text_b")).where("linked").select("a", "b")
+    return both.withColumn("linked", _confirmer(c)("text_a", "text_b")).where("linked").select("ca", "cb")
 
 
 def signatures(docs: DataFrame, c: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest`` of the word sequence and ``bands`` of each row."""
-    return docs.select("doc_id", _signer(c)(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return in_small_batches(docs).select("doc_id", _signer(c)(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+def _reduced(owner: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """``x, class`` after confirmed pairs of classes (``ca``, ``cb``) are united."""
+    found = components(confirmed, "ca", "cb").withColumnRenamed("node", "class")
+    return cut(owner.join(found, "class", "left").select("x", F.coalesce("component", "class").alias("class")))
 
 
 def classes(signed: DataFrame, docs: DataFrame, c: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``digest``, ``node``) and the components of those that have links."""
+    """Nodes (``digest``, ``node``), and the classes (``x``, ``class``) of those that share a bucket with another."""
     nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     banded = signed.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     rows = banded.select(F.col("doc_id").alias("x"), F.explode("bands").alias("bucket"))
-
-    least = rows.groupBy("bucket").agg(F.min("x").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(rows.join(least, "bucket").select("bucket", "x", "least").distinct())
-    to_least = cut(shared.where("x <> least").select(F.col("least").alias("a"), F.col("x").alias("b")).distinct())
-    first = cut(_confirmed(to_least, docs, c))
-    found = components(first)
-
-    named = found.select(F.col("node").alias("x"), "component")
-    members = shared.join(named, "x", "left").select("bucket", "x", F.coalesce("component", "x").alias("class"))
-    members = cut(members)
-    mixed_buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).where("low <> high")
-    dealt = members.join(mixed_buckets.select("bucket", F.ceil(F.col("n") / c.tile).alias("tiles")), "bucket")
+    full = rows.groupBy("bucket").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("bucket")
+    shared = cut(rows.join(full, "bucket").distinct())
+    owner = cut(shared.select("x").distinct().withColumn("class", F.col("x")))
+    n, done, turn = shared.count(), None, 0
+
+    while n:
+        members = cut(shared.join(owner, "x"))
+        # Buckets take their pivots in a few different orders, so that a long drifting group has pivots all along.
+        order = F.lit(_ORDERS[turn % len(_ORDERS)]).bitwiseXOR(F.element_at(F.array(*[F.lit(o) for o in _ORDERS]), (F.pmod("bucket", F.lit(len(_ORDERS))) + 1).cast("int")))
+        buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.col("x").bitwiseXOR(order)).alias("pivot"), F.count("*").alias("n")).where("low <> high")
+        buckets = cut(buckets.withColumn("pivot", F.col("pivot").bitwiseXOR(order)))
+        crossing = buckets.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        last = crossing <= c.pairs_per_row * n or turn == c.turns
+        pairs = _across(members, buckets, c) if last else _with_pivots(members, buckets, owner)
+        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        confirmed = cut(_confirmed(pairs, docs, c))
+        links = confirmed.count()
+        if links:
+            owner = _reduced(owner, confirmed)
+        if last:
+            break
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        turn += 1
+    return nodes, owner
+
+
+def _with_pivots(members: DataFrame, buckets: DataFrame, owner: DataFrame) -> DataFrame:
+    """Each node with the pivots of its buckets that are of other classes: ``a, b, ca, cb``."""
+    near = members.join(buckets.select("bucket", "pivot"), "bucket").where("x <> pivot").select("x", "class", "pivot").distinct()
+    named = near.join(owner.select(F.col("x").alias("pivot"), F.col("class").alias("other")), "pivot").where("class <> other")
+    first = F.col("x") < F.col("pivot")
+    return named.select(F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b"), F.when(first, F.col("class")).otherwise(F.col("other")).alias("ca"), F.when(first, F.col("other")).otherwise(F.col("class")).alias("cb")).distinct()
+
+
+def _across(members: DataFrame, buckets: DataFrame, c: Settings) -> DataFrame:
+    """All pairs of a bucket's nodes that are of different classes, by tiles: ``a, b, ca, cb``."""
+    dealt = members.join(buckets.select("bucket", F.ceil(F.col("n") / c.tile).alias("tiles")), "bucket")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("x", F.lit("tile")), F.col("tiles")))
-    left = dealt.select("bucket", "x", "class", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-    right = dealt.select("bucket", F.col("x").alias("y"), F.col("class").alias("class_y"), F.col("mine").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("mine"))
-    across = left.join(right, ["bucket", "mine", "other"]).where("x < y and class <> class_y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    rest = cut(across.join(to_least, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return nodes, found
-    return nodes, components(first.unionByName(_confirmed(rest, docs, c)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    left = dealt.select("bucket", F.col("x").alias("a"), F.col("class").alias("ca"), "mine", every.alias("other"))
+    right = dealt.select("bucket", F.col("x").alias("b"), F.col("class").alias("cb"), F.col("mine").alias("other"), every.alias("mine"))
+    return left.join(right, ["bucket", "mine", "other"]).where("a < b and ca <> cb").select("a", "b", "ca", "cb").distinct()
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
     signed = cut(signatures(docs, settings))
     nodes, found = classes(signed, docs, settings)
-    named = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.join(found.withColumnRenamed("x", "node"), "node", "left").select("digest", F.coalesce("class", "node").alias("component_id"))
     joined = signed.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     result = joined.select("doc_id", "n_shingles", own.alias("component_id"))
