@@ -20,7 +20,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``name, seq``: headers with blanks as ``_``, wrapped lines joined; a header without sequence or a line with other than letters is an error."""
     blocks = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("block")).where("trim(block) <> ''")
     lines = F.split("block", "\r?\n")
-    rows = blocks.select(F.replace(F.element_at(lines, 1), F.lit(" "), F.lit("_")).alias("name"), F.array_join(F.transform(F.slice(lines, 2, 1 << 30), F.trim), "").alias("seq"))
+    rows = blocks.select(F.replace(F.element_at(lines, 1), F.lit(" "), F.lit("_")).alias("name"), F.array_join(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.trim(x)), "").alias("seq"))
     return _checked(rows, (F.length("seq") > 0) & F.col("seq").rlike(r"^[A-Za-z*-]+$"), "FASTA with a header that has no proper sequence")
 
 
@@ -89,7 +89,7 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
 
 def read_equivalence_groups(spark: SparkSession, path: str, profiles: DataFrame) -> DataFrame:
     """``group_id, profile``: one comma list per line; an unknown profile is an error."""
-    rows = spark.read.text(path).where("trim(value) <> ''").select(F.xxhash64("value").alias("group_id"), F.explode(F.transform(F.split("value", ","), F.trim)).alias("profile"))
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.xxhash64("value").alias("group_id"), F.explode(F.transform(F.split("value", ","), lambda x: F.trim(x))).alias("profile"))
     known = profiles.select("profile", F.lit(True).alias("_known"))
     return _checked(rows.join(known, "profile", "left"), F.col("profile").isNotNull() & F.col("_known").isNotNull(), "equivalence group with an unknown profile").select("group_id", "profile")
 
