@@ -45,7 +45,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for to in reversed(pointers[:-1]):
         later = roots.select(F.col("node").alias("to"), F.col("root").alias("later"))
         moved = to.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root"))
-        roots = moved.unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
+        # Stored, as the next turn reads it twice: plans would double from turn to turn.
+        roots = cut(moved.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")).coalesce(min(most, 8 + nodes.count() // _ROWS)))
     everyone = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     rooted = cut(everyone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("node").alias("component"))
