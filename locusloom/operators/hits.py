@@ -23,7 +23,9 @@ def with_profiles(hits: DataFrame, profiles: DataFrame, *columns: str) -> DataFr
     """Add columns of the profile table; a hit of an unknown profile is an error."""
     known = profiles.select("profile", *columns, F.lit(True).alias("_known"))
     joined = hits.join(known, "profile", "left")
-    return joined.where(F.assert_true(F.col("_known").isNotNull(), F.concat(F.lit("unknown profile: "), F.col("profile"))).isNull()).drop("_known")
+    # The error hangs on the values themselves: a later filter on them could turn the outer join into an inner one and pass over it.
+    error = F.raise_error(F.concat(F.lit("unknown profile: "), F.col("profile")))
+    return joined.withColumns({c: F.when(F.col("_known").isNotNull(), F.col(c)).otherwise(error) for c in columns}).drop("_known")
 
 
 def filter_by_cutoff(hits: DataFrame, profiles: DataFrame) -> DataFrame:
