@@ -193,16 +193,16 @@ SIMILAR = ("AST", "DE", "DN", "EQ", "FWY", "FL", "HN", "HY", "ILMV", "KR", "KE",
 
 
 def consensus_string(query: Column, reference: Column) -> Column:
-    """The residue where both agree, ``+`` where they are similar, a space elsewhere."""
+    """The residue where both agree, ``+`` where they are similar, a space elsewhere. Both texts are split once, so long ones stay linear."""
     alike = sorted({a + b for group in SIMILAR for a in group for b in group if a != b})
     pairs = F.array(*[F.lit(p) for p in alike])
 
-    def mark(k: Column) -> Column:
-        a, b = F.substr(query, k, F.lit(1)), F.substr(reference, k, F.lit(1))
+    def mark(a: Column, b: Column) -> Column:
         return F.when(a == b, a).when(F.array_contains(pairs, F.concat(a, b)), "+").otherwise(" ")
 
     size = F.least(F.length(query), F.length(reference))
-    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(1), size), mark), "")).otherwise("")
+    letters = lambda text: F.slice(F.split(text, ""), F.lit(1), size)
+    return F.when(size > 0, F.array_join(F.zip_with(letters(query), letters(reference), mark), "")).otherwise("")
 
 
 def group_references(core_hits: DataFrame) -> DataFrame:

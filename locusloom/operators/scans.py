@@ -203,8 +203,7 @@ def cleavage_site(seq: Column, rules: Sequence[tuple[str, int]], min_tail: int =
 def peptide_features(seq: Column, classes: Mapping[str, str]) -> list[Column]:
     """Counts of each residue class (name to letters), the length, and the number of cysteines that face another one two to five places on."""
     counts = [(F.length(seq) - F.length(F.translate(seq, letters, ""))).alias(f"n_{name}") for name, letters in classes.items()]
-    places = F.filter(F.when(F.length(seq) > 0, F.sequence(F.lit(1), F.length(seq))).otherwise(F.array().cast("array<int>")), lambda k: F.substr(seq, k, F.lit(1)) == "C")
-    facing = F.size(F.filter(places, lambda k: F.exists(places, lambda j: (j - k).between(2, 5))))
+    facing = F.coalesce(F.regexp_count(seq, F.lit("(?s)C(?=.{1,4}C)")), F.lit(0))
     return [F.length(seq).alias("length"), *counts, facing.alias("n_facing_cys")]
 
 

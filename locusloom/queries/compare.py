@@ -214,6 +214,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", ops.consensus_string(F.substring("t", 1, 60), F.substring("t", 8, 60)).alias("consensus"))
 
 
+@query("G18_consensus_string_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sequences").select("record_id", F.upper(F.regexp_replace("seq", "[^a-zA-Z]", "")).alias("t"))
+    return rows.select("record_id", ops.consensus_string(F.col("t"), F.expr("substr(t, 8)")).alias("consensus"))
+
+
 @query("G19_group_references", with_tables("SELECT query_id, ref_seq, ref_name, n_others FROM (SELECT query_id, ref_gene % 5 AS ref_seq, ord AS ref_name, score AS similarity, count(*) OVER (PARTITION BY query_id, ref_gene % 5) - 1 AS n_others FROM alignments) QUALIFY row_number() OVER (PARTITION BY query_id, ref_seq ORDER BY similarity DESC, ref_name) = 1", "alignments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = _alignments(spark, folder).select("query_id", (F.col("ref_gene") % 5).alias("ref_seq"), F.col("ord").alias("ref_name"), F.col("score").alias("similarity"))

@@ -11,6 +11,7 @@ from ..tables import table, with_tables
 from .areas import _REGIONS, plain_areas
 from .areas import ops as areas_ops
 
+# Queries named _whole read whole texts; those without the suffix keep the prefixes of their given SQL.
 _RC = "translate(reverse(seq), 'ACGT', 'TGCA')"
 _PROTEIN = "upper(regexp_replace(lower(seq), '[^acdefghiklmnpqrstvwy]', '', 'g'))"
 
@@ -142,6 +143,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.trim_alignment(rows, 0.2)
 
 
+@query("H16_trim_alignment_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("--"), F.col("seq"))).otherwise(F.concat(F.col("seq"), F.lit("----")))
+    return ops.trim_alignment(_proteins(spark, folder).select((F.col("record_id") % 40).alias("alignment_id"), aligned.alias("aligned")), 0.2)
+
+
 @query("H17_cleavage_site", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 120) AS p FROM sequences), h AS (SELECT record_id, p, length(regexp_extract(p, '(?s)^(.*(?:G[AG]))', 1)) AS a, length(regexp_extract(p, '(?s)^(.*(?:T.R))', 1)) AS b FROM s)
     SELECT record_id, CAST(coalesce(CASE WHEN a > 0 AND length(p) - a >= 10 THEN a END, CASE WHEN b > 0 AND length(p) - (b + 2) >= 10 THEN b + 2 END) AS INT) AS site FROM h""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,6 +156,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", ops.cleavage_site(F.col("p"), [("G[AG]", 0), ("T.R", 2)], 10).alias("site"))
 
 
+@query("H17_cleavage_site_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return _proteins(spark, folder).select("record_id", ops.cleavage_site(F.col("seq"), [("G[AG]", 0), ("T.R", 2)], 10).alias("site"))
+
+
 CLASSES = {"small": "AGST", "charged": "DEKR", "aromatic": "FWYH"}
 
 
@@ -160,6 +172,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", *ops.peptide_features(F.col("p"), CLASSES))
 
 
+@query("H18_peptide_features_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return _proteins(spark, folder).select("record_id", *ops.peptide_features(F.col("seq"), CLASSES))
+
+
 @query("H19_heuristic_score", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 100) AS p FROM sequences)
     SELECT record_id, CAST(CASE WHEN length(p) BETWEEN 20 AND 90 THEN 3 ELSE 0 END + CASE WHEN contains(p, 'CC') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(p, 'S.C') THEN 2 ELSE 0 END + CASE WHEN starts_with(p, 'T') THEN -1 ELSE 0 END AS INT) AS score FROM s""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,6 +185,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _proteins(spark, folder).select("record_id", F.substring("seq", 1, 100).alias("p")).select("record_id", ops.heuristic_score(weights).alias("score"))
 
 
+@query("H19_heuristic_score_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    p = F.col("seq")
+    weights = [(F.length(p).between(20, 90), 3), (p.contains("CC"), 5), (p.rlike("S.C"), 2), (p.startswith("T"), -1)]
+    return _proteins(spark, folder).select("record_id", ops.heuristic_score(weights).alias("score"))
+
+
 _MASS = f"{ops.WATER} + " + " + ".join(f"(length(p) - length(replace(p, '{r}', ''))) * {m}::DOUBLE" for r, m in ops.MASSES.items())
 
 
@@ -180,6 +204,14 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return measured.select("record_id", F.round("mass", 3).alias("mass"), F.array_join(others, ",").alias("others"))
 
 
+@query("H20_peptide_mass_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _proteins(spark, folder)
+    measured = rows.select("record_id", ops.peptide_mass(F.col("seq")).alias("mass"), (F.length("seq") - F.length(F.replace("seq", F.lit("S"), F.lit("")))).alias("n"))
+    others = F.transform(ops.alternative_masses(F.col("mass"), F.col("n")), lambda m: F.round(m).cast("long").cast("string"))
+    return measured.select("record_id", F.round("mass", 3).alias("mass"), F.array_join(others, ",").alias("others"))
+
+
 @query("H21_peptide_class", with_tables("""SELECT record_id, CASE WHEN list_contains(p, 'click') AND list_contains(p, 'purchase') THEN 'one' WHEN list_contains(p, 'error') THEN 'two' ELSE 'unknown' END AS class FROM (SELECT record_id * 100 + "start" // 86400 AS record_id, list(DISTINCT profile) AS p FROM moments GROUP BY 1)""", "moments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "moments").withColumn("record_id", F.expr("record_id * 100 + start div 86400")).groupBy("record_id").agg(F.collect_set("profile").alias("p"))
