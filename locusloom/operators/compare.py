@@ -79,14 +79,14 @@ def homology_table(alignments: DataFrame) -> DataFrame:
 def linked_groups(alignments: DataFrame) -> DataFrame:
     """``region, query_id, group_id``: queries of a region that shared subjects connect; the group is its smallest query.
 
-    Node ids are made of region and gene, so all regions go through one run of components.
+    Node ids are made of region and gene, so all regions go through one run of components. Subjects come after all queries of
+    their region, so a component's smallest node is its smallest query, and nothing is gathered by component.
     """
-    query = F.col("region") * (1 << 40) + F.col("query_id") * 2
-    subject = F.col("region") * (1 << 40) + F.col("ref_gene") * 2 + 1
+    base = F.col("region") * (1 << 40)
+    query, subject = base + F.col("query_id"), base + (1 << 39) + F.col("ref_gene")
     found = components(alignments.select(query.alias("a"), subject.alias("b")))
     queries = alignments.select("region", "query_id", query.alias("node")).distinct().join(found, "node")
-    w = Window.partitionBy("component")
-    return queries.select("region", "query_id", F.min("query_id").over(w).alias("group_id"))
+    return queries.select("region", "query_id", (F.col("component") - base).alias("group_id"))
 
 
 def genes_of_interest(ranking: DataFrame, references: DataFrame) -> DataFrame:

@@ -86,6 +86,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.linked_groups(_alignments(spark, folder).where("ref_area < 2"))
 
 
+@query("G6_linked_groups_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.linked_groups(_alignments(spark, folder))
+
+
 @query("G7_genes_of_interest", with_tables("SELECT DISTINCT ref_gene FROM alignments WHERE ref_area IN (SELECT ref_area FROM alignments WHERE score > 104000)", "alignments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = _alignments(spark, folder)

@@ -69,3 +69,18 @@ def test_alignments_and_consensus_are_read_to_their_end(spark, texts):
     for k, text in found.items():
         t = re.sub("[^A-Z]", "", text.upper())
         assert marked[k]["consensus"] == "".join(a if a == b else "+" if a + b in alike else " " for a, b in zip(t, t[7:], strict=False))
+
+
+def test_links_through_every_reference_area(spark, tmp_path):
+    random.seed(8)
+    rows = [(random.randint(1, 300), random.randint(1, 900), random.randint(1, 40), 1) for _ in range(500)]
+    columns = "cast(o as bigint) l_orderkey, cast(p as bigint) l_partkey, cast(s as bigint) l_suppkey, n l_linenumber, 5.0D l_quantity, 0.02D l_tax, 100.0D l_extendedprice"
+    spark.createDataFrame(rows, "o int, p int, s int, n int").selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {((s % 20, 0, o), (s % 20, 1, p)) for o, p, s, _ in rows}
+    group = {x: x for e in edges for x in e}
+    for _ in rows:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    found = entry.queries()["G6_linked_groups_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted((x[0], x[2], g[2]) for x, g in group.items() if x[1] == 0)
+    assert any(r["query_id"] != r["group_id"] for r in found)
