@@ -32,7 +32,7 @@ from ..plans.ordering import prefix_totals
 
 @dataclass(frozen=True)
 class Settings:
-    """``recall`` is that of one lone pair at exactly ``cosine``; it sets the number of passes for the largest label."""
+    """``recall`` is that of one lone pair at exactly ``cosine``; it sets the number of passes, at least that of evenly spread vectors."""
 
     cosine: float = 0.93
     window: int = 48
@@ -43,7 +43,7 @@ class Settings:
     seed: int = 11
 
     def passes(self, n: int) -> int:
-        """Passes so that a pair shares a window in one of them with probability ``recall``, for ``n`` nodes in a label."""
+        """Passes so that a pair shares a window in one of them with probability ``recall``, for ``n`` evenly spread nodes in a label."""
         bits = max(0.0, math.log2(max(n, 1) / (self.window / 2)))
         once = (1 - math.acos(self.cosine) / math.pi) ** bits
         return max(self.least_passes, math.ceil(math.log(1 - self.recall) / math.log(1 - min(once, 0.999))))
@@ -55,20 +55,20 @@ def units(vectors: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _coder(passes: int, seed: int):
+def _coder(first: int, passes: int, seed: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def codes(vectors: pa.Array) -> pa.Array:
         """One 63-bit code per pass; vectors of one length share their hyperplanes."""
-        out = np.zeros((len(vectors), passes), np.int64)
+        out = np.zeros((len(vectors), passes - first), np.int64)
         sizes = np.asarray(vectors.value_lengths())
         flat, at = np.asarray(vectors.flatten(), dtype=np.float64), np.concatenate([[0], np.cumsum(sizes)])
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             x = flat[at[rows][:, None] + np.arange(size)]
-            for k in range(passes):
+            for k in range(first, passes):
                 planes = np.random.default_rng([seed, int(size), k]).normal(size=(size, 63))
-                out[rows, k] = ((x @ planes) > 0) @ (1 << np.arange(62, -1, -1, dtype=np.int64))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * passes, pa.int32()), pa.array(out.ravel()))
+                out[rows, k - first] = ((x @ planes) > 0) @ (1 << np.arange(62, -1, -1, dtype=np.int64))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * (passes - first), pa.int32()), pa.array(out.ravel()))
 
     return codes
 
@@ -97,18 +97,55 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return usable.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
 
 
+def _bits(code: np.ndarray, group: np.ndarray, window: int) -> np.ndarray:
+    """For rows in order: the shortest prefix whose nodes all fit a window, so that a pair which shares it meets; -1 where the order is cut off."""
+    out, ahead = np.full(len(code), -1), window + 1
+    if len(code) > 2 * ahead:
+        differ = code[:-ahead] ^ code[ahead:]
+        shared = np.array([63 - int(x).bit_length() for x in differ])
+        shared[group[:-ahead] != group[ahead:]] = -1
+        out[ahead:-ahead] = 1 + np.lib.stride_tricks.sliding_window_view(shared, ahead + 1).max(axis=1)
+    return out
+
+
+def needed_passes(compared: DataFrame, s: Settings) -> int:
+    """Passes that reach ``recall`` in every label, from the prefixes measured at all nodes.
+
+    A lone pair at ``cosine`` shares b bits with probability p^b, whatever the other vectors are like. Nodes whose links
+    were found do not count as missed.
+    """
+    p = 1 - math.acos(s.cosine) / math.pi
+    measured = compared.where("bits is not null").groupBy("label", "a").agg(F.avg(F.pow(F.lit(p), F.col("bits"))).alias("once"), F.max("linked").alias("linked"))
+    # The least of p^b is p^63, so the last of these always suffices.
+    grid = [math.ceil(s.least_passes * 1.1**k) for k in range(150) if s.least_passes * 1.1**k < 2 * -math.log(1 - s.recall) / p**63]
+    missed = measured.groupBy("label").agg(*[F.avg(F.when(F.col("linked"), 0.0).otherwise(F.pow(1 - F.col("once"), F.lit(n)))).alias(f"_{k}") for k, n in enumerate(grid)])
+    worst = missed.agg(*[F.max(f"_{k}") for k in range(len(grid))]).first()
+    return next((n for n, share in zip(grid, worst, strict=True) if (share or 0.0) <= 1 - s.recall), grid[-1])
+
+
 def near_pairs(nodes: DataFrame, s: Settings) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes that are linked, enough to connect all that the passes find."""
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     passes = s.passes(largest)
-    coded = nodes.select("label", "node", F.posexplode(_coder(passes, s.seed)("v")).alias("turn", "code"))
-    ordered = prefix_totals(coded, [], ["turn", "label", "code", "node"], rows="place").select("turn", "label", "node", "place")
+    compared = cut(_compared(nodes, s, 0, passes))
+    needed = needed_passes(compared, s)
+    if needed > passes:
+        compared = compared.unionByName(_compared(nodes, s, passes, needed))
+    return compared.where("bits is null").select("a", "b")
+
+
+def _compared(nodes: DataFrame, s: Settings, first: int, passes: int) -> DataFrame:
+    """Of passes from ``first`` on: pairs ``a``, ``b``; in the passes from 0 also ``a, label, bits, linked`` of each node and pass."""
+    coded = nodes.select("label", "node", F.posexplode(_coder(first, passes, s.seed)("v")).alias("turn", "code"))
+    ordered = prefix_totals(coded, [], ["turn", "label", "code", "node"], rows="place").select("turn", "label", "node", "code", "place")
     block = F.floor(F.col("place") / s.block)
     late = F.col("place") % s.block >= s.block - s.window
     blocks = F.when(late, F.array(block, block + 1)).otherwise(F.array(block))
-    dealt = ordered.select("turn", "label", "node", "place", F.explode(blocks).alias("block"))
+    dealt = ordered.select("turn", "label", "node", "code", "place", F.explode(blocks).alias("block"))
     carried = dealt.join(nodes.select("node", "label", "v"), ["node", "label"])
 
+    kinds = {"a": "Int64", "b": "Int64", "label": "Int64", "bits": "Int64", "linked": "boolean"}
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("place", kind="stable")
         ids, sizes = rows["node"].to_numpy(), rows["v"].map(len).to_numpy()
@@ -124,11 +161,17 @@ def near_pairs(nodes: DataFrame, s: Settings) -> DataFrame:
             i, j = np.nonzero(linked)
             pairs.append((at[i], at[j]))
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        first = _forest(len(ids), a, b)
-        joined = first != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[first[joined]], "b": ids[joined]})
-
-    return carried.groupBy("block").applyInPandas(compare, "a bigint, b bigint")
+        root = _forest(len(ids), a, b)
+        joined = root != np.arange(len(ids))
+        found = pd.DataFrame({"a": ids[root[joined]], "b": ids[joined]}, dtype="Int64").assign(label=pd.NA, bits=pd.NA, linked=pd.NA)
+        if first:
+            return found.astype(kinds)
+        bits, linked = _bits(rows["code"].to_numpy(), group, s.window), np.zeros(len(ids), bool)
+        linked[a] = linked[b] = True
+        known = bits >= 0
+        return pd.concat([found, pd.DataFrame({"a": ids[known], "b": pd.NA, "label": rows["label"].to_numpy()[known], "bits": bits[known], "linked": linked[known]})]).astype(kinds)
+
+    return carried.groupBy("block").applyInPandas(compare, "a bigint, b bigint, label bigint, bits int, linked boolean")
 
 
 def counted_links(grouped: DataFrame, s: Settings) -> DataFrame:
