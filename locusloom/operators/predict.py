@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.intervals import islands
+from ..plans.ordering import prefix_totals
 
 GENE = ["record_id", "gene_id"]
 
@@ -180,14 +181,26 @@ def colinear_order(genes: DataFrame, keys: Sequence[str] = ("record_id",)) -> Da
     return directed.withColumn("_key", key).withColumn("place", F.row_number().over(area.orderBy("_key", "gene_id"))).drop("_direction", "_key")
 
 
+def colinear_places(genes: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """As ``colinear_order``, with places counted over range partitions, for records of any size."""
+    sides = genes.groupBy(*keys).agg(F.sum("strand").alias("_direction"))
+    keyed = genes.join(sides, list(keys)).withColumn("_key", F.when(F.col("_direction") < 0, -F.col("start")).otherwise(F.col("start")))
+    counted = prefix_totals(keyed, keys, ["_key", "gene_id"], rows="_before")
+    return counted.withColumn("place", (F.col("_before") + 1).cast("int")).drop("_direction", "_key", "_before")
+
+
 def polymer(modules: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
     """``polymer`` per area: monomers of a gene joined by `` - `` in brackets, genes by `` + `` in order of ``place``."""
-    genes = modules.groupBy(*keys, "place").agg(F.sort_array(F.collect_list(F.struct("number", "monomer"))).alias("m"))
-    text = F.concat(F.lit("("), F.array_join(F.transform("m", lambda x: x["monomer"]), " - "), F.lit(")"))
-    rows = genes.select(*keys, F.struct("place", text.alias("text")).alias("g")).groupBy(*keys).agg(F.sort_array(F.collect_list("g")).alias("g"))
+    rows = polymer_rows(modules, keys).select(*keys, F.struct("place", "text").alias("g")).groupBy(*keys).agg(F.sort_array(F.collect_list("g")).alias("g"))
     return rows.select(*keys, F.array_join(F.transform("g", lambda x: x["text"]), " + ").alias("polymer"))
 
 
+def polymer_rows(modules: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """``place, text`` per gene: the parts of ``polymer`` as ordered rows, so that a long area is no single string or group."""
+    genes = modules.groupBy(*keys, "place").agg(F.sort_array(F.collect_list(F.struct("number", "monomer"))).alias("m"))
+    return genes.select(*keys, "place", F.concat(F.lit("("), F.array_join(F.transform("m", lambda x: x["monomer"]), " - "), F.lit(")")).alias("text"))
+
+
 def count_enzyme_kinds(modules: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
     """Per area the genes with complete modules of only the first kind, only the second, and both (``kind`` ``pks`` or ``nrps``)."""
     genes = modules.where("complete").groupBy(*keys, "gene_id").agg(F.max((F.col("kind") == "pks").cast("int")).alias("p"), F.max((F.col("kind") == "nrps").cast("int")).alias("n"))

@@ -211,6 +211,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.polymer(modules)
 
 
+@query("I14_polymer_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = ops.colinear_places(table(spark, folder, "genes"))
+    modules = ordered.select("record_id", "place", F.explode(F.array(F.struct(F.lit(1).alias("number"), F.lower("profile").alias("monomer")), F.struct(F.lit(2).alias("number"), F.col("profile").alias("monomer")))).alias("m")).select("record_id", "place", "m.*")
+    return ops.polymer_rows(modules)
+
+
 @query("I15_count_enzyme_kinds", with_tables("""SELECT record_id, count(*) FILTER (p AND NOT n) AS pks, count(*) FILTER (n AND NOT p) AS nrps, count(*) FILTER (p AND n) AS hybrid FROM (SELECT record_id, gene_id, bool_or(profile IN ('AO', 'NO')) AS p, bool_or(profile NOT IN ('AO', 'NO')) AS n FROM hits WHERE score > 40000 GROUP BY ALL) GROUP BY ALL""", "hits"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     modules = _hits(spark, folder).withColumns({"kind": F.when(F.col("profile").isin("AO", "NO"), "pks").otherwise("nrps"), "complete": F.col("score") > 40000})

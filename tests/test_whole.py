@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from locusloom.operators import compare, scans
+from locusloom.tables import table
 
 RESIDUES = set("ACDEFGHIKLMNPQRSTVWY")
 
@@ -84,3 +85,17 @@ def test_links_through_every_reference_area(spark, tmp_path):
     found = entry.queries()["G6_linked_groups_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((x[0], x[2], g[2]) for x, g in group.items() if x[1] == 0)
     assert any(r["query_id"] != r["group_id"] for r in found)
+
+
+def test_polymers_hold_every_gene(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = table(spark, folder, "genes").select("record_id", "gene_id", "start", "strand", "profile").collect()
+    expected = []
+    for record in {r["record_id"] for r in rows}:
+        own = [r for r in rows if r["record_id"] == record]
+        back = sum(r["strand"] for r in own) < 0
+        own.sort(key=lambda r: (-r["start"] if back else r["start"], r["gene_id"]))
+        expected += [(record, k, f"({r['profile'].lower()} - {r['profile']})") for k, r in enumerate(own, 1)]
+    found = entry.queries()["I14_polymer_whole"](spark, folder).collect()
+    assert max(x[1] for x in expected) > 40
+    assert sorted((r["record_id"], r["place"], r["text"]) for r in found) == sorted(expected)
