@@ -183,6 +183,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return exons(spark, folder).where("feature_id % 4 >= 2").select("record_id", "feature_id", F.array_join(F.transform(found, lambda p: F.concat_ws("-", p["start"], p["end"])), ",").alias("spans"))
 
 
+@query("C8_protein_to_dna_whole")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    # Exons inside larger ones go first; the others count in the order in which they are given, also if that is not along the record.
+    found = loc.protein_to_dna(loc.drop_redundant_exons(F.col("parts")), F.lit(10), F.lit(25))
+    return exons(spark, folder).select("record_id", "feature_id", F.array_join(F.transform(found, lambda p: F.concat_ws("-", p["start"], p["end"])), ",").alias("spans"))
+
+
 @query("C9_drop_redundant_exons", with_tables(f", {_EXONS} SELECT record_id, feature_id, CAST(CASE WHEN feature_id % 4 = 1 THEN 2 ELSE 3 END AS INT) AS n FROM exons", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return exons(spark, folder).select("record_id", "feature_id", F.size(loc.drop_redundant_exons(F.col("parts"))).alias("n"))

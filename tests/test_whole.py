@@ -99,3 +99,16 @@ def test_polymers_hold_every_gene(spark):
     found = entry.queries()["I14_polymer_whole"](spark, folder).collect()
     assert max(x[1] for x in expected) > 40
     assert sorted((r["record_id"], r["place"], r["text"]) for r in found) == sorted(expected)
+
+
+def test_residues_are_mapped_on_all_kinds_of_exons(spark):
+    folder = "/root/testdata/sf0.001"
+    expected = []
+    for r in table(spark, folder, "genes").select("record_id", "gene_id", "start").collect():
+        exons = {0: [(0, 50), (300, 350), (200, 250)], 1: [(0, 120), (200, 250)]}.get(r["gene_id"] % 4, [(0, 50), (100, 150), (200, 250)])
+        bases = [x for a, b in exons for x in range(a, b)][30:75]
+        spans = [[x for x in bases if a <= x < b] for a, b in exons]
+        expected.append((r["record_id"], r["gene_id"], ",".join(f"{r['start'] + x[0]}-{r['start'] + x[-1] + 1}" for x in spans if x)))
+    found = entry.queries()["C8_protein_to_dna_whole"](spark, folder).collect()
+    assert {r["feature_id"] % 4 for r in found} == {0, 1, 2, 3}
+    assert sorted((r["record_id"], r["feature_id"], r["spans"]) for r in found) == sorted(expected)
