@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint and return the stored rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored rows, as ``spark.checkpoint.dir`` of the session names it.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is named.
+    Only a local session without that setting, as in tests, gets a temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not folder and context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir: executors of a local cluster have folders of their own")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint and return the stored rows.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have files removed once no plan refers to them.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

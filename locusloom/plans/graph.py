@@ -13,6 +13,9 @@ _ROWS = 20_000
 #: Salts that reorder the ids from round to round, so that long sorted chains shrink by a constant share.
 _SALTS = [0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51, 0x0F4A7C15F39CC060]
 
+#: Rounds after which the table of roots is stored.
+_STORED = 4
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node id.
@@ -22,12 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     around their smallest node vanish in the first round. Null ends are ignored.
     """
     edge = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and a <> b").distinct()
-    nodes = edge = cut(edge)
+    first = edge = cut(edge)
     most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pointers, round_no = [], 0
+    pointers: list[DataFrame] = []
     while n := edge.count():
-        parts = min(most, 8 + n // _ROWS)
-        salt = F.lit(_SALTS[round_no % len(_SALTS)] ^ (round_no // len(_SALTS)))
+        parts, turn = min(most, 8 + n // _ROWS), len(pointers)
+        salt = F.lit(_SALTS[turn % len(_SALTS)] ^ (turn // len(_SALTS)))
         both = edge.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edge.select(F.col("b").alias("node"), F.col("a").alias("near")))
         near = F.min(F.col("near").bitwiseXOR(salt))
         to = both.groupBy("node").agg(F.least(near, F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt).alias("to")).where("to <> node")
@@ -37,17 +40,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         at_b = to.select(F.col("node").alias("b"), F.col("to").alias("b_to"))
         moved = edge.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
         edge = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(parts))
-        round_no += 1
-
-    if not pointers:
-        return nodes.select(F.col("a").alias("node"), F.col("a").alias("component"))
-    roots = pointers[-1].withColumnRenamed("to", "root")
-    for to in reversed(pointers[:-1]):
-        later = roots.select(F.col("node").alias("to"), F.col("root").alias("later"))
-        moved = to.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root"))
-        # Stored, as the next turn reads it twice: plans would double from turn to turn.
-        roots = cut(moved.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")).coalesce(min(most, 8 + nodes.count() // _ROWS)))
-    everyone = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rooted = cut(everyone.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("node").alias("component"))
-    return cut(rooted.join(least, "root").select("node", "component"))
+
+    # One table of roots, moved on once for each round; stored now and then, so that the plan stays short.
+    roots = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    for turn, to in enumerate(pointers):
+        later = to.select(F.col("node").alias("root"), F.col("to").alias("later"))
+        roots = roots.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root"))
+        if turn % _STORED == _STORED - 1:
+            roots = cut(roots)
+    roots = cut(roots)
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return cut(roots.join(least, "root").select("node", "component"))
