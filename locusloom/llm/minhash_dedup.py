@@ -3,13 +3,15 @@
 Each permutation of the shingle hashes gives both its minimum and its maximum, so ``permutations``
 evaluations make a signature of twice that length. Bands of it put documents into buckets.
 
-Exact copies (equal word sequences) are one node first. Then, in confirmed steps:
+Exact copies (equal word sequences) are one node first. Then:
 1. every node is paired with a pivot of each of its buckets (its least node in one of several orders);
-   confirmed pairs are united into classes; this may be repeated with other pivots;
-2. buckets that still hold several classes give all their pairs across classes, dealt in tiles of bounded
-   size. Pairs inside one class need no check.
-So every pair that shares a bucket is in one class or was confirmed not to be a link, a group of
-thousands of near copies costs a few checks per member, and no bucket is gathered in a task.
+   pairs whose set sizes allow a link are confirmed on the texts and united into classes;
+2. nodes that share a bucket with a node of another class, neither of them its pivot, are open. Their links are found exactly: shingles are
+   put in one order, those of few classes first, and only pairs that share a shingle among the first of
+   both, as many as a link cannot do without, are confirmed. A group that drifts (copies of copies, alike but
+   not linked) differs in such shingles, so it makes few pairs however many buckets it shares.
+So every pair that shares a bucket is in one class or is known not to be a link. No step makes all
+pairs of a bucket, and no bucket is gathered in a task.
 
 Defined results: texts without words (null, empty, blank) have an empty set and link with nothing;
 with fewer than ``words`` words the whole sequence is the one shingle; rows with a null id link with nothing and
@@ -24,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.checkpoints import cut
 from ..plans.graph import components
-from .words import in_small_batches, mixed, slices
+from .words import free_name, in_small_batches, mixed, slices
 
 
 #: Orders of ids, as values to combine with them bit by bit.
@@ -48,11 +50,6 @@ class Settings:
     seed: int = 3
     #: Candidate ids up to which their set is broadcast to prune the second read of the texts (8 MB).
     broadcast_ids: int = 1_000_000
-    #: Rows of a bucket that meet in one tile of the last step.
-    tile: int = 64
-    #: Pivots are taken while the pairs left in buckets of several classes are more than so many per bucket row, at most so often.
-    pairs_per_row: float = 0.25
-    turns: int = 1
 
     @property
     def permutations(self) -> int:
@@ -151,15 +148,30 @@ def _confirmer(c: Settings):
     return F.arrow_udf(linked, T.BooleanType()).asNondeterministic()
 
 
+def _sets(c: Settings):
+    def distinct(texts: pa.Array) -> pa.Array:
+        """The distinct shingle hashes of each text."""
+        found = [shingles(s, c.words) for s in slices(texts, lower=True)]
+        values = np.concatenate([np.zeros(0, np.uint64), *[v for v, _ in found]])
+        sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(at) for _, at in found]])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+
+    return F.arrow_udf(distinct, T.ArrayType(T.LongType())).asNondeterministic()
+
+
+def _texts(ids: DataFrame, docs: DataFrame, c: Settings) -> DataFrame:
+    """``doc_id`` and ``text`` of the documents in ``ids``."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    return texts.join(F.broadcast(ids) if ids.count() <= c.broadcast_ids else ids, "doc_id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, c: Settings) -> DataFrame:
     """The classes ``ca, cb`` of pairs whose texts are linked. Only the texts of candidates are shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
-    texts = texts.join(F.broadcast(ids) if ids.count() <= c.broadcast_ids else ids, "doc_id", "left_semi")
+    texts = _texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), docs, c)
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b")
-    return both.withColumn("linked", _confirmer(c)("text_a", "text_b")).where("linked").select("ca", "cb")
+    return cut(both.withColumn("linked", _confirmer(c)("text_a", "text_b")).where("linked").select("ca", "cb"))
 
 
 def signatures(docs: DataFrame, c: Settings = Settings()) -> DataFrame:
@@ -168,66 +180,86 @@ def signatures(docs: DataFrame, c: Settings = Settings()) -> DataFrame:
 
 
 def _reduced(owner: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """``x, class`` after confirmed pairs of classes (``ca``, ``cb``) are united."""
+    """``x, n, class`` after confirmed pairs of classes (``ca``, ``cb``) are united."""
     found = components(confirmed, "ca", "cb").withColumnRenamed("node", "class")
-    return cut(owner.join(found, "class", "left").select("x", F.coalesce("component", "class").alias("class")))
+    return cut(owner.join(found, "class", "left").select("x", "n", F.coalesce("component", "class").alias("class")))
+
+
+def _alike(n: Column, m: Column, c: Settings) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(n, m) >= F.lit(c.percent) * F.greatest(n, m)
+
+
+def _up(a: Column, b: int) -> Column:
+    """``a / b``, rounded up."""
+    return F.call_function("div", a + F.lit(b - 1), F.lit(b))
 
 
 def classes(signed: DataFrame, docs: DataFrame, c: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Nodes (``digest``, ``node``), and the classes (``x``, ``class``) of those that share a bucket with another."""
     nodes = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     banded = signed.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    rows = banded.select(F.col("doc_id").alias("x"), F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high").select("bucket")
-    shared = cut(rows.join(full, "bucket").distinct())
-    owner = cut(shared.select("x").distinct().withColumn("class", F.col("x")))
-    n, done, turn = shared.count(), None, 0
-
-    while n:
-        members = cut(shared.join(owner, "x"))
-        # Buckets take their pivots in a few different orders, so that a long drifting group has pivots all along.
-        order = F.lit(_ORDERS[turn % len(_ORDERS)]).bitwiseXOR(F.element_at(F.array(*[F.lit(o) for o in _ORDERS]), (F.pmod("bucket", F.lit(len(_ORDERS))) + 1).cast("int")))
-        buckets = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.col("x").bitwiseXOR(order)).alias("pivot"), F.count("*").alias("n")).where("low <> high")
-        buckets = cut(buckets.withColumn("pivot", F.col("pivot").bitwiseXOR(order)))
-        crossing = buckets.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
-        last = crossing <= c.pairs_per_row * n or turn == c.turns
-        pairs = _across(members, buckets, c) if last else _with_pivots(members, buckets, owner)
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        confirmed = cut(_confirmed(pairs, docs, c))
-        links = confirmed.count()
-        if links:
-            owner = _reduced(owner, confirmed)
-        if last:
-            break
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        turn += 1
+    rows = banded.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    # Buckets take their pivots in a few different orders, so that a long drifting group has pivots all along.
+    order = F.element_at(F.array(*[F.lit(o) for o in _ORDERS]), (F.pmod("bucket", F.lit(len(_ORDERS))) + 1).cast("int"))
+    full = rows.groupBy("bucket").agg(F.min(F.struct(F.col("x").bitwiseXOR(order), "x", "n")).alias("p"), F.min("x").alias("low"), F.max("x").alias("high")).where("low <> high")
+    near = cut(rows.join(full.select("bucket", F.col("p.x").alias("pivot"), F.col("p.n").alias("pivot_n")), "bucket").distinct())
+    owner = cut(near.groupBy("x").agg(F.max("n").alias("n")).withColumn("class", F.col("x")))
+
+    possible = near.where(F.col("x") != F.col("pivot")).where(_alike(F.col("n"), F.col("pivot_n"), c)).select(F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b")).distinct()
+    owner = _reduced(owner, _confirmed(cut(possible.withColumns({"ca": F.col("a"), "cb": F.col("b")})), docs, c))
+
+    others = near.where(F.col("x") != F.col("pivot")).select("bucket", "x").join(owner, "x")
+    mixed_up = others.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+    still_open = cut(others.join(mixed_up, "bucket").select("x", "class").distinct())
+    owner = _reduced(owner, _confirmed(cut(_first_shared(still_open, docs, c)), docs, c))
     return nodes, owner
 
 
-def _with_pivots(members: DataFrame, buckets: DataFrame, owner: DataFrame) -> DataFrame:
-    """Each node with the pivots of its buckets that are of other classes: ``a, b, ca, cb``."""
-    near = members.join(buckets.select("bucket", "pivot"), "bucket").where("x <> pivot").select("x", "class", "pivot").distinct()
-    named = near.join(owner.select(F.col("x").alias("pivot"), F.col("class").alias("other")), "pivot").where("class <> other")
-    first = F.col("x") < F.col("pivot")
-    return named.select(F.least("x", "pivot").alias("a"), F.greatest("x", "pivot").alias("b"), F.when(first, F.col("class")).otherwise(F.col("other")).alias("ca"), F.when(first, F.col("other")).otherwise(F.col("class")).alias("cb")).distinct()
-
+def _first_shared(nodes: DataFrame, docs: DataFrame, c: Settings) -> DataFrame:
+    """All pairs of ``nodes`` (``x``, ``class``) of different classes that can be linked, and some that are not: ``a, b, ca, cb``.
 
-def _across(members: DataFrame, buckets: DataFrame, c: Settings) -> DataFrame:
-    """All pairs of a bucket's nodes that are of different classes, by tiles: ``a, b, ca, cb``."""
-    dealt = members.join(buckets.select("bucket", F.ceil(F.col("n") / c.tile).alias("tiles")), "bucket")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("x", F.lit("tile")), F.col("tiles")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    left = dealt.select("bucket", F.col("x").alias("a"), F.col("class").alias("ca"), "mine", every.alias("other"))
-    right = dealt.select("bucket", F.col("x").alias("b"), F.col("class").alias("cb"), F.col("mine").alias("other"), every.alias("mine"))
-    return left.join(right, ["bucket", "mine", "other"]).where("a < b and ca <> cb").select("a", "b", "ca", "cb").distinct()
+    With n shingles in a set and p percent asked for, a link shares at least p% of the larger set, and at least
+    2p / (100 + p) of the smaller one; so both share one of their first shingles in any order common to all. The
+    order is by how many nodes have a shingle; those that only one class has come first and cannot be shared.
+    """
+    texts = _texts(nodes.select(F.col("x").alias("doc_id")), docs, c)
+    sets = cut(in_small_batches(texts).select(F.col("doc_id").alias("x"), _sets(c)(F.col("text")).alias("set")).dropDuplicates(["x"]).join(nodes, "x"))
+    every = sets.select("x", "class", F.size("set").cast("long").alias("n"), F.explode("set").alias("shingle"))
+    known = every.groupBy("shingle").agg(F.count("*").alias("f"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("shingle", "f")
+
+    mine = Window.partitionBy("x")
+    shared = every.join(known, "shingle").withColumn("n_shared", F.count("*").over(mine))
+    shared = shared.where(F.lit(100) * F.col("n_shared") >= F.lit(c.percent) * F.col("n"))
+    placed = shared.withColumn("at", F.col("n") - F.col("n_shared") + F.row_number().over(mine.orderBy("f", "shingle")))
+    ahead = cut(placed.where(F.col("at") <= F.col("n") - _up(F.col("n") * c.percent, 100) + 1).select("x", "class", "n", "shingle", "at"))
+
+    # Rows of a shingle's largest class are never compared with each other.
+    by_class = ahead.groupBy("shingle", "class").agg(F.count("*").alias("rows"))
+    largest = by_class.groupBy("shingle").agg(F.max_by("class", F.struct("rows", "class")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("shingle", "largest")
+    held = ahead.join(largest, "shingle").withColumn("main", F.col("class") == F.col("largest"))
+    asking = held.select("shingle", F.col("main").cast("int").alias("side"), F.struct("x", "class", "n", "at").alias("l"))
+    asked = held.where(F.col("at") <= F.col("n") - _up(F.col("n") * 2 * c.percent, 100 + c.percent) + 1)
+    asked = asked.select("shingle", F.explode(F.when(F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"), F.struct("x", "class", "n", "at").alias("r"))
+
+    smaller = (F.col("r.n") < F.col("l.n")) | ((F.col("r.n") == F.col("l.n")) & (F.col("r.x") < F.col("l.x")))
+    least = _up((F.col("l.n") + F.col("r.n")) * c.percent, 100 + c.percent)  # a link shares so many
+    most = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + 1  # of the first that they share and all that follow
+    joined = asking.join(asked, ["shingle", "side"]).where((F.col("l.class") != F.col("r.class")) & smaller & _alike(F.col("l.n"), F.col("r.n"), c) & (most >= least))
+    first = F.col("l.x") < F.col("r.x")
+    return joined.select(
+        F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b"),
+        F.when(first, F.col("l.class")).otherwise(F.col("r.class")).alias("ca"), F.when(first, F.col("r.class")).otherwise(F.col("l.class")).alias("cb"),
+    ).distinct()
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
     signed = cut(signatures(docs, settings))
     nodes, found = classes(signed, docs, settings)
-    named = nodes.join(found.withColumnRenamed("x", "node"), "node", "left").select("digest", F.coalesce("class", "node").alias("component_id"))
-    joined = signed.join(named, "digest", "left")
+    named = nodes.join(found.select(F.col("x").alias("node"), "class"), "node", "left").select(F.col("digest").alias("key"), F.coalesce("class", "node").alias("component_id"))
+    # Texts without words are dealt by their ids.
+    joined = signed.withColumn("key", F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))).join(named, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     result = joined.select("doc_id", "n_shingles", own.alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -239,6 +271,6 @@ def keep(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Of rows that share an id only the first by content stays; rows without an id all stay.
     """
     kept = dedup(docs, settings).where("kept and doc_id is not null").select("doc_id").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_number", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))))
-    return chosen.where("_number = 1").select(*columns).unionByName(docs.where("doc_id is null"))
+    columns, number = [F.col(f"`{c}`") for c in docs.columns], free_name(docs, "_number")
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns))))
+    return chosen.where(f"{number} = 1").select(*columns).unionByName(docs.where("doc_id is null"))

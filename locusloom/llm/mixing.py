@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut
 from ..plans.ordering import prefix_totals
+from .words import free_name
 
 #: Weights of sources in code-point order, repeating; the share of all words to take; the most that one source gives.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -77,13 +78,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 def emit(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as it has copies, with the columns of ``docs``.
 
-    Copies are drawn over narrow rows; rows are told apart by id, content and number among equals.
+    Copies are drawn over narrow rows. Rows that are equal in all columns share their copies.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    content = F.xxhash64(*columns)
-    among = Window.partitionBy("_id").orderBy("_content")
-    marked = docs.withColumns({"_id": F.struct("doc_id"), "_content": content})
-    narrow = cut(marked.select("_id", "_content", "doc_id", "source", word_count().alias("size")).withColumn("_number", F.row_number().over(among)))
-    drawn = sampled(narrow, weights, share, most).where("copies > 0").select("_id", "_number", "copies")
-    numbered = marked.withColumn("_number", F.row_number().over(among))
-    return numbered.join(drawn, ["_id", "_number"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    key, copies = free_name(docs, "_key"), free_name(docs, "_copies")
+    marked = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64(*columns).alias("content")))
+    narrow = cut(marked.select(F.col(key).alias("key"), "doc_id", "source", word_count().alias("size")))
+    drawn = sampled(narrow, weights, share, most).groupBy("key").agg(F.sum("copies").alias(copies), F.count("*").alias("rows")).where(F.col(copies) > 0)
+    drawn = cut(drawn.withColumnRenamed("key", key))
+    single = marked.join(drawn.where("rows = 1").drop("rows"), key)
+    repeated = marked.join(drawn.where("rows > 1").drop("rows"), key).dropDuplicates([key])
+    number = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(key)
+    return single.unionByName(repeated).select(*columns, number).select(*columns)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..plans.checkpoints import cut
 from .quality_rules import measured
-from .words import in_small_batches, slices
+from .words import free_name, in_small_batches, slices
 
 FEATURES = 14
 #: Score from which a document counts as good.
@@ -164,8 +164,8 @@ def fit(examples: DataFrame, settings: Settings = Settings()) -> Model | None:
         return pa.array(model.raw(np.asarray(x.flatten()).reshape(-1, FEATURES)))
 
     step = 3.0 / settings.bins
-    counted = examples.where("calibrate").select(F.floor(raw("x") / step).alias("bin"), "y").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
-    bins = sorted(counted.where(f"bin between {-settings.bins} and {2 * settings.bins}").collect())  # bounded by the number of bins
+    counted = examples.where("calibrate").select(F.greatest(F.least(F.floor(raw("x") / step), F.lit(2 * settings.bins)), F.lit(-settings.bins)).alias("bin"), "y").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+    bins = sorted(counted.collect())  # bounded: scores beyond the last bins count in them
     if bins:
         x = np.array([(r["bin"] + 0.5) * step for r in bins])
         model.curve = (x, isotonic(x, np.array([r["y"] for r in bins]), np.array([float(r["n"]) for r in bins])))
@@ -213,4 +213,5 @@ def keep(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     known = labels.where("quality in (0, 1)").select("doc_id").distinct()
     stats = cut(in_small_batches(docs).where(fold() != 0).select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", _statistics(F.col("text")).alias("x")))
     good = scorer(train(stats, labels, settings))(_statistics(F.col("text"))) >= THRESHOLD
-    return docs.withColumn("_good", good).where("_good").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = free_name(docs, "_good")
+    return docs.withColumn(found, good).where(found).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import STARTS_CHAR, in_small_batches, slices
+from .words import NOT_SPACE, STARTS_CHAR, free_name, in_small_batches, slices
 
 #: Words that a repeated passage has at least.
 WINDOW = 8
@@ -69,6 +69,7 @@ _SYMBOL, _CAPS, _EXCLAIM = np.zeros(256, bool), np.zeros(256, bool), np.zeros(25
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CAPS[ord("A") : ord("Z") + 1] = True
 _EXCLAIM[ord("!")] = True
+_IN_WORD = STARTS_CHAR & NOT_SPACE  # white space is one byte a character
 
 
 def _repeated(s, hashes: np.ndarray) -> np.ndarray:
@@ -105,12 +106,9 @@ def measured(texts: pa.Array) -> pa.Array:
         for k in range(s.n):
             full = [x for x in raw[s.text_at[k] : s.text_at[k + 1]].split(b"\n") if x.strip()]
             lines[k], repeats[k] = len(full), len(full) - len(set(full))
-        chars = np.zeros(len(s.data) + 1, np.int64)
-        np.cumsum(STARTS_CHAR[s.data], out=chars[1:])
-        in_words = np.concatenate([[0], np.cumsum(chars[s.ends] - chars[s.starts])])
         found = {
             "n_words": np.diff(s.word_at),
-            "word_chars": in_words[s.word_at[1:]] - in_words[s.word_at[:-1]],
+            "word_chars": s.counts(_IN_WORD[s.data]),
             "n_symbols": s.counts(_SYMBOL[s.data]),
             "n_dup_lines": repeats,
             "n_repeat_words": _repeated(s, hashes),
@@ -184,5 +182,6 @@ def ablations(book: DataFrame, policy: Policy = CURRENT, rules: Sequence[Rule] =
 def keep(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs`` and no others."""
     rejects = mask([*policy.base, *policy.rejects])
-    marked = in_small_batches(docs).withColumn("_measured", _measure(F.col("text")))
-    return marked.where(_bits(RULES, "_measured").bitwiseAND(F.lit(rejects)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = free_name(docs, "_measured")
+    marked = in_small_batches(docs).withColumn(found, _measure(F.col("text")))
+    return marked.where(_bits(RULES, found).bitwiseAND(F.lit(rejects)) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,13 +1,15 @@
 """Words of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow string array.
 
 A batch is cut into slices of half a MB of whole texts, so that memory does not follow the batch;
-one text longer than that is a slice of its own.
+one text longer than that is a slice of its own. Hashing goes block by block, so a long text needs about 3 bytes a
+byte for marks and some 60 bytes a word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ BATCH_ROWS = 1024
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends texts to Python in batches that stay small where texts are long."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """The same rows; from now on the session sends texts to Python in batches that stay small where texts are long.
+
+    Plans read the setting when they run, so it stays with the session; a smaller one of the caller's is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
     return docs
 
 
@@ -53,6 +60,24 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, out=out)
 
 
+#: Bytes that word hashes take at once; a longer text is hashed block by block.
+BLOCK = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse."""
+    return powers(BASE, BLOCK), powers(UNBASE, BLOCK)
+
+
+def free_name(docs: DataFrame, stem: str = "_helper") -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 @dataclass
 class Slice:
     """Texts ``first`` to ``first + n`` of a batch: their bytes, and where each word starts and ends.
@@ -69,19 +94,37 @@ class Slice:
     word_at: np.ndarray
 
     def counts(self, by_byte: np.ndarray) -> np.ndarray:
-        """Per text, the sum of a number that each byte has."""
-        total = np.concatenate([[0], np.cumsum(by_byte, dtype=np.int64)])
-        return total[self.text_at[1:]] - total[self.text_at[:-1]]
+        """Per text, how many of its bytes are marked."""
+        out, full = np.zeros(self.n, np.int64), np.diff(self.text_at) > 0
+        if full.any():
+            out[full] = np.add.reduceat(by_byte, self.text_at[:-1][full], dtype=np.int64)
+        return out
 
     def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, by differences of one running polynomial."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        size = len(self.data)
-        total = np.zeros(size + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(BASE, size), out=total[1:])
-        # The difference holds the word times BASE**start, which its inverse takes away.
-        return mixed((total[self.ends] - total[self.starts]) * powers(UNBASE, size)[self.starts])
+        """A 64-bit hash of each word's bytes, by differences of a running polynomial over blocks of words."""
+        out, first = np.zeros(len(self.starts), np.uint64), 0
+        while first < len(out):
+            begin = self.starts[first]
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + BLOCK, side="right")))
+            if self.ends[first] - begin > BLOCK:
+                out[first] = self._long_word(begin, self.ends[first])
+            else:
+                starts, ends = self.starts[first:last] - begin, self.ends[first:last] - begin
+                up, down = _powers()
+                total = np.zeros(ends[-1] + 1, np.uint64)
+                np.cumsum((self.data[begin : begin + ends[-1]].astype(np.uint64) + np.uint64(1)) * up[: ends[-1]], out=total[1:])
+                # The difference holds the word times BASE**start, which its inverse takes away.
+                out[first:last] = (total[ends] - total[starts]) * down[starts]
+            first = last
+        return mixed(out)
+
+    def _long_word(self, begin: int, end: int) -> np.uint64:
+        """The polynomial of one word that is longer than a block."""
+        value = 0
+        for at in range(begin, end, BLOCK):
+            part = self.data[at : min(at + BLOCK, end)].astype(np.uint64) + np.uint64(1)
+            value += int((part * _powers()[0][: len(part)]).sum()) * pow(BASE, at - begin, 1 << 64)
+        return np.uint64(value % (1 << 64))
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``width`` words in a row inside one text, and n + 1 window offsets."""
