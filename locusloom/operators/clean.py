@@ -10,8 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
+from ..plans.ordering import prefix_totals
+
 #: Characters that may not stand in an identifier.
 ILLEGAL = "!\"#$%&()*+,:;=>?@[]^`'{|}/ "
+#: Patterns of contig and scaffold numbers in an identifier, in the order in which they are tried.
+NUMBERED = (r"onti?g?(\d+)\b", r"caff?o?l?d?(\d+)\b", r"\bc(\d+)\b")
 
 
 def sanitise(sequences: DataFrame) -> DataFrame:
@@ -65,19 +70,51 @@ def trim(sequences: DataFrame, features: DataFrame, start: int, end: int) -> tup
     return cut, inside.withColumns({"start": F.col("start") - start, "end": F.col("end") - start})
 
 
-def normalise_ids(sequences: DataFrame, id_column: str = "name") -> DataFrame:
-    """Add ``new_id``: without illegal characters, unique by ``_n``, and shortened over 16 characters.
+def _with_numbers(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """``idx, id`` of rows (``idx, stem``): the stem, ``_`` and, in order of ``idx``, the least numbers that make no id in ``taken`` (``id``)."""
+    placed = prefix_totals(rows, ["stem"], ["idx"], rows="place")
+    asked = placed.groupBy("stem").agg(F.count("*").alias("n"))
+    split = taken.select(F.regexp_extract("id", r"(?s)^(.*)_(0|[1-9][0-9]{0,17})$", 1).alias("stem"), F.regexp_extract("id", r"(?s)^(.*)_(0|[1-9][0-9]{0,17})$", 2).alias("number")).where("number <> ''")
+    used = split.join(asked.select("stem"), "stem", "left_semi").select("stem", F.col("number").cast("long").alias("number")).distinct()
+    sizes = asked.join(used.groupBy("stem").agg(F.count("*").alias("m")), "stem", "left")
+    every = sizes.select("stem", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.coalesce("m", F.lit(0)) - 1)).alias("number"))
+    free = prefix_totals(every.join(used, ["stem", "number"], "left_anti"), ["stem"], ["number"], rows="place")
+    return placed.join(free, ["stem", "place"]).select("idx", F.concat("stem", F.lit("_"), F.col("number").cast("string")).alias("id"))
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows with one key (``idx``, key) the one with the least ``idx``."""
+    return rows.groupBy(key).agg(F.min("idx").alias("idx"))
+
+
+def normalise_ids(sequences: DataFrame, id_column: str = "name", longest: int = 16) -> DataFrame:
+    """Add ``new_id``: without illegal characters, unique, and shortened over ``longest`` characters. ``idx`` has to be unique.
 
-    A short id is ``c`` and five digits (a contig or scaffold number, else the record's place), ``_``, and the first seven characters and ``..``.
+    In order of ``idx``: the first of equal ids keeps it, the others get ``_`` and the least free number; a number never makes an id that
+    another record was given. Of a long id first the part before a version (``.`` and one character) is
+    tried, then ``c``, five digits (a contig or scaffold number, else the record's 1-based place), ``_``, the first seven characters
+    and ``..``; where that is taken, its first twelve characters and a free number stand (over ``longest`` again only past a thousand of them).
+    A null name counts as empty.
     """
-    clean = F.translate(F.col(id_column), ILLEGAL, "")
-    again = F.row_number().over(Window.partitionBy("_clean").orderBy("idx")) - 1
-    numbered = sequences.withColumn("_clean", clean).withColumn("_again", again)
-    unique = F.when(F.col("_again") == 0, F.col("_clean")).otherwise(F.concat("_clean", F.lit("_"), F.col("_again").cast("string")))
-    found = F.coalesce(*[F.nullif(F.regexp_extract(F.col(id_column), p, 1), F.lit("")) for p in (r"(?i)onti?g?(\d+)\b", r"(?i)caff?o?l?d?(\d+)\b", r"\bc(\d+)\b")])
-    number = F.coalesce(found.cast("int"), F.col("idx").cast("int") + 1)
-    short = F.concat(F.lit("c"), F.lpad(number.cast("string"), 5, "0"), F.lit("_"), F.substring("_unique", 1, 7), F.lit(".."))
-    return numbered.withColumn("_unique", unique).withColumn("new_id", F.when(F.length("_unique") > 16, short).otherwise(F.col("_unique"))).drop("_clean", "_again", "_unique")
+    given = sequences.select(F.col("idx").cast("long").alias("idx"), F.coalesce(F.translate(F.col(id_column), ILLEGAL, ""), F.lit("")).alias("id"))
+    placed = prefix_totals(given, ["id"], ["idx"], rows="again")
+    kept = placed.where("again = 0").select("idx", "id")
+    unique = cut(kept.unionByName(_with_numbers(placed.where("again > 0").select("idx", F.col("id").alias("stem")), kept)))
+
+    long = unique.where(F.length("id") > longest)
+    bare = long.select("idx", F.regexp_extract("id", r"(?s)^([^.]*)\.[^.]$", 1).alias("bare")).where(F.length("bare").between(1, longest))
+    bare = _first(bare.join(unique.select(F.col("id").alias("bare")), "bare", "left_anti"), "bare").select("idx", F.col("bare").alias("new_id"))
+    rest = long.join(bare, "idx", "left_anti")
+    found = F.coalesce(*[F.nullif(F.regexp_extract("id", p, 1), F.lit("")) for p in NUMBERED])
+    number = F.coalesce(found.try_cast("bigint"), F.col("idx") + 1).cast("string")
+    shape = F.concat(F.lit("c"), F.repeat(F.lit("0"), F.greatest(F.lit(0), 5 - F.length(number))), number, F.lit("_"), F.substring("id", 1, 7), F.lit(".."))
+    short = rest.select("idx", shape.alias("short")).join(unique.select(F.col("id").alias("short")), "short", "left_anti")
+    short = _first(short, "short").select("idx", F.col("short").alias("new_id"))
+    last = rest.join(short, "idx", "left_anti").select("idx", F.substring("id", 1, longest - 4).alias("stem"))
+    taken = unique.select("id").unionByName(bare.select(F.col("new_id").alias("id")))
+    changed = cut(bare.unionByName(short).unionByName(_with_numbers(last, taken).select("idx", F.col("id").alias("new_id"))))
+    named = unique.join(changed, "idx", "left").select("idx", F.coalesce("new_id", "id").alias("new_id"))
+    return sequences.join(named, "idx")
 
 
 def strip_annotations(features: DataFrame, kinds: Sequence[str], qualifiers: Sequence[str]) -> DataFrame:

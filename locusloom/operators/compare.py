@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.graph import components
-from ..plans.intervals import fold
+from ..plans.graph import components, greedy_pairs
 
 PAIR = ["region", "ref_area"]
 #: Each metric's floor, and the most references that a ranking keeps.
@@ -42,19 +41,14 @@ def synteny(pairs: DataFrame) -> DataFrame:
     A pair and the next one count where their steps on both sides are equal and below 2; one more with a core gene; every query and
     subject counts once, and none that the next query also hits.
     """
-    queries = pairs.groupBy(*PAIR, F.col("query_idx").alias("next_query")).agg(F.collect_set("ref_idx").alias("next_hits"))
     w = Window.partitionBy(*PAIR).orderBy("place")
     stepped = pairs.withColumns({"next_query": F.lead("query_idx").over(w), "next_ref": F.lead("ref_idx").over(w), "next_core": F.lead("core").over(w)}).where("next_query is not null")
     step = F.abs(F.col("query_idx") - F.col("next_query"))
     alike = (step < 2) & (step == F.abs(F.col("ref_idx") - F.col("next_ref")))
-    able = stepped.join(queries, [*PAIR, "next_query"]).where(alike & ~F.array_contains("next_hits", F.col("ref_idx")))
+    hit_next = pairs.select(*PAIR, F.col("query_idx").alias("next_query"), "ref_idx").distinct()
+    able = stepped.where(alike).join(hit_next, [*PAIR, "next_query", "ref_idx"], "left_anti")
     able = able.withColumn("worth", F.lit(1) + (F.col("core") | F.col("next_core")).cast("int"))
-
-    def merge(kept: Column, row: Column) -> Column:
-        used = F.exists(kept, lambda k: (k["query_idx"] == row["query_idx"]) | (k["ref_idx"] == row["ref_idx"]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(row)))
-
-    return fold(able, PAIR, ["place"], ["query_idx", "ref_idx", "worth"], merge).groupBy(*PAIR).agg(F.sum("worth").alias("synteny"))
+    return greedy_pairs(able, PAIR, "query_idx", "ref_idx", "place").groupBy(*PAIR).agg(F.sum("worth").alias("synteny"))
 
 
 def rank_references(stats: DataFrame, n: int = KEEP) -> DataFrame:
@@ -188,14 +182,16 @@ def core_similarity(core_hits: DataFrame, threshold: float = 0.05) -> DataFrame:
     return core_hits.withColumn("similarity", F.col("n_identical") / F.greatest("query_length", "ref_length")).where(F.col("similarity") > threshold)
 
 
-#: Groups of residues that count as similar.
-SIMILAR = ("AST", "DE", "DN", "EQ", "FWY", "FL", "HN", "HY", "ILMV", "KR", "KE", "KQ", "NS", "QR")
+#: Residues, and the residues that count as similar to each.
+SIMILAR = {
+    "A": "S", "D": "NE", "E": "QDK", "F": "YW", "H": "YN", "I": "VLM", "K": "RQE", "L": "MIV", "M": "LIV",
+    "N": "DHS", "Q": "ERK", "R": "KQ", "S": "ANT", "T": "S", "V": "IML", "W": "YF", "Y": "FHW",
+}
 
 
 def consensus_string(query: Column, reference: Column) -> Column:
     """The residue where both agree, ``+`` where they are similar, a space elsewhere. Both texts are split once, so long ones stay linear."""
-    alike = sorted({a + b for group in SIMILAR for a in group for b in group if a != b})
-    pairs = F.array(*[F.lit(p) for p in alike])
+    pairs = F.array(*[F.lit(a + b) for a, others in SIMILAR.items() for b in others])
 
     def mark(a: Column, b: Column) -> Column:
         return F.when(a == b, a).when(F.array_contains(pairs, F.concat(a, b)), "+").otherwise(" ")

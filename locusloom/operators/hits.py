@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.graph import components
+from ..plans.checkpoints import cut
+from ..plans.graph import components, greedy_pairs
 from ..plans.intervals import fold
+from ..plans.ordering import running
 
 GENE = ["record_id", "gene_id"]
 #: A profile table is joined as it is: it has one row per profile, and Spark broadcasts it while it is small.
@@ -90,8 +92,13 @@ def resolve_equivalents(hits: DataFrame, groups: DataFrame, max_overlap: int = 2
 
 
 def greedy_non_overlapping(hits: DataFrame, profiles: DataFrame, overlap_limit: int = 10) -> DataFrame:
-    """Best hits first (cutoff / score, 1 / length, start, profile); a hit goes if it overlaps a better one by more than the limit."""
-    ranked = with_profiles(hits, profiles, "cutoff").withColumns({"_rank": F.col("cutoff") / F.col("score"), "_inverse": 1 / (F.col("end") - F.col("start"))})
+    """Best hits first (cutoff / score, 1 / length, start, profile); a hit goes if it overlaps a better one by more than the limit.
+
+    Hits of score 0 come after all others, and hits of length 0 after those that tie with them in score.
+    """
+    last = F.lit(float("inf"))
+    rank, inverse = F.try_divide(F.col("cutoff").cast("double"), F.col("score")), F.try_divide(F.lit(1.0), F.col("end") - F.col("start"))
+    ranked = with_profiles(hits, profiles, "cutoff").withColumns({"_rank": F.coalesce(rank, last), "_inverse": F.coalesce(inverse, last)})
 
     def merge(kept: Column, hit: Column) -> Column:
         clash = F.exists(kept, lambda k: (hit["start"] <= k["end"] - overlap_limit) & (hit["end"] >= k["start"] + overlap_limit))
@@ -183,14 +190,9 @@ def best_per_gene(hits: DataFrame, by: str = "score") -> DataFrame:
 
 
 def one_to_one(alignments: DataFrame, keys: Sequence[str] = ("region", "ref_area")) -> DataFrame:
-    """Pairs by falling identity, then falling reference, each query and each reference gene used once."""
-    ranked = alignments.withColumns({"_rank": -F.col("identity"), "_ref": -F.col("ref_gene")})
-
-    def merge(kept: Column, row: Column) -> Column:
-        used = F.exists(kept, lambda k: (k["query_id"] == row["query_id"]) | (k["ref_gene"] == row["ref_gene"]))
-        return F.when(used, kept).otherwise(F.concat(kept, F.array(row)))
-
-    return fold(ranked, keys, ["_rank", "_ref", "ord"], ["query_id", "ref_gene", "identity"], merge).select(*keys, "query_id", "ref_gene", "identity", "ord")
+    """Pairs by falling identity, then falling reference, then ``ord``, each query and each reference gene used once."""
+    ranked = alignments.withColumn("_rank", F.struct((-F.col("identity")).alias("identity"), (-F.col("ref_gene")).alias("ref"), F.col("ord")))
+    return greedy_pairs(ranked, keys, "query_id", "ref_gene", "_rank").select(*keys, "query_id", "ref_gene", "identity", "ord")
 
 
 def dedup_sequences(sequences: DataFrame) -> DataFrame:
@@ -203,12 +205,13 @@ def drop_overlapping_genes(genes: DataFrame) -> DataFrame:
     """Genes left when each that overlaps the one before it goes, until none does.
 
     In order of start, a gene that overlaps the last one kept is what such passes remove in the end for
-    chains; the passes drop all genes that overlap their predecessor at once, so they are repeated here too.
+    chains; the passes drop all genes that overlap their predecessor at once, so they are repeated here too, each
+    stored so that the next one does not repeat it.
     """
     w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
     left, before = genes, -1
     while True:
-        left = left.withColumn("_last", F.lag("end").over(w)).where("_last is null or start >= _last").drop("_last")
+        left = cut(left.withColumn("_last", F.lag("end").over(w)).where("_last is null or start >= _last").drop("_last"))
         n = left.count()
         if n == before:
             return left
@@ -216,11 +219,14 @@ def drop_overlapping_genes(genes: DataFrame) -> DataFrame:
 
 
 def drop_contained(areas: DataFrame, key: str = "label") -> DataFrame:
-    """Areas (``record_id, area_id, start, end``, key) that lie in no larger area of their key; of equal ones the first stays."""
-    other = areas.select("record_id", key, F.col("area_id").alias("o_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    inside = (F.col("o_start") <= F.col("start")) & (F.col("end") <= F.col("o_end"))
-    larger = (F.col("o_end") - F.col("o_start") > F.col("end") - F.col("start")) | ((F.col("o_end") - F.col("o_start") == F.col("end") - F.col("start")) & (F.col("o_id") < F.col("area_id")))
-    return areas.join(other, (areas["record_id"] == other["record_id"]) & (areas[key] == other[key]) & inside & larger, "left_anti")
+    """Areas (``record_id, area_id, start, end``, key) that lie in no larger area of their key; of equal ones the first stays.
+
+    In order of start, then of falling end, an area lies in another one where some earlier end reaches its own. A null record or key lies in nothing.
+    """
+    named = areas.where(F.col("record_id").isNotNull() & F.col(key).isNotNull())
+    reached = running(named, ["record_id", key], [F.col("start").asc(), F.col("end").desc(), F.col("area_id").asc()], {"_reach": ("end", F.max)})
+    kept = reached.where("_reach is null or _reach < end").select(*areas.columns)
+    return kept.unionByName(areas.where(F.col("record_id").isNull() | F.col(key).isNull()))
 
 
 def best_strand(hits: DataFrame) -> DataFrame:

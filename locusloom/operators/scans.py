@@ -151,11 +151,17 @@ def binding_areas(genes: DataFrame, padding: int = 50) -> DataFrame:
 
 def extract_signature(query: Column, reference: Column, positions: Sequence[int]) -> Column:
     """The query's characters at ungapped positions of the aligned reference; null if one is missing."""
+    split = lambda text: F.split(text, "")
     size = F.least(F.length(query), F.length(reference))
-    columns = F.filter(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda k: F.substr(reference, k, F.lit(1)) != "-")
-    wanted = F.array(*[F.lit(p) for p in positions])
-    letters = F.transform(wanted, lambda p: F.substr(query, F.get(columns, p), F.lit(1)))
-    return F.when(F.size(columns) > max(positions), F.array_join(letters, ""))
+    pair = F.array(F.struct(split(query).alias("query"), split(reference).alias("reference")))
+
+    def signature(p: Column) -> Column:
+        columns = F.filter(F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>")), lambda k: F.element_at(p["reference"], k) != "-")
+        wanted = F.array(*[F.lit(x) for x in positions])
+        letters = F.transform(wanted, lambda x: F.element_at(p["query"], F.get(columns, x)))
+        return F.when(F.size(columns) > max(positions), F.array_join(letters, ""))
+
+    return F.element_at(F.transform(pair, signature), 1)
 
 
 def signature_similarity(queries: DataFrame, references: DataFrame, at_least: float = 50.0) -> DataFrame:

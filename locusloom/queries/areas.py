@@ -256,12 +256,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.region_summary(ops.regions(areas), areas, _lengths(spark, folder), 20000)
 
 
-@query("F22_sideload", with_tables(f""", {_LENGTHS} SELECT record_id, 'sub' AS kind, profile AS label, "start", "end", "start" AS core_start, "end" AS core_end FROM genes WHERE gene_id % 5 = 0
-    UNION ALL SELECT record_id, 'proto', profile, greatest(0, "start" - 700), least(length, "end" + 300), "start", "end" FROM genes JOIN lengths USING (record_id) WHERE gene_id % 5 = 1""", "genes"))
+@query("F22_sideload", with_tables(f""", {_LENGTHS} SELECT record_id, 'sub' AS kind, profile AS label, "start", "end", "start" AS core_start, "end" AS core_end FROM genes WHERE profile NOT LIKE 'R%'
+    UNION ALL SELECT record_id, 'proto', profile, greatest(0, "start" - 700), least(length, "end" + 300), "start", "end" FROM genes JOIN lengths USING (record_id) WHERE profile LIKE 'R%'""", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     genes = table(spark, folder, "genes").withColumnRenamed("profile", "label")
-    subs = genes.where("gene_id % 5 = 0").select("record_id", "label", "start", "end")
-    cores = genes.where("gene_id % 5 = 1").select("record_id", "label", F.col("start").alias("core_start"), F.col("end").alias("core_end"), F.lit(700).alias("left"), F.lit(300).alias("right"))
+    subs = genes.where("label not like 'R%'").select("record_id", "label", "start", "end")
+    cores = genes.where("label like 'R%'").select("record_id", "label", F.col("start").alias("core_start"), F.col("end").alias("core_end"), F.lit(700).alias("left"), F.lit(300).alias("right"))
     return ops.sideload(subs, cores, _lengths(spark, folder))
 
 

@@ -46,14 +46,31 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.trim(_sequences(spark, folder), table(spark, folder, "moments"), 86400, 864000)[1].select("record_id", "gene_id", "start", "end")
 
 
-_NAME = "CASE WHEN record_id % 5 = 0 THEN 'contig' || (record_id % 50) || ' of (a) long assembly' WHEN record_id % 5 = 1 THEN 'rec=' || (record_id % 20) ELSE 'scaffold:' || record_id || '_of_assembly' END"
-
-
-@query("B7_normalise_ids", with_tables(f""", n AS (SELECT record_id, {_NAME} AS name, translate({_NAME}, '!"#$%&()*+,:;=>?@[]^`''{{|}}/ ', '') AS clean FROM sequences),
-    u AS (SELECT *, clean || CASE WHEN row_number() OVER (PARTITION BY clean ORDER BY record_id) > 1 THEN '_' || (row_number() OVER (PARTITION BY clean ORDER BY record_id) - 1) ELSE '' END AS uniq FROM n)
-    SELECT record_id, CASE WHEN length(uniq) > 16 THEN 'c' || lpad(CAST(coalesce(TRY_CAST(nullif(regexp_extract(name, '(?i)onti?g?(\\d+)\\b', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(name, '(?i)caff?o?l?d?(\\d+)\\b', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(name, '\\bc(\\d+)\\b', 1), '') AS INT), record_id + 1) AS VARCHAR), 5, '0') || '_' || substr(uniq, 1, 7) || '..' ELSE uniq END AS new_id FROM u""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    named = _sequences(spark, folder).withColumn("name", F.expr(_NAME))
+_NAME = """CASE record_id % 7 WHEN 0 THEN 'contig' || (record_id % 50) || ' of (a) long assembly' WHEN 1 THEN 'rec=' || (record_id % 20) WHEN 2 THEN 'rec' || (record_id % 20) || '_' || (record_id % 3)
+    WHEN 3 THEN 'NZ_AMZN' || lpad(CAST(record_id % 80 AS VARCHAR), 8, '0') || '.' || (record_id % 2 + 1) WHEN 4 THEN 'scaffold:' || record_id || '_of_assembly' WHEN 5 THEN 'a long name without number ' || (record_id % 4) ELSE 'plain' END"""
+_NUMBER = "coalesce(TRY_CAST(nullif(regexp_extract(id, 'onti?g?(\\d+)\\b', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(id, 'caff?o?l?d?(\\d+)\\b', 1), '') AS BIGINT), TRY_CAST(nullif(regexp_extract(id, '\\bc(\\d+)\\b', 1), '') AS BIGINT), record_id + 1)"
+
+
+def _numbering(name: str, rows: str, taken: str) -> str:
+    """Common table expressions: ``name`` has ``record_id, id`` of ``rows`` (``record_id, stem``) with the least numbers not in ``taken``."""
+    return f"""{name}_r AS (SELECT record_id, stem, row_number() OVER (PARTITION BY stem ORDER BY record_id) AS k FROM ({rows})),
+    {name}_n AS (SELECT stem, unnest(range(0, 2000)) AS i FROM (SELECT DISTINCT stem FROM {name}_r)),
+    {name}_f AS (SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS k FROM {name}_n WHERE stem || '_' || i NOT IN ({taken})),
+    {name} AS (SELECT record_id, stem || '_' || i AS id FROM {name}_r JOIN {name}_f USING (stem, k))"""
+
+
+@query("B7_normalise_ids", with_tables(f""", g AS (SELECT record_id, translate({_NAME}, '!"#$%&()*+,:;=>?@[]^`''{{|}}/ ', '') AS id FROM sequences),
+    o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY record_id) AS k FROM g),
+    {_numbering("dup", "SELECT record_id, id AS stem FROM o WHERE k > 1", "SELECT id FROM g")},
+    u AS (SELECT record_id, id FROM o WHERE k = 1 UNION ALL SELECT * FROM dup), long AS (SELECT * FROM u WHERE length(id) > 16),
+    v AS (SELECT min(record_id) AS record_id, split_part(id, '.', 1) AS new_id FROM long WHERE regexp_matches(id, '^[^.]{{1,16}}\\.[^.]$') AND split_part(id, '.', 1) NOT IN (SELECT id FROM u) GROUP BY 2),
+    w AS (SELECT *, 'c' || CASE WHEN num < 100000 THEN lpad(CAST(num AS VARCHAR), 5, '0') ELSE CAST(num AS VARCHAR) END || '_' || id[1:7] || '..' AS short FROM (SELECT *, {_NUMBER} AS num FROM long WHERE record_id NOT IN (SELECT record_id FROM v))),
+    x AS (SELECT min(record_id) AS record_id, short AS new_id FROM w WHERE short NOT IN (SELECT id FROM u) GROUP BY short),
+    {_numbering("last", "SELECT record_id, id[1:12] AS stem FROM w WHERE record_id NOT IN (SELECT record_id FROM x)", "SELECT id FROM u UNION ALL SELECT new_id FROM v")},
+    changed AS (SELECT * FROM v UNION ALL SELECT * FROM x UNION ALL SELECT record_id, id FROM last)
+    SELECT record_id, coalesce(new_id, id) AS new_id FROM u LEFT JOIN changed USING (record_id)""", "sequences"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    named = _sequences(spark, folder).withColumn("name", F.expr(_NAME.replace("VARCHAR", "STRING")))
     return ops.normalise_ids(named).select("record_id", "new_id")
 
 
@@ -174,16 +191,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _circle(spark, folder).select("record_id", "gene_id", loc.format_location(loc.offset(parts, 90000, F.col("length"))).alias("moved"), loc.format_location(loc.frameshift(parts, F.lit(3))).alias("shifted"))
 
 
-@query("C8_protein_to_dna", with_tables(f""", {_EXONS}, x AS (SELECT record_id, feature_id, unnest([1, 2, 3]) AS i, starts, ends FROM exons WHERE feature_id % 4 >= 2),
-    y AS (SELECT *, CAST(coalesce(list_sum(list_transform(range(1, i), lambda k: ends[k] - starts[k])), 0) AS BIGINT) AS before FROM x),
-    z AS (SELECT record_id, feature_id, i, starts[i] + greatest(30 - before, 0) AS a, starts[i] + least(75 - before, ends[i] - starts[i]) AS b FROM y)
-    SELECT record_id, feature_id, string_agg(a || '-' || b, ',' ORDER BY i) AS spans FROM z WHERE a < b GROUP BY ALL""", "genes"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    found = loc.protein_to_dna(F.col("parts"), F.lit(10), F.lit(25))
-    return exons(spark, folder).where("feature_id % 4 >= 2").select("record_id", "feature_id", F.array_join(F.transform(found, lambda p: F.concat_ws("-", p["start"], p["end"])), ",").alias("spans"))
-
-
-@query("C8_protein_to_dna_whole")
+@query("C8_protein_to_dna", with_tables(f""", {_EXONS}, k AS (SELECT row_number() OVER () AS rid, record_id, feature_id, CASE WHEN feature_id % 4 = 1 THEN [starts[1], starts[3]] ELSE starts END AS s, CASE WHEN feature_id % 4 = 1 THEN [ends[1], ends[3]] ELSE ends END AS e FROM exons),
+    x AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM k),
+    y AS (SELECT *, CAST(coalesce(list_sum(list_transform(range(1, i), lambda j: e[j] - s[j])), 0) AS BIGINT) AS before FROM x),
+    z AS (SELECT rid, i, s[i] + greatest(30 - before, 0) AS a, s[i] + least(75 - before, e[i] - s[i]) AS b FROM y),
+    t AS (SELECT rid, string_agg(a || '-' || b, ',' ORDER BY i) AS spans FROM z WHERE a < b GROUP BY rid)
+    SELECT record_id, feature_id, spans FROM k JOIN t USING (rid)""", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     # Exons inside larger ones go first; the others count in the order in which they are given, also if that is not along the record.
     found = loc.protein_to_dna(loc.drop_redundant_exons(F.col("parts")), F.lit(10), F.lit(25))

@@ -78,15 +78,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("G6_linked_groups", with_tables("""
-    , l AS (SELECT region, query_id, ref_gene FROM alignments WHERE ref_area < 2),
-    p AS (SELECT DISTINCT a.region, a.query_id AS a, b.query_id AS b FROM l a JOIN l b USING (region, ref_gene)),
-    reach AS (SELECT * FROM p UNION SELECT r.region, r.a, p.b FROM reach r JOIN p ON p.region = r.region AND p.a = r.b)
-    SELECT region, a AS query_id, min(b) AS group_id FROM reach GROUP BY ALL""", "alignments", recursive=True))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.linked_groups(_alignments(spark, folder).where("ref_area < 2"))
-
-
-@query("G6_linked_groups_whole")
+    , e AS (SELECT DISTINCT region, query_id AS q, ref_gene AS s FROM alignments),
+    cc(region, q, c) USING KEY (region, q) AS (SELECT DISTINCT region, q, q AS c FROM e
+        UNION SELECT e.region, e.q, min(t.low) FROM e JOIN (SELECT e.region, e.s, min(r.c) AS low FROM e JOIN recurring.cc r ON r.region = e.region AND r.q = e.q GROUP BY ALL) t ON t.region = e.region AND t.s = e.s
+            JOIN recurring.cc o ON o.region = e.region AND o.q = e.q GROUP BY e.region, e.q HAVING min(t.low) < min(o.c))
+    SELECT region, q AS query_id, c AS group_id FROM cc""", "alignments", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.linked_groups(_alignments(spark, folder))
 
@@ -209,17 +205,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.core_similarity(rows).select("ord", "similarity")
 
 
-_ALIKE = "[" + ", ".join(f"'{a}{b}'" for group in ops.SIMILAR for a in group for b in group if a != b) + "]"
-
-
-@query("G18_consensus_string", with_tables(f""", s AS (SELECT record_id, upper(regexp_replace(substr(seq, 1, 400), '[^a-zA-Z]', '', 'g')) AS t FROM sequences), p AS (SELECT record_id, substr(t, 1, 60) AS a, substr(t, 8, 60) AS b FROM s)
-    SELECT record_id, coalesce(array_to_string(list_transform(range(1, least(length(a), length(b)) + 1), lambda k: CASE WHEN a[k] = b[k] THEN a[k] WHEN list_contains({_ALIKE}, a[k] || b[k]) THEN '+' ELSE ' ' END), ''), '') AS consensus FROM p""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "sequences").select("record_id", F.upper(F.regexp_replace(F.substring("seq", 1, 400), "[^a-zA-Z]", "")).alias("t"))
-    return rows.select("record_id", ops.consensus_string(F.substring("t", 1, 60), F.substring("t", 8, 60)).alias("consensus"))
+#: Pairs of residues that count as similar.
+_ALIKE = "AS DN DE EQ ED EK FY FW HY HN IV IL IM KR KQ KE LM LI LV ML MI MV ND NH NS QE QR QK RK RQ SA SN ST TS VI VM VL WY WF YF YH YW"
 
 
-@query("G18_consensus_string_whole")
+@query("G18_consensus_string", with_tables(f""", s AS (SELECT record_id, string_split(upper(regexp_replace(seq, '[^a-zA-Z]', '', 'g')), '') AS t FROM sequences), p AS (SELECT record_id, t AS a, t[8:] AS b FROM s)
+    SELECT record_id, coalesce(array_to_string(list_transform(range(1, least(len(a), len(b)) + 1), lambda k: CASE WHEN a[k] = b[k] THEN a[k] WHEN list_contains(string_split('{_ALIKE}', ' '), a[k] || b[k]) THEN '+' ELSE ' ' END), ''), '') AS consensus FROM p""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "sequences").select("record_id", F.upper(F.regexp_replace("seq", "[^a-zA-Z]", "")).alias("t"))
     return rows.select("record_id", ops.consensus_string(F.col("t"), F.expr("substr(t, 8)")).alias("consensus"))

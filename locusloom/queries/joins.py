@@ -56,10 +56,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.resolve_reference_hits(alignments, reference).select("query_id", "ref_gene", "ord", "area")
 
 
-@query("D6_hits_in_area", with_tables("SELECT region, query_id, ref_gene, ord FROM alignments WHERE query_id IN (SELECT query_id FROM alignments WHERE identity > 95 AND region < 5)", "alignments"))
+@query("D6_hits_in_area", with_tables("SELECT region, query_id, ref_gene, ord FROM alignments WHERE query_id IN (SELECT query_id FROM alignments WHERE identity > 95)", "alignments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     alignments = table(spark, folder, "alignments")
-    return ops.hits_in_area(alignments, alignments.where("identity > 95 and region < 5")).select("region", "query_id", "ref_gene", "ord")
+    return ops.hits_in_area(alignments, alignments.where("identity > 95")).select("region", "query_id", "ref_gene", "ord")
 
 
 @query("D7_drop_self_hits", with_tables("SELECT region, ref_area, count(*) AS n FROM alignments WHERE 'rec' || ref_area <> 'rec' || region GROUP BY ALL", "alignments"))

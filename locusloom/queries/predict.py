@@ -114,13 +114,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.promoters(table(spark, folder, "genes"))
 
 
-_PLACES = "places AS (SELECT record_id, gene_id, profile, score, CAST(row_number() OVER (PARTITION BY record_id ORDER BY \"start\", \"end\", gene_id) AS INT) AS k FROM moments), n AS (SELECT record_id, CAST(count(*) AS INT) AS n FROM moments GROUP BY ALL), anchors AS (SELECT record_id, k AS anchor FROM places WHERE k % 17 = 5)"
+_PLACES = "places AS (SELECT record_id, gene_id, profile, score, CAST(row_number() OVER (PARTITION BY record_id ORDER BY \"start\", \"end\", gene_id) AS INT) AS k FROM moments), n AS (SELECT record_id, CAST(count(*) AS INT) AS n FROM moments GROUP BY ALL), anchors AS (SELECT record_id, k AS anchor FROM places WHERE score > 100)"
 
 
 def _places(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
     places = table(spark, folder, "moments").withColumn("k", F.row_number().over(w))
-    return places, places.groupBy("record_id").agg(F.count("*").cast("int").alias("n")), places.where("k % 17 = 5").select("record_id", F.col("k").alias("anchor"))
+    return places, places.groupBy("record_id").agg(F.count("*").cast("int").alias("n")), places.where("score > 100").select("record_id", F.col("k").alias("anchor"))
 
 
 @query("J12_promoter_sets", with_tables(f""", {_PLACES} SELECT DISTINCT record_id, anchor, first, last FROM (SELECT record_id, anchor, CAST(greatest(1, anchor - m) AS INT) AS first, CAST(least(n, anchor + p) AS INT) AS last FROM anchors JOIN n USING (record_id), range(0, 16) a(m), range(0, 16) b(p) WHERE m + p >= 3) WHERE last - first + 1 >= 4""", "moments"))
@@ -129,10 +129,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.promoter_sets(anchors, counts)
 
 
-@query("J13_filter_motifs", with_tables(f""", {_PLACES} SELECT record_id, profile AS motif, 100.0::DOUBLE * count(DISTINCT k) / any_value(n) AS percent FROM places JOIN n USING (record_id) GROUP BY record_id, profile HAVING 100.0::DOUBLE * count(DISTINCT k) / any_value(n) <= 18 AND bool_or(k % 17 = 5)""", "moments"))
+@query("J13_filter_motifs", with_tables(f""", {_PLACES} SELECT record_id, profile AS motif, 100.0::DOUBLE * count(DISTINCT k) / any_value(n) AS percent FROM places JOIN n USING (record_id) GROUP BY record_id, profile HAVING 100.0::DOUBLE * count(DISTINCT k) / any_value(n) <= 18 AND bool_or(score > 100)""", "moments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     places, counts, _ = _places(spark, folder)
-    return ops.filter_motifs(places.select("record_id", F.col("profile").alias("motif"), F.col("k").alias("promoter"), (F.col("k") % 17 == 5).alias("is_anchor")), counts, 18.0)
+    return ops.filter_motifs(places.select("record_id", F.col("profile").alias("motif"), F.col("k").alias("promoter"), (F.col("score") > 100).alias("is_anchor")), counts, 18.0)
 
 
 _ISLANDS = f"""{_PLACES}, d AS (SELECT DISTINCT record_id, profile AS motif, k FROM places), b AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY record_id, motif ORDER BY k) <= 3 THEN 0 ELSE 1 END AS brk FROM d),
@@ -204,15 +204,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.colinear_order(table(spark, folder, "genes")).select("record_id", "gene_id", "place")
 
 
-@query("I14_polymer", with_tables(f""", {_ORDERED}, g AS (SELECT record_id, place, '(' || lower(profile) || ' - ' || profile || ')' AS t FROM ordered WHERE place <= 40) SELECT record_id, string_agg(t, ' + ' ORDER BY place) AS polymer FROM g GROUP BY ALL""", "genes"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    ordered = ops.colinear_order(table(spark, folder, "genes")).where("place <= 40")
-    modules = ordered.select("record_id", "place", F.explode(F.array(F.struct(F.lit(1).alias("number"), F.lower("profile").alias("monomer")), F.struct(F.lit(2).alias("number"), F.col("profile").alias("monomer")))).alias("m")).select("record_id", "place", "m.*")
-    return ops.polymer(modules)
-
-
-@query("I14_polymer_whole")
+@query("I14_polymer", with_tables(f""", {_ORDERED} SELECT record_id, place, '(' || lower(profile) || ' - ' || profile || ')' AS text FROM ordered""", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    # A record here has as many genes as its supplier has line items, so its polymer is given as ordered rows.
     ordered = ops.colinear_places(table(spark, folder, "genes"))
     modules = ordered.select("record_id", "place", F.explode(F.array(F.struct(F.lit(1).alias("number"), F.lower("profile").alias("monomer")), F.struct(F.lit(2).alias("number"), F.col("profile").alias("monomer")))).alias("m")).select("record_id", "place", "m.*")
     return ops.polymer_rows(modules)

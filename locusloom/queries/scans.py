@@ -11,7 +11,6 @@ from ..tables import table, with_tables
 from .areas import _REGIONS, plain_areas
 from .areas import ops as areas_ops
 
-# Queries named _whole read whole texts; those without the suffix keep the prefixes of their given SQL.
 _RC = "translate(reverse(seq), 'ACGT', 'TGCA')"
 _PROTEIN = "upper(regexp_replace(lower(seq), '[^acdefghiklmnpqrstvwy]', '', 'g'))"
 
@@ -105,13 +104,14 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.binding_areas(table(spark, folder, "genes"))
 
 
-_ALIGNED = f"""aligned AS (SELECT record_id, p AS query, substr(p, 4, 1) || '--' || substr(p, 5, 60) AS reference FROM (SELECT record_id, {_PROTEIN} AS p FROM sequences))"""
+_ALIGNED = f"""aligned AS (SELECT record_id, p AS query, substr(p, 4, 1) || '--' || substr(p, 5) AS reference FROM (SELECT record_id, {_PROTEIN} AS p FROM sequences))"""
 
 
-@query("H10_extract_signature", with_tables(f""", {_ALIGNED}, k AS (SELECT record_id, query, list_filter(range(1, least(length(query), length(reference)) + 1), lambda i: reference[i] <> '-') AS cols FROM aligned)
-    SELECT record_id, CASE WHEN len(cols) > 20 THEN query[cols[3]] || query[cols[8]] || query[cols[21]] END AS signature FROM k""", "sequences"))
+@query("H10_extract_signature", with_tables(f""", {_ALIGNED}, l AS (SELECT record_id, string_split(query, '') AS q, string_split(reference, '') AS r, least(length(query), length(reference)) AS size FROM aligned),
+    k AS (SELECT record_id, q, list_filter(range(1, size + 1), lambda i: r[i] <> '-') AS cols FROM l)
+    SELECT record_id, CASE WHEN len(cols) > 20 THEN q[cols[3]] || q[cols[8]] || q[cols[21]] END AS signature FROM k""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _proteins(spark, folder).withColumn("reference", F.concat(F.substring("seq", 4, 1), F.lit("--"), F.substring("seq", 5, 60)))
+    rows = _proteins(spark, folder).withColumn("reference", F.concat(F.substring("seq", 4, 1), F.lit("--"), F.expr("substr(seq, 5)")))
     return rows.select("record_id", ops.extract_signature(F.col("seq"), F.col("reference"), [2, 7, 20]).alias("signature"))
 
 
@@ -134,29 +134,17 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _proteins(spark, folder).select("record_id", ops.classify_signature(F.col("seq"), KINDS, "unknown").alias("kind"))
 
 
-@query("H16_trim_alignment", with_tables(f""", r AS (SELECT record_id % 40 AS alignment_id, CASE record_id % 3 WHEN 0 THEN '--' || substr({_PROTEIN}, 1, 30) ELSE substr({_PROTEIN}, 1, 28) || '----' END AS a FROM sequences),
-    c AS (SELECT alignment_id, k, a[k] AS letter FROM (SELECT *, unnest(range(1, length(a) + 1)) AS k FROM r)), n AS (SELECT alignment_id, k, letter, count(*) AS n FROM c GROUP BY ALL),
+@query("H16_trim_alignment", with_tables(f""", r AS (SELECT record_id % 40 AS alignment_id, string_split(CASE record_id % 3 WHEN 0 THEN '--' || {_PROTEIN} ELSE {_PROTEIN} || '----' END, '') AS a FROM sequences),
+    c AS (SELECT alignment_id, k, a[k] AS letter FROM (SELECT *, unnest(range(1, len(a) + 1)) AS k FROM r)), n AS (SELECT alignment_id, k, letter, count(*) AS n FROM c GROUP BY ALL),
     t AS (SELECT alignment_id, k, max((n, letter)) AS top FROM n GROUP BY ALL), z AS (SELECT alignment_id, count(*) AS rows FROM r GROUP BY ALL)
     SELECT alignment_id, CAST(min(k) - 1 AS INT) AS first, CAST(max(k) - 1 AS INT) AS last FROM t JOIN z USING (alignment_id) WHERE top[2] <> '-' AND top[1] >= rows * 0.2 GROUP BY alignment_id""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _proteins(spark, folder).select((F.col("record_id") % 40).alias("alignment_id"), F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("--"), F.substring("seq", 1, 30))).otherwise(F.concat(F.substring("seq", 1, 28), F.lit("----"))).alias("aligned"))
-    return ops.trim_alignment(rows, 0.2)
-
-
-@query("H16_trim_alignment_whole")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     aligned = F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("--"), F.col("seq"))).otherwise(F.concat(F.col("seq"), F.lit("----")))
     return ops.trim_alignment(_proteins(spark, folder).select((F.col("record_id") % 40).alias("alignment_id"), aligned.alias("aligned")), 0.2)
 
 
-@query("H17_cleavage_site", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 120) AS p FROM sequences), h AS (SELECT record_id, p, length(regexp_extract(p, '(?s)^(.*(?:G[AG]))', 1)) AS a, length(regexp_extract(p, '(?s)^(.*(?:T.R))', 1)) AS b FROM s)
+@query("H17_cleavage_site", with_tables(f""", s AS (SELECT record_id, {_PROTEIN} AS p FROM sequences), h AS (SELECT record_id, p, length(regexp_extract(p, '(?s)^(.*(?:G[AG]))', 1)) AS a, length(regexp_extract(p, '(?s)^(.*(?:T.R))', 1)) AS b FROM s)
     SELECT record_id, CAST(coalesce(CASE WHEN a > 0 AND length(p) - a >= 10 THEN a END, CASE WHEN b > 0 AND length(p) - (b + 2) >= 10 THEN b + 2 END) AS INT) AS site FROM h""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _proteins(spark, folder).select("record_id", F.substring("seq", 1, 120).alias("p"))
-    return rows.select("record_id", ops.cleavage_site(F.col("p"), [("G[AG]", 0), ("T.R", 2)], 10).alias("site"))
-
-
-@query("H17_cleavage_site_whole")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return _proteins(spark, folder).select("record_id", ops.cleavage_site(F.col("seq"), [("G[AG]", 0), ("T.R", 2)], 10).alias("site"))
 
@@ -164,28 +152,15 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 CLASSES = {"small": "AGST", "charged": "DEKR", "aromatic": "FWYH"}
 
 
-@query("H18_peptide_features", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 100) AS p FROM sequences), c AS (SELECT record_id, p, list_filter(range(1, length(p) + 1), lambda k: p[k] = 'C') AS cs FROM s)
+@query("H18_peptide_features", with_tables(f""", s AS (SELECT record_id, {_PROTEIN} AS p FROM sequences), c AS (SELECT record_id, p, list_filter(range(1, len(l) + 1), lambda k: l[k] = 'C') AS cs FROM (SELECT *, string_split(p, '') AS l FROM s))
     SELECT record_id, CAST(length(p) AS INT) AS length, {", ".join(f"CAST(length(regexp_replace(p, '[^{letters}]', '', 'g')) AS INT) AS n_{name}" for name, letters in CLASSES.items())},
-    CAST(len(list_filter(cs, lambda k: len(list_filter(cs, lambda j: j - k BETWEEN 2 AND 5)) > 0)) AS INT) AS n_facing_cys FROM c""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _proteins(spark, folder).select("record_id", F.substring("seq", 1, 100).alias("p"))
-    return rows.select("record_id", *ops.peptide_features(F.col("p"), CLASSES))
-
-
-@query("H18_peptide_features_whole")
+    CAST(len(list_filter(cs, lambda k: list_contains(cs, k + 2) OR list_contains(cs, k + 3) OR list_contains(cs, k + 4) OR list_contains(cs, k + 5))) AS INT) AS n_facing_cys FROM c""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return _proteins(spark, folder).select("record_id", *ops.peptide_features(F.col("seq"), CLASSES))
 
 
-@query("H19_heuristic_score", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 100) AS p FROM sequences)
+@query("H19_heuristic_score", with_tables(f""", s AS (SELECT record_id, {_PROTEIN} AS p FROM sequences)
     SELECT record_id, CAST(CASE WHEN length(p) BETWEEN 20 AND 90 THEN 3 ELSE 0 END + CASE WHEN contains(p, 'CC') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(p, 'S.C') THEN 2 ELSE 0 END + CASE WHEN starts_with(p, 'T') THEN -1 ELSE 0 END AS INT) AS score FROM s""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    p = F.col("p")
-    weights = [(F.length(p).between(20, 90), 3), (p.contains("CC"), 5), (p.rlike("S.C"), 2), (p.startswith("T"), -1)]
-    return _proteins(spark, folder).select("record_id", F.substring("seq", 1, 100).alias("p")).select("record_id", ops.heuristic_score(weights).alias("score"))
-
-
-@query("H19_heuristic_score_whole")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("seq")
     weights = [(F.length(p).between(20, 90), 3), (p.contains("CC"), 5), (p.rlike("S.C"), 2), (p.startswith("T"), -1)]
@@ -195,20 +170,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 _MASS = f"{ops.WATER} + " + " + ".join(f"(length(p) - length(replace(p, '{r}', ''))) * {m}::DOUBLE" for r, m in ops.MASSES.items())
 
 
-@query("H20_peptide_mass", with_tables(f""", s AS (SELECT record_id, substr({_PROTEIN}, 1, 100) AS p FROM sequences), m AS (SELECT record_id, {_MASS} AS mass, least(3, length(p) - length(replace(p, 'S', ''))) AS n FROM s)
-    SELECT record_id, round(mass, 3) AS mass, coalesce(array_to_string(list_transform(range(1, n + 1), lambda k: CAST(CAST(round(mass + k * {ops.WATER}) AS BIGINT) AS VARCHAR)), ','), '') AS others FROM m""", "sequences"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _proteins(spark, folder).select("record_id", F.substring("seq", 1, 100).alias("p"))
-    measured = rows.select("record_id", ops.peptide_mass(F.col("p")).alias("mass"), F.least(F.lit(3), F.length("p") - F.length(F.replace("p", F.lit("S"), F.lit("")))).alias("n"))
-    others = F.transform(ops.alternative_masses(F.col("mass"), F.col("n")), lambda m: F.round(m).cast("long").cast("string"))
-    return measured.select("record_id", F.round("mass", 3).alias("mass"), F.array_join(others, ",").alias("others"))
-
-
-@query("H20_peptide_mass_whole")
+@query("H20_peptide_mass", with_tables(f""", s AS (SELECT record_id, {_PROTEIN} AS p FROM sequences), m AS (SELECT record_id, {_MASS} AS mass, length(p) - length(replace(p, 'S', '')) AS n FROM s)
+    SELECT record_id, round(mass, 3) AS mass, coalesce(array_to_string(list_transform(range(1, n + 1), lambda k: CAST(CAST(round(round(mass + k * {ops.WATER}, 4)) AS BIGINT) AS VARCHAR)), ','), '') AS others FROM m""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = _proteins(spark, folder)
     measured = rows.select("record_id", ops.peptide_mass(F.col("seq")).alias("mass"), (F.length("seq") - F.length(F.replace("seq", F.lit("S"), F.lit("")))).alias("n"))
-    others = F.transform(ops.alternative_masses(F.col("mass"), F.col("n")), lambda m: F.round(m).cast("long").cast("string"))
+    others = F.transform(ops.alternative_masses(F.col("mass"), F.col("n")), lambda m: F.round(F.round(m, 4)).cast("long").cast("string"))
     return measured.select("record_id", F.round("mass", 3).alias("mass"), F.array_join(others, ",").alias("others"))
 
 

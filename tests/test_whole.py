@@ -36,7 +36,7 @@ def run(spark, name, folder, key="record_id"):
 
 def test_peptides_are_read_to_their_end(spark, texts):
     folder, found = texts
-    sites, features, scores, masses = (run(spark, f"{n}_whole", folder) for n in ("H17_cleavage_site", "H18_peptide_features", "H19_heuristic_score", "H20_peptide_mass"))
+    sites, features, scores, masses = (run(spark, n, folder) for n in ("H17_cleavage_site", "H18_peptide_features", "H19_heuristic_score", "H20_peptide_mass"))
     for k, text in found.items():
         p = protein(text)
         site = None
@@ -55,7 +55,7 @@ def test_peptides_are_read_to_their_end(spark, texts):
 
 def test_alignments_and_consensus_are_read_to_their_end(spark, texts):
     folder, found = texts
-    trimmed = run(spark, "H16_trim_alignment_whole", folder, "alignment_id")
+    trimmed = run(spark, "H16_trim_alignment", folder, "alignment_id")
     for alignment in range(40):
         rows = [("--" + protein(t)) if k % 3 == 0 else (protein(t) + "----") for k, t in found.items() if k % 40 == alignment]
         good = []
@@ -65,8 +65,8 @@ def test_alignments_and_consensus_are_read_to_their_end(spark, texts):
             good += [column] * (letter != "-" and n >= 0.2 * len(rows))
         assert (alignment in trimmed) == bool(good)
         assert not good or (trimmed[alignment]["first"], trimmed[alignment]["last"]) == (good[0], good[-1])
-    alike = {a + b for group in compare.SIMILAR for a in group for b in group if a != b}
-    marked = run(spark, "G18_consensus_string_whole", folder)
+    alike = {a + b for a in compare.SIMILAR for b in compare.SIMILAR[a]}
+    marked = run(spark, "G18_consensus_string", folder)
     for k, text in found.items():
         t = re.sub("[^A-Z]", "", text.upper())
         assert marked[k]["consensus"] == "".join(a if a == b else "+" if a + b in alike else " " for a, b in zip(t, t[7:], strict=False))
@@ -82,7 +82,7 @@ def test_links_through_every_reference_area(spark, tmp_path):
     for _ in rows:
         for a, b in edges:
             group[a] = group[b] = min(group[a], group[b])
-    found = entry.queries()["G6_linked_groups_whole"](spark, str(tmp_path)).collect()
+    found = entry.queries()["G6_linked_groups"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted((x[0], x[2], g[2]) for x, g in group.items() if x[1] == 0)
     assert any(r["query_id"] != r["group_id"] for r in found)
 
@@ -96,7 +96,7 @@ def test_polymers_hold_every_gene(spark):
         back = sum(r["strand"] for r in own) < 0
         own.sort(key=lambda r: (-r["start"] if back else r["start"], r["gene_id"]))
         expected += [(record, k, f"({r['profile'].lower()} - {r['profile']})") for k, r in enumerate(own, 1)]
-    found = entry.queries()["I14_polymer_whole"](spark, folder).collect()
+    found = entry.queries()["I14_polymer"](spark, folder).collect()
     assert max(x[1] for x in expected) > 40
     assert sorted((r["record_id"], r["place"], r["text"]) for r in found) == sorted(expected)
 
@@ -109,6 +109,6 @@ def test_residues_are_mapped_on_all_kinds_of_exons(spark):
         bases = [x for a, b in exons for x in range(a, b)][30:75]
         spans = [[x for x in bases if a <= x < b] for a, b in exons]
         expected.append((r["record_id"], r["gene_id"], ",".join(f"{r['start'] + x[0]}-{r['start'] + x[-1] + 1}" for x in spans if x)))
-    found = entry.queries()["C8_protein_to_dna_whole"](spark, folder).collect()
+    found = entry.queries()["C8_protein_to_dna"](spark, folder).collect()
     assert {r["feature_id"] % 4 for r in found} == {0, 1, 2, 3}
     assert sorted((r["record_id"], r["feature_id"], r["spans"]) for r in found) == sorted(expected)
