@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
 from ..registry import FLAGSHIP, ORACLE_SQL, QUERIES
-from . import areas, clean, compare, hits, joins, predict, scans
+from . import areas, assembly, clean, compare, hits, joins, predict, scans
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "areas", "clean", "compare", "hits", "joins", "predict", "scans"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "areas", "assembly", "clean", "compare", "hits", "joins", "predict", "scans"]

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PLACE = "l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey"
 
+_ANY = "PKS_KS PKS_AT PKS_DH PKS_ER PKS_KR ACP PCP PKS_PP AMP-binding A-OX Condensation_LCL Condensation_Starter Heterocyclization Epimerization Thioesterase TD CAL_domain SAT cMT nMT Trans-AT_docking TIGR01720 ECH Interface PKS_Docking_Nterm LPG_synthase_C Beta_elim_lyase oMT"
+_PATTERNS = ("PKS_KS PKS_AT PKS_KR ACP PKS_KS PKS_AT ACP", "Condensation_LCL AMP-binding PCP Condensation_LCL AMP-binding PCP Thioesterase", "PKS_KS Trans-AT_docking ACP PKS_KR PKS_KS PCP LPG_synthase_C")
+
 SQL: dict[str, str] = {
     # Genes on long records: one per line item, a supplier's items on one axis.
     "genes": f"""SELECT CAST(l_suppkey AS BIGINT) AS record_id, CAST({_PLACE} AS BIGINT) AS gene_id,
@@ -25,6 +28,12 @@ SQL: dict[str, str] = {
     "nucleotides": """SELECT CAST(doc_id AS BIGINT) AS record_id, translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents""",
     "alignments": f"""SELECT CAST(l_suppkey AS BIGINT) % 20 AS region, CAST(l_orderkey AS BIGINT) AS query_id, CAST(l_partkey AS BIGINT) % 50 AS ref_area, CAST(l_partkey AS BIGINT) AS ref_gene,
         CAST(floor(l_partkey / 50) AS BIGINT) AS ref_idx, l_quantity * 2 AS identity, round(l_tax * 1000, 3) AS coverage, l_extendedprice AS score, CAST({_PLACE} AS BIGINT) * 1000 + CAST(l_suppkey AS BIGINT) AS ord FROM lineitem""",
+    # Domains of assembly-line genes: an order's line items; most follow one of three patterns, turned by the order's number.
+    "domains": f"""SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS record_id, CAST(l_orderkey AS BIGINT) AS gene_id, CAST(l_linenumber * 100 AS BIGINT) AS "start", CAST(l_linenumber * 100 + 80 AS BIGINT) AS "end",
+        CASE WHEN l_partkey % 5 = 0 THEN split_part('{_ANY}', ' ', CAST(l_partkey % 28 + 1 AS INT)) ELSE split_part(CASE l_orderkey % 3 WHEN 0 THEN '{_PATTERNS[0]}' WHEN 1 THEN '{_PATTERNS[1]}' ELSE '{_PATTERNS[2]}' END, ' ', CAST((l_linenumber + l_orderkey) % 7 + 1 AS INT)) END AS profile,
+        CASE l_suppkey % 4 WHEN 0 THEN 'Trans-AT-KS' WHEN 1 THEN 'Iterative-KS' END AS subtype, CAST({_PLACE} AS BIGINT) * 1000 + CAST(l_suppkey AS BIGINT) AS ord FROM lineitem""",
+    # The genes that carry them: one per order, a few in a region.
+    "lines": """SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS record_id, CAST(floor(o_orderkey / 20) AS BIGINT) AS region, CAST(o_orderkey AS BIGINT) AS gene_id, CAST(o_orderkey * 1000 AS BIGINT) AS "start", CASE WHEN floor(o_orderkey / 7) % 3 = 0 THEN -1 ELSE 1 END AS strand FROM orders""",
     # Profiles: one row per combination of flags, with a length and a cutoff.
     "profiles": """SELECT concat(f, s) AS profile, k AS length, CAST(k * 500 AS DOUBLE) AS cutoff FROM (VALUES ('A', 'F', 30), ('A', 'O', 40), ('N', 'F', 50), ('N', 'O', 35), ('R', 'F', 45), ('R', 'O', 25)) t(f, s, k)""",
 }
@@ -37,7 +46,7 @@ _SPARK = SQL | {
     "nucleotides": SQL["nucleotides"].format(g=""),
 }
 
-_SOURCE = {"genes": "lineitem", "hits": "lineitem", "moments": "events", "sequences": "documents", "nucleotides": "documents", "alignments": "lineitem", "profiles": None}
+_SOURCE = {"genes": "lineitem", "hits": "lineitem", "moments": "events", "sequences": "documents", "nucleotides": "documents", "alignments": "lineitem", "domains": "lineitem", "lines": "orders", "profiles": None}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
