@@ -183,7 +183,8 @@ def counted_links(grouped: DataFrame, s: Settings) -> DataFrame:
     dealt = grouped.join(sizes, ["component", "label"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("row"), F.greatest(k, F.col("mine")).alias("column")))
     tiled = dealt.select("component", "label", "node", "weight", "v", "mine", F.explode(tiles).alias("tile"))
-    tiled = tiled.select("component", "label", "node", "weight", "v", "mine", F.col("tile.row").alias("tile_row"), F.col("tile.column").alias("tile_column"))
+    # Dealt by tile: the join above leaves a component's rows together, and its tiles are to be many tasks.
+    tiled = tiled.select("component", "label", "node", "weight", "v", "mine", F.col("tile.row").alias("tile_row"), F.col("tile.column").alias("tile_column")).repartition("component", "label", "tile_row", "tile_column")
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         row, column = rows["tile_row"].iloc[0], rows["tile_column"].iloc[0]
@@ -213,6 +214,8 @@ def dedup(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     grouped = cut(nodes.join(labelled, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found"))
     counts = counted_links(grouped, settings)
     known = grouped.join(counts, ["node", "label"], "left").select("label", "v", "component", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    joined = rows.join(known, ["label", "v"], "left")
+    # Rows that have no node are dealt by their ids.
+    alone = F.when(F.col("label").isNull() | F.col("v").isNull(), F.coalesce("vec_id", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    joined = rows.withColumn("alone", alone).join(known.withColumn("alone", F.lit(0).cast("long")), ["label", "v", "alone"], "left")
     result = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -5,7 +5,7 @@ Sequences are filled one after another: of the waiting items that fit, the one w
 the largest dot product with what is left goes in. Items may be cut where the caller allows it;
 then a sequence into which nothing fits whole takes the head of an item. Each input partition
 packs for itself with a bounded number of waiting items, so there is no shuffle, memory does not follow the
-input, and at most one sequence per partition is left short.
+input, and where items may be cut at most one sequence per partition is left short.
 
 Defined results: a null or empty text is its end id alone; rows are packed one by one, whatever
 their ids (a repeated or null id is a row like any other); an item over a limit that may not be cut
@@ -26,20 +26,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .token_counts import MARKS, SPACE
+from .token_counts import MARKS, SPACE, token_counts
 from .tokenizer_files import tokenizer_path
 from .words import in_small_batches, slices
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence holds at most, and how many items wait at once in a partition."""
+    """What one sequence holds at most. In a partition more than half of ``waiting`` items wait, or ``reserve`` sequences' tokens, so that tiny items never close a short sequence."""
 
     tokens: int = 2048
-    segments: int = 1024
+    segments: int = 256
     loss: int = 2048
     waiting: int = 512
+    reserve: int = 4
 
 
 class Bins:
@@ -55,16 +57,16 @@ class Bins:
         self.items += items
         self.demands = np.concatenate([self.demands, demands])
 
-    def fill(self, leave: int) -> Iterator[list[tuple[object, int]]]:
-        """Sequences as lists of (item, tokens taken), until at most ``leave`` items wait.
+    def fill(self, last: bool) -> Iterator[list[tuple[object, int]]]:
+        """Sequences as lists of (item, tokens taken), while more wait than half of ``waiting`` items and ``reserve`` sequences' tokens; with ``last`` all.
 
-        Of a cut item the head is taken; what waits on is the same item with smaller demands.
+        Of a cut item the head is taken; its tokens without loss come first, and what waits on is the same item with smaller demands.
         """
         scale = 1.0 / self.full
         alive = np.ones(len(self.items), bool)
         weighted = self.demands * scale
-        left_over = len(self.items)
-        while left_over > leave:
+        left_over, tokens = len(self.items), int(self.demands[:, 0].sum())
+        while left_over and (last or (left_over > self.limits.waiting // 2 and tokens > self.limits.reserve * self.limits.tokens)):
             room = self.full.copy()
             made: list[tuple[object, int]] = []
             while left_over and room[0] and room[1]:
@@ -73,16 +75,22 @@ class Bins:
                 best = int(np.argmax(fits))
                 if fits[best] >= 0:
                     room -= self.demands[best]
+                    tokens -= int(self.demands[best, 0])
                     made.append((self.items[best], int(self.demands[best, 0])))
                     alive[best] = False
                     left_over -= 1
                     continue
-                if not self.may_cut or not room[2]:
+                if not self.may_cut:
                     break
                 best = int(np.argmax(value))
-                head = int(min(room[0], room[2]))
+                free = int(self.demands[best, 0] - self.demands[best, 2])
+                head = int(min(room[0], room[2] + free))
+                if not head:
+                    break
                 made.append((self.items[best], head))
-                self.demands[best, [0, 2]] -= head
+                tokens -= head
+                self.demands[best, 0] -= head
+                self.demands[best, 2] -= max(0, head - free)
                 weighted[best] = self.demands[best] * scale
                 break
             yield made
@@ -168,11 +176,10 @@ class _Document:
 def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None = None) -> DataFrame:
     """Cut and pack the token ids of whole texts; one row per piece.
 
-    All tokens bear loss here. Whole sequences are taken off the front of long documents first;
-    the rests wait and are packed, and cut once more where nothing fits whole.
+    Every id bears loss but a document's first, which nothing foretells. Whole sequences are taken off the front of long documents first;
+    the rests wait and are packed under all three limits, and cut once more where nothing fits whole.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
-    size = min(limits.tokens, limits.loss)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, bins = ids(path), Bins(limits, cut=True)
@@ -185,9 +192,9 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
                 out[name].append(value)
             doc.start += take
 
-        def close(leave: int) -> None:
+        def close(last: bool) -> None:
             nonlocal number
-            for made in bins.fill(leave):
+            for made in bins.fill(last):
                 offset = 0
                 for doc, take in made:
                     piece(doc, take, offset, len(made))
@@ -207,7 +214,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
                 rests = []
                 for k, found in enumerate(tool.of([raw[at[k] : at[k + 1]] for k in range(s.n)])):
                     doc = _Document(doc_ids[s.first + k], found + END)
-                    while doc.total - doc.start >= size:
+                    while (size := min(limits.tokens, limits.loss + (doc.start == 0))) <= doc.total - doc.start:
                         piece(doc, size, 0, 1)
                         number += 1
                     if doc.start < doc.total:
@@ -215,11 +222,12 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
                 for k in range(0, len(rests), limits.waiting):
                     some = rests[k : k + limits.waiting]
                     rest = np.array([d.total - d.start for d in some], np.int64)
-                    bins.add(some, np.stack([rest, np.ones_like(rest), rest], axis=1))
-                    close(limits.waiting // 2)
+                    begun = np.array([d.start > 0 for d in some])
+                    bins.add(some, np.stack([rest, np.ones_like(rest), rest - 1 + begun], axis=1))
+                    close(False)
             if out["doc_id"]:
                 yield flushed()
-        close(0)
+        close(True)
         yield flushed()
 
     return in_small_batches(docs).select("doc_id", "text").mapInArrow(packed, PIECES)
@@ -237,10 +245,10 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, number = Bins(limits, cut=False), TaskContext.get().partitionId() << 33
 
-        def rows(leave: int) -> list[tuple]:
+        def rows(last: bool) -> list[tuple]:
             nonlocal number
             found = []
-            for made in bins.fill(leave):
+            for made in bins.fill(last):
                 offset = 0
                 for (example, tokens, loss), _ in made:
                     found.append((example, tokens, loss, number, offset))
@@ -261,8 +269,24 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
             for k in range(0, len(every), limits.waiting):
                 some = every[k : k + limits.waiting]
                 bins.add(some, np.array([[t, 1, loss] for _, t, loss in some], np.int64))
-                found += rows(limits.waiting // 2)
+                found += rows(False)
             yield batch_of(found)
-        yield batch_of(rows(0))
+        yield batch_of(rows(True))
 
     return examples.select("example_id", "n_tokens", "n_loss").mapInArrow(packed, EXAMPLES)
+
+
+#: What a sequence of conversations holds: fewer segments and loss-bearing tokens than tokens.
+CONVERSATIONS = Limits(tokens=2048, segments=16, loss=1536)
+
+
+def pack_conversations(turns: DataFrame, limits: Limits = CONVERSATIONS) -> DataFrame:
+    """Pack whole conversations (``conv_id, role, text``) uncut; only the assistant's tokens bear loss.
+
+    Conversations are summed before they are packed, and packed in order of id inside a partition, so a repeated task gives the same
+    sequences. Rows without a ``conv_id`` are one conversation; a null role bears no loss.
+    """
+    counted = token_counts(turns.select(F.struct("conv_id", "role").alias("doc_id"), "text"), path=tokenizer_path("byte_bpe_50k.json"))
+    loss = F.when(F.col("doc_id.role") == "assistant", F.col("n_tokens")).otherwise(0)
+    examples = counted.groupBy(F.col("doc_id.conv_id").alias("example_id")).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(loss).alias("n_loss"))
+    return pack_examples(examples.sortWithinPartitions("example_id"), limits)

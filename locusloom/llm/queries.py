@@ -61,6 +61,11 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def conversation_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, uncut, under limits on tokens, segments and loss-bearing tokens."""
+    return packing.pack_conversations(_table(spark, folder, "conversations"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of equal row counts."""
     return sharding.shard(_table(spark, folder, "documents"))
@@ -68,7 +73,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding, conversation_packing)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -101,13 +106,15 @@ n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""
 
+_MIRRORS = f"SELECT split_part(h, '.', 1) || '-' || i || substr(h, instr(h, '.')), 'block', false FROM (SELECT unnest([{', '.join(repr(entry) for entry in url_filters.LISTED)}]) AS h), range(1, {url_filters.MIRRORS + 1}) m(i)"
 _VALUES = ", ".join(f"('{entry}', '{verdict}', true)" for verdict, entry in url_filters.RULES) + ", " + ", ".join(f"('{entry}', 'block', false)" for entry in url_filters.LISTED)
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _OP5 = f"""
-WITH e AS (SELECT entry, verdict, is_rule, split_part(entry, '/', 1) AS h, substr(entry, instr(entry, '/')) AS p FROM (VALUES {_VALUES}) t(entry, verdict, is_rule)),
+WITH e AS (SELECT entry, verdict, is_rule, split_part(entry, '/', 1) AS h, substr(entry, instr(entry, '/')) AS p FROM (SELECT * FROM (VALUES {_VALUES}) t(entry, verdict, is_rule) UNION ALL {_MIRRORS})),
 u AS (SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages),
+k AS (SELECT rid, path, array_to_string(labels[i:], '.') AS h FROM (SELECT rid, path, labels, unnest(range(1, len(labels) + 1)) AS i FROM (SELECT rid, path, string_split(host, '.') AS labels FROM u))),
 m AS (SELECT rid, arg_max(entry, length(entry)) FILTER (is_rule) AS rule, arg_max(verdict, length(entry)) FILTER (is_rule) AS rv, arg_max(verdict, length(entry)) FILTER (NOT is_rule) AS lv
-      FROM u JOIN e ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+      FROM k JOIN e USING (h) WHERE starts_with(path, p) GROUP BY rid)
 SELECT page_id, host, path, rule, coalesce(rv, lv, 'allow') AS verdict FROM u LEFT JOIN m USING (rid)"""
 
 _OP6 = f"""

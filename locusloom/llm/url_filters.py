@@ -11,7 +11,8 @@ The list and its filter are broadcast up to ``BROADCAST_ENTRIES`` counted entrie
 filter); beyond that the same joins are left to shuffle.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path and no rule; rows are
-judged one by one, so repeated rows and ids keep their number; an entry without ``/`` is dropped.
+judged one by one, so repeated rows and ids keep their number; an entry without ``/`` is dropped; an empty table gives an empty result, and
+with an empty list every verdict is ``default``.
 """
 
 from __future__ import annotations
@@ -49,10 +50,20 @@ def canonical(url: str | Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(text, shape, 2)
 
 
-def listed_entries(spark: SparkSession, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] = LISTED) -> DataFrame:
-    """A list in the form that ``judge`` takes, from literal rules and blocked URLs."""
+#: Numbered mirrors of each listed host that are listed too (``spam-farm-17.example.com/``).
+MIRRORS = 20_000
+
+
+def listed_entries(spark: SparkSession, rules: Sequence[tuple[str, str]] = RULES, listed: Sequence[str] = LISTED, mirrors: int = MIRRORS) -> DataFrame:
+    """A list in the form that ``judge`` takes, from literal rules and blocked URLs, and numbered mirrors of these."""
     rows = [(entry, verdict, True) for verdict, entry in rules] + [(entry, "block", False) for entry in listed]
-    return spark.createDataFrame(rows, "entry string, verdict string, is_rule boolean")
+    named = spark.createDataFrame(rows, "entry string, verdict string, is_rule boolean")
+    if not listed or not mirrors:
+        return named
+    hosts = F.explode(F.array(*[F.lit(entry) for entry in listed]))
+    numbered = spark.range(1, mirrors + 1).select("id", hosts.alias("entry"))
+    mirror = F.concat(F.substring_index("entry", ".", 1), F.lit("-"), F.col("id").cast("string"), F.expr("substr(entry, instr(entry, '.'))"))
+    return named.unionByName(numbered.select(mirror.alias("entry"), F.lit("block").alias("verdict"), F.lit(False).alias("is_rule")))
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -99,13 +110,13 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow") -> DataF
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels) - k + 1), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda k: k <= F.length("path")), lambda k: F.substr("path", F.lit(1), k))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    asked = urls.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(keys).alias("key"))
-
+    # Keys are asked for where the URLs are read; only what passes the filter is shuffled.
+    asked = urls.select("host", "path").where("host <> ''").select("host", "path", F.explode(keys).alias("key"))
     blocks, count = bloom(entries, n)
     asked = asked.withColumn("block", _block(F.col("key"), count)).join(small(blocks), "block")
     for k, mask in enumerate(_masks(F.col("key"))):
         asked = asked.where(F.col(f"w{k}").bitwiseAND(mask) == mask)
-    hits = asked.select("host", "path", F.col("key").alias("entry")).join(small(entries), "entry")
+    hits = asked.select("host", "path", F.col("key").alias("entry")).distinct().join(small(entries), "entry")
     order = F.struct(F.length("entry"), F.col("entry"))
     best = hits.groupBy("host", "path").agg(
         F.max_by("entry", F.when(F.col("is_rule"), order)).alias("rule"),
@@ -114,4 +125,6 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow") -> DataF
         F.max_by("verdict", F.when(~F.col("is_rule"), order)).alias("listed_verdict"),
     )
     verdict = F.coalesce("rule_verdict", "listed_verdict", F.lit(default))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
+    # URLs without a host are dealt by their ids.
+    alone = F.when(F.col("host") == "", F.coalesce("page_id", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return urls.withColumn("alone", alone).join(best.withColumn("alone", F.lit(0).cast("long")), ["host", "path", "alone"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
