@@ -1,16 +1,18 @@
 """Areas from core genes: chaining, neighbourhoods, merging, candidates, regions.
 
 Areas have ``record_id, area_id, product, start, end, core_start, core_end``; core genes
-``record_id, gene_id, rule, start, end``.
+``record_id, gene_id, rule, start, end``. On circular records (``lengths`` with ``record_id, length, circular``) a span over the origin is one interval
+that begins before the record's length and ends past it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.graph import components
-from ..plans.intervals import islands, range_join
+from ..plans.intervals import close_circles, islands, range_join
+from ..plans.ordering import prefix_totals
 from .rules import Rules
 
 #: Candidate kinds from the strongest to the weakest.
@@ -22,13 +24,20 @@ def rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rules.rows(), "rule string, category string, cutoff bigint, neighbourhood bigint"))
 
 
-def chain_cores(core_genes: DataFrame, rules: Rules, spread: bool = False) -> DataFrame:
-    """Cores: core genes of a rule that follow each other at less than its cutoff.
+def _with_circles(lengths: DataFrame) -> DataFrame:
+    """``record_id, length, circular``; without such a column records are linear."""
+    return lengths if "circular" in lengths.columns else lengths.withColumn("circular", F.lit(False))
 
-    Adds ``core_start, core_end``, the number of genes and the first and last gene's place. ``spread`` is for records that hold a large share of all genes.
+
+def chain_cores(core_genes: DataFrame, rules: Rules, spread: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+    """Cores: core genes of a rule that follow each other at less than its cutoff; with ``lengths`` also over the origin of circular records.
+
+    Adds ``core_start, core_end``, the number of genes and the first and last gene's place.
     """
     timed = core_genes.join(rule_table(core_genes.sparkSession, rules), "rule")
     chained = islands(timed, ["record_id", "rule"], gap=F.col("cutoff"), order=["gene_id"], spread=spread)
+    if lengths is not None:
+        chained = close_circles(chained, ["record_id", "rule"], _with_circles(lengths), gap=F.col("cutoff"))
     place = F.struct("start", "end", "gene_id")
     return chained.groupBy("record_id", F.col("rule").alias("product"), "island").agg(
         F.min("start").alias("core_start"), F.max("end").alias("core_end"), F.count("*").alias("n_genes"), F.min(place).alias("first_gene"), F.max(place).alias("last_gene"),
@@ -37,38 +46,62 @@ def chain_cores(core_genes: DataFrame, rules: Rules, spread: bool = False) -> Da
 
 
 def expand(cores: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """Add ``start, end``: the core with its neighbourhood on both sides, inside the record (``record_id, length``)."""
-    low, high = F.greatest(F.lit(0).cast("long"), F.col("core_start") - F.col("neighbourhood")), F.col("core_end") + F.col("neighbourhood")
+    """Add ``start, end``: the core with its neighbourhood on both sides, inside the record (``record_id, length``).
+
+    On a circular record the sides go over the origin. Where they meet, a core over the origin takes all but one place in the middle
+    of what it left free, and any other the whole record.
+    """
+    low, high = F.col("core_start") - F.col("neighbourhood"), F.col("core_end") + F.col("neighbourhood")
+    zero = F.lit(0).cast("long")
     if lengths is None:
-        return cores.withColumns({"start": low, "end": high})
-    return cores.join(lengths, "record_id").withColumns({"start": low, "end": F.least(high, F.col("length"))}).drop("length")
+        return cores.withColumns({"start": F.greatest(zero, low), "end": high})
+    length, on_circle = F.col("length"), F.col("circular")
+    whole, over = high - low >= length, F.col("core_end") > length
+    middle = F.floor((F.col("core_start") + F.col("core_end") - length) / 2)
+    start = F.when(~on_circle, F.greatest(zero, low)).when(whole & over, middle).when(whole, zero).otherwise(F.pmod(low, length))
+    end = F.when(~on_circle, F.least(high, length)).when(whole & over, middle + length - 1).when(whole, length).otherwise(F.pmod(low, length) + high - low)
+    return cores.join(_with_circles(lengths), "record_id").withColumns({"start": start, "end": end}).drop("length", "circular")
 
 
-def extend_cores(areas: DataFrame, extenders: DataFrame) -> DataFrame:
+def extend_cores(areas: DataFrame, extenders: DataFrame, bin_width: int = 50_000, lengths: DataFrame | None = None) -> DataFrame:
     """Cores grown to the extender genes (``record_id, rule, gene_id, start, end``) that chain onto them at no more than the cutoff.
 
-    Extender genes alone form islands; those that reach a core are taken in.
+    Extender genes alone form islands; those that reach a core are taken in, on circular records also over the origin.
     """
+    keys = ["record_id", "product"]
     timed = extenders.withColumnRenamed("rule", "product").join(areas.select("product", "cutoff").distinct(), "product")
-    groups = islands(timed, ["record_id", "product"], gap=F.col("cutoff"), strict=False, order=["gene_id"])
-    groups = groups.groupBy("record_id", "product", "island").agg(F.min("start").alias("low"), F.max("end").alias("high"))
-    near = (F.col("low") - F.col("core_end") <= F.col("cutoff")) & (F.col("core_start") - F.col("high") <= F.col("cutoff"))
-    touched = areas.join(groups, ["record_id", "product"]).where(near).groupBy("record_id", "product", "core_start", "core_end").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    grown = areas.join(touched, ["record_id", "product", "core_start", "core_end"], "left")
-    return grown.withColumns({"core_start": F.least("core_start", "low"), "core_end": F.greatest("core_end", "high")}).drop("low", "high")
+    groups = islands(timed, keys, gap=F.col("cutoff"), strict=False, order=["gene_id"])
+    if lengths is not None:
+        groups = close_circles(groups, keys, _with_circles(lengths), gap=F.col("cutoff"), strict=False)
+    groups = groups.groupBy(*keys, "island").agg(F.min("start").alias("start"), (F.max("end") + 1).alias("end"))
+    if lengths is not None:  # a circle's groups also stand one turn before and behind
+        turns = F.when(F.col("circular"), F.array(-F.col("length"), F.lit(0).cast("long"), F.col("length"))).otherwise(F.array(F.lit(0).cast("long")))
+        groups = groups.join(_with_circles(lengths), "record_id").withColumn("turn", F.explode(turns)).select(*keys, (F.col("start") + F.col("turn")).alias("start"), (F.col("end") + F.col("turn")).alias("end"))
+    core = areas.select(*keys, "core_start", "core_end", (F.col("core_start") - F.col("cutoff")).alias("start"), (F.col("core_end") + F.col("cutoff") + 1).alias("end"))
+    near = range_join(core, groups, keys, bin_width).select(*keys, F.col("l.core_start").alias("core_start"), F.col("l.core_end").alias("core_end"), F.col("r.start").alias("low"), (F.col("r.end") - 1).alias("high"))
+    touched = near.groupBy(*keys, "core_start", "core_end").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    grown = areas.join(touched, [*keys, "core_start", "core_end"], "left").withColumns({"core_start": F.least("core_start", "low"), "core_end": F.greatest("core_end", "high")}).drop("low", "high")
+    if lengths is None:
+        return grown
+    circle = grown.join(_with_circles(lengths), "record_id")
+    start = F.when(F.col("circular"), F.when(F.col("core_end") - F.col("core_start") >= F.col("length"), 0).otherwise(F.pmod("core_start", "length"))).otherwise(F.col("core_start"))
+    size = F.when(F.col("circular"), F.least("length", F.col("core_end") - F.col("core_start"))).otherwise(F.col("core_end") - F.col("core_start"))
+    return circle.withColumns({"core_start": start, "core_end": start + size}).drop("length", "circular")
 
 
-def drop_inferior(areas: DataFrame, rules: Rules) -> DataFrame:
+def drop_inferior(areas: DataFrame, rules: Rules, bin_width: int = 50_000) -> DataFrame:
     """Areas left when those go whose core lies in the core of a superior rule's area, or whose genes' span meets its genes'."""
     pairs = [(r.name, s) for r in rules.rules for s in r.superiors]
     if not pairs:
         return areas
-    superior = F.broadcast(areas.sparkSession.createDataFrame(pairs, "product string, superior string"))
-    mine = areas.join(superior, "product").select("record_id", "product", "superior", "core_start", "core_end", "first_gene", "last_gene")
-    other = areas.select("record_id", F.col("product").alias("superior"), F.col("core_start").alias("o_start"), F.col("core_end").alias("o_end"), F.col("first_gene").alias("o_first"), F.col("last_gene").alias("o_last"))
-    inside = (F.col("o_start") <= F.col("core_start")) & (F.col("core_end") <= F.col("o_end"))
-    meets = (F.col("o_last") >= F.col("first_gene")) & (F.col("last_gene") >= F.col("o_first"))
-    lost = mine.join(other, ["record_id", "superior"]).where(inside | meets).select("record_id", "product", "core_start").distinct()
+    superior = F.broadcast(areas.sparkSession.createDataFrame(pairs, "product string, superior string"))  # as many as are written in code
+    # Either way the spans from the first to the last gene touch, so pairs come from a join of spans.
+    span = lambda df, *keys: df.select("record_id", *keys, "core_start", "core_end", "first_gene", "last_gene", F.col("core_start").alias("start"), (F.greatest("core_end", F.col("last_gene.start")) + 1).alias("end"))
+    mine = span(areas.join(superior, "product"), "product", "superior")
+    other = span(areas.withColumn("superior", F.col("product")), "superior")
+    inside = lambda a, b: (F.col(f"{b}.core_start") <= F.col(f"{a}.core_start")) & (F.col(f"{a}.core_end") <= F.col(f"{b}.core_end"))
+    meets = lambda a, b: (F.col(f"{b}.last_gene") >= F.col(f"{a}.first_gene")) & (F.col(f"{a}.last_gene") >= F.col(f"{b}.first_gene"))
+    lost = range_join(mine, other, ["record_id", "superior"], bin_width, within=lambda a, b: inside(a, b) | meets(a, b)).select("record_id", F.col("l.product").alias("product"), F.col("l.core_start").alias("core_start")).distinct()
     return areas.join(lost, ["record_id", "product", "core_start"], "left_anti")
 
 
@@ -82,8 +115,8 @@ def merge_same_type(areas: DataFrame) -> DataFrame:
 
 def numbered(areas: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Add ``area_id``, the 1-based place of an area in its record."""
-    w = Window.partitionBy("record_id").orderBy(start, end, "product")
-    return areas.withColumn("area_id", F.row_number().over(w))
+    placed = prefix_totals(areas, ["record_id"], [start, end, "product"], rows="_before")
+    return placed.withColumn("area_id", (F.col("_before") + 1).cast("int")).drop("_before")
 
 
 def protoclusters(core_genes: DataFrame, rules: Rules, lengths: DataFrame | None = None) -> DataFrame:
@@ -176,9 +209,17 @@ def candidates(areas: DataFrame, defining: DataFrame, bin_width: int) -> DataFra
     return every.select("record_id", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1).alias("kind"), "start", "end", F.sort_array("areas").alias("areas"))
 
 
-def regions(areas: DataFrame, spread: bool = False) -> DataFrame:
-    """``record_id, region, start, end, n_areas``: what overlapping areas (candidates, subregions) make together."""
+def regions(areas: DataFrame, spread: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+    """``record_id, region, start, end, n_areas``: what overlapping areas (candidates, subregions) make together.
+
+    With ``lengths`` the first and last of a circular record become one where they overlap over the origin; it then comes first.
+    """
     grouped = islands(areas, ["record_id"], gap=0, spread=spread)
+    if lengths is not None:
+        closed = close_circles(grouped, ["record_id"], _with_circles(lengths))
+        spans = closed.groupBy("record_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_areas"))
+        over = spans.join(_with_circles(lengths), "record_id").withColumn("_over", F.col("circular") & (F.col("end") > F.col("length")))
+        return prefix_totals(over, ["record_id"], [F.col("_over").desc(), F.col("start").asc()], rows="_before").select("record_id", (F.col("_before") + 1).alias("region"), "start", "end", "n_areas")
     return grouped.groupBy("record_id", (F.col("island") + 1).alias("region")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_areas"))
 
 

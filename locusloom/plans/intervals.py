@@ -33,27 +33,46 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width
     return kept.select(*keys, "l", "r")
 
 
-def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", order: Sequence[str] = (), into: str = "island", spread: bool = False) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", order: Sequence[str] = (), into: str = "island", spread: bool = True) -> DataFrame:
     """Number the groups of intervals, per key in order of start, that follow each other at less than ``gap``.
 
     ``strict`` starts a new island where the distance to all earlier rows reaches ``gap``, else where it exceeds it.
-    ``spread`` deals keys over range partitions, for keys that may hold a large share of all rows;
-    otherwise a key's rows meet in one task.
+    Keys are dealt over range partitions, so one that holds a large share of all rows is many tasks; without ``spread``
+    a key's rows meet in one task, which saves two small shuffles where keys are known to be small.
     """
     gap = gap if isinstance(gap, Column) else F.lit(gap)
     sort = [start, end, *order]
     distance = F.col(start) - F.col("_reach")
     begins = F.col("_reach").isNull() | (distance >= gap if strict else distance > gap)
     if spread:
-        reached = running(df, keys, sort, {"_reach": (end, F.max)})
+        reached = running(df, keys, sort, {"_reach": (end, F.max)}, keep=True)
         marked = reached.withColumn("_begins", begins.cast("long"))
-        numbered = running(marked, keys, sort, {"_earlier": ("_begins", F.sum)})
+        # Of rows that tie in all of the order the one that begins comes first here too.
+        numbered = running(marked, keys, [*sort, F.col("_begins").desc()], {"_earlier": ("_begins", F.sum)}, dealt=True)
         return numbered.withColumn(into, F.coalesce("_earlier", F.lit(0)) + F.col("_begins") - 1).drop("_reach", "_begins", "_earlier")
     w = Window.partitionBy(*keys).orderBy(*sort)
     reached = df.withColumn("_reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return reached.withColumn(into, F.sum(begins.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_reach")
 
 
+def close_circles(marked: DataFrame, keys: Sequence[str], lengths: DataFrame, gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", into: str = "island") -> DataFrame:
+    """Join a key's first and last island where they meet over the origin of a circular record.
+
+    ``lengths`` has ``record_id, length, circular``, and ``record_id`` is among the keys. Rows of the first island then
+    go behind the last one: their coordinates grow by the length, so a span over the origin is one interval that ends past it.
+    """
+    gap = gap if isinstance(gap, Column) else F.lit(gap)
+    spans = marked.groupBy(*keys, into).agg(F.min(start).alias("low"), F.max(end).alias("high"), F.max(gap).alias("gap"))
+    ends = spans.groupBy(*keys).agg(F.min(into).alias("_first"), F.max(into).alias("_last"), F.min_by("low", into).alias("low"), F.max_by("high", into).alias("high"), F.max("gap").alias("gap"))
+    over = F.col("low") + F.col("length") - F.col("high")
+    near = (over < F.col("gap")) if strict else (over <= F.col("gap"))
+    met = ends.join(lengths.where("circular").select("record_id", "length"), "record_id").where((F.col("_first") < F.col("_last")) & near).select(*keys, "_first", "_last", F.col("length").alias("_length"))
+    joined = marked.join(met, list(keys), "left")
+    moved = F.coalesce(F.col(into) == F.col("_first"), F.lit(False))
+    shifted = {c: F.when(moved, F.col(c) + F.col("_length")).otherwise(F.col(c)) for c in (start, end)}
+    return joined.withColumns(shifted | {into: F.when(moved, F.col("_last")).otherwise(F.col(into))}).drop("_first", "_last", "_length")
+
+
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], merge: Callable[[Column, Column], Column], into: str = "kept") -> DataFrame:
     """Scan each key's rows in order with ``merge(list so far, row)`` and return the rows of the final list.
 

@@ -17,21 +17,24 @@ from .checkpoints import cut
 ROWS = "_rows_before"
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], measures: Mapping[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], measures: Mapping[str, tuple[str, Callable[[Column], Column]]], dealt: bool = False, keep: bool = False) -> DataFrame:
     """Add to each row an aggregate over the rows before it in its key; null for a key's first row.
 
+    ``keep`` leaves the rows' partition in ``_part``; with it a further call in the same order (``dealt``) needs no new range shuffle.
+
     ``keys`` name columns without nulls (none: one global order), ``order`` columns or sort
     expressions; ``measures`` maps a new column to a column and an aggregate that
     can be taken again over its own results (sum, max, min).
     """
     order = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
     parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    if not dealt:
+        df = cut(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
 
     inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.withColumns({name: how(F.col(c)).over(inside) for name, (c, how) in measures.items()})
+    placed = df.withColumns({name: how(F.col(c)).over(inside) for name, (c, how) in measures.items()})
 
-    totals = dealt.groupBy(*keys, "_part").agg(*[how(F.col(c)).alias(f"_t_{name}") for name, (c, how) in measures.items()])
+    totals = df.groupBy(*keys, "_part").agg(*[how(F.col(c)).alias(f"_t_{name}") for name, (c, how) in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "_part", *[how(F.col(f"_t_{name}")).over(earlier).alias(f"_b_{name}") for name, (_, how) in measures.items()])
     joined = placed.join(before, [*keys, "_part"])
@@ -39,7 +42,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], m
         here, there = F.col(name), F.col(f"_b_{name}")
         both = here + there if how is F.sum else F.greatest(here, there) if how is F.max else F.least(here, there)
         joined = joined.withColumn(name, F.coalesce(both, here, there))
-    return joined.drop("_part", *[f"_b_{name}" for name in measures])
+    return joined.drop(*([] if keep else ["_part"]), *[f"_b_{name}" for name in measures])
 
 
 def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: Mapping[str, str] | None = None, rows: str | None = ROWS) -> DataFrame:
