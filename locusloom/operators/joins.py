@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.intervals import range_join
+from ..plans.ordering import with_adjacent
 
 
 def within(features: DataFrame, areas: DataFrame, bin_width: int, with_overlapping: bool = False) -> DataFrame:
@@ -67,10 +68,9 @@ def annotate_subtypes(hits: DataFrame, subtype_hits: DataFrame, target: str) ->
 
 def followers(features: DataFrame) -> DataFrame:
     """``record_id, gene_id, follower``: the next gene in the direction of transcription, where it is on the same strand."""
-    w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
-    forward = F.when(F.lead("strand").over(w) == F.col("strand"), F.lead("gene_id").over(w))
-    reverse = F.when(F.lag("strand").over(w) == F.col("strand"), F.lag("gene_id").over(w))
-    return features.select("record_id", "gene_id", F.when(F.col("strand") == -1, reverse).otherwise(forward).alias("follower"))
+    near = with_adjacent(features, ["record_id"], ["start", "end", "gene_id"], ["gene_id", "strand"])
+    chosen = F.when(F.col("strand") == -1, F.col("before")).otherwise(F.col("after"))
+    return near.select("record_id", "gene_id", F.when(chosen["strand"] == F.col("strand"), chosen["gene_id"]).alias("follower"))
 
 
 def areas_by_gene(features: DataFrame, names: DataFrame, lengths: DataFrame, padding: int = 20000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.intervals import islands
-from ..plans.ordering import prefix_totals
+from ..plans.ordering import prefix_totals, with_adjacent
 
 GENE = ["record_id", "gene_id"]
 
@@ -93,13 +93,27 @@ def stage_totals(timings: DataFrame) -> DataFrame:
 
 
 def promoters(genes: DataFrame, upstream: int = 1000, downstream: int = 50) -> DataFrame:
-    """``record_id, gene_id, start, end`` of the window before each gene, cut at its neighbours' ends and kept inside the gene."""
-    w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
-    near = genes.withColumns({"p_end": F.lag("end").over(w), "n_start": F.lead("start").over(w)})
-    forward = F.col("strand") == 1
-    low = F.when(forward, F.greatest(F.col("start") - upstream, F.coalesce("p_end", F.lit(0)))).otherwise(F.greatest(F.col("end") - downstream, F.col("start")))
-    high = F.when(forward, F.least(F.col("start") + downstream, F.col("end"))).otherwise(F.least(F.col("end") + upstream, F.coalesce("n_start", F.col("end") + upstream)))
-    return near.select("record_id", "gene_id", low.alias("start"), high.alias("end")).where("start < end")
+    """``record_id, gene_id, other_id, start, end`` of the window before each gene, cut at its neighbours' ends and kept inside the gene.
+
+    A reverse gene and the forward one behind it whose windows meet share one window, from inside the one to inside the other; ``other_id`` is that second gene.
+    """
+    near = with_adjacent(genes, ["record_id"], ["start", "end", "gene_id"], ["gene_id", "start", "end", "strand"])
+    forward, after = F.col("strand") == 1, F.col("after")
+    faces = F.coalesce((F.col("strand") == -1) & (after["strand"] == 1) & (F.col("end") + upstream >= after["start"] - upstream), F.lit(False))
+    faced = F.coalesce(forward & (F.col("before.strand") == -1) & (F.col("before.end") + upstream >= F.col("start") - upstream), F.lit(False))
+    low = F.when(forward, F.greatest(F.col("start") - upstream, F.coalesce("before.end", F.lit(0)))).otherwise(F.greatest(F.col("end") - downstream, F.col("start")))
+    alone = F.when(forward, F.least(F.col("start") + downstream, F.col("end"))).otherwise(F.least(F.col("end") + upstream, F.coalesce(after["start"], F.col("end") + upstream)))
+    high = F.when(faces, F.least(after["start"] + downstream, after["end"])).otherwise(alone)
+    rows = near.where(~faced).select("record_id", "gene_id", F.when(faces, after["gene_id"]).alias("other_id"), low.alias("start"), high.alias("end"))
+    return rows.where("start < end")
+
+
+def promoter_sequences(windows: DataFrame, sequences: DataFrame, least: int = 6, most: int = 2101) -> DataFrame:
+    """Windows (``record_id, start, end``) with their ``promoter``, cut at the record's end, that is within the lengths and has each of A, C, G and T."""
+    joined = windows.join(sequences.select("record_id", "seq"), "record_id")
+    found = joined.withColumn("promoter", F.upper(F.substr("seq", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))).drop("seq")
+    size = F.length("promoter")
+    return found.where(size.between(least, most) & F.col("promoter").contains("A") & F.col("promoter").contains("C") & F.col("promoter").contains("G") & F.col("promoter").contains("T"))
 
 
 def promoter_sets(anchors: DataFrame, counts: DataFrame, reach: int = 15, least: int = 4) -> DataFrame:

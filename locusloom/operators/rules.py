@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
 from ..plans.intervals import range_join
 
 _ANCILLARY = "array<struct<gene_id:bigint,profile:string>>"
@@ -281,14 +282,15 @@ def gene_profiles(features: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def with_neighbours(genes: DataFrame, cutoff: int) -> DataFrame:
-    """Add ``near``: the other genes of the record at a distance under ``cutoff``.
+    """Add ``near``: the other genes of the record at a distance under ``cutoff``, each with its ``distance``.
 
     The join is over bins as wide as the cutoff, so a record of any length is many groups.
     """
     wide = genes.select("record_id", "gene_id", (F.col("start") - cutoff).alias("start"), (F.col("end") + cutoff).alias("end"))
     pairs = range_join(wide, genes, ["record_id"], max(1, cutoff), within=lambda a, b: F.col(f"{a}.gene_id") != F.col(f"{b}.gene_id"))
-    found = pairs.groupBy("record_id", F.col("l.gene_id").alias("gene_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("r.gene_id").alias("gene_id"), F.map_entries("r.own").alias("entries")))).alias("found"))
-    near = F.transform("found", lambda n: F.struct(n["gene_id"].alias("gene_id"), F.map_from_entries(n["entries"]).alias("own")))
+    distance = F.greatest(F.col("r.start") - F.col("l.end"), F.col("l.start") - F.col("r.end")) + cutoff
+    found = pairs.groupBy("record_id", F.col("l.gene_id").alias("gene_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("r.gene_id").alias("gene_id"), distance.alias("distance"), F.map_entries("r.own").alias("entries")))).alias("found"))
+    near = F.transform("found", lambda n: F.struct(n["gene_id"].alias("gene_id"), F.map_from_entries(n["entries"]).alias("own"), n["distance"].alias("distance")))
     joined = genes.join(found.select("record_id", "gene_id", near.alias("near")), ["record_id", "gene_id"], "left")
     return joined.withColumn("near", F.coalesce("near", F.array().cast(joined.schema["near"].dataType)))
 
@@ -303,25 +305,20 @@ def evaluate_rules(features: DataFrame, hits: DataFrame, rules: Rules) -> DataFr
     """``record_id, gene_id, rule, matches``: genes that define a rule's area.
 
     A rule counts for a gene where it is met and the gene matched something itself; then the ancillary
-    genes count too. All rules of one cutoff are columns of one neighbourhood join.
+    genes count too. All rules are columns of one neighbourhood join at the largest cutoff; rules with a smaller one look at the nearer part.
     """
-    genes = gene_profiles(features, hits)
-    parts = []
-    for cutoff in sorted({r.cutoff for r in rules.rules}):
-        near = with_neighbours(genes, cutoff)
-        structs = []
-        for rule in rules.rules:
-            if rule.cutoff == cutoff:
-                found = rule.condition.on(F.col("own"), F.col("near"))
-                own = F.transform(found.matches, lambda p: F.struct(F.col("gene_id").alias("gene_id"), p.alias("profile")))
-                cores = F.when(found.met & (F.size(found.matches) > 0), F.concat(own.cast(_ANCILLARY), found.ancillary.cast(_ANCILLARY)))
-                structs.append(F.struct(F.lit(rule.name).alias("rule"), cores.alias("cores")))
-        rows = near.select("record_id", F.inline(F.array(*structs))).where("cores is not null")
-        parts.append(rows.select("record_id", "rule", F.inline("cores")))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.groupBy("record_id", "gene_id", "rule").agg(F.sort_array(F.collect_set("profile")).alias("matches"))
+    genes = cut(gene_profiles(features, hits))
+    cutoffs = sorted({r.cutoff for r in rules.rules})
+    nearer = lambda cutoff: F.filter("near", lambda n: n["distance"] < cutoff)
+    near = with_neighbours(genes, cutoffs[-1]).withColumns({f"near_{c}": nearer(c) for c in cutoffs})
+    structs = []
+    for rule in rules.rules:
+        found = rule.condition.on(F.col("own"), F.col(f"near_{rule.cutoff}"))
+        own = F.transform(found.matches, lambda p: F.struct(F.col("gene_id").alias("gene_id"), p.alias("profile")))
+        cores = F.when(found.met & (F.size(found.matches) > 0), F.concat(own.cast(_ANCILLARY), found.ancillary.cast(_ANCILLARY)))
+        structs.append(F.struct(F.lit(rule.name).alias("rule"), cores.alias("cores")))
+    rows = near.select("record_id", F.inline(F.array(*structs))).where("cores is not null")
+    return rows.select("record_id", "rule", F.inline("cores")).groupBy("record_id", "gene_id", "rule").agg(F.sort_array(F.collect_set("profile")).alias("matches"))
 
 
 def strip_inferior(matches: DataFrame, rules: Rules) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.ordering import with_adjacent
 
 #: Codons that start and stop a reading frame, and residues by codon (first, second, third base in TCAG order).
 STARTS, STOPS = ("ATG", "GTG", "TTG"), ("TAA", "TAG", "TGA")
@@ -51,37 +56,74 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), "ACGTacgt", "TGCAtgca")
 
 
-def words_at(seq: Column, size: int) -> Column:
-    """Every window of a sequence in order, in one pass (a substring by position would start from the front each time)."""
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
 def codons_of(seq: Column) -> Column:
     """The whole codons of a sequence, in one pass."""
     return F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
 
 
-def _strands(sequences: DataFrame) -> DataFrame:
-    """``record_id, size, strand, s`` of both strands."""
-    seq = F.upper("seq")
-    return sequences.select("record_id", F.length("seq").alias("size"), F.inline(F.array(F.struct(F.lit(1).alias("strand"), seq.alias("s")), F.struct(F.lit(-1).alias("strand"), reverse_complement(seq).alias("s")))))
+#: Bases by code; anything else is 4.
+_CODE = np.full(256, 4, np.int8)
+for _k, _b in enumerate("ACGT"):
+    _CODE[[ord(_b), ord(_b.lower())]] = _k
+
+
+def _codes(text: str) -> np.ndarray:
+    return _CODE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+
+
+def _codons(words: Sequence[str]) -> np.ndarray:
+    """A mark for each of 125 codon codes that is one of the words."""
+    marks = np.zeros(125, bool)
+    marks[[int(c[0]) * 25 + int(c[1]) * 5 + int(c[2]) for c in (_codes(w) for w in words)]] = True
+    return marks
+
+
+def _frames(codes: np.ndarray, min_length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per frame the starts and ends of reading frames: from the earliest start codon after a stop to the next stop."""
+    codon = codes[:-2].astype(np.int16) * 25 + codes[1:-1] * 5 + codes[2:]
+    is_start, is_stop = _codons(STARTS)[codon], _codons(STOPS)[codon]
+    for frame in range(3):
+        starts, stops = np.flatnonzero(is_start[frame::3]), np.flatnonzero(is_stop[frame::3])
+        if len(starts) and len(stops):
+            before = np.concatenate([[-1], stops[:-1]])
+            at = np.searchsorted(starts, before + 1)
+            first = starts[np.minimum(at, len(starts) - 1)]
+            good = (at < len(starts)) & (first < stops) & ((stops - first) * 3 + 2 >= min_length)
+            yield first[good] * 3 + frame, stops[good] * 3 + frame + 3
 
 
 def scan_orfs(sequences: DataFrame, min_length: int = 60) -> DataFrame:
     """``record_id, strand, start, end``: in six frames, from the earliest start codon to the next stop.
 
-    Codons are exploded per frame; a start counts if no other came since the last stop of its frame.
-    Frames of long sequences are windows of their own.
+    Sequences are read where they lie, one after another, as arrays of base codes (about 12 bytes a base of the longest one); nothing is shuffled. Null and short sequences have none.
     """
-    coded = _strands(sequences).select("record_id", "strand", "size", F.posexplode(words_at(F.col("s"), 3)).alias("at", "codon"))
-    coded = coded.where(F.col("codon").isin(*STARTS, *STOPS)).withColumn("frame", F.col("at") % 3)
-    frame = Window.partitionBy("record_id", "strand", "frame").orderBy("at")
-    stop = F.col("codon").isin(*STOPS)
-    numbered = coded.withColumn("before", F.coalesce(F.sum(stop.cast("int")).over(frame.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = numbered.groupBy("record_id", "strand", "size", "frame", "before").agg(F.min(F.when(~stop, F.col("at"))).alias("first"), F.max(F.when(stop, F.col("at"))).alias("last"))
-    long = found.where(F.col("last") + 2 - F.col("first") >= min_length)
-    forward = F.col("strand") == 1
-    return long.select("record_id", "strand", F.when(forward, F.col("first")).otherwise(F.col("size") - F.col("last") - 3).alias("start"), F.when(forward, F.col("last") + 3).otherwise(F.col("size") - F.col("first")).alias("end"))
+    kind = sequences.schema["record_id"].dataType
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+            for place, seq in enumerate(batch.column("seq").to_pylist()):
+                if seq is not None and len(seq) >= 3:
+                    codes = _codes(seq)
+                    out += [(place, 1, a, b) for a, b in _frames(codes, min_length)]
+                    back = np.where(codes < 4, 3 - codes, 4).astype(np.int8)[::-1]
+                    out += [(place, -1, len(codes) - b, len(codes) - a) for a, b in _frames(back, min_length)]
+            yield _rows(batch, [o[0] for o in out], [len(o[2]) for o in out], {"strand": [o[1] for o in out]}, {"start": [o[2] for o in out], "end": [o[3] for o in out]})
+
+    schema = T.StructType([T.StructField("record_id", kind), *[T.StructField(n, T.IntegerType()) for n in ("strand", "start", "end")]])
+    return sequences.select("record_id", "seq").mapInArrow(scanned, schema)
+
+
+def _rows(batch: pa.RecordBatch, places: list[int], sizes: list[int], once: Mapping[str, list], each: Mapping[str, list[np.ndarray]]) -> pa.RecordBatch:
+    """A batch of found rows: record ids by place, values that hold for a whole block, and arrays of the blocks."""
+    columns = {"record_id": batch.column("record_id").take(pa.array(np.repeat(np.array(places, np.int64), sizes)))}
+    for name, values in once.items():
+        repeated = np.repeat(np.array(values, object if values and isinstance(values[0], str) else np.int32), sizes)
+        columns[name] = pa.array(repeated, pa.string() if repeated.dtype == object else pa.int32())
+    for name, arrays in each.items():
+        whole = np.concatenate(arrays) if arrays else np.zeros(0, np.float64 if name == "score" else np.int64)
+        columns[name] = pa.array(whole.astype(np.float64 if name == "score" else np.int32))
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def trim_orf(seq: Column, include: Column, min_length: int, max_length: int) -> Column:
@@ -113,26 +155,37 @@ def codon_positions(genes: DataFrame, codon: str, min_gc: float) -> DataFrame:
 def scan_matrices(sequences: DataFrame, matrices: Mapping[str, Sequence[Mapping[str, float]]], thresholds: Mapping[str, float]) -> DataFrame:
     """``record_id, matrix, start, strand, score``: sums of position weights at every offset of both strands that reach a threshold.
 
-    A matrix is a few positions, so a window's score is one expression over its characters: no join, no shuffle.
+    All matrices are scored in one reading of a sequence, by adding shifted arrays of weights in blocks of a million bases; nothing is shuffled, and only what reaches a
+    threshold becomes a row. A character that is no base weighs as the least of its place.
     """
-    both = _strands(sequences)
-    parts = []
+    tables = {}
     for name, weights in matrices.items():
-        size = len(weights)
-        places = both.select("record_id", "strand", "size", F.posexplode(words_at(F.col("s"), size)).alias("at", "word"))
-        score = F.lit(0.0)
-        for k, column in enumerate(weights):
-            letter = F.substring("word", k + 1, 1)
-            weight = F.lit(min(column.values()))
-            for base in "ACGT":
-                weight = F.when(letter == base, float(column[base])).otherwise(weight)
-            score = score + weight
-        start = F.when(F.col("strand") == 1, F.col("at")).otherwise(F.col("size") - F.col("at") - size)
-        parts.append(places.select("record_id", F.lit(name).alias("matrix"), start.alias("start"), "strand", F.round(score, 6).alias("score")).where(F.col("score") >= thresholds[name]))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+        forward = np.array([[w[b] for b in "ACGT"] + [min(w.values())] for w in weights])
+        tables[name] = {1: forward, -1: forward[::-1][:, [3, 2, 1, 0, 4]]}
+    block = 1 << 20
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, str, int, np.ndarray, np.ndarray]] = []
+            for place, seq in enumerate(batch.column("seq").to_pylist()):
+                codes = _codes(seq or "")
+                for name, strands in tables.items():
+                    for strand, table in strands.items():
+                        for low in range(0, len(codes) - len(table) + 1, block):
+                            part = codes[low : low + block + len(table) - 1]
+                            n = len(part) - len(table) + 1
+                            total = np.zeros(n)
+                            for k in range(len(table)) if strand == 1 else reversed(range(len(table))):
+                                total += table[k][part[k : k + n]]
+                            total = np.round(total, 6)
+                            at = np.flatnonzero(total >= thresholds[name])
+                            if len(at):
+                                out.append((place, name, strand, at + low, total[at]))
+            yield _rows(batch, [o[0] for o in out], [len(o[3]) for o in out], {"matrix": [o[1] for o in out], "strand": [o[2] for o in out]}, {"start": [o[3] for o in out], "score": [o[4] for o in out]}).select(["record_id", "matrix", "start", "strand", "score"])
+
+    kind = sequences.schema["record_id"].dataType
+    schema = T.StructType([T.StructField("record_id", kind), T.StructField("matrix", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("strand", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    return sequences.select("record_id", "seq").mapInArrow(scored, schema)
 
 
 def confidence(score: Column, low: Column, high: Column) -> Column:
@@ -142,11 +195,11 @@ def confidence(score: Column, low: Column, high: Column) -> Column:
 
 def binding_areas(genes: DataFrame, padding: int = 50) -> DataFrame:
     """``record_id, start, end`` where something may bind: gaps between neighbouring genes, opened at their starts; none between two gene ends."""
-    w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
-    paired = genes.withColumns({"p_end": F.lag("end").over(w), "p_strand": F.lag("strand").over(w)}).where("p_end is not null")
-    low = F.when(F.col("p_strand") == -1, F.col("p_end") - padding).otherwise(F.col("p_end"))
-    high = F.when(F.col("strand") == 1, F.col("start") + padding).otherwise(F.col("start"))
-    return paired.where(~((F.col("p_strand") == 1) & (F.col("strand") == -1))).select("record_id", low.alias("start"), high.alias("end")).where("start < end")
+    paired = with_adjacent(genes, ["record_id"], ["start", "end", "gene_id"], ["end", "strand"]).where("before is not null")
+    left, forward = F.col("before.strand"), F.col("strand") == 1
+    low = F.when(left == -1, F.col("before.end") - padding).otherwise(F.col("before.end"))
+    high = F.when(forward, F.col("start") + padding).otherwise(F.col("start"))
+    return paired.where(~((left == 1) & (F.col("strand") == -1))).select("record_id", low.alias("start"), high.alias("end")).where("start < end")
 
 
 def extract_signature(query: Column, reference: Column, positions: Sequence[int]) -> Column:
@@ -167,10 +220,11 @@ def extract_signature(query: Column, reference: Column, positions: Sequence[int]
 def signature_similarity(queries: DataFrame, references: DataFrame, at_least: float = 50.0) -> DataFrame:
     """``query_id, label, similarity``: per query and label the best share (in per cent) of equal places above the bound.
 
-    ``references`` (``label, ref_sig``) is a table of known signatures, of code size.
+    ``references`` (``label, ref_sig``) is a table of known signatures. Every query is compared with all of its length, so their number multiplies the work; Spark broadcasts them only
+    while they are small.
     """
     same = F.aggregate(F.sequence(F.lit(1), F.length("signature")), F.lit(0), lambda n, k: n + (F.substr("signature", k, F.lit(1)) == F.substr("ref_sig", k, F.lit(1))).cast("int"))
-    joined = queries.where("length(signature) > 0").join(F.broadcast(references), F.length("signature") == F.length("ref_sig"))
+    joined = queries.where("length(signature) > 0").join(references, F.length("signature") == F.length("ref_sig"))
     scored = joined.select("query_id", "label", (100.0 * same / F.length("signature")).alias("similarity")).where(F.col("similarity") > at_least)
     return scored.groupBy("query_id", "label").agg(F.max("similarity").alias("similarity"))
 

@@ -53,3 +53,13 @@ def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     measures = {name: (c, F.sum) for name, c in (sums or {}).items()} | ({rows: ("_one", F.sum)} if rows else {})
     found = running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, measures).drop("_one")
     return found.withColumns({name: F.coalesce(name, F.lit(0)) for name in measures})
+
+
+def with_adjacent(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Add the structs ``before`` and ``after``: the columns of the rows next to each one in its key's order; null at the ends.
+
+    Places are counted over range partitions and rows meet their neighbours by place, so no key is one task's work.
+    """
+    placed = cut(prefix_totals(df, keys, order, rows="_place"))
+    near = lambda step, name: placed.select(*keys, (F.col("_place") + step).alias("_place"), F.struct(*columns).alias(name))
+    return placed.join(near(1, "before"), [*keys, "_place"], "left").join(near(-1, "after"), [*keys, "_place"], "left").drop("_place")

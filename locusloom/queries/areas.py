@@ -176,7 +176,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 _LETTERS = Rules(tuple(Rule(p, profile(p), 400, 600) for p in ("A", "N", "R", "F", "O")))
 _LETTER_SQL = f""", core AS (SELECT record_id, gene_id, unnest([substr(profile, 1, 1), substr(profile, 2, 1)]) AS rule, "start", "end" FROM genes), {islands_sql("chained", "core", "record_id, rule", "400")},
     named AS (SELECT record_id, rule, island, min("start") AS core_start, max("end") AS core_end, greatest(0, min("start") - 600) AS "start", max("end") + 600 AS "end" FROM chained GROUP BY record_id, rule, island),
-    areas AS (SELECT *, record_id * 100000 + row_number() OVER (PARTITION BY record_id ORDER BY "start", "end", rule) AS id FROM named),
+    areas AS (SELECT *, record_id * 4294967296 + row_number() OVER (PARTITION BY record_id ORDER BY "start", "end", rule) AS id FROM named),
     defining AS (SELECT id, c.record_id, gene_id FROM chained c JOIN areas a ON a.record_id = c.record_id AND a.rule = c.rule AND a.island = c.island),
     pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM defining a JOIN defining b ON a.record_id = b.record_id AND a.gene_id = b.gene_id AND a.id <> b.id),
     reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
@@ -203,7 +203,7 @@ def lettered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     chained = ops.islands(cores, ["record_id", "rule"], gap=400, order=["gene_id"])
     spans = chained.groupBy("record_id", F.col("rule").alias("product"), "island").agg(F.min("start").alias("core_start"), F.max("end").alias("core_end"))
     spans = spans.withColumns({"start": F.greatest(F.lit(0).cast("long"), F.col("core_start") - 600), "end": F.col("core_end") + 600})
-    areas = ops.numbered(spans).withColumn("id", F.col("record_id") * 100000 + F.col("area_id"))
+    areas = ops.numbered(spans).withColumn("id", F.col("record_id") * (1 << 32) + F.col("area_id"))
     defining = chained.withColumnRenamed("rule", "product").join(areas.select("record_id", "product", "island", "id"), ["record_id", "product", "island"]).select("id", "record_id", "gene_id")
     return areas, defining
 

@@ -108,12 +108,30 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.stage_totals(table(spark, folder, "moments").select(F.col("profile").alias("stage"), F.col("score").alias("seconds"))).withColumn("seconds", F.round("seconds", 2))
 
 
-@query("J11_promoters", with_tables("""SELECT record_id, gene_id, low AS "start", high AS "end" FROM (SELECT record_id, gene_id, CASE WHEN strand = 1 THEN greatest("start" - 1000, coalesce(pe, 0)) ELSE greatest("end" - 50, "start") END AS low, CASE WHEN strand = 1 THEN least("start" + 50, "end") ELSE least("end" + 1000, coalesce(ns, "end" + 1000)) END AS high
-    FROM (SELECT *, lag("end") OVER w AS pe, lead("start") OVER w AS ns FROM genes WINDOW w AS (PARTITION BY record_id ORDER BY "start", "end", gene_id))) WHERE low < high""", "genes"))
+def _promoter_sql(source: str, up: int, down: int) -> str:
+    return f"""near AS (SELECT *, lag("end") OVER w AS pe, lag(strand) OVER w AS ps, lead("start") OVER w AS ns, lead("end") OVER w AS ne, lead(strand) OVER w AS nst, lead(gene_id) OVER w AS nid FROM {source} WINDOW w AS (PARTITION BY record_id ORDER BY "start", "end", gene_id)),
+    faced AS (SELECT *, coalesce(strand = -1 AND nst = 1 AND "end" + {up} >= ns - {up}, false) AS faces, coalesce(strand = 1 AND ps = -1 AND pe + {up} >= "start" - {up}, false) AS taken FROM near),
+    windows AS (SELECT record_id, gene_id, CASE WHEN faces THEN nid END AS other_id, CASE WHEN strand = 1 THEN greatest("start" - {up}, coalesce(pe, 0)) ELSE greatest("end" - {down}, "start") END AS low,
+        CASE WHEN faces THEN least(ns + {down}, ne) WHEN strand = 1 THEN least("start" + {down}, "end") ELSE least("end" + {up}, coalesce(ns, "end" + {up})) END AS high FROM faced WHERE NOT taken)"""
+
+
+@query("J11_promoters", with_tables(f""", {_promoter_sql("genes", 1000, 50)} SELECT record_id, gene_id, other_id, low AS "start", high AS "end" FROM windows WHERE low < high""", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.promoters(table(spark, folder, "genes"))
 
 
+_SPOTS = """spots AS (SELECT record_id, record_id * 8 + k AS gene_id, CAST(k * (100 + record_id % 90) + 40 AS BIGINT) AS "start", CAST(k * (100 + record_id % 90) + 100 AS BIGINT) AS "end", CASE WHEN (record_id + k) % 3 = 0 THEN -1 ELSE 1 END AS strand FROM nucleotides, range(0, 8) t(k))"""
+
+
+@query("J11_promoter_sequences", with_tables(f""", {_SPOTS}, {_promoter_sql("spots", 60, 20)}, cut_out AS (SELECT record_id, gene_id, other_id, upper(substr(seq, CAST(low + 1 AS INT), CAST(high - low AS INT))) AS promoter FROM windows JOIN nucleotides USING (record_id) WHERE low < high)
+    SELECT * FROM cut_out WHERE length(promoter) BETWEEN 6 AND 161 AND contains(promoter, 'A') AND contains(promoter, 'C') AND contains(promoter, 'G') AND contains(promoter, 'T')""", "nucleotides"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    dna = table(spark, folder, "nucleotides")
+    step, k = 100 + F.col("record_id") % 90, F.col("k")
+    spots = dna.select("record_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("record_id", (F.col("record_id") * 8 + k).alias("gene_id"), (k * step + 40).alias("start"), (k * step + 100).alias("end"), F.when((F.col("record_id") + k) % 3 == 0, -1).otherwise(1).alias("strand"))
+    return ops.promoter_sequences(ops.promoters(spots, 60, 20), dna, 6, 161).select("record_id", "gene_id", "other_id", "promoter")
+
+
 _PLACES = "places AS (SELECT record_id, gene_id, profile, score, CAST(row_number() OVER (PARTITION BY record_id ORDER BY \"start\", \"end\", gene_id) AS INT) AS k FROM moments), n AS (SELECT record_id, CAST(count(*) AS INT) AS n FROM moments GROUP BY ALL), anchors AS (SELECT record_id, k AS anchor FROM places WHERE score > 100)"
 
 
