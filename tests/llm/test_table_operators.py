@@ -88,18 +88,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash_dedup.dedup(frame.limit(0)).count() == 0
 
 
-def test_pivot_rounds_and_tiles_lose_no_link(spark):
-    """With pairs left to the last step from the start, and with small tiles, classes are the same."""
+def test_a_drifting_group_loses_no_link(spark):
+    """Copies of copies, one changed word each, and copies of one text with many changes: all links, few of the pairs that share buckets."""
     random.seed(4)
     words = random.choices([f"v{k}" for k in range(300)], k=60)
-    texts = []
+    first, texts = list(words), []
     for _ in range(60):
         words = list(words)
         words[random.randrange(60)] = f"n{random.random()}"
         texts.append(" ".join(words))
+    for _ in range(80):
+        texts.append(" ".join(w if random.random() > 0.03 else f"m{random.randrange(40)}" for w in first))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(56)} for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     frame = documents(spark, [(k, t, "s") for k, t in enumerate(texts)])
-    results = [sorted((r["doc_id"], r["component_id"]) for r in minhash_dedup.dedup(frame, s).collect()) for s in (minhash_dedup.Settings(), minhash_dedup.Settings(pairs_per_row=1e9, tile=2), minhash_dedup.Settings(pairs_per_row=0, turns=3))]
-    assert results[0] == results[1] == results[2]
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.dedup(frame).collect()}
+    assert [found[k] for k in range(len(texts))] == classes(len(texts), links)
+    assert len(set(found.values())) > 1
+
+
+def test_first_shared_shingles_hold_every_possible_pair(spark):
+    random.seed(12)
+    base = random.choices([f"w{k}" for k in range(40)], k=50)
+    texts = [" ".join(w if random.random() > share else f"x{random.randrange(9)}" for w in base[: random.randint(30, 50)]) for share in (0.01, 0.05, 0.15) for _ in range(25)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    nodes = spark.createDataFrame([(k, k % 50) for k in range(len(texts))], "x bigint, class bigint")
+    pairs = {(r["a"], r["b"]) for r in minhash_dedup._first_shared(nodes, documents(spark, [(k, t, "s") for k, t in enumerate(texts)]), minhash_dedup.Settings()).collect()}
+    needed = {(a, b) for b in range(len(texts)) for a in range(b) if a % 50 != b % 50 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert needed and needed <= pairs
 
 
 def judged(url):
@@ -237,7 +253,87 @@ def test_one_more_shard_moves_few_rows(spark):
     frame = documents(spark, rows)
     before, after = ({r["doc_id"]: r["shard"] for r in sharding.shard(frame, n, nodes=128).collect()} for n in (24, 25))
     moved = sum(before[k] != after[k] for k in before)
-    assert moved < 0.5 * len(rows)  # dealing anew would move 96 %
+    assert moved < 0.35 * len(rows)  # dealing anew would move 96 %
+
+
+def test_shards_equal_a_walk_round_the_ring(spark):
+    """Row by row: each row of an arc fills its shard, what is over goes clockwise to the next arc whose shard has room."""
+    random.seed(14)
+    rows = [(k, random.choice(["same text", f"text {k}", f"other {k % 50}", None]), "s") for k in range(700)]
+    placed = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(documents(spark, rows), 5, 8).collect()}
+    ring = sharding.arcs(5, 8)
+    hashed = spark.createDataFrame([(k, t or "") for k, t, _ in rows], "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) AS position", "octet_length(text) + 8 AS size", "crc32(cast(text AS binary)) AS crc").collect()
+    own = {k: [] for k in range(len(ring))}
+    for r in hashed:
+        cell = (r["position"] % (1 << 64)) >> 50
+        arc = next((k for k, (end, _) in enumerate(ring) if end >= cell), 0)
+        own[arc].append((r["position"], r["doc_id"]))
+    room = {s: 140 for s in range(5)}
+    slots, expected, rest = dict.fromkeys(range(5), 0), {}, []
+    for arc, some in own.items():
+        for _, doc in sorted(some):
+            shard = ring[arc][1]
+            if room[shard]:
+                room[shard] -= 1
+                expected[doc] = (shard, slots[shard])
+                slots[shard] += 1
+            else:
+                rest.append((arc, doc))
+    for arc, doc in rest:
+        step = next(k % len(ring) for k in range(arc + 1, arc + 1 + len(ring)) if room[ring[k % len(ring)][1]])
+        shard = ring[step][1]
+        room[shard] -= 1
+        expected[doc] = (shard, slots[shard])
+        slots[shard] += 1
+    assert placed == expected
+
+
+def test_conversations_are_packed_whole_under_binding_limits(spark):
+    random.seed(15)
+    turns = [(c, t, random.choice(["user", "assistant"]), " ".join(["word"] * random.randint(0, 90))) for c in range(150) for t in range(random.randint(1, 5))] + [(None, 0, None, None), (3, 9, "assistant", None)]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    limits = packing.Limits(tokens=400, segments=3, loss=150, waiting=32)
+    found = packing.pack_conversations(frame, limits).collect()
+    assert sorted(-1 if r["example_id"] is None else r["example_id"] for r in found) == sorted({-1 if c is None else c for c, *_ in turns})
+    by = {}
+    for r in found:
+        if r["sequence_id"] is not None:
+            by.setdefault(r["sequence_id"], []).append(r)
+    assert all(sum(r["n_tokens"] for r in x) <= 400 and sum(r["n_loss"] for r in x) <= 150 and len(x) <= 3 for x in by.values())
+    assert any(len(x) == 3 for x in by.values()) and any(sum(r["n_loss"] for r in x) > 120 for x in by.values())
+    assert packing.pack_conversations(frame.limit(0), limits).count() == 0
+
+
+def test_tiny_texts_close_no_short_sequence(spark):
+    frame = documents(spark, [(k, "a b", "s") for k in range(6000)]).coalesce(1)
+    sequences = {}
+    for p in packing.pack_documents(frame, packing.Limits(segments=2048)).collect():
+        sequences[p["sequence_id"]] = sequences.get(p["sequence_id"], 0) + p["length"]
+    assert sum(n < 2048 for n in sequences.values()) <= 1
+
+
+NAMES = ("_measured", "_good", "_content", "_id", "_number", "_copy", "_key", "_copies", "_row", "kept", "bands", "digest")
+
+
+def test_helper_names_never_touch_the_callers_columns(spark):
+    from locusloom.llm import quality_classifier, quality_rules
+
+    text = "one quiet line says that the river runs past the old town and on to the sea where ships wait for the tide %d times"
+    rows = [(k, text % k if k % 9 else None, "en", "s", *[f"{n}{k}" for n in NAMES]) for k in range(40)] + [(None, text % 99, None, None, *NAMES)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in NAMES))
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    given = {str(tuple(r)) for r in frame.collect()}
+    for kept in (quality_rules.keep(frame), quality_classifier.keep(frame, labels), minhash_dedup.keep(frame), mixing.emit(frame)):
+        assert kept.columns == frame.columns
+        found = kept.collect()
+        assert found and all(str(tuple(r)) in given for r in found)
+
+
+def test_equal_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "s")] * 6 + [(2, "d e", "s"), (None, "f g", "t"), (None, "f g", "t")]
+    frame = documents(spark, rows)
+    assert mixing.emit(frame).count() == sum(r["copies"] for r in mixing.mix(frame).collect()) > 0
+    assert mixing.emit(frame.limit(0)).count() == 0
 
 
 def test_spread_places_everything_within_capacity():

@@ -163,3 +163,89 @@ def test_held_out_fold_follows_the_id(spark):
 
     rows = spark.range(50).select(F.col("id").alias("doc_id"), quality_classifier.fold().alias("fold")).collect()
     assert all(r["fold"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+
+
+def test_fit_equals_a_plain_ridge_of_the_same_features(spark):
+    """Weights from sums over partitions against one least-squares solution of all rows, and the curve against pooled means."""
+    random = np.random.default_rng(5)
+    x = random.normal(size=(400, quality_classifier.FEATURES))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * random.normal(size=400) > 0.4).astype(float)
+    rows = [(x[k].tolist(), float(y[k]), k % 4 == 0) for k in range(400)]
+    settings = quality_classifier.Settings(components=32, parts=5)
+    model = quality_classifier.fit(spark.createDataFrame(rows, "x array<double>, y double, calibrate boolean").repartition(5), settings)
+    centre, scale = x.mean(axis=0), x.std(axis=0)
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale)
+    draw = np.random.default_rng(settings.seed)
+    frequencies = draw.normal(size=(quality_classifier.FEATURES, 32)) / settings.bandwidth
+    phases = draw.uniform(0, 2 * np.pi, 32)
+    z = np.concatenate([np.sqrt(2 / 32) * np.cos(np.clip((x - centre) / scale, -5, 5) @ frequencies + phases), np.ones((400, 1))], axis=1)
+    train = np.arange(400) % 4 != 0
+    penalty = np.diag([settings.ridge] * 32 + [1e-9])
+    weights = np.linalg.solve(z[train].T @ z[train] + penalty, z[train].T @ y[train])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    raw = z[~train] @ weights
+    low, high = raw < np.quantile(raw, 0.3), raw > np.quantile(raw, 0.7)
+    score = model.score(x[~train])
+    assert abs(score.mean() - y[~train].mean()) < 0.05 and score[high].mean() > score[low].mean() + 0.4
+    order = np.argsort(raw)
+    assert (np.diff(score[order]) >= -1e-9).all()
+    # The features approximate a Gaussian kernel.
+    many = np.random.default_rng(1)
+    w, b = many.normal(size=(quality_classifier.FEATURES, 20_000)) / 3, many.uniform(0, 2 * np.pi, 20_000)
+    f = np.sqrt(2 / 20_000) * np.cos(x[:5] @ w + b)
+    assert np.allclose(f @ f.T, np.exp(-((x[:5, None] - x[None, :5]) ** 2).sum(-1) / 18), atol=0.05)
+
+
+def test_whole_licences_ask_for_all_their_wording(spark):
+    def written(parts, optional):
+        out = []
+        for p in parts:
+            if isinstance(p, license_scans.Word):
+                out.append(p.word.upper() + ",")
+            elif isinstance(p, license_scans.Any):
+                out += ["anyone"] * p.least
+            elif optional:
+                out += written(p.parts, optional)
+        return out
+
+    texts, expected = [], []
+    for label, markup in license_scans.TEMPLATES:
+        parts = license_scans.parsed(markup)
+        for optional in (False, True):
+            texts.append("intro " + " ".join(written(parts, optional)) + " end")
+            expected.append(label)
+        words = written(parts, True)
+        if len(words) > 60:
+            words[len(words) // 2] = "altered,"
+            texts.append(" ".join(words))
+            expected.append(None)
+    texts += [texts[0]] * 3
+    expected += [expected[0]] * 3
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["labels"].split(",") for r in license_scans.scan(frame).collect()}
+    whole = [label for label, markup in license_scans.TEMPLATES if len(license_scans.words_of(markup)) > 60]
+    for k, label in enumerate(expected):
+        assert label is None or label in found[k], (k, label, texts[k][:80])
+    altered = [k for k, label in enumerate(expected) if label is None]
+    assert altered and len(whole) >= 4 and all("isc" not in found[k] and "mit" not in found[k] and "zlib" not in found[k] for k in altered)
+    assert license_scans.scan(frame.limit(0)).count() == 0
+
+
+def test_very_long_texts_in_every_text_operator(spark):
+    from locusloom.llm import minhash_dedup, mixing, sharding
+
+    text = LONG * 60 + "z" * 3_000_000  # 12 MB, the last word longer than a block of the hash
+    frame = spark.createDataFrame([(1, text, "s"), (2, text, "s"), (3, "short", "s")], "doc_id bigint, text string, source string")
+    ledger = {r["doc_id"]: r for r in quality_rules.ledger(frame).collect()}
+    assert ledger[1]["n_words"] == 40_000 * 60 + 1 and ledger[1]["n_repeat_words"] >= 40_000 * 60 - 1
+    found = {r["doc_id"]: r for r in minhash_dedup.dedup(frame).collect()}
+    assert found[2]["component_id"] == 1 and found[3]["kept"]
+    assert {r["size"] for r in mixing.mix(frame).collect()} == {40_000 * 60 + 1, 1}
+    assert sharding.shard(frame).agg(F.max("size")).first()[0] == len(text) + 8
+    assert license_scans.scan(frame).where("n_words > 1000000").count() == 2
+
+
+def test_token_counts_of_an_empty_table(spark):
+    frame = docs(spark, TEXTS)
+    assert token_counts.token_counts(frame.limit(0)).count() == 0
+    assert token_counts.token_counts(frame.union(frame)).count() == 2 * frame.count()
