@@ -107,7 +107,7 @@ class Slice:
             begin = self.starts[first]
             last = max(first + 1, int(np.searchsorted(self.ends, begin + BLOCK, side="right")))
             if self.ends[first] - begin > BLOCK:
-                out[first] = self._long_word(begin, self.ends[first])
+                out[first] = self._long_word(int(begin), int(self.ends[first]))
             else:
                 starts, ends = self.starts[first:last] - begin, self.ends[first:last] - begin
                 up, down = _powers()
