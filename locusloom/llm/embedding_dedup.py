@@ -38,6 +38,7 @@ class Settings:
     window: int = 48
     block: int = 512
     tile: int = 1024
+    salts: int = 16
     recall: float = 0.9995
     least_passes: int = 6
     seed: int = 11
@@ -180,7 +181,10 @@ def counted_links(grouped: DataFrame, s: Settings) -> DataFrame:
     A component of n nodes is compared in tiles of ``tile`` by ``tile``, each a task's group of its own.
     """
     sizes = grouped.groupBy("component", "label").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / s.tile))
-    dealt = grouped.join(sizes, ["component", "label"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    # A large component's rows are dealt by salt, and its size stands once for each salt.
+    salts = F.sequence(F.lit(0), F.lit(s.salts - 1))
+    salted = grouped.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(s.salts)).cast("int"))
+    dealt = salted.join(sizes.withColumn("salt", F.explode(salts)), ["component", "label", "salt"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")))
     tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("row"), F.greatest(k, F.col("mine")).alias("column")))
     tiled = dealt.select("component", "label", "node", "weight", "v", "mine", F.explode(tiles).alias("tile"))
     # Dealt by tile: the join above leaves a component's rows together, and its tiles are to be many tasks.
