@@ -171,12 +171,12 @@ _MASS = f"{ops.WATER} + " + " + ".join(f"(length(p) - length(replace(p, '{r}', '
 
 
 @query("H20_peptide_mass", with_tables(f""", s AS (SELECT record_id, {_PROTEIN} AS p FROM sequences), m AS (SELECT record_id, {_MASS} AS mass, length(p) - length(replace(p, 'S', '')) AS n FROM s)
-    SELECT record_id, round(mass, 3) AS mass, coalesce(array_to_string(list_transform(range(1, n + 1), lambda k: CAST(CAST(round(round(mass + k * {ops.WATER}, 4)) AS BIGINT) AS VARCHAR)), ','), '') AS others FROM m""", "sequences"))
+    SELECT record_id, round(mass, 3) AS mass, coalesce(array_to_string(list_transform(range(1, n + 1), lambda k: CAST((CAST(round((mass + k * {ops.WATER}) * 10000) AS BIGINT) + 5000) // 10000 AS VARCHAR)), ','), '') AS others FROM m""", "sequences"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = _proteins(spark, folder)
-    measured = rows.select("record_id", ops.peptide_mass(F.col("seq")).alias("mass"), (F.length("seq") - F.length(F.replace("seq", F.lit("S"), F.lit("")))).alias("n"))
-    others = F.transform(ops.alternative_masses(F.col("mass"), F.col("n")), lambda m: F.round(F.round(m, 4)).cast("long").cast("string"))
-    return measured.select("record_id", F.round("mass", 3).alias("mass"), F.array_join(others, ",").alias("others"))
+    measured = rows.select("record_id", ops.peptide_mass(F.col("seq")).alias("whole"), (F.length("seq") - F.length(F.replace("seq", F.lit("S"), F.lit("")))).alias("n"))
+    others = F.transform(ops.alternative_masses(F.col("whole"), F.col("n")), lambda m: F.call_function("div", F.round(m * 10000).cast("long") + 5000, F.lit(10000)).cast("string"))
+    return measured.select("record_id", F.round("whole", 3).alias("mass"), F.array_join(others, ",").alias("others"))
 
 
 @query("H21_peptide_class", with_tables("""SELECT record_id, CASE WHEN list_contains(p, 'click') AND list_contains(p, 'purchase') THEN 'one' WHEN list_contains(p, 'error') THEN 'two' ELSE 'unknown' END AS class FROM (SELECT record_id * 100 + "start" // 86400 AS record_id, list(DISTINCT profile) AS p FROM moments GROUP BY 1)""", "moments"))
