@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, lexical_search, license_scans, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import embedding_dedup, lexical_search, license_scans, merkle_manifest, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, url_filters
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,9 +76,14 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of all documents, with a proof for each and what it folds up to."""
+    return merkle_manifest.proofs(merkle_manifest.manifest(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding, op11_lexical_search, conversation_packing)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding, op11_lexical_search, op12_merkle_manifest, conversation_packing)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -182,5 +187,37 @@ r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score D
 SELECT * FROM r WHERE rank <= 10"""
 
 
+def _op12(levels: int = 9, above: int = 4) -> str:
+    """Levels one by one: ``levels`` over rows and ``above`` over languages; a tree that has one node left stays as it is."""
+    def field(c): return f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')"
+    def leaf(text): return f"sha256(concat({field('doc_id')}, {field('source')}, {field('lang')}, {field('n_chars')}, {field(text)}))"
+    crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+    def tree(name, source, key, n):
+        part = [f"{name}0 AS (SELECT {key} AS tree, p, h, count(*) OVER (PARTITION BY {key}) AS c FROM {source})"]
+        for k in range(n):
+            run = "PARTITION BY tree, p // 8 ORDER BY p ROWS BETWEEN"
+            part.append(f"{name}s{k} AS (SELECT *, coalesce(CASE WHEN c > 1 THEN string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING) END, '') AS l, coalesce(CASE WHEN c > 1 THEN string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING) END, '') AS r FROM {name}{k})")
+            part.append(f"{name}{k + 1} AS (SELECT tree, p, h, count(*) OVER (PARTITION BY tree) AS c FROM (SELECT tree, p // 8 AS p, CASE WHEN min(c) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h FROM {name}{k} GROUP BY tree, p // 8))")
+        return part
+    ctes = [
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf('text')} AS leaf, CASE WHEN ({crc}) % 3 = 0 THEN {leaf('folded')} END AS other FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents))",
+        "e AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)",
+        *tree("a", "e", "t", levels),
+        f"u AS (SELECT tree AS t, h, row_number() OVER (ORDER BY tree) - 1 AS p FROM a{levels})",
+        *tree("b", "u", "1", above),
+    ]
+    last = "e"
+    for k in range(levels):
+        fold = f"CASE WHEN s.c > 1 THEN sha256(s.l || {'coalesce(x.other, x.leaf)' if not k else 'x.f'} || s.r) ELSE {'coalesce(x.other, x.leaf)' if not k else 'x.f'} END"
+        ctes.append(f"f{k} AS (SELECT x.* EXCLUDE ({'h' if not k else 'f, g'}), {fold} AS f, {'' if not k else 'x.g || '}s.l || s.r AS g FROM {last} x JOIN as{k} s ON s.tree = x.t AND s.p = x.p // {8 ** k})")
+        last = f"f{k}"
+    ctes.append(f"g AS (SELECT x.* EXCLUDE (p), u.p AS p, u.h AS subroot FROM {last} x JOIN u USING (t))")
+    last = "g"
+    for k in range(above):
+        ctes.append(f"g{k} AS (SELECT x.* EXCLUDE (f, g), CASE WHEN s.c > 1 THEN sha256(s.l || x.f || s.r) ELSE x.f END AS f, x.g || s.l || s.r AS g FROM {last} x JOIN bs{k} s ON s.p = x.p // {8 ** k})")
+        last = f"g{k}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(g) AS proof_sha256, f AS folded_root, f = h AS verified FROM {last}, b{above}"
+
+
 #: Oracles. The others have none: 2 is fitted, 3 and 9 need a tokenizer, 10 hashes onto a ring; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op4_embedding_dedup": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op7_minhash_dedup": _OP7, "op8_license_scans": _op8(), "op11_lexical_search": _OP11}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op4_embedding_dedup": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op7_minhash_dedup": _OP7, "op8_license_scans": _op8(), "op11_lexical_search": _OP11, "op12_merkle_manifest": _op12()}
