@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, lexical_search, license_scans, merkle_manifest, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, url_filters
+from . import embedding_dedup, lexical_search, license_scans, merkle_manifest, minhash_dedup, mixing, packing, quality_classifier, quality_rules, sharding, token_counts, url_filters, warc_archives
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,9 +81,14 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.proofs(merkle_manifest.manifest(_table(spark, folder, "documents")))
 
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as archives, normalised, and read back by offset."""
+    return warc_archives.round_trip(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding, op11_lexical_search, op12_merkle_manifest, conversation_packing)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_token_counts, op4_embedding_dedup, op5_url_filters, op6_mixing, op7_minhash_dedup, op8_license_scans, op9_packing, op10_sharding, op11_lexical_search, op12_merkle_manifest, op13_warc, conversation_packing)
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -189,7 +194,7 @@ SELECT * FROM r WHERE rank <= 10"""
 
 def _op12(levels: int = 9, above: int = 4) -> str:
     """Levels one by one: ``levels`` over rows and ``above`` over languages; a tree that has one node left stays as it is."""
-    def field(c): return f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')"
+    def field(c): return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
     def leaf(text): return f"sha256(concat({field('doc_id')}, {field('source')}, {field('lang')}, {field('n_chars')}, {field(text)}))"
     crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
     def tree(name, source, key, n):
@@ -219,5 +224,14 @@ def _op12(levels: int = 9, above: int = 4) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, h AS root, sha256(g) AS proof_sha256, f AS folded_root, f = h AS verified FROM {last}, b{above}"
 
 
+_OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+g AS (SELECT x, max(page_id) AS largest FROM p GROUP BY x),
+b AS (SELECT page_id, x, largest, CAST(CAST(unhex(sha1(x)) AS BIT) AS VARCHAR) AS bits, largest IS NOT NULL AND page_id IS DISTINCT FROM largest AS revisit FROM p JOIN g USING (x))
+SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(5), lambda k: CAST(substr(bits, i + k + 1, 1) AS INT) << (4 - k))) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN largest END AS refers_to FROM b"""
+
+
 #: Oracles. The others have none: 2 is fitted, 3 and 9 need a tokenizer, 10 hashes onto a ring; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op4_embedding_dedup": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op7_minhash_dedup": _OP7, "op8_license_scans": _op8(), "op11_lexical_search": _OP11, "op12_merkle_manifest": _op12()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op4_embedding_dedup": _OP4, "op5_url_filters": _OP5, "op6_mixing": _OP6, "op7_minhash_dedup": _OP7, "op8_license_scans": _op8(), "op11_lexical_search": _OP11, "op12_merkle_manifest": _op12(), "op13_warc": _OP13}
