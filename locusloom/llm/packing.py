@@ -128,9 +128,12 @@ class Ids:
         return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
     def learn(self, chunks: list[str]) -> None:
-        """Add chunks. A run of letters and the mark that follows it are tokenised apart, so the run is asked for once."""
+        """Add chunks. A run of letters and the mark that follows it are tokenised apart, so the run is asked for once.
+
+        That holds where the run still ends in a letter once normalised: some letters become one and a combining mark, which joins what follows.
+        """
         known = self.known
-        marked = [(c, c[:-1], c[-1]) for c in chunks if c[-1] in MARKS and c[:-1].isalpha()]
+        marked = [(c, c[:-1], c[-1]) for c in chunks if c[-1] in MARKS and c[:-1].isalpha() and self.ends_in_letter(c[:-1])]
         ends = {c for c, _, _ in marked}
         plain = {c for c in chunks if c not in ends}
         asked = plain.union([w for _, w, _ in marked]).difference(known)
@@ -144,6 +147,9 @@ class Ids:
                 known[chunk] = array("I", found.ids).tobytes()
         known.update([(c, known[w] + known[m]) for c, w, m in marked])
 
+    def ends_in_letter(self, word: str) -> bool:
+        return word[-1].isascii() or self.tool.normalizer.normalize_str(word)[-1:].isalpha()
+
     def learn_words(self, words: list[str]) -> list[str]:
         """Add runs of letters by one call: each ends with the only id of it that ends a word. Returns them if that does not hold."""
         found = np.array(self.tool.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")

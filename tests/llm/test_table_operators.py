@@ -288,6 +288,19 @@ def test_shards_equal_a_walk_round_the_ring(spark):
     assert placed == expected
 
 
+def test_every_letter_before_a_mark_has_the_ids_of_the_library():
+    """Some letters become a letter and a combining mark, which joins the mark behind it."""
+    tool = packing.Ids(tokenizer_path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    marks = sorted(packing.MARKS)
+    texts = [f"{'AL' * (k % 2)}{c}{marks[k % len(marks)]}" for k, c in enumerate(letters)]
+    texts += [f"{word}{c}{mark}" for c in "\u0130\u0958\u095b\u095f\u09dc\ufb1d\ufb2a" for word in ("", "al", "\u0130") for mark in marks]
+    for k in range(0, len(texts), 5000):
+        some = texts[k : k + 5000]
+        expected = [np.array(e.ids, "<u4").tobytes() for e in tool.tool.encode_batch_fast(some, add_special_tokens=False)]
+        assert tool.of([t.encode() for t in some]) == expected
+
+
 def test_conversations_are_packed_whole_under_binding_limits(spark):
     random.seed(15)
     turns = [(c, t, random.choice(["user", "assistant"]), " ".join(["word"] * random.randint(0, 90))) for c in range(150) for t in range(random.randint(1, 5))] + [(None, 0, None, None), (3, 9, "assistant", None)]
