@@ -205,10 +205,12 @@ def read_record(text: bytes) -> tuple:
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """``RECORDS_READ`` of every record of normalised archives, each inflated alone from where the index says it lies."""
     number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
-    files = spark.read.format("binaryFile").load(f"{target}/archives").select(number(r"part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)[^/]*$").alias("piece"), "content")
+    files = spark.read.format("binaryFile").load(f"{target}/archives").select(number(r"part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)\.[^/]*$").alias("piece"), "content")
     index = spark.read.parquet(f"{target}/index").select("part", "piece", "offset", "length")
 
     def taken(content: pa.Table, places: pa.Table) -> pa.Table:
+        if len(content) != 1:
+            raise ValueError(f"the index names an archive of which there are {len(content)}: {places.select(['part', 'piece']).slice(0, 1).to_pylist()}")
         data = memoryview(content["content"][0].as_py())
         found = [read_record(zlib.decompress(data[a : a + n], wbits=31)) for a, n in zip(places["offset"].to_pylist(), places["length"].to_pylist(), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
