@@ -177,7 +177,8 @@ class Manifest:
 
 def manifest(docs: DataFrame) -> Manifest:
     """Build the manifest of ``docs``. Rows are numbered over range partitions, so a language of any size is many tasks."""
-    numbered = prefix_totals(leaves(docs).withColumn("tie", F.monotonically_increasing_id()), ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("tie")], rows="place")
+    stored = cut(leaves(docs))  # texts are hashed once, also where rows are sampled for ranges
+    numbered = prefix_totals(stored.withColumn("tie", F.monotonically_increasing_id()), ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("leaf"), F.col("tie")], rows="place")
     rows = tiers(numbered.select("tree", "place", F.col("leaf").alias("digest"), F.col("doc_id").alias("doc_ids"), "tampered"))
     subroots = cut(prefix_totals(rows[-1].select("tree", F.col("root").alias("digest")), [], ["tree"], rows="place"))
     return Manifest(rows, tiers(subroots.select(F.lit("").alias("tree"), "place", "digest")), subroots)
