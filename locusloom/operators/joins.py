@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.intervals import range_join
+from ..plans.intervals import near_join, range_join
 from ..plans.ordering import with_adjacent
 
 
@@ -17,24 +17,19 @@ def within(features: DataFrame, areas: DataFrame, bin_width: int, with_overlappi
     return pairs.select("record_id", F.col("l.area_id").alias("area_id"), F.col("r.gene_id").alias("gene_id"))
 
 
-def neighbours(features: DataFrame, cutoff: int) -> DataFrame:
-    """``record_id, a, b, distance`` of genes less than the cutoff apart, once per pair."""
+def neighbours(features: DataFrame, cutoff: int, lengths: DataFrame | None = None) -> DataFrame:
+    """``record_id, a, b, distance`` of genes less than the cutoff apart, once per pair; with ``lengths`` the shorter way round on circular records."""
     rows = features.select("record_id", "gene_id", "start", "end")
-    wide = rows.withColumns({"start": F.col("start") - cutoff, "end": F.col("end") + cutoff})
-    pairs = range_join(wide, rows, ["record_id"], max(1, cutoff), within=lambda a, b: F.col(f"{a}.gene_id") < F.col(f"{b}.gene_id"))
-    apart = F.greatest(F.lit(0).cast("long"), F.col("r.start") - (F.col("l.end") - cutoff), F.col("l.start") + cutoff - F.col("r.end"))
-    return pairs.select("record_id", F.col("l.gene_id").alias("a"), F.col("r.gene_id").alias("b"), apart.alias("distance"))
+    pairs = near_join(rows, rows, cutoff, max(1, cutoff), lengths, within=lambda a, b: F.col(f"{a}.gene_id") < F.col(f"{b}.gene_id"))
+    return pairs.select("record_id", F.col("l.gene_id").alias("a"), F.col("r.gene_id").alias("b"), "distance")
 
 
-def nearest_with_profile(features: DataFrame, hits: DataFrame, profiles: Sequence[str], max_range: int = 40000) -> DataFrame:
-    """``record_id, gene_id, distance`` to the closest gene with one of the profiles in range, null without."""
+def nearest_with_profile(features: DataFrame, hits: DataFrame, profiles: Sequence[str], max_range: int = 40000, lengths: DataFrame | None = None) -> DataFrame:
+    """``record_id, gene_id, distance`` to the closest gene with one of the profiles in range, -1 without; on circular records the shorter way round."""
     rows = features.select("record_id", "gene_id", "start", "end")
     named = rows.join(hits.where(F.col("profile").isin(*profiles)).select("record_id", "gene_id").distinct(), ["record_id", "gene_id"])
-    wide = rows.withColumns({"start": F.col("start") - max_range, "end": F.col("end") + max_range})
-    pairs = range_join(wide, named, ["record_id"], max_range)
-    apart = F.greatest(F.lit(0).cast("long"), F.col("r.start") - (F.col("l.end") - max_range), F.col("l.start") + max_range - F.col("r.end"))
-    least = pairs.groupBy("record_id", F.col("l.gene_id").alias("gene_id")).agg(F.min(apart).alias("distance"))
-    return rows.select("record_id", "gene_id").join(least, ["record_id", "gene_id"], "left")
+    least = near_join(rows, named, max_range, max_range, lengths).groupBy("record_id", F.col("l.gene_id").alias("gene_id")).agg(F.min("distance").alias("distance"))
+    return rows.select("record_id", "gene_id").join(least, ["record_id", "gene_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(-1).cast("long")))
 
 
 def map_ontology(hits: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -74,9 +69,18 @@ def followers(features: DataFrame) -> DataFrame:
 
 
 def areas_by_gene(features: DataFrame, names: DataFrame, lengths: DataFrame, padding: int = 20000) -> DataFrame:
-    """``gene_id, record_id, start, end`` around named genes (``gene_id``), inside the record; unknown names keep nulls."""
+    """``gene_id, record_id, start, end`` around named genes (``gene_id``); unknown names keep nulls.
+
+    ``lengths`` has ``record_id, length`` and perhaps ``circular``. Areas stay inside linear records. On circular ones they go over the origin, as one
+    interval that ends past the length, and are the whole record where the sides meet.
+    """
+    circular = F.coalesce("circular", F.lit(False)) if "circular" in lengths.columns else F.lit(False)
     found = names.join(features.select("record_id", "gene_id", "start", "end"), "gene_id", "left").join(lengths, "record_id", "left")
-    return found.select("gene_id", "record_id", F.greatest(F.col("start") - padding, F.when(F.col("start").isNotNull(), F.lit(0))).alias("start"), F.least(F.col("end") + padding, F.col("length")).alias("end"))
+    size = F.col("end") - F.col("start") + 2 * padding
+    low = F.when(size >= F.col("length"), F.lit(0).cast("long")).otherwise(F.pmod(F.col("start") - padding, "length"))
+    start = F.when(circular, low).otherwise(F.greatest(F.col("start") - padding, F.when(F.col("start").isNotNull(), F.lit(0))))
+    end = F.when(circular, low + F.least(size, "length")).otherwise(F.least(F.col("end") + padding, F.col("length")))
+    return found.select("gene_id", "record_id", start.alias("start"), end.alias("end"))
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, bin_width: int) -> DataFrame:

@@ -1,40 +1,39 @@
 """Co-location rules: conditions on the profiles of a gene and of the genes near it, as Column expressions.
 
 Conditions are Python objects (``profile("A") & ~profile("B")``, ``minimum(2, ["A", "B"])``). Each turns into three
-columns over a gene's row: whether it is met, the profiles of the gene itself that matched, and
-ancillary genes, which hold what the gene lacks. ``own`` is a map of the gene's profiles to their best scores; ``near`` an
-array of ``(gene_id, own)`` for the genes with hits within the rule's cutoff, itself left out.
+columns over a gene's row: whether it is met, the profiles of the gene itself that matched, and the profiles for which genes near
+it are ancillary, as they hold what the gene lacks. ``own`` is a map of the gene's profiles to their best scores. Of the
+genes near it a condition asks only how many hold a fact (a condition that looks at one gene); those numbers come from ``near_counts``, so
+neither pairs nor arrays of neighbours are made on linear records. Ancillary genes are found the other way round: a gene that has the profile counts
+the genes near it whose rule is met and wants it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut
-from ..plans.intervals import range_join
+from ..plans.nearness import GENE, near_counts
 
-_ANCILLARY = "array<struct<gene_id:bigint,profile:string>>"
+#: From a fact (a condition) to the number of genes near that hold it.
+Near = Callable[["Condition"], Column]
 
 
 def _no_names() -> Column:
     return F.array().cast("array<string>")
 
 
-def _no_genes() -> Column:
-    return F.array().cast(_ANCILLARY)
-
-
 @dataclass(frozen=True)
 class Satisfied:
-    """What a condition says about a gene."""
+    """What a condition says about a gene; ``wanted`` are the profiles whose holders near it are ancillary."""
 
     met: Column
     matches: Column
-    ancillary: Column
+    wanted: Column
 
 
 class Condition:
@@ -44,10 +43,18 @@ class Condition:
         """Met and matches, looking at one gene only."""
         raise NotImplementedError
 
-    def on(self, own: Column, near: Column) -> Satisfied:
+    def on(self, own: Column, near: Near) -> Satisfied:
         """What the condition says about a gene and its neighbours."""
         raise NotImplementedError
 
+    def facts(self) -> frozenset[Condition]:
+        """What it asks of single genes near."""
+        raise NotImplementedError
+
+    def names(self) -> frozenset[str]:
+        """Profiles that it may want of genes near."""
+        return frozenset()
+
     def positive(self) -> bool:
         """Whether anything in it asks for presence."""
         return True
@@ -62,9 +69,9 @@ class Condition:
         return _Not(self)
 
 
-def _joined(parts: Sequence[Condition], own: Column, near: Column, met) -> Satisfied:
+def _joined(parts: Sequence[Condition], own: Column, near: Near, met) -> Satisfied:
     found = [p.on(own, near) for p in parts]
-    return Satisfied(met([f.met for f in found]), F.array_distinct(F.concat(*[f.matches for f in found])), F.array_distinct(F.concat(*[f.ancillary for f in found])))
+    return Satisfied(met([f.met for f in found]), F.array_distinct(F.concat(*[f.matches for f in found])), F.array_distinct(F.concat(*[f.wanted for f in found])))
 
 
 def _and(columns: Iterable[Column]) -> Column:
@@ -92,6 +99,12 @@ class _All(Condition):
     def on(self, own, near):
         return _joined(self.parts, own, near, _and)
 
+    def facts(self):
+        return frozenset().union(*[p.facts() for p in self.parts])
+
+    def names(self):
+        return frozenset().union(*[p.names() for p in self.parts])
+
     def positive(self):
         return any(p.positive() for p in self.parts)
 
@@ -118,7 +131,13 @@ class _Not(Condition):
 
     def on(self, own, near):
         found = self.part.on(own, near)
-        return Satisfied(~found.met, found.matches, found.ancillary)
+        return Satisfied(~found.met, found.matches, found.wanted)
+
+    def facts(self):
+        return self.part.facts()
+
+    def names(self):
+        return self.part.names()
 
     def positive(self):
         return False
@@ -138,9 +157,13 @@ class _Profile(Condition):
 
     def on(self, own, near):
         here, matches = self.local(own)
-        others = F.filter(near, lambda n: _has(n["own"], self.name))
-        pairs = F.transform(others, lambda n: F.struct(n["gene_id"].alias("gene_id"), F.lit(self.name).alias("profile")))
-        return Satisfied(here | (F.size(others) > 0), matches, F.when(here, _no_genes()).otherwise(pairs))
+        return Satisfied(here | (near(self) > 0), matches, F.when(here, _no_names()).otherwise(F.array(F.lit(self.name))))
+
+    def facts(self):
+        return frozenset([self])
+
+    def names(self):
+        return frozenset([self.name])
 
 
 def profile(name: str) -> Condition:
@@ -162,7 +185,10 @@ class _Score(Condition):
 
     def on(self, own, near):
         here, matches = self.local(own)
-        return Satisfied(here | F.exists(near, lambda n: self._enough(n["own"])), matches, _no_genes())
+        return Satisfied(here | (near(self) > 0), matches, _no_names())
+
+    def facts(self):
+        return frozenset([self])
 
 
 def min_score(name: str, score: float) -> Condition:
@@ -188,13 +214,17 @@ class _Options(Condition):
     def on(self, own, near):
         held = self._held(own)
         alone = F.size(held) >= self.count
-        others = F.filter(F.transform(near, lambda n: F.struct(n["gene_id"].alias("gene_id"), self._held(n["own"]).alias("held"))), lambda n: F.size(n["held"]) > 0)
-        if self.distinct:
-            enough = F.size(F.array_union(held, F.flatten(F.transform(others, lambda n: n["held"])))) >= self.count
-        else:
-            enough = F.size(held) + F.aggregate(others, F.lit(0), lambda total, n: total + F.size(n["held"])) >= self.count
-        pairs = F.flatten(F.transform(others, lambda n: F.transform(n["held"], lambda p: F.struct(n["gene_id"].alias("gene_id"), p.alias("profile")))))
-        return Satisfied(alone | enough, held, F.when(~alone & enough, pairs).otherwise(_no_genes()))
+        found = F.lit(0).cast("long")
+        for option in self.options:
+            n, here = near(_Profile(option)), _has(own, option)
+            found = found + (F.when(here | (n > 0), 1).otherwise(0) if self.distinct else n + here.cast("int"))
+        return Satisfied(alone | (found >= self.count), held, F.when(~alone & (found >= self.count), F.array(*[F.lit(o) for o in self.options])).otherwise(_no_names()))
+
+    def facts(self):
+        return frozenset(_Profile(o) for o in self.options)
+
+    def names(self):
+        return frozenset(self.options)
 
 
 def minimum(count: int, options: Sequence[str]) -> Condition:
@@ -222,8 +252,10 @@ class _Gene(Condition):
 
     def on(self, own, near):
         here, matches = self.inner.local(own)
-        elsewhere = F.exists(near, lambda n: self.inner.local(n["own"])[0])
-        return Satisfied(here | elsewhere, F.when(here, matches).otherwise(_no_names()), _no_genes())
+        return Satisfied(here | (near(self.inner) > 0), F.when(here, matches).otherwise(_no_names()), _no_names())
+
+    def facts(self):
+        return frozenset([self.inner])
 
     def positive(self):
         return self.inner.positive()
@@ -281,44 +313,55 @@ def gene_profiles(features: DataFrame, hits: DataFrame) -> DataFrame:
     return features.select("record_id", "gene_id", "start", "end").join(own, ["record_id", "gene_id"])
 
 
-def with_neighbours(genes: DataFrame, cutoff: int) -> DataFrame:
-    """Add ``near``: the other genes of the record at a distance under ``cutoff``, each with its ``distance``.
-
-    The join is over bins as wide as the cutoff, so a record of any length is many groups.
-    """
-    wide = genes.select("record_id", "gene_id", (F.col("start") - cutoff).alias("start"), (F.col("end") + cutoff).alias("end"))
-    pairs = range_join(wide, genes, ["record_id"], max(1, cutoff), within=lambda a, b: F.col(f"{a}.gene_id") != F.col(f"{b}.gene_id"))
-    distance = F.greatest(F.col("r.start") - F.col("l.end"), F.col("l.start") - F.col("r.end")) + cutoff
-    found = pairs.groupBy("record_id", F.col("l.gene_id").alias("gene_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("r.gene_id").alias("gene_id"), distance.alias("distance"), F.map_entries("r.own").alias("entries")))).alias("found"))
-    near = F.transform("found", lambda n: F.struct(n["gene_id"].alias("gene_id"), F.map_from_entries(n["entries"]).alias("own"), n["distance"].alias("distance")))
-    joined = genes.join(found.select("record_id", "gene_id", near.alias("near")), ["record_id", "gene_id"], "left")
-    return joined.withColumn("near", F.coalesce("near", F.array().cast(joined.schema["near"].dataType)))
+def _counted(genes: DataFrame, asked: Iterable[tuple[Condition, int]], lengths: DataFrame | None) -> tuple[DataFrame, Callable[[int], Near]]:
+    """The genes with the numbers of genes near that hold each (fact, cutoff), and how to find such a column."""
+    asked = sorted(set(asked), key=repr)
+    facts = list(dict.fromkeys(fact for fact, _ in asked))
+    flags = {fact: f"_fact_{k}" for k, fact in enumerate(facts)}
+    names = {pair: f"_near_{k}" for k, pair in enumerate(asked)}
+    if not asked:
+        return genes, lambda cutoff: lambda fact: F.col(names[fact, cutoff])
+    rows = genes.select(*GENE, "start", "end", *[F.coalesce(fact.local(F.col("own"))[0], F.lit(False)).cast("int").alias(flag) for fact, flag in flags.items()])
+    counts = near_counts(rows, {names[fact, cutoff]: (flags[fact], cutoff) for fact, cutoff in asked}, lengths)
+    return genes.join(counts, GENE), lambda cutoff: lambda fact: F.col(names[fact, cutoff])
 
 
-def evaluated(genes: DataFrame, condition: Condition, cutoff: int) -> DataFrame:
-    """``met``, ``matches`` and ``ancillary`` of one condition for every gene with hits."""
-    found = condition.on(F.col("own"), F.col("near"))
-    return with_neighbours(genes, cutoff).select("record_id", "gene_id", found.met.alias("met"), F.sort_array(found.matches).alias("matches"), F.sort_array(found.ancillary).alias("ancillary"))
+def evaluated(genes: DataFrame, condition: Condition, cutoff: int, lengths: DataFrame | None = None) -> DataFrame:
+    """``met``, ``matches`` and ``n_ancillary`` (pairs of a gene near and a profile wanted of it) of one condition for every gene with hits."""
+    holders = {_Profile(name) for name in condition.names()}
+    counted, near = _counted(genes, [(fact, cutoff) for fact in condition.facts() | holders], lengths)
+    found = condition.on(F.col("own"), near(cutoff))
+    ancillary = F.lit(0).cast("long")
+    for name in sorted(condition.names()):
+        ancillary = ancillary + F.when(F.array_contains(found.wanted, name), near(cutoff)(_Profile(name))).otherwise(0)
+    return counted.select("record_id", "gene_id", found.met.alias("met"), F.sort_array(found.matches).alias("matches"), ancillary.alias("n_ancillary"))
 
 
-def evaluate_rules(features: DataFrame, hits: DataFrame, rules: Rules) -> DataFrame:
+def evaluate_rules(features: DataFrame, hits: DataFrame, rules: Rules, lengths: DataFrame | None = None) -> DataFrame:
     """``record_id, gene_id, rule, matches``: genes that define a rule's area.
 
-    A rule counts for a gene where it is met and the gene matched something itself; then the ancillary
-    genes count too. All rules are columns of one neighbourhood join at the largest cutoff; rules with a smaller one look at the nearer part.
+    A rule counts for a gene where it is met and the gene matched something itself; then the ancillary genes count too. With
+    ``lengths`` (``record_id, length, circular``) genes over the origin of a circular record are near as well. No rules give no rows.
     """
     genes = cut(gene_profiles(features, hits))
-    cutoffs = sorted({r.cutoff for r in rules.rules})
-    nearer = lambda cutoff: F.filter("near", lambda n: n["distance"] < cutoff)
-    near = with_neighbours(genes, cutoffs[-1]).withColumns({f"near_{c}": nearer(c) for c in cutoffs})
-    structs = []
-    for rule in rules.rules:
-        found = rule.condition.on(F.col("own"), F.col(f"near_{rule.cutoff}"))
-        own = F.transform(found.matches, lambda p: F.struct(F.col("gene_id").alias("gene_id"), p.alias("profile")))
-        cores = F.when(found.met & (F.size(found.matches) > 0), F.concat(own.cast(_ANCILLARY), found.ancillary.cast(_ANCILLARY)))
-        structs.append(F.struct(F.lit(rule.name).alias("rule"), cores.alias("cores")))
-    rows = near.select("record_id", F.inline(F.array(*structs))).where("cores is not null")
-    return rows.select("record_id", "rule", F.inline("cores")).groupBy("record_id", "gene_id", "rule").agg(F.sort_array(F.collect_set("profile")).alias("matches"))
+    if not rules.rules:
+        return genes.select("record_id", "gene_id", F.lit("").alias("rule"), _no_names().alias("matches")).limit(0)
+    counted, near = _counted(genes, [(fact, r.cutoff) for r in rules.rules for fact in r.condition.facts()], lengths)
+    found = {r.name: r.condition.on(F.col("own"), near(r.cutoff)) for r in rules.rules}
+    met = {name: f.met & (F.size(f.matches) > 0) for name, f in found.items()}
+    matched = F.array(*[F.struct(F.lit(name).alias("rule"), F.when(met[name], f.matches).otherwise(_no_names()).alias("matches"), F.when(met[name], f.wanted).otherwise(_no_names()).alias("wanted")) for name, f in found.items()])
+    judged = cut(counted.select(*GENE, "start", "end", "own", matched.alias("found")))
+    own = judged.select(*GENE, F.inline("found")).select(*GENE, "rule", F.explode("matches").alias("profile"))
+
+    wants = [(k, r.name, name, r.cutoff) for k, r in enumerate(rules.rules) for name in sorted(r.condition.names())]
+    if not wants:
+        return own.groupBy(*GENE, "rule").agg(F.sort_array(F.collect_set("profile")).alias("matches"))
+    flags = {(rule, name): f"_want_{j}" for j, (_, rule, name, _) in enumerate(wants)}
+    flagged = judged.select(*GENE, "start", "end", *[F.array_contains(F.col("found")[k]["wanted"], name).cast("int").alias(flags[rule, name]) for k, rule, name, _ in wants])
+    asked = near_counts(flagged, {f"_n{flags[rule, name]}": (flags[rule, name], cutoff) for _, rule, name, cutoff in wants}, lengths)
+    given = [F.when((F.col(f"_n{flags[rule, name]}") > 0) & _has(F.col("own"), name), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("profile"))) for _, rule, name, _ in wants]
+    ancillary = judged.select(*GENE, "own").join(asked, GENE).select(*GENE, F.inline(F.array_compact(F.array(*given))))
+    return own.unionByName(ancillary).groupBy(*GENE, "rule").agg(F.sort_array(F.collect_set("profile")).alias("matches"))
 
 
 def strip_inferior(matches: DataFrame, rules: Rules) -> DataFrame:

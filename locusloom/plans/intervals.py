@@ -33,6 +33,49 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width
     return kept.select(*keys, "l", "r")
 
 
+def near_join(left: DataFrame, right: DataFrame, reach: int | Column, bin_width: int, lengths: DataFrame | None = None, within: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Pairs of rows of one ``record_id`` less than ``reach`` apart, as ``l`` and ``r`` structs with their ``distance`` (0 where they overlap).
+
+    On circular records (``lengths``: ``record_id, length, circular``) rows are arcs, which may end past the length, and the distance is the
+    shorter way round. Left arcs are widened by ``reach``, a column of the left rows or a number; both sides are exploded into the bins they cover, on circles
+    by the place on the circle, so that the two sides of the origin share bins. A pair is kept in the bin where its overlap begins only.
+    """
+    reach = reach if isinstance(reach, Column) else F.lit(reach)
+
+    def sided(df: DataFrame, side: str, by: Column) -> DataFrame:
+        packed = df.select("record_id", F.struct(*df.columns).alias(side), by.cast("long").alias(f"_by_{side}"))
+        if lengths is None:
+            packed = packed.withColumn(f"_ring_{side}", F.lit(None).cast("long"))
+        else:
+            packed = packed.join(lengths.where("circular").select("record_id", F.col("length").cast("long").alias(f"_ring_{side}")), "record_id", "left")
+        ring, start = F.col(f"_ring_{side}"), F.col(f"{side}.start") - F.col(f"_by_{side}")
+        size = F.greatest(F.col(f"{side}.end") - F.col(f"{side}.start"), F.lit(1)) + 2 * F.col(f"_by_{side}")
+        placed = packed.withColumns({f"_at_{side}": F.when(ring.isNull(), start).otherwise(F.pmod(start, ring)), f"_size_{side}": F.when(ring.isNull(), size).otherwise(F.least(size, ring))})
+        bin_of = lambda x: F.floor(x / bin_width)
+        at, end = F.col(f"_at_{side}"), F.col(f"_at_{side}") + F.col(f"_size_{side}")
+        straight = F.sequence(bin_of(at), bin_of(end - 1))
+        turned = F.array_distinct(F.concat(F.sequence(bin_of(at), bin_of(ring - 1)), F.sequence(F.lit(0).cast("long"), bin_of(end - ring - 1))))
+        return placed.withColumn("_bin", F.explode(F.when(ring.isNull() | (end <= ring), straight).otherwise(turned)))
+
+    none = F.lit(0)
+    joined = sided(left, "l", reach).join(sided(right, "r", none).drop("_ring_r"), ["record_id", "_bin"])
+    ring, at_l, at_r = F.col("_ring_l"), F.col("_at_l"), F.col("_at_r")
+    # Where the overlap begins: at the right row's start if that lies in the left one, else at the left row's.
+    after_l, after_r = F.when(ring.isNull(), at_r - at_l).otherwise(F.pmod(at_r - at_l, ring)), F.when(ring.isNull(), at_l - at_r).otherwise(F.pmod(at_l - at_r, ring))
+    starts_in_l = (after_l >= 0) & (after_l < F.col("_size_l"))
+    meets = starts_in_l | ((after_r >= 0) & (after_r < F.col("_size_r")))
+    joined = joined.where(meets & (F.col("_bin") == F.floor(F.when(starts_in_l, at_r).otherwise(at_l) / bin_width)))
+    ahead, behind = F.col("r.start") - F.col("l.end"), F.col("l.start") - F.col("r.end")
+    size_l, size_r = F.col("l.end") - F.col("l.start"), F.col("r.end") - F.col("r.start")
+    from_l, from_r = F.pmod(F.col("r.start") - F.col("l.start"), ring), F.pmod(F.col("l.start") - F.col("r.start"), ring)
+    round_trip = F.when((from_l < size_l) | (from_r < size_r), F.lit(0).cast("long")).otherwise(F.least(from_l - size_l, from_r - size_r))
+    distance = F.when(ring.isNull(), F.greatest(F.lit(0).cast("long"), ahead, behind)).otherwise(round_trip)
+    kept = joined.withColumn("distance", distance).where((F.col("distance") < F.col("_by_l")) | (F.col("distance") == 0))
+    if within is not None:
+        kept = kept.where(within("l", "r"))
+    return kept.select("record_id", "l", "r", "distance")
+
+
 def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", order: Sequence[str] = (), into: str = "island", spread: bool = True) -> DataFrame:
     """Number the groups of intervals, per key in order of start, that follow each other at less than ``gap``.
 

@@ -28,7 +28,7 @@ def _condition(condition: Condition, cutoff: int = DAY):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         moments = table(spark, folder, "moments")
         found = evaluated(gene_profiles(moments, moments), condition, cutoff)
-        return found.select("record_id", "gene_id", "met", F.array_join("matches", ",").alias("matches"), F.size("ancillary").cast("long").alias("n_ancillary"))
+        return found.select("record_id", "gene_id", "met", F.array_join("matches", ",").alias("matches"), "n_ancillary")
 
     return run
 
@@ -56,8 +56,11 @@ query("F6_score_condition", _condition_sql("(profile = 'click' AND score >= 60)
 
 def _rules_sql(day: int) -> str:
     """CTE ``matched``: record, gene, rule, profile, distinct."""
-    return f"""{_near(day, "wide")}, {_near(day // 2, "tight")},
-    buy AS (SELECT * FROM wide WHERE (profile = 'click' AND o_profile = 'purchase') OR (profile = 'purchase' AND o_profile = 'click')),
+    return f"""{_near(day, "wide")}, {_near(day // 2, "tight")}, {MATCHED_SQL}"""
+
+
+#: The rules over the pairs of ``wide`` and of ``tight``.
+MATCHED_SQL = """buy AS (SELECT * FROM wide WHERE (profile = 'click' AND o_profile = 'purchase') OR (profile = 'purchase' AND o_profile = 'click')),
     pair AS (SELECT DISTINCT record_id, gene_id FROM tight WHERE (profile = 'view' AND o_profile = 'signup') OR (profile = 'signup' AND o_profile = 'view')),
     lost AS (SELECT * FROM moments m WHERE profile = 'error' AND NOT EXISTS (SELECT 1 FROM tight t WHERE t.record_id = m.record_id AND t.gene_id = m.gene_id AND o_profile = 'purchase')),
     matched AS (SELECT record_id, gene_id, 'buy' AS rule, profile FROM buy UNION SELECT record_id, o_gene, 'buy', o_profile FROM buy
@@ -123,11 +126,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.chain_cores(_core_genes(spark, folder), _PLAIN).select("record_id", "product", "core_start", "core_end", "n_genes")
 
 
-@query("F9_chain_cores_spread", with_tables(f"{_CHAINED} SELECT record_id, product, core_start, core_end, n_genes FROM cores", "genes"))
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.chain_cores(_core_genes(spark, folder), _PLAIN, spread=True).select("record_id", "product", "core_start", "core_end", "n_genes")
-
-
 @query("F10_expand", with_tables(f'{_CHAINED}, {_LENGTHS} SELECT record_id, product, core_start, core_end, greatest(0, core_start - 500) AS "start", least(length, core_end + 500) AS "end" FROM cores JOIN lengths USING (record_id)', "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.expand(ops.chain_cores(_core_genes(spark, folder), _PLAIN), _lengths(spark, folder)).select("record_id", "product", "core_start", "core_end", "start", "end")

@@ -33,7 +33,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.neighbours(table(spark, folder, "moments"), DAY)
 
 
-@query("D3_nearest_with_profile", with_tables(f"""SELECT a.record_id, a.gene_id, min(CASE WHEN b.gene_id IS NOT NULL THEN greatest(0, b."start" - a."end", a."start" - b."end") END) AS distance
+@query("D3_nearest_with_profile", with_tables(f"""SELECT a.record_id, a.gene_id, coalesce(min(CASE WHEN b.gene_id IS NOT NULL THEN greatest(0, b."start" - a."end", a."start" - b."end") END), -1) AS distance
     FROM moments a LEFT JOIN moments b ON a.record_id = b.record_id AND b.profile IN ('purchase', 'signup') AND greatest(b."start" - a."end", a."start" - b."end") < {DAY} GROUP BY ALL""", "moments"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     moments = table(spark, folder, "moments")

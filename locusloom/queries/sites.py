@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import areas as area_ops
+from ..operators import joins as join_ops
 from ..operators import sites as ops
-from ..operators.rules import Rule, Rules, profile
+from ..operators.rules import Rule, Rules, evaluate_rules, profile
 from ..operators.scans import peptide_features
 from ..plans.checkpoints import cut
 from ..plans.intervals import range_join
 from ..registry import query
 from ..sources import reference_sets
 from ..tables import table, with_tables
-from .areas import _REGIONS, islands_sql, plain_areas
+from .areas import _REGIONS, DAY, MATCHED_SQL, RULES, islands_sql, plain_areas
 from .scans import _PROTEIN, CLASSES, _proteins
 
 _SITES = [("config", "K", [3, 7], "", [5], {"D": "D-form", "T": "T-form"}, "L-form"), ("active", "K", [4], "T", [6, 9], {"AN": "active", "ED": "active"}, "other"), ("ester", "R", [], "", [12], {"E": "ester"}, None)]
@@ -168,6 +169,38 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return area_ops.regions(areas.where("product = 'click'").select("record_id", "start", "end"), lengths=lengths)
 
 
+#: The way round a circle: the least over turns of one row by whole lengths.
+_ROUND = f"""circle AS (SELECT record_id, gene_id, profile, "start" % {_HALF_DAY} AS s, "start" % {_HALF_DAY} + "end" - "start" AS e FROM moments),
+    apart AS (SELECT a.record_id, a.gene_id, a.profile, b.gene_id AS o_gene, b.profile AS o_profile, least(greatest(0, b.s - a.e, a.s - b.e), greatest(0, b.s + {_HALF_DAY} - a.e, a.s - b.e - {_HALF_DAY}), greatest(0, b.s - {_HALF_DAY} - a.e, a.s - b.e + {_HALF_DAY})) AS distance FROM circle a JOIN circle b USING (record_id))"""
+
+
+@query("D2_circular_neighbours", with_tables(f", {_ROUND} SELECT record_id, gene_id AS a, o_gene AS b, distance FROM apart WHERE gene_id < o_gene AND distance < 9000", "moments"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    genes, lengths = _cycle(spark, folder)
+    return join_ops.neighbours(genes, 9000, lengths)
+
+
+@query("D3_circular_nearest", with_tables(f", {_ROUND} SELECT record_id, gene_id, coalesce(min(distance) FILTER (o_profile = 'signup' AND distance < 5000), -1) AS distance FROM apart GROUP BY ALL", "moments"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    genes, lengths = _cycle(spark, folder)
+    return join_ops.nearest_with_profile(genes, genes.withColumnRenamed("rule", "profile"), ["signup"], 5000, lengths)
+
+
+@query("D10_circular_areas", with_tables(f""", {_ROUND}, sized AS (SELECT c.*, e - s + 2 * (CASE WHEN profile = 'error' THEN 22000 ELSE 8000 END) AS size, CASE WHEN profile = 'error' THEN 22000 ELSE 8000 END AS pad FROM circle c)
+    SELECT gene_id, record_id, CASE WHEN size >= {_HALF_DAY} THEN 0 WHEN s < pad THEN s - pad + {_HALF_DAY} ELSE s - pad END AS "start", CASE WHEN size >= {_HALF_DAY} THEN {_HALF_DAY} WHEN s < pad THEN s - pad + {_HALF_DAY} + size ELSE s - pad + size END AS "end" FROM sized""", "moments"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    genes, lengths = _cycle(spark, folder)
+    named = lambda condition, padding: join_ops.areas_by_gene(genes, genes.where(condition).select("gene_id"), lengths, padding)
+    return named("rule <> 'error'", 8000).unionByName(named("rule = 'error'", 22_000))
+
+
+@query("F7_circular_rules", with_tables(f""", {_ROUND}, wide AS (SELECT * FROM apart WHERE gene_id <> o_gene AND distance < {int(DAY * 0.1)}), tight AS (SELECT * FROM wide WHERE distance < {int(DAY // 2 * 0.1)}), {MATCHED_SQL}
+    SELECT record_id, gene_id, rule, string_agg(profile, ',' ORDER BY profile) AS matches FROM matched GROUP BY ALL""", "moments"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    genes, lengths = _cycle(spark, folder)
+    return evaluate_rules(genes, genes.withColumnRenamed("rule", "profile"), RULES.scaled(0.1), lengths).withColumn("matches", F.array_join("matches", ","))
+
+
 _SET = f"""{_REGIONS}, whole AS (SELECT *, 'r' || record_id AS accession, 'c' || "start" || '-' || "end" AS cluster, record_id * 1000000 + region AS rid FROM regions WHERE "start" >= 2000),
     members AS (SELECT w.rid, w.accession, w.cluster, g.*, CASE WHEN g.score > 80000 THEN 'no_locus_tag' ELSE 'g_' || g.gene_id END AS tag, CASE WHEN g.score < 20000 THEN 'no_accession' ELSE 'p' || g.gene_id END AS protein FROM whole w JOIN genes g ON g.record_id = w.record_id AND w."start" <= g."start" AND g."end" <= w."end")"""
 
