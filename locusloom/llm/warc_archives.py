@@ -2,8 +2,8 @@
 
 ``write_archives`` makes a record of each page and lets Spark's text writer store them, with the end of a WARC record as the line
 separator and gzip as the compression: each file is a valid archive, but one gzip stream, so nothing in it can be reached alone. ``normalise``
-inflates each such file once, record by record, writes every record as a member of its own and a sidecar index of offsets. ``read_archives`` takes
-the members out by that index and checks their digests. Files go through Spark's readers and writers only, so a store that tasks cannot open,
+inflates each such file once, record by record, writes every record as a member of its own, and walks the members of what it wrote for a sidecar
+index of offsets. ``read_archives`` takes the members out by that index and checks their digests. Files go through Spark's readers and writers only, so a store that tasks cannot open,
 repeated tasks and lost executors are Spark's matter, and the driver sees no record.
 
 Spark's writer puts a separator behind each row; in normalised archives that is an empty gzip member, which holds no record.
@@ -28,15 +28,14 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import cut, shared_folder
+from ..plans.checkpoints import cut, remove, shared_folder
 from .words import in_small_batches
 
 #: Payloads joined without a shuffle at most; records of an archive; bytes inflated at once.
-HOT, RECORDS, CHUNK = 1000, 2048, 1 << 18
+HOT, RECORDS, CHUNK = 1000, 1024, 1 << 18
 
 #: The end of a WARC record, the profile of revisits, and a gzip member that holds nothing.
 END = "\r\n\r\n"
@@ -130,53 +129,78 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(revisit, largest).alias("refers_to"), revisit.alias("revisit"))
 
 
+def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``most`` bytes of their last column."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = DATE) -> None:
     """Write the pages' records into ``folder`` as archives of one gzip stream each."""
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True)
-            for page_id, url, html, refers_to, revisit in rows:
-                text = record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), revisit.as_py(), date)
-                yield pa.RecordBatch.from_pydict({"value": pa.array([text.decode()], pa.string())})
+            for page_id, url, html, refers_to, revisit in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")), strict=True):
+                yield (record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), revisit.as_py(), date),)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batched(texts(batches), pa.schema([("value", pa.binary())])):
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
 
     rows = in_small_batches(with_roles(pages, min_bytes)).mapInArrow(made, "value string")
     rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
 
 
-MEMBERS = "part int, piece int, offset bigint, length bigint, record_id string, record_type string, digest string, member binary"
+def members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and what is in it for each gzip member of a file that is not empty."""
+    data, at = memoryview(content), 0
+    while at < len(data):
+        tool, begin, text = zlib.decompressobj(wbits=31), at, bytearray()
+        while not tool.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends inside a gzip member")
+            text += tool.decompress(data[at : at + CHUNK])
+            at += CHUNK
+        at = min(at, len(data)) - len(tool.unused_data)
+        if text:
+            yield begin, at - begin, bytes(text)
 
 
-def members(archives: DataFrame) -> DataFrame:
-    """Every record of archives (``content``) as a gzip member of its own, with where it will lie; stored.
+def normalise(spark: SparkSession, folder: str, target: str) -> None:
+    """Rewrite the gzip archives in ``folder`` into ``target/archives``, one member per record, and index them in ``target/index``.
 
-    Files are those that the text writer makes: one for every ``RECORDS`` rows of a partition, with an empty member behind each row.
+    The index (``path, offset, length, record_id, record_type, digest``) names files without their folder, so that it can move with them.
     """
 
-    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, offset = TaskContext.get().partitionId(), 0, 0
-        names = [f.split()[0] for f in MEMBERS.split(", ")]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for content in batch.column("content"):
                 for text in records(content.as_py()):
-                    if n % RECORDS == 0:
-                        offset = 0
                     tool = zlib.compressobj(wbits=31)
-                    member = tool.compress(text) + tool.flush()
-                    head = fields(text[: text.index(END.encode())])
-                    row = (part, n // RECORDS, offset, len(member), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-payload-digest"), member)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=names)
-                    n, offset = n + 1, offset + len(member) + len(EMPTY_MEMBER)
-
-    return cut(archives.select("content").mapInArrow(normalised, MEMBERS))
+                    yield (tool.compress(text) + tool.flush(),)
 
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                for offset, length, text in members(content.as_py()):
+                    head = fields(text[: text.index(END.encode())])
+                    yield path.as_py().rsplit("/", 1)[1], offset, length, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-payload-digest", "")
 
-def normalise(spark: SparkSession, folder: str, target: str) -> None:
-    """Rewrite the gzip archives in ``folder`` into ``target/archives``, one member per record, with their offsets in ``target/index``."""
-    stored = members(spark.read.format("binaryFile").load(folder))
-    rows = stored.select(F.col("member").cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", RECORDS).text(f"{target}/archives")
-    stored.drop("member").write.parquet(f"{target}/index")
+    one = pa.schema([("member", pa.binary())])
+    rows = spark.read.format("binaryFile").load(folder).select("content").mapInArrow(lambda batches: _batched(split(batches), one), "member binary")
+    writer = rows.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    writer.option("compression", "none").option("maxRecordsPerFile", RECORDS).text(f"{target}/archives")
+    index = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("digest", pa.string())])
+    found = spark.read.format("binaryFile").load(f"{target}/archives").select("path", "content")
+    found.mapInArrow(lambda batches: _batched(indexed(batches), index), "path string, offset bigint, length bigint, record_id string, record_type string, digest string").write.parquet(f"{target}/index")
 
 
 RECORDS_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -204,25 +228,26 @@ def read_record(text: bytes) -> tuple:
 
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """``RECORDS_READ`` of every record of normalised archives, each inflated alone from where the index says it lies."""
-    number = lambda pattern: F.regexp_extract("path", pattern, 1).cast("int")
-    files = spark.read.format("binaryFile").load(f"{target}/archives").select(number(r"part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)\.[^/]*$").alias("piece"), "content")
-    index = spark.read.parquet(f"{target}/index").select("part", "piece", "offset", "length")
+    name = F.element_at(F.split("path", "/"), -1).alias("path")
+    files = spark.read.format("binaryFile").load(f"{target}/archives").select(name, "content")
+    index = spark.read.parquet(f"{target}/index").select("path", "offset", "length")
 
     def taken(content: pa.Table, places: pa.Table) -> pa.Table:
         if len(content) != 1:
-            raise ValueError(f"the index names an archive of which there are {len(content)}: {places.select(['part', 'piece']).slice(0, 1).to_pylist()}")
+            raise ValueError(f"of the archive {places['path'][0]} that the index names there are {len(content)}")
         data = memoryview(content["content"][0].as_py())
         found = [read_record(zlib.decompress(data[a : a + n], wbits=31)) for a, n in zip(places["offset"].to_pylist(), places["length"].to_pylist(), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.Table.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in RECORDS_READ.split(", ")])
 
-    return files.groupBy("part", "piece").cogroup(index.groupBy("part", "piece")).applyInArrow(taken, RECORDS_READ)
+    return files.groupBy("path").cogroup(index.groupBy("path")).applyInArrow(taken, RECORDS_READ)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages, normalise the archives and read them back, in a new folder in that of ``spark.checkpoint.dir``."""
+    """Write the pages, normalise the archives and read them back, in a new folder in that of ``spark.checkpoint.dir``; the streams go once normalised."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, f"{folder}/streams", min_bytes)
     normalise(spark, f"{folder}/streams", f"{folder}/normal")
+    remove(spark, f"{folder}/streams")
     return read_archives(spark, f"{folder}/normal")
