@@ -144,6 +144,57 @@ def component_score(query: DataFrame, reference: DataFrame, mode: str = "referen
     return shared.join(q, ["region", "kind"]).join(r, ["ref_area", "kind"]).select("region", "ref_area", "kind", (F.col("shared") / most).alias("component_score"))
 
 
+def module_tuples(domains: DataFrame, properties: DataFrame) -> DataFrame:
+    """``record_id, gene_id, kind, value`` of complete modules: the names of their domains in order, subtypes of condensation domains cut off.
+
+    ``domains`` have ``module`` (``segment_modules``), ``properties`` ``kind`` and ``complete`` (``module_properties``); modules of neither kind are ``generic``.
+    """
+    keys = ["record_id", "gene_id", "module"]
+    name = F.regexp_replace("profile", "^Condensation_.*", "Condensation")
+    tuples = domains.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "ord", name.alias("name")))).alias("parts"))
+    kind = F.when(F.col("kind").isin("nrps", "pks"), F.col("kind")).otherwise("generic")
+    return tuples.join(properties.where("complete").select(*keys, "kind"), keys).select("record_id", "gene_id", kind.alias("kind"), F.array_join(F.col("parts.name"), "|").alias("value"))
+
+
+#: Kinds of components: modules, then profiles and functions.
+MODULES, KINDS = ("nrps", "pks", "generic"), ("nrps", "pks", "generic", "profile", "function")
+
+
+def component_similarity(pairs: DataFrame, query: DataFrame, reference: DataFrame, mode: str = "best", corrected: bool = False) -> DataFrame:
+    """``region, ref_area, modules, profiles, functions, component_score`` for each of ``pairs`` (``region, ref_area``), also where a side is empty.
+
+    Both sides' multisets (``components_of`` with all of ``KINDS``) are packed into one row per area and met in the pair's row, so only given pairs are
+    compared. A kind's share is the shared count over the side that the mode names; an empty reference counts 1, or 0 in
+    ``query_in_reference``, else an empty query counts 1, or 0 in ``reference_in_query``. Module kinds are weighted by how
+    many modules of them there are; without modules the score is the mean of profiles and functions, else of all three. A reference without modules of
+    the first two kinds and without profiles has no score but in ``query_in_reference``. ``best`` divides as ``component_score`` does.
+    """
+    one_way, other_way = mode == "reference_in_query", mode == "query_in_reference"
+
+    def packed(df: DataFrame, key: str, side: str) -> DataFrame:
+        sizes = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{side}_{k}") for k in KINDS]
+        return df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "value"), "n"))).alias(f"{side}_parts"), *sizes)
+
+    met = pairs.select("region", "ref_area").join(packed(query, "region", "q"), "region", "left").join(packed(reference, "ref_area", "r"), "ref_area", "left")
+    met = met.fillna(0, [f"{side}_{k}" for side in "qr" for k in KINDS])
+    shared = F.transform(F.map_entries("q_parts"), lambda e: F.struct(e["key"]["kind"].alias("kind"), F.least(e["value"], F.coalesce(F.try_element_at("r_parts", e["key"]), F.lit(0))).alias("n")))
+    met = met.withColumn("shared", F.when(F.col("r_parts").isNotNull(), F.coalesce(shared, F.array().cast("array<struct<kind:string,n:bigint>>"))))
+
+    def share(kind: str) -> Column:
+        q, r = F.col(f"q_{kind}"), F.col(f"r_{kind}")
+        found = F.aggregate(F.filter("shared", lambda e: e["kind"] == kind), F.lit(0).cast("long"), lambda total, e: total + e["n"])
+        most = r if one_way else F.least(q, r) if mode == "best" and corrected else q
+        return F.when(r == 0, 0.0 if other_way else 1.0).when(q == 0, 0.0 if one_way else 1.0).otherwise(found / most)
+
+    total = lambda side: F.col(f"{side}_nrps") + F.col(f"{side}_pks") + F.col(f"{side}_generic")
+    most = total("r") if one_way else total("q") if other_way else F.least(total("q"), total("r"))
+    weight = lambda k: (F.col(f"r_{k}") if one_way else F.col(f"q_{k}") if other_way else F.least(f"q_{k}", f"r_{k}")) / most
+    modules = F.when(most > 0, share("nrps") * weight("nrps") + share("pks") * weight("pks") + share("generic") * weight("generic"))
+    scored = met.select("region", "ref_area", modules.alias("modules"), share("profile").alias("profiles"), share("function").alias("functions"), (F.col("r_nrps") + F.col("r_pks") + F.col("r_profile")).alias("telling"))
+    score = F.when(F.col("modules").isNull(), (F.col("profiles") + F.col("functions")) / 2).otherwise((F.col("modules") + F.col("profiles") + F.col("functions")) / 3)
+    return scored.select("region", "ref_area", "modules", "profiles", "functions", (score if other_way else F.when(F.col("telling") > 0, score)).alias("component_score"))
+
+
 def final_score(metrics: DataFrame, names: list[str]) -> DataFrame:
     """Add ``final``: the geometric mean of the metrics there are; a pair with one below the floor goes."""
     present = F.filter(F.array(*names), lambda m: m.isNotNull())

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly as ops
+from ..operators import compare as compare_ops
+from ..plans.checkpoints import cut
 from ..registry import query
 from ..tables import table, with_tables
 
@@ -197,3 +199,48 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_custkey") % 5 > 0, F.concat(key("o_custkey", 6, 1), key("o_custkey", 4, 2))).alias("tail"), F.when(F.col("o_custkey") % 7 > 0, F.concat(key("o_custkey", 5, 1), key("o_custkey", 3, 1))).alias("head"), (o + 1).cast("long").alias("follower"),
     )
     return ops.best_order(units).select("area_id", F.array_join(F.transform("order", lambda u: u.cast("string")), ",").alias("order"), "score")
+
+
+#: Every second region is a reference; functions and profiles follow from the genes' numbers, and some areas have none.
+_TUPLES = f"""{_SEQ}, {_walk("walk", "s")}, {_LAST}, named AS (SELECT w.id, w.m, string_agg(regexp_replace(profile, '^Condensation_.*', 'Condensation'), '|' ORDER BY w.i) AS value FROM walk w JOIN s USING (id, i) WHERE NOT skip GROUP BY ALL),
+    pieces AS (SELECT region, CASE WHEN kind IN ('nrps', 'pks') THEN kind ELSE 'generic' END AS kind, value FROM props JOIN named USING (id, m) JOIN lines ON lines.gene_id = props.gene_id WHERE complete
+        UNION ALL SELECT region, 'profile', 'p' || gene_id % 7 FROM lines WHERE region % 5 > 0 AND gene_id % 3 = 0 UNION ALL SELECT region, 'function', 'f' || gene_id % 4 FROM lines WHERE gene_id % 4 > 0 AND region % 7 > 0),
+    counted AS (SELECT region, kind, value, count(*) AS n FROM pieces GROUP BY ALL)"""
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    lines, domains = table(spark, folder, "lines"), _segmented(spark, folder)
+    tuples = compare_ops.module_tuples(domains, ops.module_properties(domains)).join(lines.select("gene_id", "region"), "gene_id").select("region", "kind", "value")
+    profiles = lines.where("region % 5 > 0 and gene_id % 3 = 0").select("region", F.lit("profile").alias("kind"), F.concat(F.lit("p"), F.col("gene_id") % 7).alias("value"))
+    functions = lines.where("region % 7 > 0").select("region", F.lit("function").alias("kind"), F.when(F.col("gene_id") % 4 == 0, "other").otherwise(F.concat(F.lit("f"), F.col("gene_id") % 4)).alias("value"))
+    return compare_ops.components_of(tuples.unionByName(profiles).unionByName(functions), ["region"])
+
+
+@query("G10_module_tuples", with_tables(f", {_TUPLES} SELECT * FROM counted", "domains", "lines", recursive=True))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder)
+
+
+def _share(kind: str) -> str:
+    return f"""CASE WHEN r_{kind} = 0 THEN CASE WHEN mode = 'query_in_reference' THEN 0.0 ELSE 1.0 END WHEN q_{kind} = 0 THEN CASE WHEN mode = 'reference_in_query' THEN 0.0 ELSE 1.0 END ELSE s_{kind} / CASE WHEN mode = 'reference_in_query' THEN r_{kind} ELSE q_{kind} END END AS {kind}"""
+
+
+_side = lambda a, b: f"CASE mode WHEN 'reference_in_query' THEN {b} WHEN 'query_in_reference' THEN {a} ELSE least({a}, {b}) END"
+_SIMILAR = f""", {_TUPLES}, pairs AS (SELECT region, region + d AS ref_area FROM (SELECT DISTINCT region FROM lines WHERE region % 2 = 0), (VALUES (1), (3), (11), (100001)) v(d)),
+    sized AS (SELECT region, {", ".join(f"sum(n) FILTER (kind = '{k}') AS {k}" for k in compare_ops.KINDS)} FROM counted GROUP BY region),
+    shared AS (SELECT p.region, p.ref_area, {", ".join(f"sum(least(a.n, b.n)) FILTER (a.kind = '{k}') AS {k}" for k in compare_ops.KINDS)} FROM pairs p JOIN counted a ON a.region = p.region JOIN counted b ON b.region = p.ref_area AND b.kind = a.kind AND b.value = a.value GROUP BY ALL),
+    sides AS (SELECT p.*, mode, {", ".join(f"coalesce(q.{k}, 0) AS q_{k}, coalesce(r.{k}, 0) AS r_{k}, coalesce(s.{k}, 0) AS s_{k}" for k in compare_ops.KINDS)} FROM pairs p LEFT JOIN sized q ON q.region = p.region LEFT JOIN sized r ON r.region = p.ref_area LEFT JOIN shared s ON s.region = p.region AND s.ref_area = p.ref_area, (VALUES ('best'), ('query_in_reference'), ('reference_in_query')) m(mode)),
+    shares AS (SELECT *, {", ".join(map(_share, compare_ops.KINDS))}, {_side("q_nrps + q_pks + q_generic", "r_nrps + r_pks + r_generic")} AS most FROM sides),
+    weighed AS (SELECT *, CASE WHEN most > 0 THEN ({" + ".join(f"{k} * ({_side(f'q_{k}', f'r_{k}')})" for k in compare_ops.MODULES)}) / most END AS modules FROM shares)
+    SELECT region, ref_area, mode, round(CAST(modules AS DOUBLE), 9) AS modules, round(CAST(profile AS DOUBLE), 9) AS profiles, round(CAST("function" AS DOUBLE), 9) AS functions,
+        CASE WHEN mode = 'query_in_reference' OR r_nrps + r_pks + r_profile > 0 THEN round(CAST(CASE WHEN modules IS NULL THEN (profile + "function") / 2 ELSE (modules + profile + "function") / 3 END AS DOUBLE), 9) END AS component_score FROM weighed"""
+
+
+@query("G11_component_similarity", with_tables(_SIMILAR, "domains", "lines", recursive=True))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    parts = cut(_pieces(spark, folder))
+    regions = table(spark, folder, "lines").where("region % 2 = 0").select("region").distinct()
+    pairs = cut(regions.select("region", F.explode(F.array(*[F.col("region") + d for d in (1, 3, 11, 100_001)])).alias("ref_area")))
+    scored = [compare_ops.component_similarity(pairs, parts, parts.withColumnRenamed("region", "ref_area"), m).withColumn("mode", F.lit(m)) for m in ("best", "query_in_reference", "reference_in_query")]
+    every = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    return every.select("region", "ref_area", "mode", *[F.round(c, 9).alias(c) for c in ("modules", "profiles", "functions", "component_score")])
