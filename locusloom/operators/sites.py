@@ -41,6 +41,51 @@ def active_sites(alignments: DataFrame, sites: DataFrame) -> DataFrame:
     return found.where((F.col("_scaffold") == F.col("expected")) & F.col("residues").isNotNull()).select("domain_id", "site", "residues", label.alias("label")).where("label is not null")
 
 
+#: Site, database of the alignment, scaffold positions and residues, target positions, labels by residues, the label of others, and
+#: the label where the scaffold does not match (null: the scaffold is not needed). ``{scaffold}`` stands for whether it matches.
+CHECKS = (
+    ("asp_ks", "PKSI-KS_N", (176, 186, 187, 188), "GSSS", (185,), {"C": "found active site cysteine: True, scaffold matched GSSS: {scaffold}"}, "found active site cysteine: False, scaffold matched GSSS: {scaffold}", None),
+    ("asp_ks_c", "PKSI-KS_C", (47, 50, 51, 52, 53, 56, 57, 60, 106, 110, 117, 123), "EGTGTGDEKGGK", (49, 111), {"HH": "found active site histidines: True"}, "found active site histidines: False", None),
+    ("asp_at", "PKSI-AT", (93, 94, 97, 98), "GHGE", (95,), {"S": "found active site serine: True, scaffold matched GHGE: {scaffold}"}, "found active site serine: False, scaffold matched GHGE: {scaffold}", None),
+    ("acp_type", "PKSI-ACP", (28, 30, 31), "GDS", (37,), {"W": "beta-branching ACP"}, "non-beta-branching ACP", None),
+    ("asp_acp", "PKSI-ACP", (28, 30), "GD", (31,), {"S": "found active site serine: True"}, "found active site serine: False", None),
+    ("asp_pksi_dh", "PKSI-DH", (4, 5, 6, 30, 32, 34), "LLGPLD", (5, 39, 44), {"HGP": "catalytic triad H,G,P found: True"}, "catalytic triad H,G,P found: False", "catalytic triad H,G,P inconclusive"),
+    ("asp_pksi_kr", "PKSI-KR", (33, 65, 92, 97, 120, 148), "RDGAKS", (149, 162, 166), {"SYN": "catalytic triad S,Y,N found: True"}, "catalytic triad S,Y,N found: False", "catalytic triad S,Y,N inconclusive"),
+    ("asp_thioesterase", "Thioesterase", (73, 79, 83, 87, 108), "GGGAD", (81,), {"S": "active site serine present: True"}, "active site serine present: False", "active site serine inconclusive"),
+    ("pksi_er_stereo", "PKSI-ER", (31, 135, 137, 144, 146, 227), "DLHGAG", (39,), {"Y": "ER domain putatively catalyzing 2S-configuration product formation"}, "ER domain putatively catalyzing 2R-configuration product formation", "ER configuration inconclusive"),
+    ("pksi_kr_stereo", "PKSI-KR", (149, 162, 166), "SYN", (102,), {"D": "KR domain putatively catalyzing D-configuration product formation"}, "KR domain putatively catalyzing L-configuration product formation", None),
+    ("pksi_at_spec", "PKSI-AT", (93, 94, 95, 120, 196, 198, 199, 227, 244, 245), "GHSRAHSSYW", (195, 197), {"HF": "Malonyl-CoA specific", "YS": "Methylmalonyl-CoA specific"}, "Neither malonyl-CoA or methylmalonyl-CoA specific", "(Methyl)Malonyl-CoA specificity inconclusive"),
+    ("asp_p450_oxy", "p450", (327, 330, 400, 403, 409), "ERFGG", (407,), {"C": "active site cysteine present: True"}, "active site cysteine present: False", "active site cysteine inconclusive"),
+)
+CHECK_TYPE = "site string, profile string, scaffold array<int>, expected string, target array<int>, labels map<string,string>, other string, failed string"
+
+
+def residues_by_position(query: Column, reference: Column, gap: str = ".") -> Column:
+    """The query's characters at the reference's columns without gaps: character p of it stands at position p of the aligned part of the profile."""
+    return F.array_join(F.zip_with(F.split(query, ""), F.split(reference, ""), lambda q, r: F.when((r != gap) & (r != ""), q)), "")
+
+
+def site_checks(alignments: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """``domain_id, site, residues, scaffold, label`` of aligned domains (``domain_id, profile, query, reference, hit_start``), one row per check of their profile.
+
+    The map from profile positions to residues is made once per alignment and asked by all its checks. The scaffold is asked for by positions of the
+    alignment, the target by those of the profile. Positions outside an alignment, null and empty ones give no residues, so neither scaffold nor labels match.
+    ``checks`` has rows of ``CHECK_TYPE`` (default: ``CHECKS``); it is of code size.
+    """
+    if checks is None:
+        rows = [(site, profile, list(scaffold), expected, list(target), labels, other, failed) for site, profile, scaffold, expected, target, labels, other, failed in CHECKS]
+        checks = alignments.sparkSession.createDataFrame(rows, CHECK_TYPE)
+    mapped = alignments.select("domain_id", "profile", "hit_start", residues_by_position(F.col("query"), F.col("reference")).alias("at"))
+
+    def taken(positions: Column, shift: Column) -> Column:
+        inside = (F.array_max(positions) - shift <= F.length("at")) & (F.array_min(positions) - shift >= 1)
+        return F.when(inside, F.array_join(F.transform(positions, lambda p: F.substr("at", p - shift, F.lit(1))), "")).otherwise("")
+
+    found = mapped.join(checks, "profile").select("domain_id", "site", "labels", "other", "failed", taken(F.col("target"), F.col("hit_start")).alias("residues"), (taken(F.col("scaffold"), F.lit(0)) == F.col("expected")).alias("scaffold"))
+    label = F.when(~F.col("scaffold") & F.col("failed").isNotNull(), F.col("failed")).otherwise(F.coalesce(F.try_element_at("labels", F.col("residues")), F.col("other")))
+    return found.select("domain_id", "site", "residues", "scaffold", F.replace(label, F.lit("{scaffold}"), F.when(F.col("scaffold"), "True").otherwise("False")).alias("label"))
+
+
 def match_motifs(hits: DataFrame, found: DataFrame, motifs: DataFrame, profiles: DataFrame, confidence: float = 1.0) -> DataFrame:
     """``hit_id, motif, substrate, confidence`` of a hit's motifs (``found``: ``hit_id, motif, residues``) that are near enough to theirs.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import areas as area_ops
 from ..operators import joins as join_ops
 from ..operators import sites as ops
+from ..operators.kernels import Kernel, kernel_scores
 from ..operators.rules import Rule, Rules, evaluate_rules, profile
 from ..operators.scans import peptide_features
 from ..plans.checkpoints import cut
@@ -35,6 +36,30 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.active_sites(rows, sites)
 
 
+#: Residues that the checks of each database look for, by position; where two checks differ the later one wins.
+_DATABASES = sorted({c[1] for c in ops.CHECKS})
+_WANTED = {(d, p): r for d in _DATABASES for _, db, scaffold, expected, target, labels, _, _ in ops.CHECKS if db == d for p, r in [*zip(scaffold, expected, strict=True), *zip(target, next(iter(labels)), strict=True)]}
+_SITE_WORDS = f"""a AS (SELECT record_id AS domain_id, p, ['{"', '".join(_DATABASES)}'][CAST(record_id % {len(_DATABASES)} + 1 AS INT)] AS profile, (record_id // 3) % 2 AS hs, CAST(250 + record_id % 190 AS INT) AS n FROM (SELECT record_id, {_PROTEIN} AS p FROM sequences) WHERE length(p) > 0)"""
+
+
+@query("H13_site_checks", with_tables(f""", {_SITE_WORDS}, w(profile, at_, r) AS (VALUES {", ".join(f"('{d}', {p}, '{r}')" for (d, p), r in _WANTED.items())}),
+    wm AS (SELECT profile, map(list(at_), list(r)) AS wanted FROM w GROUP BY profile),
+    b AS (SELECT domain_id, profile, hs, list_transform(range(1, n + 1), lambda i: CASE WHEN (domain_id // 11 * 7 + i) % 19 > 0 THEN coalesce(wanted[CAST(i + CASE WHEN domain_id % 4 = 0 THEN hs ELSE 0 END AS INT)], substr(p, CAST((i * 7 + domain_id) % length(p) + 1 AS INT), 1)) ELSE substr(p, CAST((i * 7 + domain_id) % length(p) + 1 AS INT), 1) END) AS l, n FROM a JOIN wm USING (profile)),
+    c(site, profile, scaffold, expected, target, labels, other, failed) AS (VALUES {", ".join(f"('{site}', '{db}', {list(sc)}, '{ex}', {list(ta)}, MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in labels.items())}}}, '{other}', {f'{chr(39)}{failed}{chr(39)}' if failed else 'NULL'})" for site, db, sc, ex, ta, labels, other, failed in ops.CHECKS)}),
+    t AS (SELECT domain_id, site, labels, other, failed, CASE WHEN list_max(target) - hs <= n AND list_min(target) > hs THEN array_to_string(list_transform(target, lambda x: l[x - hs]), '') ELSE '' END AS residues,
+        list_max(scaffold) <= n AND array_to_string(list_transform(scaffold, lambda x: l[x]), '') = expected AS scaffold FROM b JOIN c USING (profile))
+    SELECT domain_id, site, residues, scaffold, replace(CASE WHEN NOT scaffold AND failed IS NOT NULL THEN failed ELSE coalesce(labels[residues], other) END, '{{scaffold}}', CASE WHEN scaffold THEN 'True' ELSE 'False' END) AS label FROM t""", "sequences"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _proteins(spark, folder).where("length(seq) > 0").select(F.col("record_id").alias("domain_id"), "seq", F.element_at(F.array(*map(F.lit, _DATABASES)), (F.col("record_id") % len(_DATABASES) + 1).cast("int")).alias("profile"), F.expr("cast((record_id div 3) % 2 as int)").alias("hit_start"), (250 + F.col("record_id") % 190).cast("int").alias("n"))
+    wanted = spark.createDataFrame([(d, {p: r for (x, p), r in _WANTED.items() if x == d}) for d in _DATABASES], "profile string, wanted map<int,string>")
+    own = lambda i: F.substr("seq", ((i * 7 + F.col("domain_id")) % F.length("seq") + 1).cast("int"), F.lit(1))
+    letter = lambda i: F.when((F.expr("domain_id div 11") * 7 + i) % 19 > 0, F.coalesce(F.try_element_at("wanted", i + F.when(F.col("domain_id") % 4 == 0, F.col("hit_start")).otherwise(0)), own(i))).otherwise(own(i))
+    gap = lambda i: (F.col("domain_id") + i) % 17 == 0
+    text = lambda insert, of: F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(gap(i), F.concat(F.lit(insert), of(i))).otherwise(of(i))), "")
+    aligned = rows.join(F.broadcast(wanted), "profile").select("domain_id", "profile", "hit_start", text("X", letter).alias("query"), text(".", lambda i: F.lit("p")).alias("reference"))
+    return ops.site_checks(aligned)
+
+
 _ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 _MOTIFS = [("AF", "m1", "C.E", 0, 1, 1, "trp"), ("AF", "m2", "DEF", 0, 2, 2, "tyr"), ("AF", "m3", "..G", 0, 1, 2, "phe"), ("NO", "m1", "K.M", 0, 2, 1, "hpg"), ("NO", "m2", "", 0, 0, 3, "any")]
 _CUTOFFS = [("AF", [60000.0, 30000.0, 5000.0], 0.8, 0.15), ("NO", [40000.0, 2000.0], 0.5, 0.1), ("RF", [50000.0], 0.9, 0.1)]
@@ -86,6 +111,21 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.classifier_score(rows, model).select("record_id", "score")
 
 
+#: A model for vectors: the first vector of each label is a support vector, for even labels with weight 0.5, else -0.4.
+_KERNEL = Kernel(0.35, 0.05, [0.01] * 64, [0.9] * 64)
+_SCALED = f"list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x - {_KERNEL.mean[0]}::DOUBLE) / {_KERNEL.scale[0]}::DOUBLE)"
+
+
+@query("H23_kernel_score", f"""WITH e AS (SELECT vec_id, label, {_SCALED} AS x FROM embeddings WHERE len(embedding) = 64), sv AS (SELECT CASE WHEN label % 2 = 0 THEN 0.5 ELSE -0.4 END AS w, arg_min(x, vec_id) AS v FROM e GROUP BY label),
+    s AS (SELECT vec_id, CAST(sum(w * exp(-{_KERNEL.gamma} * list_sum(list_transform(list_zip(x, v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS DOUBLE) + {_KERNEL.intercept} AS score FROM e, sv GROUP BY vec_id)
+    SELECT vec_id AS row_id, round(score, 6) AS score, CASE WHEN score > 0 THEN 10 ELSE 0 END AS points FROM s""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+    scaled = F.transform("features", lambda x: (x - _KERNEL.mean[0]) / _KERNEL.scale[0])
+    support = rows.groupBy("label").agg(F.min_by(scaled, "row_id").alias("vector")).select(F.when(F.col("label") % 2 == 0, 0.5).otherwise(-0.4).alias("weight"), "vector")
+    return kernel_scores(rows, support, _KERNEL).withColumn("score", F.round("score", 6))
+
+
 _FEATURES = ["length", *[f"n_{name}" for name in CLASSES], "n_facing_cys"]
 
 _ANCHORED = f"""g AS (SELECT CAST(record_id % 7 AS BIGINT) AS rec, record_id AS gene_id, record_id * 1000 AS s, record_id * 1000 + length(p) + 1 AS e, p FROM (SELECT record_id, {_PROTEIN} AS p FROM sequences)),
