@@ -39,13 +39,15 @@ def test_stages_keep_columns_and_take_effect(spark, folder, tmp_path):
 TEXT = "A calm sentence tells that boat number %d lies in the harbour while people walk along the quay and talk about the weather of the coming week."
 
 
-@pytest.mark.parametrize("kind", ["mixed", "empty"])
+@pytest.mark.parametrize("kind", ["mixed", "long", "empty"])
 def test_run_over_nulls_repeats_and_clashing_names(spark, tmp_path, kind):
     names = ("_measured", "_good", "_key", "_number", "kept", "start", "length")
     rows = [(k, None if k % 7 == 0 else "" if k % 7 == 1 else TEXT % (k // 2 if k % 5 == 0 else k * 7919), None if k % 11 == 0 else "s", *[n + str(k) for n in names]) for k in range(80)]
     rows += [rows[5], (None, TEXT % 1, "s", *names), (None, None, None, *names)]
+    if kind == "long":
+        rows += [(k, " ".join(TEXT % (j * 31 + k) for j in range(20_000)), "s", *names) for k in (200, 201)]
     schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
-    spark.createDataFrame(rows if kind == "mixed" else [], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if kind == "empty" else rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(k, int(bool(rows[k][1])), 0) for k in range(80)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()

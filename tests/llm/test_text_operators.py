@@ -245,6 +245,40 @@ def test_very_long_texts_in_every_text_operator(spark):
     assert license_scans.scan(frame).where("n_words > 1000000").count() == 2
 
 
+def test_long_words_have_the_counts_of_the_library():
+    """Words that go through the queue of ranks, beside short ones, with overlaps of equal pairs and letters of several bytes."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    tool = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    count = token_counts.Counter(tokenizer_path("byte_bpe_50k.json")).count
+    texts = ["".join(rng.choices(rng.choice(["a", "ab", "abc ", "etaoin", "the andor", "=-_", "é日a", "0123"]), k=rng.randint(1, 1500))) for _ in range(150)]
+    texts += ["a" * 10_001, "ab" * 7000 + "a", "x" * (token_counts.LONG + 1), "x" * token_counts.LONG, "é日" * 9000]
+    assert count(texts) == [len(tool.encode(t, add_special_tokens=False).ids) for t in texts]
+    whole = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    began = time.time()
+    assert count([whole]) == [len(tool.encode(whole, add_special_tokens=False).ids)] and time.time() - began < 60
+
+
+def test_very_long_texts_in_scores_counts_and_packing(spark):
+    from tokenizers import Tokenizer
+
+    from locusloom.llm import packing
+
+    text = LONG * 20 + "z" * 500_000
+    frame = spark.createDataFrame([(1, text), (2, "short"), (3, LONG)], "doc_id bigint, text string")
+    counted = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(frame).collect()}
+    assert counted[1] == len(Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids)
+    pieces = packing.pack_documents(frame).where("doc_id = 1").agg(F.sum("length"), F.max("doc_tokens")).first()
+    assert pieces[0] == pieces[1] == len(Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids) + 1
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.score(frame, labels).collect()}
+    assert len(scores) == 3 and all(0 <= x <= 1 for x in scores.values())
+
+
 def test_token_counts_of_an_empty_table(spark):
     frame = docs(spark, TEXTS)
     assert token_counts.token_counts(frame.limit(0)).count() == 0
