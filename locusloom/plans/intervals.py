@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running
+from .checkpoints import cut
+from .ordering import running, small_keys
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_width: int, left_span: tuple[str, str] = ("start", "end"), right_span: tuple[str, str] = ("start", "end"), within: Callable[[str, str], Column] | None = None, how: str = "overlap") -> DataFrame:
@@ -80,14 +81,16 @@ def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: b
     """Number the groups of intervals, per key in order of start, that follow each other at less than ``gap``.
 
     ``strict`` starts a new island where the distance to all earlier rows reaches ``gap``, else where it exceeds it.
-    Keys are dealt over range partitions, so one that holds a large share of all rows is many tasks; without ``spread``
-    a key's rows meet in one task, which saves two small shuffles where keys are known to be small.
+    Keys with many rows are dealt over range partitions, so that one which holds a large share of all rows is many tasks. Where the stored rows are
+    counted and no key has more than ``SMALL`` of them, and without ``spread``, where keys are known to be small, a key's rows meet in one task instead, by one shuffle.
     """
     gap = gap if isinstance(gap, Column) else F.lit(gap)
     sort = [start, end, *order]
     distance = F.col(start) - F.col("_reach")
     begins = F.col("_reach").isNull() | (distance >= gap if strict else distance > gap)
     if spread:
+        df = cut(df)
+    if spread and not small_keys(df, keys):
         reached = running(df, keys, sort, {"_reach": (end, F.max)}, keep=True)
         marked = reached.withColumn("_begins", begins.cast("long"))
         # Of rows that tie in all of the order the one that begins comes first here too.

@@ -16,6 +16,15 @@ from .checkpoints import cut
 
 ROWS = "_rows_before"
 
+#: Rows of one key that a window may take in one task.
+SMALL = 100_000
+
+
+def small_keys(df: DataFrame, keys: Sequence[str], most: int | None = None) -> bool:
+    """Whether no key of stored rows has more than ``most`` of them (default ``SMALL``), counted before a window is put over keys."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n"))
+    return (counts.first()[0] or 0) <= (SMALL if most is None else most)
+
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], measures: Mapping[str, tuple[str, Callable[[Column], Column]]], dealt: bool = False, keep: bool = False) -> DataFrame:
     """Add to each row an aggregate over the rows before it in its key; null for a key's first row.
@@ -58,8 +67,13 @@ def prefix_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 def with_adjacent(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Add the structs ``before`` and ``after``: the columns of the rows next to each one in its key's order; null at the ends.
 
-    Places are counted over range partitions and rows meet their neighbours by place, so no key is one task's work.
+    Where a key has many rows, places are counted over range partitions and rows meet their neighbours by place, so no key is one task's
+    work; where all keys are counted small, a window looks next to each row.
     """
+    df = cut(df)
+    if small_keys(df, keys):
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+        return df.withColumns({"before": F.lag(F.struct(*columns)).over(w), "after": F.lead(F.struct(*columns)).over(w)})
     placed = cut(prefix_totals(df, keys, order, rows="_place"))
     near = lambda step, name: placed.select(*keys, (F.col("_place") + step).alias("_place"), F.struct(*columns).alias(name))
     return placed.join(near(1, "before"), [*keys, "_place"], "left").join(near(-1, "after"), [*keys, "_place"], "left").drop("_place")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import predict as ops
 from ..operators.hits import overlap_groups
+from ..plans.checkpoints import cut
+from ..plans.ordering import prefix_totals
 from ..registry import query
 from ..tables import table, with_tables
 
@@ -136,8 +138,8 @@ _PLACES = "places AS (SELECT record_id, gene_id, profile, score, CAST(row_number
 
 
 def _places(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
-    places = table(spark, folder, "moments").withColumn("k", F.row_number().over(w))
+    placed = prefix_totals(table(spark, folder, "moments"), ["record_id"], ["start", "end", "gene_id"], rows="k")
+    places = cut(placed.withColumn("k", (F.col("k") + 1).cast("int")))
     return places, places.groupBy("record_id").agg(F.count("*").cast("int").alias("n")), places.where("score > 100").select("record_id", F.col("k").alias("anchor"))
 
 

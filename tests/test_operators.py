@@ -67,7 +67,9 @@ def test_greedy_pairs_equal_one_by_one(spark):
     assert greedy_pairs(frame.limit(0), ["key"], "a", "b", "k").count() == 0
 
 
-def test_rows_know_their_neighbours(spark):
+@pytest.mark.parametrize("small", [3, 1000])
+def test_rows_know_their_neighbours(spark, monkeypatch, small):
+    monkeypatch.setattr("locusloom.plans.ordering.SMALL", small)
     rows = [(k % 2, (k * 37) % 100, k) for k in range(60)]
     found = with_adjacent(spark.createDataFrame(rows, "key int, at int, id int"), ["key"], ["at", "id"], ["id"]).collect()
     for key in (0, 1):
