@@ -7,7 +7,7 @@ that begins before the record's length and ends past it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import components
@@ -29,13 +29,13 @@ def _with_circles(lengths: DataFrame) -> DataFrame:
     return lengths if "circular" in lengths.columns else lengths.withColumn("circular", F.lit(False))
 
 
-def chain_cores(core_genes: DataFrame, rules: Rules, spread: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+def chain_cores(core_genes: DataFrame, rules: Rules, spread: bool = True, lengths: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Cores: core genes of a rule that follow each other at less than its cutoff; with ``lengths`` also over the origin of circular records.
 
     Adds ``core_start, core_end``, the number of genes and the first and last gene's place.
     """
     timed = core_genes.join(rule_table(core_genes.sparkSession, rules), "rule")
-    chained = islands(timed, ["record_id", "rule"], gap=F.col("cutoff"), order=["gene_id"], spread=spread)
+    chained = islands(timed, ["record_id", "rule"], gap=F.col("cutoff"), order=["gene_id"], spread=spread, most=most)
     if lengths is not None:
         chained = close_circles(chained, ["record_id", "rule"], _with_circles(lengths), gap=F.col("cutoff"))
     place = F.struct("start", "end", "gene_id")
@@ -148,9 +148,9 @@ def _meeting(left: DataFrame, right: DataFrame, start: str, end: str, bin_width:
 
 def hybrid_groups(areas: DataFrame, defining: DataFrame, bin_width: int) -> DataFrame:
     """``group_id, area``: areas (global ``id``) that share a defining gene (``id, record_id, gene_id``), and those whose core lies in such a group's."""
-    other = defining.select("record_id", "gene_id", F.col("id").alias("b"))
-    pairs = defining.select("record_id", "gene_id", F.col("id").alias("a")).join(other, ["record_id", "gene_id"]).where("a < b").select("a", "b")
-    groups = _grouped(pairs)
+    # Areas of a gene meet at its least one, a star instead of all pairs.
+    least = F.min("id").over(Window.partitionBy("record_id", "gene_id"))
+    groups = _grouped(defining.select(least.alias("a"), F.col("id").alias("b")).where("a < b"))
     placed = groups.join(areas.select(F.col("id").alias("area"), "record_id", "core_start", "core_end"), "area")
     spans = placed.groupBy("record_id", "group_id").agg(F.min("core_start").alias("start"), F.max("core_end").alias("end"))
     free = areas.join(groups, areas["id"] == groups["area"], "left_anti").select("record_id", "id", F.col("core_start").alias("start"), F.col("core_end").alias("end"))

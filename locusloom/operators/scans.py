@@ -134,8 +134,14 @@ def trim_orf(seq: Column, include: Column, min_length: int, max_length: int) ->
     return F.element_at(latest, 1)
 
 
-def translate(seq: Column, to_stop: bool = True) -> Column:
-    """Residues of a nucleotide sequence (whole codons; unknown ones X), up to the first stop; read through if nothing stands before it."""
+def translate(seq: Column, to_stop: bool = True, new_frame: bool = False) -> Column:
+    """Residues of a nucleotide sequence (whole codons; unknown ones X), up to the first stop; read through if nothing stands before it.
+
+    A ``new_frame`` begins with M, whichever codon starts it; an empty one stays empty.
+    """
+    if new_frame:
+        residues = translate(seq, to_stop)
+        return F.when(F.length(residues) > 0, F.concat(F.lit("M"), F.substr(residues, F.lit(2), F.length(residues)))).otherwise(residues)
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
     codons = codons_of(F.upper(seq))
     residues = F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")

@@ -77,12 +77,12 @@ def near_join(left: DataFrame, right: DataFrame, reach: int | Column, bin_width:
     return kept.select("record_id", "l", "r", "distance")
 
 
-def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", order: Sequence[str] = (), into: str = "island", spread: bool = True) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: bool = True, start: str = "start", end: str = "end", order: Sequence[str] = (), into: str = "island", spread: bool = True, most: int | None = None) -> DataFrame:
     """Number the groups of intervals, per key in order of start, that follow each other at less than ``gap``.
 
     ``strict`` starts a new island where the distance to all earlier rows reaches ``gap``, else where it exceeds it.
     Keys with many rows are dealt over range partitions, so that one which holds a large share of all rows is many tasks. Where the stored rows are
-    counted and no key has more than ``SMALL`` of them, and without ``spread``, where keys are known to be small, a key's rows meet in one task instead, by one shuffle.
+    counted and no key has more than ``most`` (default: ``SMALL``) of them, and without ``spread``, where keys are known to be small, a key's rows meet in one task instead, by one shuffle.
     """
     gap = gap if isinstance(gap, Column) else F.lit(gap)
     sort = [start, end, *order]
@@ -90,7 +90,7 @@ def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, strict: b
     begins = F.col("_reach").isNull() | (distance >= gap if strict else distance > gap)
     if spread:
         df = cut(df)
-    if spread and not small_keys(df, keys):
+    if spread and not small_keys(df, keys, most):
         reached = running(df, keys, sort, {"_reach": (end, F.max)}, keep=True)
         marked = reached.withColumn("_begins", begins.cast("long"))
         # Of rows that tie in all of the order the one that begins comes first here too.

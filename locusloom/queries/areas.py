@@ -126,6 +126,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.chain_cores(_core_genes(spark, folder), _PLAIN).select("record_id", "product", "core_start", "core_end", "n_genes")
 
 
+@query("F9_chain_cores_spread", with_tables(f"{_CHAINED} SELECT record_id, product, core_start, core_end, n_genes FROM cores", "genes"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The plan for records of any size: every key dealt over range partitions, with totals carried from one to the next."""
+    return ops.chain_cores(_core_genes(spark, folder), _PLAIN, most=0).select("record_id", "product", "core_start", "core_end", "n_genes")
+
+
 @query("F10_expand", with_tables(f'{_CHAINED}, {_LENGTHS} SELECT record_id, product, core_start, core_end, greatest(0, core_start - 500) AS "start", least(length, core_end + 500) AS "end" FROM cores JOIN lengths USING (record_id)', "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.expand(ops.chain_cores(_core_genes(spark, folder), _PLAIN), _lengths(spark, folder)).select("record_id", "product", "core_start", "core_end", "start", "end")

@@ -66,6 +66,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return _dna(spark, folder).select("record_id", F.md5(ops.translate(F.col("seq"))).alias("digest"))
 
 
+@query("H5_new_frames", with_tables(f""", t AS (SELECT record_id, coalesce(array_to_string(list_transform(range(0, CAST(floor(length(seq) / 3) AS BIGINT)), lambda k: coalesce({_CODE}[substr(seq, CAST(k AS INT) * 3 + 1, 3)], 'X')), ''), '') AS r FROM nucleotides),
+    h AS (SELECT record_id, CASE WHEN split_part(r, '*', 1) = '' THEN replace(r, '*', '') ELSE split_part(r, '*', 1) END AS p FROM t) SELECT record_id, length(p) AS n, md5(regexp_replace(p, '^.', 'M')) AS digest FROM h""", "nucleotides"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    residues = ops.translate(F.col("seq"), new_frame=True)
+    return _dna(spark, folder).select("record_id", F.length(residues).cast("long").alias("n"), F.md5(residues).alias("digest"))
+
+
 @query("H6_codon_positions", with_tables("""SELECT record_id, record_id AS gene_id, CAST(k AS INT) AS position FROM (SELECT *, unnest(range(0, length(seq) - 2, 3)) AS k FROM nucleotides WHERE length(seq) > 0 AND length(regexp_replace(seq, '[^GCgc]', '', 'g')) / length(seq) >= 0.4) WHERE substr(seq, CAST(k AS INT) + 1, 3) = 'TTA'""", "nucleotides"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     genes = _dna(spark, folder).select("record_id", F.col("record_id").alias("gene_id"), "seq", ops.gc_content().alias("gc"))

@@ -41,7 +41,7 @@ def lengths_of(spark, rings):
     return spark.createDataFrame([(k, ring or 500, ring is not None) for k, ring in rings.items()], "record_id long, length long, circular boolean")
 
 
-@pytest.mark.parametrize(("seed", "reach", "width"), [(1, 7, 7), (2, 30, 30), (3, 200, 11), (4, 1, 50)])
+@pytest.mark.parametrize(("seed", "reach", "width"), [(2, 30, 30), (3, 200, 11)])
 def test_pairs_on_lines_and_circles(spark, seed, reach, width):
     rows, rings = genome(seed)
     frame = spark.createDataFrame(rows, ROWS)
@@ -72,7 +72,7 @@ def test_named_areas_wrap_clamp_and_cover(spark):
     assert {r.gene_id: (r.start, r.end) for r in areas_by_gene(features, names, lengths, 48).collect()}[1] == (0, 100)
 
 
-@pytest.mark.parametrize("seed", [6, 7])
+@pytest.mark.parametrize("seed", [6])
 def test_counts_near_equal_loops(spark, seed):
     rows, rings = genome(seed)
     flagged = [(*r, int(r[1] % 2 == 0), int(r[1] % 3 == 0)) for r in rows]
@@ -115,7 +115,7 @@ def judged(condition, own, near):
     return met, ({"B"} if enough(own) else set()) | {p for p in "AD" if p in own}, lacks("D", "A")
 
 
-@pytest.mark.parametrize("seed", [8, 9, 10])
+@pytest.mark.parametrize("seed", [8, 9])
 def test_rules_equal_loops_on_lines_and_circles(spark, seed):
     rows, rings = genome(seed)
     rng = random.Random(seed)

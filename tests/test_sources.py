@@ -72,5 +72,27 @@ def test_areas_are_nested_and_rebased(spark, tmp_path):
     candidates = spark.createDataFrame([(1, 1, "single", 50, 90, [7])], "record_id int, region int, kind string, start int, end int, area_ids array<int>")
     row = writers.area_json(regions, areas, candidates).first()
     assert [a["product"] for a in row["regions"][0]["areas"]] == ["a", "b"] and row["regions"][0]["candidates"][0]["areas"] == [1]
+    assert row["regions"][1]["areas"] == [] and row["regions"][1]["candidates"] == [] and row["regions"][0]["subregions"] == []
+    subregions = spark.createDataFrame([(1, 2, "x", 210, 220), (1, 2, "y", 205, 208)], "record_id int, region int, label string, start int, end int")
+    row = writers.area_json(regions, areas, candidates, subregions).first()
+    assert [s["label"] for s in row["regions"][1]["subregions"]] == ["y", "x"]
     features = spark.createDataFrame([(1, 210, 250), (1, 90, 110)], "record_id int, start int, end int")
     assert [(r["region"], r["start"], r["end"]) for r in writers.region_features(features, regions).collect()] == [(2, 10, 50)]
+
+
+def test_extracts_go_over_the_origin(spark):
+    regions = spark.createDataFrame([(1, 1, 900, 1100), (2, 1, 900, 1000)], "record_id int, region int, start bigint, end bigint")
+    lengths = spark.createDataFrame([(1, 1000, True), (2, 1000, False)], "record_id int, length bigint, circular boolean")
+    features = spark.createDataFrame([(r, g, s, e) for r in (1, 2) for g, s, e in (("a", 910, 920), ("b", 990, 1005), ("c", 50, 60), ("d", 95, 105), ("e", 500, 510))], "record_id int, gene_id string, start bigint, end bigint")
+    found = {(r["record_id"], r["gene_id"], r["start"], r["end"]) for r in writers.region_features(features, regions, lengths).collect()}
+    assert found == {(1, "a", 10, 20), (1, "b", 90, 105), (1, "c", 150, 160), (2, "a", 10, 20)}
+
+
+def test_report_holds_genes_of_ranked_references(spark, tmp_path):
+    ranking = spark.createDataFrame([(1, 7, 1), (2, 8, 1)], "region int, ref_area int, rank int")
+    pairs = spark.createDataFrame([(1, 7, "q", "s"), (1, 8, "q", "t")], "region int, ref_area int, query string, subject string")
+    query = spark.createDataFrame([(1, "q"), (3, "z")], "region int, gene string")
+    subject = spark.createDataFrame([(7, "s"), (9, "u")], "ref_area int, gene string")
+    writers.write_hit_report(ranking, pairs, str(tmp_path / "r"), query, subject)
+    read = lambda name: sorted(map(tuple, spark.read.csv(str(tmp_path / "r" / name), header=True, inferSchema=True).select("region", *{"pairs": ["query", "subject"], "ranking": ["ref_area"]}.get(name, ["gene"])).collect()))
+    assert (read("pairs"), read("query_genes"), read("subject_genes"), read("ranking")) == ([(1, "q", "s")], [(1, "q")], [(1, "s")], [(1, 7), (2, 8)])
