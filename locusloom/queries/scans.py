@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chunks as chunk_ops
 from ..operators import scans as ops
 from ..registry import query
 from ..tables import table, with_tables
@@ -42,16 +43,25 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.intergenic(inside, regions, 100, 20)
 
 
-@query("H3_scan_orfs", with_tables(f""", b AS (SELECT record_id, length(seq) AS size, unnest([1, -1]) AS strand, unnest([seq, {_RC}]) AS s FROM nucleotides WHERE length(seq) >= 3),
+_ORFS_SQL = with_tables(f""", b AS (SELECT record_id, length(seq) AS size, unnest([1, -1]) AS strand, unnest([seq, {_RC}]) AS s FROM nucleotides WHERE length(seq) >= 3),
     c AS (SELECT record_id, strand, size, at_, at_ % 3 AS frame, substr(s, at_ + 1, 3) AS codon FROM (SELECT *, unnest(range(0, size - 2)) AS at_ FROM b)),
     d AS (SELECT *, codon IN ('TAA', 'TAG', 'TGA') AS stop FROM c WHERE codon IN ('ATG', 'GTG', 'TTG', 'TAA', 'TAG', 'TGA')),
     e AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY record_id, strand, frame ORDER BY at_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM d),
     f AS (SELECT record_id, strand, size, min(at_) FILTER (NOT stop) AS first, max(at_) FILTER (stop) AS last FROM e GROUP BY record_id, strand, size, frame, k)
-    SELECT record_id, strand, CAST(CASE WHEN strand = 1 THEN first ELSE size - last - 3 END AS INT) AS "start", CAST(CASE WHEN strand = 1 THEN last + 3 ELSE size - first END AS INT) AS "end" FROM f WHERE last + 2 - first >= 60""", "nucleotides"))
+    SELECT record_id, strand, CAST(CASE WHEN strand = 1 THEN first ELSE size - last - 3 END AS INT) AS "start", CAST(CASE WHEN strand = 1 THEN last + 3 ELSE size - first END AS INT) AS "end" FROM f WHERE last + 2 - first >= 60""", "nucleotides")
+
+
+@query("H3_scan_orfs", _ORFS_SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.scan_orfs(_dna(spark, folder))
 
 
+@query("H3_long_orfs", _ORFS_SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows from pieces of 1,000 bases."""
+    return chunk_ops.scan_long_orfs(_dna(spark, folder), size=1000)
+
+
 @query("H4_trim_orfs", with_tables("""SELECT record_id, list_max(list_filter(range(0, length(seq) - 2, 3), lambda k: substr(seq, CAST(k AS INT) + 1, 3) IN ('ATG', 'GTG', 'TTG') AND k <= 300 AND length(seq) - k BETWEEN 60 AND 3000)) AS latest FROM nucleotides""", "nucleotides"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return _dna(spark, folder).select("record_id", ops.trim_orf(F.col("seq"), F.lit(300), 60, 3000).cast("long").alias("latest"))
@@ -99,6 +109,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ops.scan_matrices(_dna(spark, folder), MATRICES, THRESHOLDS)
 
 
+@query("H7_long_matrices", with_tables(f"{_HITS_SQL} SELECT * FROM found", "nucleotides"))
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows from pieces of 1,000 bases."""
+    return chunk_ops.scan_long_matrices(_dna(spark, folder), MATRICES, THRESHOLDS, 1000)
+
+
 @query("H8_confidence", with_tables(f"""{_HITS_SQL} SELECT matrix, CASE WHEN score <= 4.0 THEN 'weak' WHEN score >= 4.2 THEN 'strong' ELSE 'medium' END AS confidence, count(*) AS n FROM found WHERE matrix = 'box' GROUP BY ALL""", "nucleotides"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = ops.scan_matrices(_dna(spark, folder), {"box": MATRICES["box"]}, THRESHOLDS)
