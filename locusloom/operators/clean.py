@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut
@@ -140,8 +140,8 @@ def check_locations(features: DataFrame, lengths: DataFrame) -> DataFrame:
 def filter_gene_calls(calls: DataFrame, lengths: DataFrame, longest: int = 300_000) -> DataFrame:
     """Gene calls on a doubled circular record: none that begins after the wrap point, is too long, or lies in the last call that crosses it."""
     inside = calls.join(lengths, "record_id").where((F.col("start") < F.col("length")) & (F.col("end") - F.col("start") <= longest))
-    over = F.max(F.when(F.col("end") > F.col("length"), F.col("end") - F.col("length"))).over(Window.partitionBy("record_id"))
-    return inside.withColumn("_over", over).where("_over is null or end > length or end > _over").drop("_over", "length")
+    over = inside.where("end > length").groupBy("record_id").agg(F.max(F.col("end") - F.col("length")).alias("_over"))
+    return inside.join(over, "record_id", "left").where("_over is null or end > length or end > _over").drop("_over", "length")
 
 
 def mark_skipped(sequences: DataFrame, features: DataFrame, regions: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import cut
 from ..plans.graph import components, greedy_pairs
 from ..plans.intervals import fold
-from ..plans.ordering import running
+from ..plans.ordering import running, with_adjacent
 
 GENE = ["record_id", "gene_id"]
 #: A profile table is joined as it is: it has one row per profile, and Spark broadcasts it while it is small.
@@ -208,10 +208,9 @@ def drop_overlapping_genes(genes: DataFrame) -> DataFrame:
     chains; the passes drop all genes that overlap their predecessor at once, so they are repeated here too, each
     stored so that the next one does not repeat it.
     """
-    w = Window.partitionBy("record_id").orderBy("start", "end", "gene_id")
     left, before = genes, -1
     while True:
-        left = cut(left.withColumn("_last", F.lag("end").over(w)).where("_last is null or start >= _last").drop("_last"))
+        left = cut(with_adjacent(left, ["record_id"], ["start", "end", "gene_id"], ["end"]).where("before is null or start >= before.end").select(*genes.columns))
         n = left.count()
         if n == before:
             return left

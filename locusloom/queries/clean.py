@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import locations as loc
 from ..operators import clean as ops
+from ..plans.ordering import with_adjacent
 from ..registry import query
 from ..tables import table, with_tables
 
@@ -121,11 +122,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Genes with the next one on their record, both as exons."""
     rows = exons(spark, folder).withColumn("low", F.col("parts")[0]["start"])
-    w = F.expr("struct(low, feature_id)")
-    from pyspark.sql import Window
-
-    following = Window.partitionBy("record_id").orderBy(w)
-    return rows.withColumn("other", F.lead("parts").over(following)).where("other is not null")
+    near = with_adjacent(rows, ["record_id"], ["low", "feature_id"], ["parts"])
+    return near.withColumn("other", F.col("after.parts")).where("other is not null").drop("before", "after")
 
 
 _PAIRS = f""", {_EXONS}, p AS (SELECT *, lead(starts) OVER w AS os, lead(ends) OVER w AS oe FROM exons WINDOW w AS (PARTITION BY record_id ORDER BY s, feature_id)),
@@ -153,9 +151,9 @@ _CIRCLE = """c AS (SELECT record_id, gene_id, "start" AS s, "end" AS e, CAST(max
 
 
 def _circle(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, folder, "genes").withColumns({"length": F.max("end").over(Window.partitionBy("record_id")) + 40, "circular": F.col("record_id") % 2 == 0})
+    genes = table(spark, folder, "genes")
+    lengths = genes.groupBy("record_id").agg((F.max("end") + 40).alias("length"))
+    rows = genes.join(lengths, "record_id").withColumn("circular", F.col("record_id") % 2 == 0)
     return rows.withColumn("parts", F.array(loc.part(F.col("start"), F.col("end"), F.lit(1))))
 
 
