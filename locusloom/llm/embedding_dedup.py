@@ -210,9 +210,15 @@ def counted_links(grouped: DataFrame, s: Settings) -> DataFrame:
     return counted.groupBy("node", "label").agg(F.sum("near").alias("near"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with labels of any type replaced by their places in order; null stays. A label stands once on the small side of the join."""
+    places = cut(prefix_totals(rows.where("label is not null").select("label").distinct(), [], ["label"], rows="number"))
+    return rows.join(places, "label", "left").select("vec_id", F.col("number").alias("label"), "v")
+
+
 def dedup(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of each row of ``embeddings``."""
-    rows = embeddings.select("vec_id", "label", F.col("embedding").alias("v"))
+    """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of each row of ``embeddings``; labels may have any type that can be ordered."""
+    rows = numbered(embeddings.select("vec_id", "label", F.col("embedding").alias("v")))
     nodes = cut(nodes_of(rows))
     labelled = components(near_pairs(nodes, settings)).withColumnRenamed("component", "found")
     grouped = cut(nodes.join(labelled, "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found"))
