@@ -129,7 +129,7 @@ def fit(examples: DataFrame, settings: Settings = Settings()) -> Model | None:
     if n > settings.train_rows:
         share = int((1 << 20) * settings.train_rows / n)
         examples = examples.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < share)
-    examples = cut(examples.coalesce(settings.parts))
+    examples = cut(examples.repartition(settings.parts))  # the sample is drawn by as many tasks as the rows have, then dealt
     moments = examples.agg(*[f(F.col("x")[k]).alias(f"{name}{k}") for k in range(FEATURES) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     centre = np.array([moments[f"m{k}"] for k in range(FEATURES)])
     scale = np.array([moments[f"s{k}"] for k in range(FEATURES)])
