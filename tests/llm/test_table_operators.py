@@ -54,6 +54,19 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.dedup(frame.limit(0), settings).count() == 0
 
 
+def test_labels_may_be_of_any_type(spark):
+    """Text, and whole numbers so far apart that sums of turns and labels would meet."""
+    random_ = np.random.default_rng(6)
+    base = random_.normal(size=(6, 16))
+    rows = [(k, [float(x) for x in base[k % 6] + random_.normal(size=16) * 0.02], k % 4) for k in range(60)]
+    plain = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label bigint")
+    settings = embedding_dedup.Settings(window=8, block=64, tile=50)
+    expected = sorted(map(tuple, embedding_dedup.dedup(plain, settings).collect()))
+    assert max(r[1] for r in expected) > 0
+    for label in ("concat('l', label)", "label * (1L << 34)", "cast(label as decimal(20, 2))", "date_add(date'2020-01-01', cast(label as int))"):
+        assert sorted(map(tuple, embedding_dedup.dedup(plain.selectExpr("vec_id", "embedding", f"{label.replace('1L << 34', '17179869184L')} AS label"), settings).collect())) == expected
+
+
 def shingled(text):
     words = [w for w in WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))]
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
@@ -288,6 +301,29 @@ def test_shards_equal_a_walk_round_the_ring(spark):
     assert placed == expected
 
 
+def test_examples_are_packed_about_as_tightly_as_first_fit_by_size(spark):
+    rng = random.Random(12)
+    examples = [(k, t, int(t * rng.uniform(0, 1))) for k in range(1500) for t in [rng.choice([rng.randint(1, 60), rng.randint(60, 700), rng.randint(700, 2048)])]]
+    limits = packing.Limits(tokens=2048, segments=6, loss=1100)
+    fitting = [e for e in examples if e[2] <= 1100]
+    found = packing.pack_examples(spark.createDataFrame(examples, "example_id long, n_tokens long, n_loss long").coalesce(1), limits).collect()
+    bins = {}
+    for r in found:
+        if r["sequence_id"] is not None:
+            bins.setdefault(r["sequence_id"], []).append(r)
+    assert sum(map(len, bins.values())) == len(fitting) and len(found) == len(examples)
+    assert all(sum(r["n_tokens"] for r in b) <= 2048 and sum(r["n_loss"] for r in b) <= 1100 and len(b) <= 6 for b in bins.values())
+    plain = []
+    for _, tokens, loss in sorted(fitting, key=lambda e: -max(e[1] / 2048, e[2] / 1100)):
+        for b in plain:
+            if b[0] + tokens <= 2048 and b[1] + loss <= 1100 and b[2] < 6:
+                b[0], b[1], b[2] = b[0] + tokens, b[1] + loss, b[2] + 1
+                break
+        else:
+            plain.append([tokens, loss, 1])
+    assert len(bins) <= 1.1 * len(plain)
+
+
 def test_every_letter_before_a_mark_has_the_ids_of_the_library():
     """Some letters become a letter and a combining mark, which joins the mark behind it."""
     tool = packing.Ids(tokenizer_path("word_bpe_49k.json"))
