@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import cut
 from ..plans.graph import components
 from ..plans.intervals import close_circles, islands, range_join
-from ..plans.ordering import prefix_totals
+from ..plans.ordering import prefix_totals, small_keys
 from .rules import Rules
 
 #: Candidate kinds from the strongest to the weakest.
@@ -114,7 +115,11 @@ def merge_same_type(areas: DataFrame) -> DataFrame:
 
 
 def numbered(areas: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """Add ``area_id``, the 1-based place of an area in its record."""
+    """Add ``area_id``, the 1-based place of an area in its record; counted over range partitions where a record has many areas."""
+    areas = cut(areas)
+    if small_keys(areas, ["record_id"]):
+        w = Window.partitionBy("record_id").orderBy(start, end, "product")
+        return areas.withColumn("area_id", F.row_number().over(w))
     placed = prefix_totals(areas, ["record_id"], [start, end, "product"], rows="_before")
     return placed.withColumn("area_id", (F.col("_before") + 1).cast("int")).drop("_before")
 
