@@ -89,6 +89,7 @@ def site_checks(alignments: DataFrame, checks: DataFrame | None = None) -> DataF
 def match_motifs(hits: DataFrame, found: DataFrame, motifs: DataFrame, profiles: DataFrame, confidence: float = 1.0) -> DataFrame:
     """``hit_id, motif, substrate, confidence`` of a hit's motifs (``found``: ``hit_id, motif, residues``) that are near enough to theirs.
 
+    Where hits share an id, ``found`` is to have their ``profile`` too. Equal rows of it are one, so each hit has its own motifs once.
     ``motifs`` has ``profile, motif, pattern`` (``.``: any), ``least, most`` (bounds on differing places), ``preference, substrate``; ``profiles`` has ``profile, cutoffs`` (falling),
     ``step`` (a factor for each cutoff that the score misses) and ``penalty`` (taken for each motif after those of the best preference). Hits under the last
     cutoff have none; a profile without motifs gives one row with a null motif.
@@ -98,7 +99,8 @@ def match_motifs(hits: DataFrame, found: DataFrame, motifs: DataFrame, profiles:
     able = able.withColumn("_base", F.lit(confidence) * F.pow("step", missed))
     differing = F.aggregate(F.zip_with(F.split("residues", ""), F.split("pattern", ""), lambda a, b: (~F.coalesce((a == b) | (b == "."), F.lit(False))).cast("int")), F.lit(0), lambda n, x: n + x)
     distance = F.when(F.length("pattern") == 0, 0).otherwise(differing)
-    near = able.join(found, "hit_id").join(motifs, ["profile", "motif"]).withColumn("_distance", distance).where(F.col("_distance").between(F.col("least"), F.col("most")))
+    own = ["hit_id", *(["profile"] if "profile" in found.columns else [])]
+    near = able.join(found.distinct(), own).join(motifs, ["profile", "motif"]).withColumn("_distance", distance).where(F.col("_distance").between(F.col("least"), F.col("most")))
     w = Window.partitionBy("hit_id")
     ranked = near.withColumn("_best", F.min("preference").over(w)).withColumn("_later", F.sum((F.col("preference") > F.col("_best")).cast("int")).over(w.orderBy("preference", "motif").rowsBetween(Window.unboundedPreceding, 0)))
     rows = ranked.select("hit_id", "motif", "substrate", F.greatest(F.lit(0.0), F.col("_base") - F.col("_later") * F.col("penalty")).alias("confidence"))

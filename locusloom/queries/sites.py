@@ -77,7 +77,7 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     hits = table(spark, folder, "hits").select(F.col("ord").alias("hit_id"), "profile", "score", "start")
     named = hits.join(motifs.select("profile", "motif", "pattern"), "profile")
     letters = F.substr(F.lit(_ACIDS), (F.col("start") % 17 + 1).cast("int"), F.lit(3))
-    found = named.select("hit_id", "motif", F.when(F.col("pattern") == "", "").otherwise(letters).alias("residues"))
+    found = named.select("hit_id", "profile", "motif", F.when(F.col("pattern") == "", "").otherwise(letters).alias("residues"))
     matched = ops.match_motifs(hits.drop("start"), found, motifs, spark.createDataFrame(_CUTOFFS, "profile string, cutoffs array<double>, step double, penalty double"))
     return matched.withColumn("confidence", F.round("confidence", 6))
 
