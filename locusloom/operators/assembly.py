@@ -182,7 +182,9 @@ def module_properties(domains: DataFrame, keys: Sequence[str] = (*GENE, "module"
     place = F.struct("part", "start", "end", "ord", "kind") if "part" in domains.columns else F.struct("start", "end", "ord", "kind")
     order = F.sort_array(F.collect_list(place))
     found = domains.groupBy(*keys).agg(order.alias("d"), F.min_by("profile", place).alias("head"), later.alias("later"))
-    at = walked(F.transform("d", lambda d: d["kind"]))["state"]
+    # A ketoreductase that goes with a joined module is taken as it is: it may follow what ends a module and changes none of what is asked here.
+    own = F.filter("d", lambda d: d["part"] < 2) if "part" in domains.columns else F.col("d")
+    at = walked(F.transform(own, lambda d: d["kind"]))["state"]
     first = (F.col("module") == 0) & ~F.col("later")
     pick = lambda what: _holds(what, F.col("at"))
     alone = pick(lambda s: s.starter in _LOADERS and bool(s.starter))
@@ -204,10 +206,12 @@ def join_modules(domains: DataFrame, genes: DataFrame) -> DataFrame:
     domain that fused genes share, they are not of two kinds, and together they are one complete module. A ketoreductase alone after a
     joined trans-AT module goes with it. A module takes part once; the pair that comes first on the record has it.
     """
+    domains = cut(domains)  # asked for several times, and walked each time otherwise
     known = module_properties(domains)
     bounds = domains.groupBy(*GENE).agg(F.min("module").alias("low"), F.max("module").alias("high"))
-    kinds = domains.groupBy(*GENE, "module").agg(F.sort_array(F.collect_list(F.struct("start", "end", "ord", "kind"))).alias("d")).select(*GENE, "module", F.transform("d", lambda d: d["kind"]).alias("kinds"))
-    parts = known.join(kinds, [*GENE, "module"]).select(*GENE, "module", "complete", "peptide", "polyketide", "fused", "kinds")
+    row = F.struct("start", "end", "ord", "kind", "profile", "subtype")
+    kinds = domains.groupBy(*GENE, "module").agg(F.sort_array(F.collect_list(row)).alias("d")).select(*GENE, "module", F.transform("d", lambda d: d["kind"]).alias("kinds"), F.transform("d", lambda d: F.struct(d["profile"].alias("profile"), d["subtype"].alias("subtype"))).alias("domains"))
+    parts = known.join(kinds, [*GENE, "module"]).select(*GENE, "module", "complete", "peptide", "polyketide", "fused", "kinds", "domains")
 
     region = Window.partitionBy("record_id", "region").orderBy("start", "gene_id")
     nearby = genes.join(bounds, GENE, "left").withColumns({"place": F.row_number().over(region), "next": F.lead(F.struct("gene_id", "strand", "low", "high")).over(region)})
@@ -215,10 +219,13 @@ def join_modules(domains: DataFrame, genes: DataFrame) -> DataFrame:
     ahead = F.col("strand") != -1
     me, other = F.struct("gene_id", "low", "high"), F.struct("next.gene_id", "next.low", "next.high")
     pairs = pairs.withColumns({"head": F.when(ahead, me).otherwise(other), "tail": F.when(ahead, other).otherwise(me)})
-    side = lambda name: parts.select("record_id", F.col("gene_id").alias(f"{name}_gene"), F.col("module").alias(f"{name}_module"), F.struct("complete", "peptide", "polyketide", "fused", "kinds").alias(f"{name}_part"))
+    side = lambda name: parts.select("record_id", F.col("gene_id").alias(f"{name}_gene"), F.col("module").alias(f"{name}_module"), F.struct("complete", "peptide", "polyketide", "fused", "domains").alias(f"{name}_part"))
     named = pairs.select("record_id", "region", "place", F.col("head.gene_id").alias("head_gene"), F.col("head.high").alias("head_module"), F.col("tail.gene_id").alias("tail_gene"), F.col("tail.low").alias("tail_module"), (F.col("low") == F.col("high")).alias("single"))
     both = named.join(side("head"), ["record_id", "head_gene", "head_module"]).join(side("tail"), ["record_id", "tail_gene", "tail_module"])
-    both = both.withColumn("end", walked(F.concat("head_part.kinds", "tail_part.kinds")))
+    # What follows a carrier is asked of the two parts together: domains behind them, in other modules, no longer count.
+    both = both.withColumn("_row", F.concat("head_part.domains", "tail_part.domains"))
+    profile = lambda k: F.get("_row", k)["profile"]
+    both = both.withColumn("end", walked(F.transform("_row", lambda d, k: kind_of(d["profile"], d["subtype"], profile(k + 1), profile(k + 2)))))
     two_kinds = (F.col("head_part.polyketide") & F.col("tail_part.peptide")) | (F.col("head_part.peptide") & F.col("tail_part.polyketide"))
     state = lambda what: _holds(what, F.col("end.state"))
     able = both.where(~F.col("head_part.complete") & (~F.col("tail_part.complete") | F.col("tail_part.fused")) & ~two_kinds & (F.col("end.opened") == 0) & state(lambda s: s.complete_later))

@@ -149,7 +149,7 @@ _ENDS_SQL = """e AS (SELECT record_id, region, CASE WHEN count(*) FILTER (closes
 
 def line_genes(spark: SparkSession, folder: str) -> DataFrame:
     """Genes of the regions with what their modules say about an end, and whether they share a module with the gene before them."""
-    rows = _joined(spark, folder)
+    rows = cut(_joined(spark, folder))
     modules = rows.groupBy("gene_id", "owner", "module").agg(F.min("part").alias("part"), F.min("kind").alias("_"), F.min(F.struct("start", "end", "ord")).alias("first")).drop("_")
     shape = ops.module_properties(rows, ["record_id", "owner", "module"]).select("owner", "module", "starter", "terminating")
     split = rows.groupBy("owner", "module").agg(F.countDistinct("gene_id").alias("genes"))
