@@ -10,7 +10,7 @@ Spark's writer puts a separator behind each row; in normalised archives that is
 
 Of pages with equal payloads (at least ``min_bytes`` long) the one with the largest id is a response, the others revisit it. Payloads
 are compared by SHA-256. Payloads that very many pages share are joined where pages are read (at most ``HOT`` of them, as each has
-more than that share of all rows); all others by a shuffle in which each payload has few rows.
+more than that share of all rows); all others too where there are at most ``FEW``, else by a shuffle in which each payload has few rows.
 
 Defined results: a null html is an empty payload; a null page id revisits the largest id of its payload, and is a response where none has one;
 pages that tie on the largest id of a payload are responses each; repeated rows have a record each; a null url has no target header, and
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import cut, remove, shared_folder
@@ -37,6 +37,9 @@ from .words import in_small_batches
 #: Payloads joined without a shuffle at most; records of an archive; bytes inflated at once.
 HOT, RECORDS, CHUNK = 1000, 1024, 1 << 18
 
+#: Repeated payloads up to which, once counted, all of them are joined where pages are read (some 60 bytes each).
+FEW = 200_000
+
 #: The end of a WARC record, the profile of revisits, and a gzip member that holds nothing.
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -117,6 +120,9 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)).alias("payload"))
     long_enough = F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes
     groups = cut(rows.where(long_enough).groupBy("payload").agg(F.count("*").alias("n"), F.max("page_id").alias("largest")).where("n > 1"))
+    if groups.count() <= FEW:  # no page is shuffled
+        found = rows.join(F.broadcast(groups.select("payload", "largest")), "payload", "left")
+        return _with_targets(found, F.col("largest"))
     n_hot = max(HOT, pages.count() // HOT)
     hot = groups.where(F.col("n") > n_hot).select("payload", F.col("largest").alias("hot"), F.lit(True).alias("is_hot"))
     rest = groups.where(F.col("n") <= n_hot).select(F.col("payload").alias("key"), "largest")
@@ -124,9 +130,12 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # Rows of a hot payload have their answer, and go where a hash of their own sends them.
     alone = F.unhex(F.sha1(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))))
     joined = marked.withColumn("key", F.when(F.col("is_hot"), alone).otherwise(F.col("payload"))).join(rest, "key", "left")
-    largest = F.coalesce("hot", "largest")
+    return _with_targets(joined, F.coalesce("hot", "largest"))
+
+
+def _with_targets(rows: DataFrame, largest: Column) -> DataFrame:
     revisit = largest.isNotNull() & ~F.col("page_id").eqNullSafe(largest)
-    return joined.select("page_id", "url", "html", F.when(revisit, largest).alias("refers_to"), revisit.alias("revisit"))
+    return rows.select("page_id", "url", "html", F.when(revisit, largest).alias("refers_to"), revisit.alias("revisit"))
 
 
 def _batched(rows: Iterator[tuple], schema: pa.Schema, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -277,3 +277,14 @@ def test_normaliser_takes_streams_of_several_members_and_refuses_cut_ones(spark)
     for broken in (gzip.compress(whole)[:-30], gzip.compress(whole[:-10])):
         with pytest.raises(ValueError, match="the archive ends"):
             list(warc_archives.records(broken))
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_roles_are_the_same_with_and_without_a_shuffle_of_pages(spark, monkeypatch, few):
+    monkeypatch.setattr(warc_archives, "FEW", few)
+    monkeypatch.setattr(warc_archives, "HOT", 2)
+    rows = [(1, "u", "a"), (2, None, "a"), (None, "w", "a"), (0, "v", "a"), (3, "x", None), (4, "y", ""), (5, "z", "b")]
+    found = warc_archives.with_roles(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert sorted((r["page_id"] or 0, r["refers_to"], r["revisit"]) for r in found.collect()) == [(0, 2, True), (0, 2, True), (1, 2, True), (2, None, False), (3, 4, True), (4, None, False), (5, None, False)]
+    # Only the plan for many payloads gives pages a key of their own to be shuffled by.
+    assert ("sha1" in found._jdf.queryExecution().optimizedPlan().toString()) == (few == 0)
