@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +59,41 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return cut(roots.join(least, "root").select("node", "component"))
 
 
+def least_labels(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least node of its component for each of ``n`` nodes; ``x`` and ``y`` are the ends of the edges."""
+    label = np.arange(n)
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        open_edges = low != high
+        x, y, low, high = x[open_edges], y[open_edges], low[open_edges], high[open_edges]
+        np.minimum.at(label, high, low)
+        while not np.array_equal(label[label], label):
+            label = label[label]
+    return label
+
+
+def components_within(rows: DataFrame, key: str, node: str, link: str, into: str) -> DataFrame:
+    """One row per ``node`` of ``rows``, without ``link``, and with the least node that shared values of ``link`` lead to; null for a node alone.
+
+    A node has one key, and values of ``link`` are compared inside a key. A key's rows meet in one task, so keys are to be counted small
+    before. A node's other columns are the same in all of its rows; nulls of ``link`` lead nowhere.
+    """
+    others = [c for c in rows.columns if c != link]
+
+    def united(table: pa.Table) -> pa.Table:
+        nodes, first, place = np.unique(table[node].to_numpy(), return_index=True, return_inverse=True)
+        linked = table[link].is_valid().to_numpy()
+        value, at = pc.drop_null(table[link]).to_numpy(), place[linked]
+        order = np.argsort(value, kind="stable")
+        same = value[order][1:] == value[order][:-1]
+        label = least_labels(at[order][:-1][same], at[order][1:][same], len(nodes))
+        alone = np.bincount(label, minlength=len(nodes))[label] == 1
+        return table.select(others).take(pa.array(first)).append_column(into, pa.array(nodes[label], pa.int64(), mask=alone))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy(key).applyInArrow(united, ", ".join([*[f"`{c}` {kinds[c]}" for c in others], f"`{into}` bigint"]))
+
+
 def greedy_pairs(rows: DataFrame, keys: Sequence[str], left: str, right: str, order: str) -> DataFrame:
     """Rows taken one by one in ``order`` (unique in a key), each ``left`` and each ``right`` value of a key used once.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import areas as ops
 from ..operators.rules import Condition, Rule, Rules, evaluate_rules, evaluated, gene, gene_profiles, min_score, minimum, profile, repeatable, strip_inferior
+from ..plans.ordering import SMALL, small_keys
 from ..registry import FLAGSHIP, query
 from ..tables import table, with_tables
 
@@ -212,20 +213,40 @@ def lettered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return areas, defining
 
 
+def lettered_members(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The areas of ``lettered`` in hybrid groups, by windows over records; none where a record has too many genes for that."""
+    genes = table(spark, folder, "genes").select("record_id", "gene_id", "profile", "start", "end")
+    if not small_keys(genes, ["record_id"], SMALL // 2):
+        return None
+    cores = genes.repartition("record_id").select("record_id", "gene_id", F.explode(F.array(F.substring("profile", 1, 1), F.substring("profile", 2, 1))).alias("rule"), "start", "end")
+    chained = ops.islands(cores, ["record_id", "rule"], gap=400, order=["gene_id"], spread=False)
+    of_area = Window.partitionBy("record_id", "rule", "island")
+    spans = chained.withColumns({"core_start": F.min("start").over(of_area), "core_end": F.max("end").over(of_area)})
+    spans = spans.withColumns({"start": F.greatest(F.lit(0).cast("long"), F.col("core_start") - 600), "end": F.col("core_end") + 600})
+    place = F.dense_rank().over(Window.partitionBy("record_id").orderBy("start", "end", "rule"))
+    return ops.hybrid_members(spans.withColumn("id", F.col("record_id") * (1 << 32) + place), 4000)
+
+
 @query("F16_hybrid_groups", with_tables(f"{_LETTER_SQL} SELECT group_id, area FROM hybrid", "genes", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (members := lettered_members(spark, folder)) is not None:
+        return members.where("hybrid is not null").select(F.col("id").alias("area"), F.col("hybrid").alias("group_id"))
     areas, defining = lettered(spark, folder)
     return ops.hybrid_groups(areas, defining, 4000)
 
 
 @query("F17_interleaved_groups", with_tables(f"{_STRONG} SELECT group_id, area FROM interleaved", "genes", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (members := lettered_members(spark, folder)) is not None:
+        return ops.distinct_members(ops.strong_members(members), "interleaved")
     areas, defining = lettered(spark, folder)
     return ops.interleaved_groups(areas, ops.hybrid_groups(areas, defining, 4000), 4000)
 
 
 @query("F18_neighbouring_groups", with_tables(f"{_ALL_GROUPS} SELECT group_id, area FROM neighbouring", "genes", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (members := lettered_members(spark, folder)) is not None:
+        return ops.distinct_members(ops.neighbour_members(members), "neighbouring")
     areas, defining = lettered(spark, folder)
     hybrid = ops.hybrid_groups(areas, defining, 4000)
     interleaved = ops.interleaved_groups(areas, hybrid, 4000)
@@ -239,8 +260,9 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     single AS (SELECT record_id, "start" AS s, "end" AS e, 3 AS rank, [id] AS areas FROM areas a WHERE id IN (SELECT area FROM extra) AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.record_id = a.record_id AND m.s = a."start" AND m.e = a."end" AND list_contains(m.areas, a.id)))
     SELECT record_id, ['chemical_hybrid', 'interleaved', 'neighbouring', 'single'][rank + 1] AS kind, s AS "start", e AS "end", array_to_string(list_sort(areas), ',') AS areas FROM (SELECT record_id, s, e, rank, areas FROM merged UNION ALL SELECT record_id, s, e, rank, areas FROM single)""", "genes", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    areas, defining = lettered(spark, folder)
-    return ops.candidates(areas, defining, 4000).withColumn("areas", F.array_join(F.col("areas").cast("array<string>"), ","))
+    members = lettered_members(spark, folder)
+    found = ops.candidates(*lettered(spark, folder), 4000) if members is None else ops.candidate_rows(members)
+    return found.withColumn("areas", F.array_join(F.col("areas").cast("array<string>"), ","))
 
 
 _REGIONS = f"""{_AREAS_SQL}, {islands_sql("ri", "areas", "record_id", "0", order="product")}, regions AS (SELECT record_id, CAST(island AS BIGINT) AS region, min("start") AS "start", max("end") AS "end", count(*) AS n_areas FROM ri GROUP BY record_id, island)"""
