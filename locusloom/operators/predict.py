@@ -20,12 +20,20 @@ def sum_predictions(predictions: DataFrame) -> DataFrame:
     return shared.groupBy("area_id", F.col("part").alias("name")).agg(F.sum("score").alias("score"), F.min("evalue").alias("evalue"))
 
 
+def _held_by_all(rows: DataFrame, facts: DataFrame, owner: str, name: str) -> DataFrame:
+    """``owner`` and the columns of ``facts`` (by ``name``) that all distinct names of an owner have.
+
+    Names are few and owners many, so the facts go to the owners' rows; dealt by name, each name would be one task. Owners are dealt once.
+    """
+    named = rows.where(F.col(owner).isNotNull()).groupBy(owner).agg(F.collect_set(name).alias("_names"), F.max(F.col(name).isNull().cast("int")).alias("_unnamed"))
+    held = named.where("_unnamed = 0").select(owner, F.size("_names").alias("_needed"), F.explode("_names").alias(name)).join(F.broadcast(facts.distinct()), name)
+    others = [c for c in facts.columns if c != name]
+    return held.groupBy(owner, "_needed", *others).agg(F.count("*").alias("_held")).where("_held = _needed").select(owner, *others)
+
+
 def common_classes(predictions: DataFrame, classes: DataFrame) -> DataFrame:
-    """``area_id, class`` of classes (``name, class``) that every prediction of an area has."""
-    named = predictions.select("area_id", "name").distinct()
-    needed = named.groupBy("area_id").agg(F.count("*").alias("needed"))
-    held = named.join(classes, "name").groupBy("area_id", "class").agg(F.countDistinct("name").alias("held"))
-    return held.join(needed, "area_id").where("held = needed").select("area_id", "class")
+    """``area_id, class`` of classes (``name, class``; a table of rules, broadcast) that every prediction of an area has."""
+    return _held_by_all(predictions, classes, "area_id", "name")
 
 
 def mass_combinations(starters: DataFrame, elongations: DataFrame, tailoring: DataFrame) -> DataFrame:
@@ -46,10 +54,8 @@ def prediction_table(hits: DataFrame, more: DataFrame, types: Sequence[str]) ->
 
 
 def merge_reactions(groups: DataFrame, reactions: DataFrame) -> DataFrame:
-    """``group_id, substrate, product`` that all profiles of a group have (``group_id, profile``; ``profile, substrate, product``)."""
-    sizes = groups.distinct().groupBy("group_id").agg(F.count("*").alias("n"))
-    held = groups.distinct().join(reactions.distinct(), "profile").groupBy("group_id", "substrate", "product").agg(F.countDistinct("profile").alias("held"))
-    return held.join(sizes, "group_id").where("held = n").select("group_id", "substrate", "product")
+    """``group_id, substrate, product`` that all profiles of a group have (``group_id, profile``; ``profile, substrate, product``, a table of rules, broadcast)."""
+    return _held_by_all(groups, reactions, "group_id", "profile")
 
 
 def group_prediction(hits: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def group_prediction(hits: DataFrame) -> DataFrame:
 
 def area_products(predictions: DataFrame, priority: DataFrame) -> DataFrame:
     """``area_id, product``: products of an area's type with the best (lowest) priority (``type, priority``)."""
-    ranked = predictions.join(priority, "type").withColumn("best", F.min("priority").over(Window.partitionBy("area_id")))
+    ranked = predictions.join(F.broadcast(priority), "type").withColumn("best", F.min("priority").over(Window.partitionBy("area_id")))
     return ranked.where("priority = best").select("area_id", "product").distinct()
 
 
@@ -118,9 +124,14 @@ def promoter_sequences(windows: DataFrame, sequences: DataFrame, least: int = 6,
 
 def promoter_sets(anchors: DataFrame, counts: DataFrame, reach: int = 15, least: int = 4) -> DataFrame:
     """``record_id, anchor, first, last``: windows of m before and p after an anchor's place (m + p >= 3), cut at the ends, distinct, with at least ``least`` promoters."""
-    spread = anchors.select("record_id", "anchor", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("m")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(reach)))).where("m + p >= 3")
-    cut = spread.join(counts, "record_id").select("record_id", "anchor", F.greatest(F.lit(1), F.col("anchor") - F.col("m")).alias("first"), F.least("n", F.col("anchor") + F.col("p")).alias("last"))
-    return cut.where(F.col("last") - F.col("first") + 1 >= least).distinct()
+    # A first and a last place stand for all m and p that are cut to them, the largest of which decide, so nothing is made distinct but the anchors.
+    placed = anchors.select("record_id", "anchor").distinct().join(counts.select("record_id", "n"), "record_id")
+    anchor, n, first, last = F.col("anchor"), F.col("n"), F.col("first"), F.col("last")
+    one = F.lit(1).cast(counts.schema["n"].dataType)
+    firsts = placed.withColumn("first", F.explode(F.sequence(F.greatest(one, anchor - reach), F.greatest(one, anchor))))
+    spread = firsts.withColumn("last", F.explode(F.sequence(F.least(n, anchor), F.least(n, anchor + reach))))
+    m, p = F.when(first == 1, reach).otherwise(anchor - first), F.when(last == n, reach).otherwise(last - anchor)
+    return spread.where((m + p >= 3) & (last - first + 1 >= least)).select("record_id", "anchor", "first", "last")
 
 
 def filter_motifs(hits: DataFrame, totals: DataFrame, most: float = 14.0) -> DataFrame:
@@ -162,7 +173,7 @@ def number_domains(domains: DataFrame) -> DataFrame:
 
 def classify_domains(domains: DataFrame, classes: DataFrame) -> DataFrame:
     """Add the ``class`` of each domain's profile; an unknown profile is an error."""
-    joined = domains.join(classes, "profile", "left")
+    joined = domains.join(F.broadcast(classes), "profile", "left")
     return joined.where(F.assert_true(F.col("class").isNotNull(), F.concat(F.lit("no class for "), F.col("profile"))).isNull())
 
 
