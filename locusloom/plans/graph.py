@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -22,19 +22,36 @@ _SALTS = [0, 0x5BD1E9955BD1E995, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B873
 #: Rounds after which the table of roots is stored.
 _STORED = 4
 
+#: Edges up to which what is left of a graph is united in one task (1.6 MB): a bound that holds for graphs of any size, so rounds go on until then.
+FEW = 100_000
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def _few_united(edge: DataFrame) -> DataFrame:
+    """``node, to``: the least node of its component for each other node of at most ``FEW`` edges ``a, b``, in one task."""
+    kind = edge.schema["a"].dataType.simpleString()
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        nodes, place = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        to = nodes[least_labels(place[: len(table)], place[len(table) :], len(nodes))]
+        yield pa.RecordBatch.from_pydict({"node": nodes[to != nodes], "to": to[to != nodes]})
+
+    found = edge.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).coalesce(1).mapInArrow(united, "node bigint, to bigint")
+    return found.select(F.col("node").cast(kind).alias("node"), F.col("to").cast(kind).alias("to"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node id.
 
     Each round every node points to the least of itself and its neighbours (in a salted order of
     ids) and the edges are rewritten to what their ends point to; loops and repeats go. Stars
-    around their smallest node vanish in the first round. Null ends are ignored.
+    around their smallest node vanish in the first round. Null ends are ignored. Once ``few`` edges are left, no more rounds are planned for them.
     """
     edge = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and a <> b").distinct()
     first = edge = cut(edge)
     most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pointers: list[DataFrame] = []
-    while n := edge.count():
+    while (n := edge.count()) > few:
         parts, turn = min(most, 8 + n // _ROWS), len(pointers)
         salt = F.lit(_SALTS[turn % len(_SALTS)] ^ (turn // len(_SALTS)))
         both = edge.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edge.select(F.col("b").alias("node"), F.col("a").alias("near")))
@@ -47,6 +64,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = edge.join(at_a, "a", "left").join(at_b, "b", "left").select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y"))
         edge = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().coalesce(parts))
 
+    if n and not pointers:
+        to = cut(_few_united(edge))
+        return to.select("node", F.col("to").alias("component")).unionByName(to.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct())
+    if n:
+        pointers.append(cut(_few_united(edge)))
+
     # One table of roots, moved on once for each round; stored now and then, so that the plan stays short.
     roots = first.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     for turn, to in enumerate(pointers):
