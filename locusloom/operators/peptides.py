@@ -1,7 +1,7 @@
 """Ribosomal peptides: features of leader and core, class scores from a table of weights, masses after maturation, and types.
 
-A peptide is a row with ``leader`` and ``core``. ``vector`` adds its features, each one expression in the JVM: counts by residue and group,
-charges, masses, rings (overlapping, the longest from each start), runs, and the spacing of cysteines. ``class_scores`` turns
+A peptide is a row with ``leader`` and ``core``. ``vector`` adds its features: letters, rings (overlapping, the longest from each start), runs and the
+spacing of cysteines are counted over all letters of an Arrow batch at once; groups, charges, masses and ratios follow from those counts. ``class_scores`` turns
 ``WEIGHTS`` into one sum of conditions per class over those features and what is known of the peptide's surroundings:
 ``domains`` (profiles of the area) and ``own`` (of the gene), ``distance`` to the closest biosynthetic gene and ``distance_protease`` (-1: none),
 ``same_strand``, ``starts_atg``, and ``domain_start`` of the radical enzyme's domain.
@@ -14,8 +14,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Residues in the order of the vectors, groups of them, and their masses (average, monoisotopic) without water.
 RESIDUES = "ARDNCQEGHILKMFPSTWYV"
@@ -209,63 +213,120 @@ def mass(text: Column, monoisotopic: bool = True, unknown: float = UNKNOWN_MASS)
     return known + F.length(F.translate(text, RESIDUES, "")) * F.lit(unknown) + F.lit(WATER[monoisotopic])
 
 
-def _hits(text: Column, regex: str) -> Column:
-    return F.regexp_count(text, F.lit(f"(?s){regex}"))
+#: What is counted per peptide: residues of both parts, rings, chains, runs, and the places of cysteines beside G and A.
+COUNTED = (
+    *[f"{p}_{r.lower()}" for p in PARTS[:2] for r in RESIDUES], *[f"ring_{k}" for k in RINGS], *[f"chain_{k}" for k in CHAINS], "n_core_chains", *[f"{r}_repeats" for r in "cst"], "block_repeats", "in_blocks", "blocks", "n_gac", "way",
+)
 
+#: Letters that are counted at once, and empty places behind each peptide, at least the longest way that is looked ahead.
+_AT_ONCE, _APART = 1 << 20, max(*RINGS, *[k + 2 for k in CHAINS])
 
-def _spans(text: Column, first: str, gaps: range) -> list[Column]:
-    """From every start (a class of letters) the longest way to a cysteine over so many letters, counted by that number."""
-    longer = lambda g: f"(?!.{{{g + 1},{gaps[-1]}}}C)" if g < gaps[-1] else ""
-    return [_hits(text, f"{first}(?=.{{{g}}}C){longer(g)}") for g in gaps]
+_PLACE = np.full(128, len(RESIDUES), np.int64)
+_PLACE[[ord(r) for r in RESIDUES]] = np.arange(len(RESIDUES))
 
 
-def _runs(text: Column, letters: str) -> tuple[Column, Column]:
-    """Letters in runs of at least two of a class, and the number of such runs."""
-    return _hits(text, f"(?<={letters}){letters}|{letters}(?={letters})"), _hits(text, f"(?<!{letters}){letters}(?={letters})")
+def _spans(starts: np.ndarray, ends: np.ndarray, gaps: range, row: np.ndarray, n: int) -> list[np.ndarray]:
+    """From every start the longest way to an end over so many letters: per number of letters and row, how many."""
+    found = {}
+    for g in reversed(gaps):
+        meets = ends[starts + g + 1]
+        found[g], starts = np.bincount(row[starts[meets]], minlength=n), starts[~meets]
+    return [found[g] for g in gaps]
+
+
+def _counted(leader: pa.Array, core: pa.Array) -> list[np.ndarray]:
+    """``COUNTED`` for a few peptides: their letters lie in one array, with empty places between them."""
+    n, first = len(core), pc.utf8_length(leader).to_numpy(zero_copy_only=False)
+    sizes = first + pc.utf8_length(core).to_numpy(zero_copy_only=False)
+    points = np.frombuffer("".join(t for pair in zip(leader.to_pylist(), core.to_pylist(), strict=True) for t in pair).encode("utf-32-le", "surrogatepass"), "<u4")
+    of = np.repeat(np.arange(n), sizes)
+    at = np.arange(len(points)) + _APART * (of + 1)
+    letters = np.zeros(len(points) + _APART * (n + 1), np.uint8)
+    letters[at] = np.where(points < 128, points, 0)
+    row, in_core = np.zeros(len(letters), np.int64), np.zeros(len(letters), bool)
+    row[at] = of
+    in_core[at] = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= first[of]
+    per_row = lambda places: np.bincount(row[places], minlength=n)
+    is_a = {c: letters == ord(c) for c in "CSTGA"}
+    cysteine = is_a["C"]
+
+    width = len(RESIDUES) + 1
+    residues = np.bincount((of * 2 + in_core[at]) * width + _PLACE[letters[at]], minlength=n * 2 * width).reshape(n, 2, width)
+    out = [residues[:, part, k] for part in range(2) for k in range(len(RESIDUES))]
+    out += _spans(np.flatnonzero((is_a["S"] | is_a["T"]) & in_core), cysteine, range(RINGS[0] - 2, RINGS[-1] - 1), row, n)
+    out += _spans(np.flatnonzero(cysteine), cysteine, CHAINS, row, n)
+    out.append(sum(_spans(np.flatnonzero(cysteine & in_core), cysteine, CHAINS, row, n)))
+
+    def runs(of_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters in runs of at least two of a class within the core, and the number of such runs."""
+        inside = of_class & in_core
+        before, after = np.roll(inside, 1), np.roll(inside, -1)
+        return per_row(np.flatnonzero(inside & (before | after))), per_row(np.flatnonzero(inside & ~before & after))
+
+    single = [runs(is_a[r]) for r in "CST"]
+    in_blocks, blocks = runs(cysteine | is_a["S"] | is_a["T"])
+    out += [*[letters_in for letters_in, _ in single], sum(number for _, number in single), in_blocks, blocks]
+
+    # Starts of a cysteine after, and of one before, one or two of G and A; both rise along a peptide, so the way between neighbours adds up.
+    small = is_a["G"] | is_a["A"]
+    after = np.flatnonzero(cysteine & np.roll(small, 1))
+    before = np.flatnonzero(cysteine & np.roll(small, -1))
+
+    def ends(places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, high = (np.searchsorted(row[places], np.arange(n), side) for side in ("left", "right"))
+        starts = np.append(starts, 0)
+        return high - low, starts[np.minimum(low, len(places))], starts[np.maximum(high - 1, 0)]
+
+    n_1, first_1, last_1 = ends(after, after - 1 - small[after - 2])
+    n_2, first_2, last_2 = ends(before, before)
+    way = np.where(n_1 > 0, last_1 - first_1, 0) + np.where(n_2 > 0, last_2 - first_2, 0) + np.where((n_1 > 0) & (n_2 > 0), np.maximum(1, first_2 - last_1), 0)
+    return [*out, n_1 + n_2, way]
+
+
+def _count_all(leader: pa.Array, core: pa.Array) -> pa.Array:
+    """``COUNTED`` as structs, over so many peptides at once that their letters stay few."""
+    bound = np.cumsum(pc.binary_length(leader).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(core).to_numpy(zero_copy_only=False) + _APART) // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), len(core)] if len(core) else [0, 0]
+    done = [_counted(leader[a:b], core[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(some).astype(np.int32)) for some in zip(*done, strict=True)], list(COUNTED))
+
+
+_letters = F.arrow_udf(_count_all, T.StructType([T.StructField(name, T.IntegerType()) for name in COUNTED])).asNondeterministic()
 
 
 def vector(peptides: DataFrame) -> DataFrame:
     """``peptides`` (``leader``, ``core``) with the feature columns. Counts of a part are ``{part}_{residue or group}``; ``..._charge`` counts K and R, ``..._charge_h`` also H."""
     rows = peptides.withColumns({"leader": F.coalesce("leader", F.lit("")), "core": F.coalesce("core", F.lit(""))}).withColumn("precursor", F.concat("leader", "core"))
+    rows = rows.withColumns({"_n": _letters("leader", "core"), **{f"len_{part}": F.length(part) for part in PARTS}})
+    total = lambda some: reduce(lambda a, b: a + b, some)
     out: dict[str, Column] = {}
     for part in PARTS:
-        text = F.col(part)
-        out[f"len_{part}"] = F.length(text)
-        out |= {f"{part}_{r.lower()}": _count(text, r) for r in RESIDUES} | {f"{part}_{name}": _count(text, letters) for name, letters in GROUPS.items()}
-        out[f"{part}_charge"] = _count(text, "KR") - _count(text, "DE")
-        out[f"{part}_charge_h"] = _count(text, "KRH") - _count(text, "DE")
-        out[f"mass_{part}"], out[f"known_mass_{part}"] = mass(text), mass(text, unknown=0.0)
+        count = {r: total([F.col("_n")[f"{p}_{r.lower()}"] for p in (PARTS[:2] if part == "precursor" else (part,))]) for r in RESIDUES}
+        out |= {f"{part}_{r.lower()}": c for r, c in count.items()}
     rows = rows.withColumns(out)
-    core, precursor = F.col("core"), F.col("precursor")
+    out = {}
+    for part in PARTS:
+        count = {r: F.col(f"{part}_{r.lower()}") for r in RESIDUES}
+        among = lambda letters, count=count: total([count[r] for r in letters])
+        out |= {f"{part}_{name}": among(letters) for name, letters in GROUPS.items()}
+        out[f"{part}_charge"], out[f"{part}_charge_h"] = among("KR") - among("DE"), among("KRH") - among("DE")
+        known, others = total([count[r] * masses[True] for r, masses in MASSES.items()]), F.col(f"len_{part}") - among(RESIDUES)
+        out[f"mass_{part}"], out[f"known_mass_{part}"] = known + others * F.lit(UNKNOWN_MASS) + F.lit(WATER[True]), known + F.lit(WATER[True])
+    rows = rows.withColumns(out)
+    core, precursor, size = F.col("core"), F.col("precursor"), F.col("len_precursor")
     over = lambda a, b: F.when(b > 0, a / b)
-    cst = F.col("core_c") + F.col("core_s") + F.col("core_t")
-    rings, chains, core_chains = _spans(core, "[ST]", range(RINGS[0] - 2, RINGS[-1] - 1)), _spans(precursor, "C", CHAINS), _spans(core, "C", CHAINS)
-    runs = {r: _runs(core, r) for r in "CST"}
-    in_blocks, blocks = _runs(core, "[CST]")
-    # Starts of a cysteine after, and of one before, one or two of G and A.
-    before, after = F.regexp_extract(precursor, "(?s)^(.*)[GA]C", 1), F.regexp_extract(precursor, "(?s)^(.*)C[GA]", 1)
-    n_before, n_after = _hits(precursor, "(?<=[GA])C"), _hits(precursor, "C(?=[GA])")
-    first_1, last_1 = F.regexp_instr(precursor, F.lit("[GA]{1,2}C")) - 1, F.length(before) - before.rlike("[GA]$").cast("int")
-    first_2, last_2 = F.regexp_instr(precursor, F.lit("C[GA]")) - 1, F.length(after)
-    way = F.when(n_before > 0, last_1 - first_1).otherwise(0) + F.when(n_after > 0, last_2 - first_2).otherwise(0) + F.when((n_before > 0) & (n_after > 0), F.greatest(F.lit(1), first_2 - last_1)).otherwise(0)
+    found = lambda name: F.col("_n")[name]
     tail = F.substring_index(F.regexp_replace(precursor, "(?s)C.{2,5}(?=C)", "|"), "|", -1)
-    size = F.col("len_precursor")
     derived = {
         "leader_to_core": over(F.col("len_leader"), F.col("len_core")),
         "core_to_leader": over(F.col("len_core"), F.col("len_leader")),
         "core_share": over(F.col("len_core"), size),
         "cst_ratio": F.when(F.col("core_hydroxyl") > 0, F.col("core_c") / F.col("core_hydroxyl")).otherwise(1.0),
-        "cst_share": over(cst, F.col("len_core")),
-        "n_rings": reduce(lambda a, b: a + b, rings),
-        **{f"ring_{k}": c for k, c in zip(RINGS, rings, strict=True)},
-        **{f"{r.lower()}_repeats": runs[r][0] for r in "CST"},
-        "block_repeats": reduce(lambda a, b: a + b, [runs[r][1] for r in "CST"]),
-        "blocks": blocks,
-        "block_length": F.when(blocks > 0, in_blocks / blocks).otherwise(0.0),
-        **{f"chain_{k}": c for k, c in zip(CHAINS, chains, strict=True)},
-        "n_core_chains": reduce(lambda a, b: a + b, core_chains),
-        "n_gac": n_before + n_after,
-        "gac_distance": F.when(n_before + n_after > 1, way / (n_before + n_after - 1)).otherwise(0.0),
+        "cst_share": over(F.col("core_c") + F.col("core_s") + F.col("core_t"), F.col("len_core")),
+        "n_rings": total([found(f"ring_{k}") for k in RINGS]),
+        **{name: found(name) for name in COUNTED[COUNTED.index(f"ring_{RINGS[0]}") :] if name not in ("in_blocks", "way")},
+        "block_length": F.when(found("blocks") > 0, found("in_blocks") / found("blocks")).otherwise(0.0),
+        "gac_distance": F.when(found("n_gac") > 1, found("way") / (found("n_gac") - 1)).otherwise(0.0),
         "c_tail": over(F.length(tail), size),
         "first_c": F.when(F.instr(precursor, "C") > 0, (F.instr(precursor, "C") - 1) / size),
         "has_double": core.rlike(r"(?s)(.)\1"),
@@ -273,12 +334,15 @@ def vector(peptides: DataFrame) -> DataFrame:
         "last_quarter": F.right(precursor, F.ceil(size / 4).cast("int")),
         "c_in_two_thirds": _count(F.left(precursor, F.floor(2 * size / 3).cast("int")), "C"),
     }
-    return rows.withColumns(derived)
+    return rows.withColumns(derived).drop("_n")
 
 
 def class_scores(features: DataFrame, weights: dict[str, tuple[tuple[str, int], ...]] = WEIGHTS, thresholds: dict[str, int] = THRESHOLDS) -> DataFrame:
-    """``features`` with ``{class}_score`` and ``{class}`` (whether the score reaches the class's threshold): one sum of conditions per class."""
-    scores = {f"{name}_score": reduce(lambda a, b: a + b, [F.when(F.expr(condition), weight).otherwise(0) for condition, weight in rules]) for name, rules in weights.items()}
+    """``features`` with ``{class}_score`` and ``{class}`` (whether the score reaches the class's threshold): one sum of conditions per class.
+
+    The weights of a class are summed from an array: as one expression they make a method that is too long for the JVM to compile.
+    """
+    scores = {f"{name}_score": F.aggregate(F.array(*[F.when(F.expr(condition), weight).otherwise(0) for condition, weight in rules]), F.lit(0), lambda total, x: total + x) for name, rules in weights.items()}
     return features.withColumns(scores).withColumns({name: F.col(f"{name}_score") >= thresholds[name] for name in weights})
 
 

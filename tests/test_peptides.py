@@ -103,3 +103,16 @@ def test_types_and_masses(spark):
     assert found[3]["weight"] == pytest.approx(average(rows[2][2]) + 4 - 18.02) and found[3]["other_weights"] == []
     assert found[5]["weight"] == pytest.approx(average(rows[4][2]) - 18.02 * 1 - 20 * 0 - 35 + 169 + 32 - 70) and len(found[5]["other_weights"]) == 2
     assert found[7]["weight"] == pytest.approx(average(rows[6][2]))
+
+
+def test_counts_go_over_all_letters_at_once(spark, monkeypatch):
+    """Letters outside ASCII are one place each; what is counted does not depend on how many peptides are looked at together; no text is translated once per residue."""
+    import pyarrow as pa
+
+    leaders, cores = ["GÄC", "", "MCAGC", "𝒞C"] * 5, ["SééC", "", "CCSST", "CAAC"] * 5
+    whole = peptides._count_all(pa.array(leaders), pa.array(cores)).to_pylist()
+    monkeypatch.setattr(peptides, "_AT_ONCE", 16)
+    assert peptides._count_all(pa.array(leaders), pa.array(cores)).to_pylist() == whole and peptides._count_all(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+    assert [(r["ring_4"], r["core_c"], r["leader_c"], r["c_repeats"], r["n_core_chains"]) for r in whole[:4]] == [(1, 1, 1, 0, 0), (0, 0, 0, 0, 0), (0, 2, 2, 2, 0), (0, 2, 1, 0, 1)]
+    frame = peptides.vector(spark.createDataFrame([row(1, "M", "CC")], ROWS))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("translate(") < 10
