@@ -5,8 +5,11 @@ Alignments have ``region, query_id, query_idx, ref_area, ref_gene, ref_idx, iden
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.graph import components, greedy_pairs
 
@@ -240,16 +243,53 @@ SIMILAR = {
 }
 
 
-def consensus_string(query: Column, reference: Column) -> Column:
-    """The residue where both agree, ``+`` where they are similar, a space elsewhere. Both texts are split once, so long ones stay linear."""
-    pairs = F.array(*[F.lit(a + b) for a, others in SIMILAR.items() for b in others])
+_ALIKE = np.zeros((128, 128), bool)
+for _a, _others in SIMILAR.items():
+    for _b in _others:
+        _ALIKE[ord(_a), ord(_b)] = True
+
+#: Letters that are compared at once; a longer pair is compared alone.
+_AT_ONCE = 1 << 20
+
+
+def _marked(queries: list[str], references: list[str]) -> list[str]:
+    """The marks of pairs of equally long texts, over all their letters at once."""
+    a, b = (np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4") for some in (queries, references))
+    alike = (a < 128) & (b < 128)
+    alike[alike] = _ALIKE[a[alike], b[alike]]
+    marks = np.where(a == b, a, np.where(alike, ord("+"), ord(" "))).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.cumsum([len(q) for q in queries]).tolist()
+    return [marks[low:high] for low, high in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _consensus(query: pa.Array, reference: pa.Array) -> pa.Array:
+    """Of a null and a text the result is null, but empty where nothing is to be compared."""
+    out: list[str | None] = []
+    queries, references, places, letters = [], [], [], 0
 
-    def mark(a: Column, b: Column) -> Column:
-        return F.when(a == b, a).when(F.array_contains(pairs, F.concat(a, b)), "+").otherwise(" ")
+    def flush() -> None:
+        for place, text in zip(places, _marked(queries, references) if places else [], strict=True):
+            out[place] = text
 
-    size = F.least(F.length(query), F.length(reference))
-    letters = lambda text: F.slice(F.split(text, ""), F.lit(1), size)
-    return F.when(size > 0, F.array_join(F.zip_with(letters(query), letters(reference), mark), "")).otherwise("")
+    for q, r in zip(query.to_pylist(), reference.to_pylist(), strict=True):
+        out.append("" if not q and not r or q == "" or r == "" else None)
+        if q and r:
+            n = min(len(q), len(r))
+            queries.append(q[:n]), references.append(r[:n]), places.append(len(out) - 1)
+            letters += n
+            if letters >= _AT_ONCE:
+                flush()
+                queries, references, places, letters = [], [], [], 0
+    flush()
+    return pa.array(out, pa.string())
+
+
+_consensus_udf = F.arrow_udf(_consensus, T.StringType()).asNondeterministic()
+
+
+def consensus_string(query: Column, reference: Column) -> Column:
+    """The residue where both agree, ``+`` where they are similar, a space elsewhere. The letters of an Arrow batch are compared at once."""
+    return _consensus_udf(query, reference)
 
 
 def group_references(core_hits: DataFrame) -> DataFrame:

@@ -246,3 +246,16 @@ def test_a_cluster_has_to_name_its_shared_folder(spark, monkeypatch):
     assert shared_folder(spark).startswith("file:")
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         shared_folder(type("Cluster", (), {"sparkContext": type("C", (), {"getCheckpointDir": lambda s: None, "master": "yarn"})(), "conf": {}})())
+
+
+def test_consensus_compares_letters_of_a_batch_at_once(spark, monkeypatch):
+    """Letters outside ASCII are compared as one; nulls stay; no array of letters is made per text."""
+    import pyarrow as pa
+
+    pairs = [("ÄS", "ÄT"), ("Ä𝒞A", "ä𝒞S"), ("ACD", "AC"), (None, "A"), ("A", None), (None, None), (None, ""), ("", "A"), ("D", "E")]
+    expected = ["Ä+", " 𝒞+", "AC", None, None, "", "", "", "+"]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", compare.consensus_string(F.col("a"), F.col("b")).alias("c"))
+    assert [r["c"] for r in sorted(frame.collect())] == expected
+    monkeypatch.setattr(compare, "_AT_ONCE", 2)
+    assert compare._consensus(*(pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))).to_pylist() == expected
+    assert "zip_with" not in frame._jdf.queryExecution().optimizedPlan().toString()
