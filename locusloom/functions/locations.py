@@ -146,43 +146,46 @@ def frameshift(parts: Column, codon_start: Column) -> Column:
 
 
 def protein_to_dna(parts: Column, start: Column, end: Column) -> Column:
-    """The nucleotide parts of residues ``[start, end)``, over exons in biological order on either strand."""
-    low, high = (start * 3).cast("bigint"), (end * 3).cast("bigint")
+    """The nucleotide parts of residues ``[start, end)``, over exons in biological order on either strand. One walk over the exons carries the bases before each."""
+    low, high, zero = (start * 3).cast("bigint"), (end * 3).cast("bigint"), F.lit(0).cast("bigint")
 
-    def clipped(p: Column, k: Column) -> Column:
-        before = size(F.slice(parts, F.lit(1), k))
-        a, b = F.greatest(low - before, F.lit(0).cast("bigint")), F.least(high - before, p["end"] - p["start"])
-        return F.when(p["strand"] == -1, part(p["end"] - b, p["end"] - a, p["strand"])).otherwise(part(p["start"] + a, p["start"] + b, p["strand"]))
+    def step(done: Column, p: Column) -> Column:
+        before, n = done["before"], p["end"] - p["start"]
+        a, b = F.greatest(low - before, zero), F.least(high - before, n)
+        clipped = F.when(p["strand"] == -1, part(p["end"] - b, p["end"] - a, p["strand"])).otherwise(part(p["start"] + a, p["start"] + b, p["strand"]))
+        return F.struct((before + n).alias("before"), F.when((a < b) & n.isNotNull(), F.concat(done["found"], F.array(clipped))).otherwise(done["found"]).alias("found"))
 
-    return F.filter(F.transform(parts, clipped), lambda p: p["start"] < p["end"])
+    return F.aggregate(parts, F.struct(zero.alias("before"), F.array().cast(f"array<{PART}>").alias("found")), step, lambda done: done["found"])
 
 
 def drop_redundant_exons(parts: Column) -> Column:
     """Parts that lie in no larger part; of equal ones the first."""
-    steps = F.sequence(F.lit(1), F.size(parts))
 
-    def covered(k: Column) -> Column:
-        p = F.element_at(parts, k)
-        holds = lambda j: (F.element_at(parts, j)["start"] <= p["start"]) & (p["end"] <= F.element_at(parts, j)["end"])
-        larger = lambda j: (F.element_at(parts, j)["end"] - F.element_at(parts, j)["start"] > p["end"] - p["start"]) | ((F.element_at(parts, j)["end"] - F.element_at(parts, j)["start"] == p["end"] - p["start"]) & (j < k))
-        return F.exists(steps, lambda j: (j != k) & holds(j) & larger(j))
+    def kept(p: Column, k: Column) -> Column:
+        # A part that holds another is larger, but for an equal one.
+        holds = lambda q, j: (j != k) & (q["start"] <= p["start"]) & (p["end"] <= q["end"]) & ((q["start"] < p["start"]) | (p["end"] < q["end"]) | (j < k))
+        return ~F.exists(F.transform(parts, holds), lambda x: x)
 
-    return F.transform(F.filter(steps, lambda k: ~covered(k)), lambda k: F.element_at(parts, k))
+    return F.filter(parts, kept)
 
 
 def format_location(parts: Column) -> Column:
     """``[1:6](-)``, or ``join{...}`` over several parts."""
     sign = lambda s: F.when(s == 1, "(+)").when(s == -1, "(-)").otherwise("")
-    texts = F.transform(parts, lambda p: F.concat(F.lit("["), p["start"].cast("string"), F.lit(":"), p["end"].cast("string"), F.lit("]"), sign(p["strand"])))
-    return F.when(F.size(parts) == 1, F.element_at(texts, 1)).otherwise(F.concat(F.lit("join{"), F.array_join(texts, ", "), F.lit("}")))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("["), p["start"].cast("string"), F.lit(":"), p["end"].cast("string"), F.lit("]"), sign(p["strand"]))), ", ")
+    return F.when(F.size(parts) == 1, text).otherwise(F.concat(F.lit("join{"), text, F.lit("}")))
 
 
 def parse_location(text: Column) -> Column:
-    """The parts that ``format_location`` wrote; open ends (``<``, ``>``) lose their mark."""
-    whole = F.lit(r"\[[<>]?(\d+):[<>]?(\d+)\](?:\(([+-])\))?")
-    starts, ends, signs = (F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3))
-    strand = lambda s: F.when(s == "+", 1).when(s == "-", -1).otherwise(0)
-    return F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: part(F.element_at(starts, k), F.element_at(ends, k), strand(F.element_at(signs, k))))
+    """The parts that ``format_location`` wrote; open ends (``<``, ``>``) lose their mark. The text is searched once, for whole parts."""
+    found = F.regexp_extract_all(text, F.lit(r"\[[<>]?\d+:[<>]?\d+\](?:\([+-]\))?"), F.lit(0))
+
+    def read(one: Column) -> Column:
+        start = F.ltrim(F.substring_index(one, ":", 1), F.lit("[<>"))
+        end = F.ltrim(F.substring_index(F.substring_index(one, ":", -1), "]", 1), F.lit("<>"))
+        return part(start, end, F.when(F.endswith(one, F.lit("(+)")), 1).when(F.endswith(one, F.lit("(-)")), -1).otherwise(0))
+
+    return F.transform(found, read)
 
 
 def order_key(parts: Column) -> Column:

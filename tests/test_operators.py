@@ -259,3 +259,19 @@ def test_consensus_compares_letters_of_a_batch_at_once(spark, monkeypatch):
     monkeypatch.setattr(compare, "_AT_ONCE", 2)
     assert compare._consensus(*(pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1))).to_pylist() == expected
     assert "zip_with" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_locations_are_walked_and_written_once(spark):
+    """Exons are carried along instead of summed anew for each; what is written is read back without being written again; signs and open ends are read."""
+    from locusloom.functions import locations as loc
+    from locusloom.queries import QUERIES
+
+    text = lambda x: spark.range(1).select(loc.parse_location(F.lit(x)).alias("p")).first()["p"]
+    assert [tuple(p) for p in text("join{[<1:6](-), [7:>9](+), [10:11]}")] == [(1, 6, -1), (7, 9, 1), (10, 11, 0)]
+    parts = lambda *some: F.array(*[loc.part(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in some])
+    frame = spark.range(1).select(loc.protein_to_dna(parts((90, 100, -1), (50, 70, -1), (0, 30, -1)), F.lit(2), F.lit(11)).alias("p"), loc.drop_redundant_exons(parts((0, 9, 1), (0, 9, 1), (2, 5, 1), (8, 12, 1))).alias("kept"))
+    row = frame.first()
+    assert [tuple(p) for p in row["p"]] == [(90, 94, -1), (50, 70, -1), (27, 30, -1)] and [tuple(p) for p in row["kept"]] == [(0, 9, 1), (8, 12, 1)]
+    assert "slice" not in frame._jdf.queryExecution().analyzed().toString()
+    plan = QUERIES["C10_location_strings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("join{") == 1
