@@ -16,8 +16,13 @@ GENE = ["record_id", "gene_id"]
 
 
 def residues_at(query: Column, reference: Column, positions: Column, gap: str = ".") -> Column:
-    """The query's characters at 1-based positions (an array) of the reference without its gaps; null where the reference is too short."""
-    pair = F.array(F.struct(F.split(query, "").alias("query"), F.split(reference, "").alias("reference"), positions.alias("positions")))
+    """The query's characters at 1-based positions (an array) of the reference without its gaps; null where the reference is too short.
+
+    Only so much is split as the last position can need: that many characters and all of the reference's gaps.
+    """
+    needed = F.greatest(F.array_max(positions), F.lit(0)) + F.length(reference) - F.length(F.replace(reference, F.lit(gap), F.lit("")))
+    letters = lambda text: F.split(F.left(text, needed), "")
+    pair = F.array(F.struct(letters(query).alias("query"), letters(reference).alias("reference"), positions.alias("positions")))
 
     def picked(p: Column) -> Column:
         columns = F.filter(F.sequence(F.lit(1), F.least(F.size(p["query"]), F.size(p["reference"]))), lambda k: F.element_at(p["reference"], k) != gap)

@@ -71,3 +71,16 @@ def test_component_similarity_of_empty_sides_and_modes(spark):
     assert [found[m][1, 8].component_score is None for m in ("reference_in_query", "query_in_reference", "best")] == [True, False, True]
     assert found["query_in_reference"][1, 9].component_score == 0.0 and found["best"][1, 9].component_score is None
     assert found["best"][3, 7].component_score == pytest.approx((1.0 + 1.0) / 2) and found["best"][2, 7].modules is None
+
+
+def test_residues_are_split_only_as_far_as_positions_need(spark):
+    """Gaps of the reference, positions outside it and empty lists as before; the texts are cut before they are split."""
+    from pyspark.sql import functions as F
+
+    from locusloom.operators import sites
+
+    rows = [(1, "abcdefgh", "A..DEFGH", [1, 2, 6]), (2, "abcdefgh", "A..DEFGH", [7]), (3, "abc", "ABCDEF", [4]), (4, "abc", "ABC", []), (5, "abc", "ABC", [0, 1]), (6, "...", "...", [1]), (7, "", "A", [1]), (8, None, "A", [1]), (9, "x" * 50, "." * 48 + "QQ", [2, 1]), (10, "abc", "ABC", [-1])]
+    frame = spark.createDataFrame(rows, "k int, q string, r string, p array<int>").select("k", sites.residues_at(F.col("q"), F.col("r"), F.col("p")).alias("found"))
+    assert [r["found"] for r in sorted(frame.collect())] == ["adh", None, None, "", None, None, None, None, "xx", None]
+    longest = max(spark.createDataFrame([(1, "A" * 100_000, "C" * 100_000, [3])], "k int, q string, r string, p array<int>").select(sites.residues_at(F.col("q"), F.col("r"), F.col("p"))).collect())
+    assert longest[0] == "A" and "left(" in frame._jdf.queryExecution().analyzed().expressions().mkString()
