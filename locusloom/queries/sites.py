@@ -52,7 +52,9 @@ _SITE_WORDS = f"""a AS (SELECT record_id AS domain_id, p, ['{"', '".join(_DATABA
 def _(spark: SparkSession, folder: str) -> DataFrame:
     rows = _proteins(spark, folder).where("length(seq) > 0").select(F.col("record_id").alias("domain_id"), "seq", F.element_at(F.array(*map(F.lit, _DATABASES)), (F.col("record_id") % len(_DATABASES) + 1).cast("int")).alias("profile"), F.expr("cast((record_id div 3) % 2 as int)").alias("hit_start"), (250 + F.col("record_id") % 190).cast("int").alias("n"))
     wanted = spark.createDataFrame([(d, {p: r for (x, p), r in _WANTED.items() if x == d}) for d in _DATABASES], "profile string, wanted map<int,string>")
-    own = lambda i: F.substr("seq", ((i * 7 + F.col("domain_id")) % F.length("seq") + 1).cast("int"), F.lit(1))
+    # Letters are taken from an array, as each would be sought from the start of a text.
+    rows = rows.withColumn("letters", F.split("seq", "")).drop("seq").withColumn("n_letters", F.size("letters"))
+    own = lambda i: F.element_at("letters", ((i * 7 + F.col("domain_id")) % F.col("n_letters") + 1).cast("int"))
     letter = lambda i: F.when((F.expr("domain_id div 11") * 7 + i) % 19 > 0, F.coalesce(F.try_element_at("wanted", i + F.when(F.col("domain_id") % 4 == 0, F.col("hit_start")).otherwise(0)), own(i))).otherwise(own(i))
     gap = lambda i: (F.col("domain_id") + i) % 17 == 0
     text = lambda insert, of: F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(gap(i), F.concat(F.lit(insert), of(i))).otherwise(of(i))), "")

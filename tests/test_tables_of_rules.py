@@ -84,3 +84,11 @@ def test_residues_are_split_only_as_far_as_positions_need(spark):
     assert [r["found"] for r in sorted(frame.collect())] == ["adh", None, None, "", None, None, None, None, "xx", None]
     longest = max(spark.createDataFrame([(1, "A" * 100_000, "C" * 100_000, [3])], "k int, q string, r string, p array<int>").select(sites.residues_at(F.col("q"), F.col("r"), F.col("p"))).collect())
     assert longest[0] == "A" and "left(" in frame._jdf.queryExecution().analyzed().expressions().mkString()
+
+
+def test_site_texts_are_not_sought_letter_by_letter(spark):
+    """The aligned texts of the query take letters from an array, not by substrings of the whole text."""
+    from locusloom.queries import QUERIES
+
+    plan = QUERIES["H13_site_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr(seq" not in plan and "element_at(letters" in plan
