@@ -170,6 +170,12 @@ def plain_areas(spark: SparkSession, folder: str) -> DataFrame:
     return ops.numbered(ops.expand(ops.chain_cores(_core_genes(spark, folder), _PLAIN), _lengths(spark, folder)))
 
 
+def plain_regions(spark: SparkSession, folder: str, *columns: str) -> DataFrame | None:
+    """The genes of ``plain_areas`` with areas and regions, dealt by record once, and further columns of genes; none where the records do not allow it."""
+    genes = table(spark, folder, "genes").select("record_id", "gene_id", F.col("profile").alias("rule"), "start", "end", *columns)
+    return ops.record_regions(genes, _PLAIN, 200) if ops.plain_records(genes, _PLAIN) else None
+
+
 @query("F15_annotate_roles", with_tables(f"""{_AREAS_SQL} SELECT a.record_id, area_id, g.gene_id, g.profile, CASE WHEN g.profile = product AND g.score > 20000 THEN 'CORE' ELSE 'ADDITIONAL' END AS role
     FROM areas a JOIN genes g ON a.record_id = g.record_id AND a."start" <= g."start" AND g."end" <= a."end" """, "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,17 +30,22 @@ def area_json(regions: DataFrame, areas: DataFrame, candidates: DataFrame, subre
     else:
         marked = subregions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "label"))).alias("subregions"))
         joined = joined.join(marked, keys, "left").withColumn("subregions", F.coalesce("subregions", none))
+    return region_json(joined)
+
+
+def region_json(regions: DataFrame) -> DataFrame:
+    """As ``area_json``, from one row per region with its sorted lists ``areas``, ``candidates`` (null: none) and ``subregions``; rows that are dealt by record stay where they are."""
     ids = F.transform("areas", lambda a: a["area_id"])
     placed = F.transform("candidates", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.transform(c["area_ids"], lambda i: F.array_position(ids, i) - 1).alias("areas")))
     empty = lambda column, kind: F.coalesce(column, F.array().cast(kind))
-    kinds = {f.name: f.dataType.simpleString() for f in joined.select("areas", placed.alias("candidates")).schema.fields}
-    rows = joined.select("record_id", F.struct("region", "start", "end", empty(F.col("areas"), kinds["areas"]).alias("areas"), empty(placed, kinds["candidates"]).alias("candidates"), "subregions").alias("r"))
+    kinds = {f.name: f.dataType.simpleString() for f in regions.select("areas", placed.alias("candidates")).schema.fields}
+    rows = regions.select("record_id", F.struct("region", "start", "end", empty(F.col("areas"), kinds["areas"]).alias("areas"), empty(placed, kinds["candidates"]).alias("candidates"), "subregions").alias("r"))
     return rows.groupBy("record_id").agg(F.sort_array(F.collect_list("r")).alias("regions"))
 
 
-def write_area_json(regions: DataFrame, areas: DataFrame, candidates: DataFrame, path: str, subregions: DataFrame | None = None) -> None:
+def write_area_json(regions: DataFrame, areas: DataFrame, candidates: DataFrame, path: str, subregions: DataFrame | None = None, compression: str | None = None) -> None:
     """``area_json`` as JSON lines."""
-    area_json(regions, areas, candidates, subregions).write.json(path)
+    area_json(regions, areas, candidates, subregions).write.json(path, compression=compression)
 
 
 def region_features(features: DataFrame, regions: DataFrame, lengths: DataFrame | None = None, bin_width: int = 20_000) -> DataFrame:
