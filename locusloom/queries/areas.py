@@ -284,6 +284,8 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     SELECT i.record_id, i.region, i."start", i."end", (SELECT string_agg(product, '-' ORDER BY place) FROM firsts f WHERE f.record_id = i.record_id AND f.region = i.region) AS products,
     string_agg(DISTINCT category, ',' ORDER BY category) AS categories, CAST(count(*) AS INT) AS n_areas, i."start" <= 0 OR i."end" >= any_value(length) AS at_edge FROM inside i JOIN lengths USING (record_id) GROUP BY i.record_id, i.region, i."start", i."end" """, "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (genes := plain_regions(spark, folder)) is not None:
+        return ops.region_summary_of(genes)
     areas = plain_areas(spark, folder)
     return ops.region_summary(ops.regions(areas), areas, _lengths(spark, folder), 20000)
 

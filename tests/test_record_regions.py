@@ -11,7 +11,7 @@ from locusloom.operators.rules import Rule, Rules, profile
 from locusloom.queries import QUERIES, areas, reports
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ("A12_area_json",)
+NAMES = ("A12_area_json", "F21_region_summary")
 RULES = Rules((Rule("x", profile("x"), 40, 25, "first"), Rule("y", profile("y"), 10, 60, "second"), Rule("z", profile("z"), 25, 0, "first")))
 KINDS = "record_id bigint, gene_id bigint, rule string, start bigint, end bigint"
 
@@ -34,6 +34,9 @@ def test_windows_give_the_rows_of_joins(spark):
     rows = lambda df, *names: sorted(map(tuple, df.select(*names).collect()))
     columns = ("record_id", "area_id", "product", "category")
     assert rows(marked.where("area_id is not null"), *columns, "area_start", "area_end") == rows(numbered, *columns, "start", "end")
+    summary = ops.region_summary(ops.regions(numbered), numbered, lengths, 500)
+    assert rows(ops.region_summary_of(marked), *summary.columns) == rows(summary, *summary.columns)
+    assert summary.where("n_areas > 3").count() > 0
     held = ops.range_join(ops.regions(numbered), genes, ["record_id"], 500, how="contain").select("record_id", "l.region", "r.gene_id")
     assert rows(marked, *held.columns) == rows(held, *held.columns)
 
