@@ -8,10 +8,13 @@ the state that it ends in. A gene's domains are one array, as they are few howev
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +201,64 @@ def module_properties(domains: DataFrame, keys: Sequence[str] = (*GENE, "module"
     )
 
 
+def _complete_in(genes: pa.Table, table: np.ndarray, whole: np.ndarray, kinds: np.ndarray) -> pa.Table:
+    """The complete modules of whole genes, whose domains stand in order; all genes take their next step through the automaton at once."""
+    kind = genes["kind"].to_numpy()
+    held = np.flatnonzero(kind)  # the others are ignored, and change no state
+    kind, gene = kind[held], np.cumsum(genes["first"].to_numpy())[held]
+    begins = np.diff(gene, prepend=-1) != 0
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(starts, append=len(held))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    state, after, first = np.zeros(len(starts), np.int64), np.zeros(len(held), np.int64), begins.copy()
+    for k in range(sizes[0] if len(sizes) else 0):
+        at = starts[: np.searchsorted(-sizes, -k)] + k  # of genes with more than k domains
+        move = table[state[: len(at)] * len(KINDS) + kind[at]]
+        state[: len(at)] = after[at] = move >> 1
+        begins[at] |= (move & 1).astype(bool)
+    opens = np.flatnonzero(begins)
+    ends = np.append(opens[1:], len(held))
+    last = after[ends - 1] if len(opens) else after
+    complete = np.flatnonzero(whole[first[opens].astype(int), last])
+    names = pa.ListArray.from_arrays(pa.array(np.append(opens, len(held)), pa.int32()), genes["name"].combine_chunks().take(pa.array(held)))
+    value = pc.binary_join(names.take(pa.array(complete)), "|")
+    return genes.select(GENE).take(pa.array(held[opens[complete]])).append_column("kind", pa.array(kinds[last[complete]], pa.string())).append_column("value", value)
+
+
+def complete_modules(domains: DataFrame) -> DataFrame:
+    """``record_id, gene_id, kind, value`` as ``compare.module_tuples`` has it from ``segment_modules`` and ``module_properties``, by one shuffle and one walk.
+
+    A module begins in the automaton's first state, so the state after its last domain is the same whether the gene or the module is walked. Domains
+    are ordered in Spark; an Arrow task walks over the genes of a batch together. A gene on the edge of a batch waits for the next.
+    """
+    states, moves = _compiled()
+    table, whole = np.array(moves), np.array([[s.complete_later for s in states], [s.complete_first for s in states]])
+    kinds = np.array(["nrps" if {s.starter, s.loader} & _PEPTIDE else "pks" if s.polyketide else "generic" for s in states], object)
+    columns = {c: domains.schema[c].dataType.simpleString() for c in GENE}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            new = np.flatnonzero(batch["first"].to_numpy(zero_copy_only=False))
+            if len(new) and waiting:
+                yield from _complete_in(pa.Table.from_batches([*waiting, batch.slice(0, new[-1])]), table, whole, kinds).to_batches()
+                waiting = []
+            elif len(new) and new[-1]:
+                yield from _complete_in(pa.Table.from_batches([batch.slice(0, new[-1])]), table, whole, kinds).to_batches()
+            waiting.append(batch.slice(new[-1]) if len(new) else batch)
+        if waiting:
+            yield from _complete_in(pa.Table.from_batches(waiting), table, whole, kinds).to_batches()
+
+    sort = [*GENE, "start", "end", "ord", "profile", "subtype"]
+    place = Window.partitionBy(*GENE).orderBy(*sort[2:])
+    dealt = domains.select(*sort).dropna(subset=GENE).repartition(*GENE)
+    ahead = dealt.withColumns({"_next": F.lead("profile").over(place), "_second": F.lead("profile", 2).over(place), "first": F.row_number().over(place) == 1})
+    name = F.when(F.col("profile").startswith("Condensation_"), "Condensation").otherwise(F.col("profile"))
+    rows = ahead.sortWithinPartitions(*sort).select(*GENE, "first", kind_of(F.col("profile"), F.col("subtype"), F.col("_next"), F.col("_second")).alias("kind"), name.alias("name"))
+    return rows.mapInArrow(walk, ", ".join([*[f"{c} {kind}" for c, kind in columns.items()], "kind string", "value string"]))
+
+
 def join_modules(domains: DataFrame, genes: DataFrame) -> DataFrame:
     """Domains with ``owner`` (the gene that a module begins on) and its ``module``, after modules over two genes are joined; ``later`` marks those.
 

@@ -5,6 +5,8 @@ Alignments have ``region, query_id, query_idx, ref_area, ref_gene, ref_idx, iden
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -163,16 +165,8 @@ def module_tuples(domains: DataFrame, properties: DataFrame) -> DataFrame:
 MODULES, KINDS = ("nrps", "pks", "generic"), ("nrps", "pks", "generic", "profile", "function")
 
 
-def component_similarity(pairs: DataFrame, query: DataFrame, reference: DataFrame, mode: str = "best", corrected: bool = False) -> DataFrame:
-    """``region, ref_area, modules, profiles, functions, component_score`` for each of ``pairs`` (``region, ref_area``), also where a side is empty.
-
-    Both sides' multisets (``components_of`` with all of ``KINDS``) are packed into one row per area and met in the pair's row, so only given pairs are
-    compared. A kind's share is the shared count over the side that the mode names; an empty reference counts 1, or 0 in
-    ``query_in_reference``, else an empty query counts 1, or 0 in ``reference_in_query``. Module kinds are weighted by how
-    many modules of them there are; without modules the score is the mean of profiles and functions, else of all three. A reference without modules of
-    the first two kinds and without profiles has no score but in ``query_in_reference``. ``best`` divides as ``component_score`` does.
-    """
-    one_way, other_way = mode == "reference_in_query", mode == "query_in_reference"
+def met_components(pairs: DataFrame, query: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each of ``pairs`` with the sizes of both sides by kind (``q_`` and ``r_``) and what they share of it (``s_``)."""
 
     def packed(df: DataFrame, key: str, side: str) -> DataFrame:
         sizes = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{side}_{k}") for k in KINDS]
@@ -182,20 +176,46 @@ def component_similarity(pairs: DataFrame, query: DataFrame, reference: DataFram
     met = met.fillna(0, [f"{side}_{k}" for side in "qr" for k in KINDS])
     shared = F.transform(F.map_entries("q_parts"), lambda e: F.struct(e["key"]["kind"].alias("kind"), F.least(e["value"], F.coalesce(F.try_element_at("r_parts", e["key"]), F.lit(0))).alias("n")))
     met = met.withColumn("shared", F.when(F.col("r_parts").isNotNull(), F.coalesce(shared, F.array().cast("array<struct<kind:string,n:bigint>>"))))
+    of_kind = lambda kind: F.aggregate(F.filter("shared", lambda e: e["kind"] == kind), F.lit(0).cast("long"), lambda total, e: total + e["n"])
+    sizes = [f"{side}_{k}" for side in "qr" for k in KINDS]
+    return met.select("region", "ref_area", *sizes, *[F.when(F.col(f"q_{k}") * F.col(f"r_{k}") > 0, of_kind(k)).alias(f"s_{k}") for k in KINDS])
+
+
+def _similarity(mode: str, corrected: bool) -> Column:
+    """``modules, profiles, functions, component_score`` of rows of ``met_components``."""
+    one_way, other_way = mode == "reference_in_query", mode == "query_in_reference"
 
     def share(kind: str) -> Column:
         q, r = F.col(f"q_{kind}"), F.col(f"r_{kind}")
-        found = F.aggregate(F.filter("shared", lambda e: e["kind"] == kind), F.lit(0).cast("long"), lambda total, e: total + e["n"])
         most = r if one_way else F.least(q, r) if mode == "best" and corrected else q
-        return F.when(r == 0, 0.0 if other_way else 1.0).when(q == 0, 0.0 if one_way else 1.0).otherwise(found / most)
+        return F.when(r == 0, 0.0 if other_way else 1.0).when(q == 0, 0.0 if one_way else 1.0).otherwise(F.col(f"s_{kind}") / most)
 
     total = lambda side: F.col(f"{side}_nrps") + F.col(f"{side}_pks") + F.col(f"{side}_generic")
     most = total("r") if one_way else total("q") if other_way else F.least(total("q"), total("r"))
     weight = lambda k: (F.col(f"r_{k}") if one_way else F.col(f"q_{k}") if other_way else F.least(f"q_{k}", f"r_{k}")) / most
     modules = F.when(most > 0, share("nrps") * weight("nrps") + share("pks") * weight("pks") + share("generic") * weight("generic"))
-    scored = met.select("region", "ref_area", modules.alias("modules"), share("profile").alias("profiles"), share("function").alias("functions"), (F.col("r_nrps") + F.col("r_pks") + F.col("r_profile")).alias("telling"))
-    score = F.when(F.col("modules").isNull(), (F.col("profiles") + F.col("functions")) / 2).otherwise((F.col("modules") + F.col("profiles") + F.col("functions")) / 3)
-    return scored.select("region", "ref_area", "modules", "profiles", "functions", (score if other_way else F.when(F.col("telling") > 0, score)).alias("component_score"))
+    profiles, functions = share("profile"), share("function")
+    score = F.when(modules.isNull(), (profiles + functions) / 2).otherwise((modules + profiles + functions) / 3)
+    telling = F.col("r_nrps") + F.col("r_pks") + F.col("r_profile") > 0
+    return F.struct(modules.alias("modules"), profiles.alias("profiles"), functions.alias("functions"), (score if other_way else F.when(telling, score)).alias("component_score"))
+
+
+def similarity_by_modes(pairs: DataFrame, query: DataFrame, reference: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """``component_similarity`` in several modes, with ``mode``: the sides meet once."""
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), _similarity(m, False).alias("found")) for m in modes])
+    return met_components(pairs, query, reference).select("region", "ref_area", F.inline(each)).select("region", "ref_area", "mode", "found.*")
+
+
+def component_similarity(pairs: DataFrame, query: DataFrame, reference: DataFrame, mode: str = "best", corrected: bool = False) -> DataFrame:
+    """``region, ref_area, modules, profiles, functions, component_score`` for each of ``pairs`` (``region, ref_area``), also where a side is empty.
+
+    Both sides' multisets (``components_of`` with all of ``KINDS``) are packed into one row per area and met in the pair's row, so only given pairs are
+    compared. A kind's share is the shared count over the side that the mode names; an empty reference counts 1, or 0 in
+    ``query_in_reference``, else an empty query counts 1, or 0 in ``reference_in_query``. Module kinds are weighted by how
+    many modules of them there are; without modules the score is the mean of profiles and functions, else of all three. A reference without modules of
+    the first two kinds and without profiles has no score but in ``query_in_reference``. ``best`` divides as ``component_score`` does.
+    """
+    return met_components(pairs, query, reference).select("region", "ref_area", _similarity(mode, corrected).alias("found")).select("region", "ref_area", "found.*")
 
 
 def final_score(metrics: DataFrame, names: list[str]) -> DataFrame:

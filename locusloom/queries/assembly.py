@@ -209,8 +209,8 @@ _TUPLES = f"""{_SEQ}, {_walk("walk", "s")}, {_LAST}, named AS (SELECT w.id, w.m,
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    lines, domains = table(spark, folder, "lines"), _segmented(spark, folder)
-    tuples = compare_ops.module_tuples(domains, ops.module_properties(domains)).join(lines.select("gene_id", "region"), "gene_id").select("region", "kind", "value")
+    lines = table(spark, folder, "lines")
+    tuples = ops.complete_modules(table(spark, folder, "domains")).join(lines.select("gene_id", "region"), "gene_id").select("region", "kind", "value")
     profiles = lines.where("region % 5 > 0 and gene_id % 3 = 0").select("region", F.lit("profile").alias("kind"), F.concat(F.lit("p"), F.col("gene_id") % 7).alias("value"))
     functions = lines.where("region % 7 > 0").select("region", F.lit("function").alias("kind"), F.when(F.col("gene_id") % 4 == 0, "other").otherwise(F.concat(F.lit("f"), F.col("gene_id") % 4)).alias("value"))
     return compare_ops.components_of(tuples.unionByName(profiles).unionByName(functions), ["region"])
@@ -241,6 +241,5 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     parts = cut(_pieces(spark, folder))
     regions = table(spark, folder, "lines").where("region % 2 = 0").select("region").distinct()
     pairs = cut(regions.select("region", F.explode(F.array(*[F.col("region") + d for d in (1, 3, 11, 100_001)])).alias("ref_area")))
-    scored = [compare_ops.component_similarity(pairs, parts, parts.withColumnRenamed("region", "ref_area"), m).withColumn("mode", F.lit(m)) for m in ("best", "query_in_reference", "reference_in_query")]
-    every = scored[0].unionByName(scored[1]).unionByName(scored[2])
+    every = compare_ops.similarity_by_modes(pairs, parts, parts.withColumnRenamed("region", "ref_area"), ("best", "query_in_reference", "reference_in_query"))
     return every.select("region", "ref_area", "mode", *[F.round(c, 9).alias(c) for c in ("modules", "profiles", "functions", "component_score")])
