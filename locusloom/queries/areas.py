@@ -276,6 +276,8 @@ _REGIONS = f"""{_AREAS_SQL}, {islands_sql("ri", "areas", "record_id", "0", order
 
 @query("F20_regions", with_tables(f"{_REGIONS} SELECT * FROM regions", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (genes := plain_regions(spark, folder)) is not None:
+        return genes.groupBy("record_id", "region").agg(F.min("area_start").alias("start"), F.max("area_end").alias("end"), F.count("area_start").alias("n_areas"))
     return ops.regions(plain_areas(spark, folder))
 
 
@@ -307,6 +309,8 @@ _LANES = """ranked AS (SELECT record_id, region, a."start", a."end", area_id, ro
 
 @query("F23_pack_lanes", with_tables(f"{_REGIONS}, {_LANES} SELECT record_id, region, area_id, lane FROM walk", "genes", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (genes := plain_regions(spark, folder)) is not None:
+        return ops.pack_lanes(genes.where("area_id is not null").select("record_id", "region", "area_id", F.col("area_start").alias("start"), F.col("area_end").alias("end"))).select("record_id", "region", "area_id", "lane")
     areas = plain_areas(spark, folder)
     placed = ops.range_join(ops.regions(areas), areas.select("record_id", "area_id", "start", "end"), ["record_id"], 20000, how="contain")
     return ops.pack_lanes(placed.select("record_id", F.col("l.region").alias("region"), F.col("r.area_id").alias("area_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))).select("record_id", "region", "area_id", "lane")

@@ -11,7 +11,7 @@ from locusloom.operators.rules import Rule, Rules, profile
 from locusloom.queries import QUERIES, areas, reports
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ("A12_area_json", "F21_region_summary")
+NAMES = ("A12_area_json", "F20_regions", "F21_region_summary", "F23_pack_lanes")
 RULES = Rules((Rule("x", profile("x"), 40, 25, "first"), Rule("y", profile("y"), 10, 60, "second"), Rule("z", profile("z"), 25, 0, "first")))
 KINDS = "record_id bigint, gene_id bigint, rule string, start bigint, end bigint"
 
