@@ -31,9 +31,11 @@ def _few_united(edge: DataFrame) -> DataFrame:
     kind = edge.schema["a"].dataType.simpleString()
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        nodes, place = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
-        to = nodes[least_labels(place[: len(table)], place[len(table) :], len(nodes))]
+        # By columns: whether an end may be null is part of a batch's schema.
+        ends = [(batch["a"].to_numpy(), batch["b"].to_numpy()) for batch in batches]
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*ends, strict=True) if ends else ((), ())))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        to = nodes[least_labels(place[: len(a)], place[len(a) :], len(nodes))]
         yield pa.RecordBatch.from_pydict({"node": nodes[to != nodes], "to": to[to != nodes]})
 
     found = edge.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).coalesce(1).mapInArrow(united, "node bigint, to bigint")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from locusloom.plans.graph import components
 
 
@@ -17,3 +19,12 @@ def test_small_graphs_take_no_rounds(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0][0] == jobs[1][0] == jobs[2][0]
     assert jobs[0][1] <= 10 < jobs[1][1]
+
+
+def test_ends_that_cannot_be_null(spark):
+    # Hashes are never null, and their schema says so, as those of E3_resolve_equivalents.
+    df = spark.range(6).select(F.xxhash64(F.lit("x"), F.col("id")).alias("a"), F.xxhash64(F.lit("x"), F.col("id") + 1).alias("b"))
+    assert not df.schema["a"].nullable
+    ends = {r["a"] for r in df.collect()} | {r["b"] for r in df.collect()}
+    assert sorted(map(tuple, components(df).collect())) == sorted((node, min(ends)) for node in ends)
+    assert components(df.limit(0)).collect() == []
