@@ -51,6 +51,20 @@ def intergenic(genes: DataFrame, areas: DataFrame, min_length: int = 0, padding:
     return gaps.unionByName(tails).where(F.col("end") - F.col("start") >= max(1, min_length))
 
 
+def intergenic_of(genes: DataFrame, min_length: int = 0, padding: int = 0) -> DataFrame:
+    """As ``intergenic`` with regions as areas, from ``areas.record_regions``: the rows stay as they are dealt, and only gaps leave them."""
+    region = Window.partitionBy("record_id", "region").orderBy("start", "end", "gene_id")
+    whole = region.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reached = genes.select("record_id", "region", "gene_id", "start", "end", "area_start", "area_end").withColumns({
+        "_low": F.min("area_start").over(whole), "_high": F.max("area_end").over(whole),
+        "_reach": F.max("end").over(region.rowsBetween(Window.unboundedPreceding, -1)) - padding, "_last": F.lead(F.lit(False), 1, True).over(region),
+    })
+    before = F.struct(F.greatest("_low", F.coalesce("_reach", "_low")).alias("start"), F.least("_high", F.col("start") + padding).alias("end"))
+    behind = F.struct(F.greatest(F.col("_low"), F.col("_reach"), F.col("end") - padding).alias("start"), F.col("_high").alias("end"))
+    gaps = reached.select("record_id", F.col("region").alias("area_id"), F.inline(F.array(before, F.when(F.col("_last"), behind))))
+    return gaps.where(F.col("end") - F.col("start") >= max(1, min_length))
+
+
 def reverse_complement(seq: Column) -> Column:
     """The other strand, read backwards."""
     return F.translate(F.reverse(seq), "ACGTacgt", "TGCAtgca")

@@ -9,7 +9,7 @@ from ..operators import chunks as chunk_ops
 from ..operators import scans as ops
 from ..registry import query
 from ..tables import table, with_tables
-from .areas import _REGIONS, plain_areas
+from .areas import _REGIONS, plain_areas, plain_regions
 from .areas import ops as areas_ops
 
 _RC = "translate(reverse(seq), 'ACGT', 'TGCA')"
@@ -37,6 +37,8 @@ _MEMBERS = """, m AS (SELECT r.record_id, r.region AS area_id, gene_id, g."start
 
 @query("H2_intergenic", with_tables(f'{_REGIONS}{_MEMBERS} SELECT * FROM gaps WHERE "end" - "start" >= 100', "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (dealt := plain_regions(spark, folder)) is not None:
+        return ops.intergenic_of(dealt, 100, 20)
     regions = areas_ops.regions(plain_areas(spark, folder)).withColumnRenamed("region", "area_id").select("record_id", "area_id", "start", "end")
     genes = table(spark, folder, "genes").select("record_id", "gene_id", "start", "end")
     inside = areas_ops.range_join(regions, genes, ["record_id"], 20000, how="contain").select("record_id", F.col("l.area_id").alias("area_id"), F.col("r.gene_id").alias("gene_id"), F.col("r.start").alias("start"), F.col("r.end").alias("end"))

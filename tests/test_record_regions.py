@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusloom.operators import areas as ops
+from locusloom.operators import scans
 from locusloom.operators.rules import Rule, Rules, profile
 from locusloom.queries import QUERIES, areas, reports
+from locusloom.queries import scans as scan_queries
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ("A12_area_json", "F20_regions", "F21_region_summary", "F23_pack_lanes")
@@ -70,3 +72,22 @@ def test_extracts_are_not_a_folder_for_each_record(spark):
     assert not [p for p in new.iterdir() if p.is_dir()]
     assert rows.select("record_id").distinct().count() > len(list(new.glob("*.parquet")))
     assert dict(rows.dtypes) == {"record_id": "bigint", "region": "string", "gene_id": "bigint", "start": "bigint", "end": "bigint"}
+
+
+def test_gaps_of_dealt_regions_are_those_of_joins(spark):
+    genes = _genes(spark)
+    marked = ops.record_regions(genes, RULES, 70).cache()
+    spans = marked.groupBy("record_id", F.col("region").alias("area_id")).agg(F.min("area_start").alias("start"), F.max("area_end").alias("end"))
+    inside = marked.select("record_id", F.col("region").alias("area_id"), "gene_id", "start", "end")
+    rows = lambda df: sorted(map(tuple, df.select("record_id", "area_id", "start", "end").collect()))
+    for least, padding in ((0, 0), (15, 20), (1, 90)):
+        assert rows(scans.intergenic_of(marked, least, padding)) == rows(scans.intergenic(inside, spans, least, padding)) != []
+
+
+def test_gaps_store_nothing(spark, monkeypatch):
+    size = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file())
+    before = size()
+    found = sorted(map(tuple, QUERIES["H2_intergenic"](spark, FOLDER).collect()))
+    assert size() == before
+    monkeypatch.setattr(scan_queries, "plain_regions", lambda *_: None)
+    assert found and found == sorted(map(tuple, QUERIES["H2_intergenic"](spark, FOLDER).collect()))
