@@ -16,7 +16,7 @@ from ..plans.intervals import range_join
 from ..registry import query
 from ..sources import reference_sets
 from ..tables import table, with_tables
-from .areas import _REGIONS, DAY, MATCHED_SQL, RULES, islands_sql, plain_areas
+from .areas import _REGIONS, DAY, MATCHED_SQL, RULES, islands_sql, plain_areas, plain_regions
 from .scans import _PROTEIN, CLASSES, _proteins
 
 _SITES = [("config", "K", [3, 7], "", [5], {"D": "D-form", "T": "T-form"}, "L-form"), ("active", "K", [4], "T", [6, 9], {"AN": "active", "ED": "active"}, "other"), ("ester", "R", [], "", [12], {"E": "ester"}, None)]
@@ -247,20 +247,31 @@ _SET = f"""{_REGIONS}, whole AS (SELECT *, 'r' || record_id AS accession, 'c' ||
     members AS (SELECT w.rid, w.accession, w.cluster, g.*, CASE WHEN g.score > 80000 THEN 'no_locus_tag' ELSE 'g_' || g.gene_id END AS tag, CASE WHEN g.score < 20000 THEN 'no_accession' ELSE 'p' || g.gene_id END AS protein FROM whole w JOIN genes g ON g.record_id = w.record_id AND w."start" <= g."start" AND g."end" <= w."end")"""
 
 
+#: Regions that begin before this are at an edge.
+_EDGE = 2000
+
+
+def _labelled(genes: DataFrame) -> DataFrame:
+    return genes.withColumns({"locus_tag": F.when(F.col("score") <= 80000, F.concat(F.lit("g "), "gene_id")), "protein_id": F.when(F.col("score") >= 20000, F.concat(F.lit("p"), "gene_id"))})
+
+
 def _annotated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    regions = area_ops.regions(plain_areas(spark, folder)).select("record_id", F.concat(F.lit("r"), "record_id").alias("accession"), F.lit("d").alias("description"), (F.col("record_id") * 1000000 + F.col("region")).alias("region"), "start", "end", F.lit("x").alias("products"), (F.col("start") < 2000).alias("at_edge"))
+    regions = area_ops.regions(plain_areas(spark, folder)).select("record_id", F.concat(F.lit("r"), "record_id").alias("accession"), F.lit("d").alias("description"), (F.col("record_id") * 1000000 + F.col("region")).alias("region"), "start", "end", F.lit("x").alias("products"), (F.col("start") < _EDGE).alias("at_edge"))
     inside = range_join(regions.select("record_id", "region", "start", "end"), table(spark, folder, "genes"), ["record_id"], 20000, how="contain").select(F.col("l.region").alias("region"), "r.*")
     return regions, inside
 
 
 @query("A15_cluster_reference", with_tables(f"""{_SET} SELECT accession, cluster, string_agg(tag, ';' ORDER BY "start", "end", tag, protein) AS tags, string_agg(protein, ';' ORDER BY "start", "end", tag, protein) AS proteins FROM members GROUP BY rid, accession, cluster""", "genes"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
+    if (genes := plain_regions(spark, folder, "score")) is not None:
+        found = reference_sets.clusters_of(_labelled(genes), _EDGE)
+        return found.select(F.concat(F.lit("r"), "record_id").alias("accession"), "cluster", "tags", "proteins")
     return reference_sets.build_cluster_reference(*_reference(spark, folder))[0].select("accession", "cluster", "tags", "proteins")
 
 
 def _reference(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     regions, genes = _annotated(spark, folder)
-    return regions, genes.select("region", "start", "end", "strand", F.when(F.col("score") <= 80000, F.concat(F.lit("g "), "gene_id")).alias("locus_tag"), F.col("profile").alias("annotation"), F.when(F.col("score") >= 20000, F.concat(F.lit("p"), "gene_id")).alias("protein_id"), F.repeat(F.lit("MK"), 3).alias("translation"))
+    return regions, _labelled(genes).select("region", "start", "end", "strand", "locus_tag", F.col("profile").alias("annotation"), "protein_id", F.repeat(F.lit("MK"), 3).alias("translation"))
 
 
 @query("A15_reference_proteins", with_tables(f"""{_SET} SELECT '>' || accession || '|' || cluster || '|' || ("start" + 1) || '-' || "end" || '|' || CASE WHEN strand = 1 THEN '+' ELSE '-' END || '|linearised' || ("start" + 1) || '-' || "end" || '|' || tag || '|' || profile || '|' || protein AS header, 'MKMKMK' AS seq FROM members""", "genes"))

@@ -16,18 +16,38 @@ def _label(column: str, missing: str) -> Column:
     return F.coalesce(F.regexp_replace(F.col(column), r"\s", "_"), F.lit(missing))
 
 
+def _place(before: str, start: str, end: str) -> Column:
+    return F.concat(F.lit(before), F.col(start).cast("string"), F.lit("-"), F.col(end).cast("string"))
+
+
+def _joined(column: str) -> Column:
+    """A label of the genes in ``g``, in their order."""
+    # Most regions have one gene, which needs no function over arrays.
+    return F.when(F.size("g") == 1, F.element_at("g", 1)[column]).otherwise(F.array_join(F.transform("g", lambda g: g[column]), ";"))
+
+
+def clusters_of(genes: DataFrame, edge: int) -> DataFrame:
+    """``record_id, region, cluster, tags, proteins`` of the clusters of ``build_cluster_reference``, from ``areas.record_regions`` with ``locus_tag`` and ``protein_id``: rows stay as they are dealt.
+
+    Regions that begin before ``edge`` are at an edge.
+    """
+    gene = F.struct("start", "end", _label("locus_tag", "no_locus_tag").alias("tag"), _label("protein_id", "no_accession").alias("protein"))
+    listed = genes.groupBy("record_id", "region").agg(F.min("area_start").alias("start"), F.max("area_end").alias("end"), F.sort_array(F.collect_list(gene)).alias("g"))
+    whole = listed.where((F.col("start") >= edge) & (F.col("end") - F.col("start") <= LONGEST))
+    return whole.select("record_id", "region", _place("c", "start", "end").alias("cluster"), _joined("tag").alias("tags"), _joined("protein").alias("proteins"))
+
+
 def build_cluster_reference(regions: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters (``accession, description, cluster, products, tags, proteins``) and proteins (``accession, region, start, header, seq``) of whole regions.
 
     ``regions`` has ``accession, description, region, start, end, products, at_edge``; ``genes`` ``region, start, end, strand, locus_tag, annotation, protein_id, translation``. Regions at
     an edge or longer than ``LONGEST`` are left out. A region's genes are few, so their labels are one string.
     """
-    whole = regions.where(~F.col("at_edge") & (F.col("end") - F.col("start") <= LONGEST)).withColumn("cluster", F.concat(F.lit("c"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")))
+    whole = regions.where(~F.col("at_edge") & (F.col("end") - F.col("start") <= LONGEST)).withColumn("cluster", _place("c", "start", "end"))
     named = genes.withColumns({"tag": _label("locus_tag", "no_locus_tag"), "note": _label("annotation", "(unknown)"), "protein": _label("protein_id", "no_accession")})
     rows = whole.drop("start", "end").join(named, "region")
-    ordered = lambda c: F.array_join(F.transform("g", lambda g: g[c]), ";").alias(c)
     listed = rows.groupBy("region", "accession", "description", "cluster", "products").agg(F.sort_array(F.collect_list(F.struct("start", "end", "tag", "protein"))).alias("g"))
-    clusters = listed.select("region", "accession", "description", "cluster", "products", ordered("tag").alias("tags"), ordered("protein").alias("proteins"))
+    clusters = listed.select("region", "accession", "description", "cluster", "products", _joined("tag").alias("tags"), _joined("protein").alias("proteins"))
     place = F.concat((F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
     header = F.concat_ws("|", "accession", "cluster", place, F.when(F.col("strand") == 1, "+").otherwise("-"), F.concat(F.lit("linearised"), place), "tag", "note", "protein")
     return clusters, rows.select("accession", "region", "start", F.concat(F.lit(">"), header).alias("header"), F.col("translation").alias("seq"))

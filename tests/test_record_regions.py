@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from locusloom.operators import areas as ops
 from locusloom.operators import scans
 from locusloom.operators.rules import Rule, Rules, profile
-from locusloom.queries import QUERIES, areas, reports
+from locusloom.queries import QUERIES, areas, reports, sites
 from locusloom.queries import scans as scan_queries
+from locusloom.sources import reference_sets
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ("A12_area_json", "F20_regions", "F21_region_summary", "F23_pack_lanes")
@@ -84,10 +85,23 @@ def test_gaps_of_dealt_regions_are_those_of_joins(spark):
         assert rows(scans.intergenic_of(marked, least, padding)) == rows(scans.intergenic(inside, spans, least, padding)) != []
 
 
-def test_gaps_store_nothing(spark, monkeypatch):
+@pytest.mark.parametrize(("name", "module"), [("H2_intergenic", scan_queries), ("A15_cluster_reference", sites)])
+def test_gaps_and_clusters_store_nothing(spark, monkeypatch, name, module):
     size = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file())
     before = size()
-    found = sorted(map(tuple, QUERIES["H2_intergenic"](spark, FOLDER).collect()))
+    found = sorted(map(tuple, QUERIES[name](spark, FOLDER).collect()))
     assert size() == before
-    monkeypatch.setattr(scan_queries, "plain_regions", lambda *_: None)
-    assert found and found == sorted(map(tuple, QUERIES["H2_intergenic"](spark, FOLDER).collect()))
+    monkeypatch.setattr(module, "plain_regions", lambda *_: None)
+    assert found and found == sorted(map(tuple, QUERIES[name](spark, FOLDER).collect()))
+
+
+def test_clusters_of_dealt_regions(spark):
+    genes = _genes(spark).withColumns({"locus_tag": F.expr("if(gene_id % 5 > 0, concat('g ', gene_id), null)"), "protein_id": F.expr("if(gene_id % 7 > 0, concat('p', gene_id), null)")})
+    marked = ops.record_regions(genes, RULES, 70).cache()
+    spans = marked.groupBy("record_id", "region").agg(F.min("area_start").alias("start"), F.max("area_end").alias("end"))
+    key = F.concat_ws(":", F.col("record_id").cast("string"), F.col("region").cast("string"))
+    regions = spans.select(key.alias("region"), "start", "end", F.lit("a").alias("accession"), F.lit("d").alias("description"), F.lit("x").alias("products"), (F.col("start") < 90).alias("at_edge"))
+    members = marked.select(key.alias("region"), "start", "end", F.lit(1).alias("strand"), "locus_tag", F.lit("n").alias("annotation"), "protein_id", F.lit("M").alias("translation"))
+    expected = reference_sets.build_cluster_reference(regions, members)[0].select("region", "cluster", "tags", "proteins")
+    found = reference_sets.clusters_of(marked, 90).select(key.alias("region"), "cluster", "tags", "proteins")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) != []
