@@ -47,6 +47,8 @@ AFTER_SECOND_CARRIER = ("LPG_synthase_C", "Beta_elim_lyase")
 
 #: Kinds of domains that the automaton tells apart. ``*``: the two domains above follow; ``p``: counts for polyketides.
 KINDS = ("ignored", "C", "C first", "KS", "KS trans", "KS iterative", "SAT", "A", "AT", "CAL", "KR", "mod", "mod p", "CP", "CP p", "CP*", "CP p*", "end", "last", "docking", "special", "other")
+#: Carriers; with the two domains behind them they are the kind two places on.
+_CARRIERS = (KINDS.index("CP"), KINDS.index("CP p"))
 _POLYKETIDE, _PEPTIDE = {"KS", "KS trans", "KS iterative", "AT"}, {"C", "C first", "A"}
 _OPENERS, _LOADERS = {"C", "C first", "KS", "KS trans", "KS iterative", "SAT"}, {"A", "AT", "CAL"}
 
@@ -151,9 +153,19 @@ def kind_of(profile: Column, subtype: Column, following: Column, second: Column)
     )
 
 
+def _moves() -> Column:
+    return F.split(F.lit(" ".join(map(str, _compiled()[1]))), " ").cast("array<int>")
+
+
+def _from(state: Column, kinds: Column) -> Column:
+    """The state that kinds lead to from another one."""
+    table = _moves()
+    return F.aggregate(kinds, state, lambda s, kind: F.shiftright(F.element_at(table, s * len(KINDS) + kind + 1), 1))
+
+
 def walked(kinds: Column) -> Column:
     """A struct of an array of kinds: ``state`` at the end, ``opened`` modules after the first, ``marks``, the module of each domain."""
-    table = F.split(F.lit(" ".join(map(str, _compiled()[1]))), " ").cast("array<int>")
+    table = _moves()
 
     def step(state: Column, kind: Column) -> Column:
         move = F.element_at(table, state["state"] * len(KINDS) + kind + 1)
@@ -310,6 +322,120 @@ def join_modules(domains: DataFrame, genes: DataFrame) -> DataFrame:
     return joined.withColumns({"later": F.col("owner").isNotNull(), "owner": F.coalesce("owner", "gene_id"), "module": F.coalesce("into", "module"), "part": F.coalesce("part", F.lit(0))}).drop("into")
 
 
+#: Domains, or genes, of one record that ``record_genes`` may take in one task.
+OF_RECORD = 1_000_000
+
+
+def plain_lines(domains: DataFrame, genes: DataFrame, most: int = OF_RECORD) -> bool:
+    """Whether ``record_genes`` may be asked: no record has more than ``most`` domains or genes, each gene of the regions has one row, and none lacks what it is known by."""
+    odd = lambda *names: F.max(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in names])).alias("odd")
+    most_of = lambda counts, *more: counts.agg(F.coalesce(F.max("n"), F.lit(0)) <= most, ~F.coalesce(F.max("odd"), F.lit(False)), *more).first()
+    if not all(most_of(domains.groupBy("record_id").agg(F.count("*").alias("n"), odd(*GENE)))):
+        return False
+    rows = genes.repartition("record_id").groupBy(*GENE).agg(F.count("*").alias("rows"), odd(*GENE, "region", "start", "strand"))
+    counts = rows.groupBy("record_id").agg(F.sum("rows").alias("n"), F.max("rows").alias("rows"), F.max("odd").alias("odd"))
+    return all(most_of(counts, F.coalesce(F.max("rows"), F.lit(1)) == 1))
+
+
+def record_genes(domains: DataFrame, genes: DataFrame) -> DataFrame:
+    """One row per gene with what ``segment_modules`` and ``join_modules`` tell of its modules; both tables are dealt by record once, and nothing is joined or stored.
+
+    ``d`` has all domains of a gene, ``held`` those in modules (``profile, module``), ``high`` is its last module. ``heads`` says that the last module goes on in another gene,
+    whose part of it is ``behind``; ``tails`` that the first one began on another gene; ``head_kr`` and ``tail_kr`` that a ketoreductase alone went along. ``head_state`` and ``tail_state``
+    are what such a module ends in, ``first_state`` and ``state`` the gene's own first and last module. ``chained``: it shares a module with a gene of a smaller number. Genes that are not
+    in ``genes`` have no ``region``. Only for what ``plain_lines`` allows.
+    """
+    # A domain's kind but for what follows it is found where it is read, as functions over arrays are slow.
+    row = F.struct("start", "end", "ord", "profile", kind_of(F.col("profile"), F.col("subtype"), F.lit(None), F.lit(None)).alias("kind"))
+    line = F.struct("region", "start", "strand")
+    none = lambda df, what: F.lit(None).cast(df.select(what.alias("x")).schema["x"].dataType)
+    parts, lines = domains.select(*GENE, none(genes, line).alias("line"), row.alias("row")), genes.select(*GENE, line.alias("line"), none(domains, row).alias("row"))
+    rows = parts.unionByName(lines).repartition("record_id").groupBy(*GENE).agg(F.max("line").alias("line"), F.sort_array(F.collect_list("row")).alias("d"))
+
+    def followed(array: str) -> Column:
+        profile = lambda k: F.get(array, k)["profile"]
+        before = lambda k: (profile(k + 1) == AFTER_SECOND_CARRIER[0]) & (profile(k + 2) == AFTER_SECOND_CARRIER[1])
+        return F.transform(array, lambda d, k: F.when(d["kind"].isin(*_CARRIERS) & before(k), d["kind"] + 2).otherwise(d["kind"]))
+
+    kinds = rows.withColumn("kinds", followed("d"))
+    marked = kinds.withColumn("walk", walked(F.col("kinds")))
+    each = F.transform("d", lambda d, k: F.struct(d["profile"].alias("profile"), d["kind"].alias("kind"), F.get("kinds", k).alias("here"), F.get("walk.marks", k).alias("module")))
+    held = marked.select(*GENE, "line.region", "line.start", "line.strand", "d", F.filter(each, lambda d: d["kind"] != 0).alias("held"), F.col("walk.state").alias("state"), F.col("walk.opened").alias("high"))
+    of = lambda k: F.filter("held", lambda d: d["module"] == k)
+    split = held.withColumns({"first": of(0), "last": of(F.col("high")), "second": of(1)})
+    plain = F.transform("first", lambda d: d["here"])
+    stated = split.withColumn("first_state", F.when(F.col("high") == 0, F.col("state")).otherwise(walked(plain)["state"]))
+
+    # What a module is like, asked of the state that it ends in.
+    asked = {"complete": None, "peptide": lambda s: bool({s.starter, s.loader} & _PEPTIDE), "polyketide": lambda s: s.polyketide}
+    whole_first, whole_later = lambda s: s.complete_first, lambda s: s.complete_later
+    of_last = [(F.when(F.col("high") == 0, _holds(whole_first, F.col("state"))).otherwise(_holds(whole_later, F.col("state"))) if what is None else _holds(what, F.col("state"))).alias(f"last_{c}") for c, what in asked.items()]
+    of_first = [_holds(what or whole_first, F.col("first_state")).alias(f"first_{c}") for c, what in asked.items()]
+    lone = (F.size("second") == 1) & F.coalesce(F.get("second", 0)["kind"] == KINDS.index("KR"), F.lit(False))
+    fused = F.coalesce(F.get("first", 0)["profile"].isin(*FUSED_STARTERS), F.lit(False))
+    me = F.struct("gene_id", "strand", "high", "state", "first", "last", (F.size("held") > 0).alias("any"), *of_last, *of_first, fused.alias("fused"), lone.alias("lone"))
+    region = Window.partitionBy("record_id", "region").orderBy("start", "gene_id")
+    told = stated.withColumn("me", me).drop("first", "last", "second")
+    nearby = told.withColumns({"place": F.row_number().over(region), "next": F.lead("me").over(region)})
+
+    ahead = F.col("strand") != -1
+    head, tail = (lambda c: F.when(ahead, F.col(f"me.{c}")).otherwise(F.col(f"next.{c}"))), (lambda c: F.when(ahead, F.col(f"next.{c}")).otherwise(F.col(f"me.{c}")))
+    two_kinds = (head("last_polyketide") & tail("first_peptide")) | (head("last_peptide") & tail("first_polyketide"))
+    fits = F.col("region").isNotNull() & F.col("me.any") & F.col("next.any") & (F.col("strand") == F.col("next.strand")) & ~head("last_complete") & (~tail("first_complete") | tail("fused")) & ~two_kinds
+    # What follows a carrier is asked of the two parts together: domains behind them, in other modules, no longer count.
+    both = nearby.withColumn("_row", F.when(fits, F.concat(head("last"), tail("first"))))
+    both = both.withColumn("_kinds", followed("_row"))
+    ended = both.withColumn("_end", walked(F.col("_kinds"))).drop("_row", "_kinds")
+    state = lambda what: _holds(what, F.col("_end.state"))
+    able = F.coalesce((F.col("_end.opened") == 0) & state(whole_later), F.lit(False))
+    ended = ended.withColumns({"_able": able, "_trans": state(lambda s: s.trans_at)}).drop("_end")
+
+    # Pairs that follow each other over a gene with one module compete for it: in such a run every other pair is taken.
+    flag = lambda c, step=1: (F.lag(c, step, False) if step > 0 else F.lead(c, -step, False)).over(region)
+    follows = F.col("_able") & F.col("_before") & (F.col("high") == 0)
+    run = ended.withColumn("_before", flag("_able")).withColumn("_begin", F.max(F.when(F.col("_able") & ~follows, F.col("place"))).over(region.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = run.withColumn("_own", F.col("_able") & ((F.col("place") - F.col("_begin")) % 2 == 0)).drop("_able", "_before", "_begin", "place")
+    # A module that is another pair's already is not carried along.
+    other = F.when(ahead, (F.col("next.high") == 1) & F.col("_behind")).otherwise((F.col("high") == 1) & F.col("_prior"))
+    seen = taken.withColumns({"_prior": flag("_own"), "_behind": flag("_own", -1)})
+    seen = seen.withColumns({"_kr": F.col("_own") & F.col("_trans") & tail("lone") & ~other, "_joined": F.when(F.col("_own"), _from(head("state"), F.transform(tail("first"), lambda d: d["here"])))})
+    seen = seen.withColumns({"_prior_kr": flag("_kr"), "_prior_joined": F.lag("_joined").over(region), "_prior_first": F.lag("me.first").over(region), "_prior_gene": F.lag("gene_id").over(region)})
+    forward, back = lambda c: F.when(F.col("_own") & ahead, c), lambda c: F.when(F.col("_prior") & ~ahead, c)
+    of_head = lambda one, two: F.coalesce(forward(one), back(two))
+    of_tail = lambda one, two: F.coalesce(F.when(F.col("_own") & ~ahead, one), F.when(F.col("_prior") & ahead, two))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    yes, kr, joined = (F.lit(True), F.lit(True)), (F.col("_kr"), F.col("_prior_kr")), (F.col("_joined"), F.col("_prior_joined"))
+    chained = (F.col("_own") & (F.col("gene_id") > F.col("next.gene_id"))) | (F.col("_prior") & (F.col("gene_id") > F.col("_prior_gene")))
+    return seen.select(
+        *GENE, "region", "start", "strand", "d", "held", "high", "state", "first_state", sure(of_head(*yes)).alias("heads"), of_head(F.col("next.first"), F.col("_prior_first")).alias("behind"), sure(of_head(*kr)).alias("head_kr"),
+        of_head(*joined).alias("head_state"), sure(of_tail(*yes)).alias("tails"), sure(of_tail(*kr)).alias("tail_kr"), of_tail(*joined).alias("tail_state"), sure(chained).alias("chained"),
+    )
+
+
+def owned_modules(genes: DataFrame) -> DataFrame:
+    """``record_id, owner, module, profiles`` of the modules that begin on the genes of ``record_genes``, their domains in order over both genes."""
+    names = lambda domains: F.transform(domains, lambda d: d["profile"])
+    none = F.array().cast("array<string>")
+    behind = F.when(F.col("heads"), F.concat(names("behind"), F.when(F.col("head_kr"), F.array(F.lit("PKS_KR"))).otherwise(none))).otherwise(none)
+    rows = genes.where(F.size("held") > 0).select("record_id", F.col("gene_id").alias("owner"), "held", "high", "tails", "tail_kr", behind.alias("_behind"), F.explode(F.sequence(F.lit(0), F.col("high"))).alias("module"))
+    kept = rows.where(~(F.col("tails") & (F.col("module") == 0)) & ~(F.col("tail_kr") & (F.col("module") == 1)))
+    own = names(F.filter("held", lambda d: d["module"] == F.col("module")))
+    return kept.select("record_id", "owner", "module", F.concat(own, F.when(F.col("module") == F.col("high"), F.col("_behind")).otherwise(none)).alias("profiles"))
+
+
+def ends_of(genes: DataFrame) -> DataFrame:
+    """``opens`` and ``closes`` of genes of ``record_genes`` that stand in regions, as ``find_ends`` asks for them, and ``chained``, with the names ``ps`` of all domains."""
+    at = lambda what, state: _holds(what, F.col(state))
+    loads = lambda s: s.starter in ("C first", "SAT", "CAL")
+    single = F.col("high") == 0
+    opens = F.when(F.col("tails"), at(loads, "tail_state")).when(F.col("heads") & single, at(loads, "head_state")).otherwise(at(lambda s: loads(s) or s.starter in _LOADERS, "first_state"))
+    last = lambda s: s.end == "last"
+    alone = single | (F.col("tail_kr") & (F.col("high") == 1))
+    closes = F.when(F.col("heads"), F.lit(False)).when(F.col("tails") & alone, at(last, "tail_state")).otherwise(at(last, "state"))
+    any_held = F.size("held") > 0
+    return genes.where("region is not null").select("record_id", "region", "gene_id", "start", "strand", (any_held & opens).alias("opens"), (any_held & closes).alias("closes"), "chained", F.transform("d", lambda d: d["profile"]).alias("ps"))
+
+
 #: Polyketide units, and the prefixes that reductive domains turn into each other, in the order in which they act.
 UNITS = ("mal", "mmal", "mxmal", "emal")
 REDUCTIONS = ((("PKS_KR",), "", "oh"), (("PKS_DH", "PKS_DH2", "PKS_DHt"), "oh", "cc"), (("PKS_ER",), "cc", "red"))
@@ -391,6 +517,17 @@ def colinear_groups(genes: DataFrame, keys: Sequence[str] = ("record_id",)) -> D
     return counted.withColumn("place", (F.col("_before") + 1).cast("int")).drop("_chain", "_sum", "_inside", "_turned", "_flip", "_before")
 
 
+def colinear_places(genes: DataFrame, keys: Sequence[str] = ("record_id",)) -> DataFrame:
+    """As ``colinear_groups``, where a key's genes may meet in one task: by windows, which leave rows where they are dealt."""
+    whole = Window.partitionBy(*keys)
+    chain = F.sum((~F.col("chained")).cast("long")).over(whole.orderBy("start", "gene_id").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = genes.withColumns({"_chain": chain, "_sum": F.sum("strand").over(whole), "_inside": F.when(F.col("strand") == -1, -F.col("start")).otherwise(F.col("start"))})
+    turned = numbered.withColumn("_turned", F.when(F.col("_sum") < 0, -F.col("_chain")).otherwise(F.col("_chain")))
+    first = F.first("ends").over(whole.orderBy("_turned", "_inside", "gene_id").rowsBetween(Window.unboundedPreceding, 0))
+    flipped = turned.withColumn("_flip", first).withColumn("_turned", F.when(F.col("_flip"), -F.col("_turned")).otherwise(F.col("_turned")))
+    return flipped.withColumn("place", F.row_number().over(whole.orderBy("_turned", "_inside", "gene_id"))).drop("_chain", "_sum", "_inside", "_turned", "_flip")
+
+
 #: Residues by character, for pairs of docking ends.
 HYDROPHOBIC, POSITIVE, NEGATIVE = "AVILFWYM", "HKR", "DE"
 

@@ -112,10 +112,20 @@ _MONOMER = f"""built AS (SELECT record_id, owner, module, list(profile ORDER BY
         || CASE WHEN ends_with(e, 'mmal') THEN 'Me-' || e[:-5] || 'mal' ELSE e END END AS monomer FROM b4)"""
 
 
+def _dealt(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Genes with their modules, dealt by record once; none where the records do not allow it."""
+    domains, lines = table(spark, folder, "domains"), table(spark, folder, "lines")
+    return ops.record_genes(domains, lines) if ops.plain_lines(domains, lines) else None
+
+
 def _monomers(spark: SparkSession, folder: str) -> DataFrame:
     rows = _joined(spark, folder)
     modules = rows.groupBy("record_id", "owner", "module").agg(F.sort_array(F.collect_list(F.struct("part", "start", "end", "ord", "profile"))).alias("d"))
-    modules = modules.select("record_id", "owner", "module", F.transform("d", lambda d: d["profile"]).alias("profiles"), F.split_part(F.lit(_BASES), F.lit(","), (F.col("owner") % 7 + 1).cast("int")).alias("substrate"))
+    return _monomers_of(modules.select("record_id", "owner", "module", F.transform("d", lambda d: d["profile"]).alias("profiles")))
+
+
+def _monomers_of(modules: DataFrame) -> DataFrame:
+    modules = modules.withColumn("substrate", F.split_part(F.lit(_BASES), F.lit(","), (F.col("owner") % 7 + 1).cast("int")))
     pks = F.array_contains("profiles", "PKS_KS")
     return modules.withColumn("monomer", ops.monomer(F.col("substrate"), F.col("profiles"), pks, pks & ~F.array_contains("profiles", "PKS_AT")))
 
@@ -157,7 +167,10 @@ def line_genes(spark: SparkSession, folder: str) -> DataFrame:
     ends = known.groupBy("gene_id").agg(F.min_by("starter", "first").alias("opens"), F.max_by(F.col("terminating") & ~((F.col("genes") > 1) & (F.col("part") == 0)), "first").alias("closes"))
     pairs = known.where("genes > 1").groupBy("owner", "module").agg(F.min("gene_id").alias("low"), F.max("gene_id").alias("gene_id")).select("gene_id").distinct().withColumn("chained", F.lit(True))
     names = table(spark, folder, "domains").groupBy("gene_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "ord", "profile"))).alias("d")).select("gene_id", F.transform("d", lambda d: d["profile"]).alias("ps"))
-    joined = table(spark, folder, "lines").join(ends, "gene_id", "left").join(pairs, "gene_id", "left").join(names, "gene_id", "left")
+    return _flagged(table(spark, folder, "lines").join(ends, "gene_id", "left").join(pairs, "gene_id", "left").join(names, "gene_id", "left"))
+
+
+def _flagged(joined: DataFrame) -> DataFrame:
     classic = F.array_join(F.slice("ps", 1, 3), " ").isin("PKS_KS PKS_AT ACP", "PKS_KS PKS_AT PKS_PP")
     last = F.arrays_overlap("ps", F.array(*[F.lit(t) for t in ops.TERMINATORS])) & (F.size("ps") > 1)
     flags = {"opens": F.col("opens"), "closes": F.col("closes"), "classic": classic, "chained": F.col("chained"), "ends": last}
@@ -175,7 +188,10 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     t AS (SELECT *, CASE WHEN d < 0 THEN -chain ELSE chain END AS turned FROM h), x AS (SELECT *, first_value(ends) OVER (PARTITION BY record_id, region ORDER BY turned, inside, gene_id) AS flip FROM t)
     SELECT record_id, region, gene_id, CAST(row_number() OVER (PARTITION BY record_id, region ORDER BY CASE WHEN flip THEN -turned ELSE turned END, inside, gene_id) AS INT) AS place FROM x""", "domains", "lines", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.colinear_groups(line_genes(spark, folder), ["record_id", "region"]).select("record_id", "region", "gene_id", "place")
+    keys = ["record_id", "region"]
+    if (genes := _dealt(spark, folder)) is not None:
+        return ops.colinear_places(_flagged(ops.ends_of(genes)), keys).select(*keys, "gene_id", "place")
+    return ops.colinear_groups(line_genes(spark, folder), keys).select(*keys, "gene_id", "place")
 
 
 _LETTERS = "AKDGHE"
