@@ -142,8 +142,9 @@ CODES = [("mal", "CC(=O)O"), ("ohmal", "C(O)CC(=O)O"), ("ccmal", "C=CC(=O)O"), (
     c AS (SELECT record_id, owner, module, monomer, coalesce(a.code, b.code, '') AS code, row_number() OVER (PARTITION BY record_id ORDER BY owner DESC, module DESC) AS back FROM monomers LEFT JOIN codes a ON a.name = lower(monomer) LEFT JOIN codes b ON b.name = lower(substrate))
     SELECT record_id, string_agg(CASE WHEN back > 1 AND ends_with(code, 'C(=O)O') THEN code[:-2] ELSE code END, '' ORDER BY owner, module) || CASE WHEN ends_with(any_value(monomer) FILTER (back = 1), 'mal') THEN 'C(=O)O' ELSE '' END AS structure FROM c GROUP BY record_id""", "domains", "lines", recursive=True))
 def _(spark: SparkSession, folder: str) -> DataFrame:
-    modules = _monomers(spark, folder).withColumn("place", F.struct("owner", "module"))
-    return ops.structure_string(modules, spark.createDataFrame(CODES, "name string, code string"), ["record_id"])
+    modules = _monomers(spark, folder) if (genes := _dealt(spark, folder)) is None else _monomers_of(ops.owned_modules(genes))
+    codes = F.broadcast(spark.createDataFrame(CODES, "name string, code string"))  # as many as are written in code
+    return ops.structure_string(modules.withColumn("place", F.struct("owner", "module")), codes, ["record_id"])
 
 
 # Gene order: what a gene's first and last modules are, over the regions of joined modules.

@@ -61,7 +61,7 @@ def test_odd_genes_and_large_records_take_joins(spark):
         assert not ops.plain_lines(domains, more(lines, row))
 
 
-@pytest.mark.parametrize("name", ["I11_colinear_groups"])
+@pytest.mark.parametrize("name", ["I11_colinear_groups", "I16_structures"])
 def test_queries_store_nothing(spark, monkeypatch, name):
     size = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("*") if f.is_file())
     before = size()
